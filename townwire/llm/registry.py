@@ -39,7 +39,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_sentencepiece, op4_token_counts, op7_best_fit_packing)}
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from townwire.llm.simhash import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_sentencepiece, op4_token_counts, op7_best_fit_packing, op10_simhash_near_dedup)}
 ORACLES = {
     "op1_line_dedup": r"""
         with lines as (
