@@ -39,6 +39,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from townwire.llm.substring_dedup import dedup_substrings
+
+    out = dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from townwire.llm.simhash import near_duplicates
 
@@ -46,7 +53,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_sentencepiece, op4_token_counts, op7_best_fit_packing, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_sentencepiece, op4_token_counts, op7_best_fit_packing, op9_substring_dedup, op10_simhash_near_dedup)}
 ORACLES = {
     "op1_line_dedup": r"""
         with lines as (
@@ -58,4 +65,19 @@ ORACLES = {
           sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not lost), '')) as kept_sha256
         from marked group by doc_id
     """,
+    "op9_substring_dedup": r"""
+        with w as (
+          select doc_id, unnest(l) as word, generate_subscripts(l, 1) as pos
+          from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as l from documents)),
+        windows as (
+          select doc_id, pos, md5(string_agg(word, ' ') over s) as h, count(*) over s as n from w
+          window s as (partition by doc_id order by pos rows between current row and 34 following)),
+        twice as (select h from windows where n = 35 group by h having count(*) > 1),
+        hit as (select doc_id, pos, case when n = 35 and h in (select h from twice) then 1 else 0 end as hit from windows),
+        covered as (select doc_id, pos, max(hit) over (partition by doc_id order by pos rows between 34 preceding and current row) as lost from hit)
+        select d.doc_id, count(w.word)::bigint as n_words, count(*) filter (where c.lost = 1)::bigint as n_removed,
+          sha256(coalesce(string_agg(w.word, ' ' order by w.pos) filter (where c.lost = 0), '')) as kept_sha256
+        from documents d left join w on w.doc_id = d.doc_id left join covered c on c.doc_id = w.doc_id and c.pos = w.pos
+        group by d.doc_id
+    """,
 }
