@@ -39,6 +39,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from townwire.llm.top_k import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from townwire.llm.substring_dedup import dedup_substrings
 
@@ -53,7 +59,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_sentencepiece, op4_token_counts, op7_best_fit_packing, op9_substring_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_sentencepiece, op4_token_counts, op7_best_fit_packing, op8_exact_top_k, op9_substring_dedup, op10_simhash_near_dedup)}
 ORACLES = {
     "op1_line_dedup": r"""
         with lines as (
@@ -65,6 +71,14 @@ ORACLES = {
           sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not lost), '')) as kept_sha256
         from marked group by doc_id
     """,
+    "op8_exact_top_k": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+          where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        pairs as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+          from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+        ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
+        select query_id, rank::int as rank, vec_id, score from ranked where rank <= 5
+    """,
     "op9_substring_dedup": r"""
         with w as (
           select doc_id, unnest(l) as word, generate_subscripts(l, 1) as pos
