@@ -21,6 +21,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from townwire.llm.html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from townwire.llm.pieces import encode_pieces
 
@@ -65,7 +71,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_sentencepiece, op4_token_counts, op6_toxicity, op7_best_fit_packing, op8_exact_top_k, op9_substring_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_html_text, op3_sentencepiece, op4_token_counts, op6_toxicity, op7_best_fit_packing, op8_exact_top_k, op9_substring_dedup, op10_simhash_near_dedup)}
 ORACLES = {
     "op1_line_dedup": r"""
         with lines as (
