@@ -39,6 +39,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from townwire.llm.fingerprints import fingerprint_pairs
+
+    return fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from townwire.llm.toxicity import score_toxicity
 
@@ -71,7 +77,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_html_text, op3_sentencepiece, op4_token_counts, op6_toxicity, op7_best_fit_packing, op8_exact_top_k, op9_substring_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_html_text, op3_sentencepiece, op4_token_counts, op5_fingerprints, op6_toxicity, op7_best_fit_packing, op8_exact_top_k, op9_substring_dedup, op10_simhash_near_dedup)}
 ORACLES = {
     "op1_line_dedup": r"""
         with lines as (
