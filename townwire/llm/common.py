@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,9 @@ from pyspark.sql.types import StructType
 
 #: Rows that a Python worker turns into objects at once; bounds its memory whatever Arrow's batch holds.
 SLICE_ROWS = 256
-_MADE: list[str] = []
+#: Scratch tables made so far, each with the scope that it was made in.
+_MADE: list[tuple[str, str]] = []
+_SCOPE = ""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,20 +47,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/townwire/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _MADE.append(path)
+    _MADE.append((_SCOPE, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, still_read: DataFrame | None = None) -> None:
-    """Delete the scratch tables made so far, except those that still_read's plan reads."""
-    used = still_read.inputFiles() if still_read is not None else []
-    hadoop = spark._jsc.hadoopConfiguration()
-    for path in list(_MADE):
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Scratch tables made inside belong to this scope."""
+    global _SCOPE
+    before, _SCOPE = _SCOPE, name
+    try:
+        yield
+    finally:
+        _SCOPE = before
+
+
+def release(spark: SparkSession, scopes: Iterable[str], still_read: DataFrame) -> None:
+    """Delete the scratch tables of these scopes, except those that still_read's plan reads."""
+    scopes = set(scopes)
+    doomed = [x for x in _MADE if x[0] in scopes]
+    used = still_read.inputFiles() if doomed else []
+    for scope_, path in doomed:
         tail = path.rsplit("/townwire/", 1)[1]
         if not any(f"/townwire/{tail}/" in x for x in used):
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(hadoop).delete(where, True)
-            _MADE.remove(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _MADE.remove((scope_, path))
 
 
 def map_slices(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:
@@ -78,6 +93,30 @@ def map_slices(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], sc
     return df.mapInArrow(run, schema)
 
 
+def append_columns(df: DataFrame, inputs: list[str], fn: Callable[[dict], dict], schema: str) -> DataFrame:
+    """df with further columns that fn computes from the inputs of a small slice; all of df's columns pass through as they are."""
+    added = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(added)
+    whole = StructType([*df.schema.fields, *added.fields])
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(i, SLICE_ROWS)
+                out = fn({c: part.column(names.index(c)).to_pylist() for c in inputs})
+                new = [pa.array(out[f.name], f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*names, *arrow.names])
+
+    return df.mapInArrow(run, whole)
+
+
+def with_text(df: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """The documents' own columns with this column as their text, and n_chars to match where there is one."""
+    new = {"text": F.col(text)} | ({"n_chars": F.char_length(F.col(text)).cast(df.schema["n_chars"].dataType)} if "n_chars" in columns else {})
+    return df.select(*(new[c].alias(c) if c in new else F.col(c) for c in columns))
+
+
 def _column(array: pa.Array):
     """Python objects for strings and lists; numpy for numbers without nulls."""
     if pa.types.is_integer(array.type) and not array.null_count:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townwire.llm.common import map_slices, stored, texts
+from townwire.llm.common import append_columns, map_slices, stored, texts, with_text
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Bits of each of the two filters (2^26: 8 MB), the shards they are built in, and hashes per key.
@@ -150,22 +150,31 @@ def lost_keys(docs: DataFrame, min_chars: int, min_docs: int, bits: int = FILTER
     return found.join(repeated, "key").filter("doc_id <> kept").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
+def without(text: str, lost: list[bytes] | None, min_chars: int) -> list[str]:
+    """The lines that stay."""
+    lines = text.split("\n")
+    if not lost:
+        return lines
+    gone = set(lost)
+    return [line for line, k in zip(lines, keys_of(text, min_chars)) if k is None or digest(k) not in gone]
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_dropped, and the kept text."""
 
     def run(slices):
         for x in slices:
-            n, dropped, kept = [], [], []
-            for text, lost in zip(x["text"], x["keys"]):
-                lines = text.split("\n")
-                n.append(len(lines))
-                if lost:
-                    gone = set(lost)
-                    lines = [line for line, k in zip(lines, keys_of(text, min_chars)) if k is None or digest(k) not in gone]
-                    text = "\n".join(lines)
-                dropped.append(n[-1] - len(lines))
-                kept.append(text)
-            yield {"doc_id": x["doc_id"], "n_lines": n, "n_dropped": dropped, "kept": kept}
+            n = [t.count("\n") + 1 for t in x["text"]]
+            kept = [without(t, lost, min_chars) for t, lost in zip(x["text"], x["keys"])]
+            yield {"doc_id": x["doc_id"], "n_lines": n, "n_dropped": [a - len(k) for a, k in zip(n, kept)], "kept": ["\n".join(k) for k in kept]}
 
     joined = texts(docs).join(lost_keys(docs, min_chars, min_docs), "doc_id", "left")
     return map_slices(joined, run, "doc_id long, n_lines long, n_dropped long, kept string")
+
+
+def rewrite_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """docs with the kept lines as their text, in all their columns. A null text stays null."""
+    lost = lost_keys(docs, min_chars, min_docs).select(F.col("doc_id").alias("_townwire_id"), F.col("keys").alias("_townwire_keys"))
+    joined = docs.join(lost, docs["doc_id"] == lost["_townwire_id"], "left")
+    rewrite = lambda x: {"_townwire_text": [t if t is None else "\n".join(without(t, k, min_chars)) for t, k in zip(x["text"], x["_townwire_keys"])]}
+    return with_text(append_columns(joined, ["text", "_townwire_keys"], rewrite, "_townwire_text string"), docs.columns, "_townwire_text")

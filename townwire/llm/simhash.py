@@ -160,3 +160,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of = components(edges)
     named = classes.join(of, classes["rep"] == of["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_per_component(docs: DataFrame) -> DataFrame:
+    """docs without the near-duplicates of a smaller doc_id, in all their columns. Rows with a null doc_id stay."""
+    kept = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_townwire_id")).distinct()
+    return docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("_townwire_id"), "left_semi").unionByName(docs.filter("doc_id is null"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townwire.llm.common import map_slices, stored, texts
+from townwire.llm.common import append_columns, map_slices, stored, texts, with_text
 
 WINDOW, GRAM = 35, 8
 #: Different runs of one minimiser that go to an index, and words that one index takes.
@@ -183,24 +183,34 @@ def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return spans.groupBy("row").agg(F.collect_set("span").alias("spans"))
 
 
+def without(words: list[bytes], spans: list[dict] | None, window: int) -> list[bytes]:
+    """The words that no span covers."""
+    if not spans:
+        return words
+    steps = np.zeros(len(words) + 1, np.int32)
+    for s in spans:
+        steps[s["a"]] += 1
+        steps[s["b"] + window] -= 1
+    return [words[i] for i in np.flatnonzero(np.cumsum(steps[:-1]) == 0)]
+
+
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, and the kept words joined by one space."""
 
     def run(slices):
         for x in slices:
-            n, removed, kept = [], [], []
-            for text, spans in zip(x["text"], x["spans"]):
-                words = text.encode().split()
-                n.append(len(words))
-                if spans:
-                    steps = np.zeros(len(words) + 1, np.int32)
-                    for s in spans:
-                        steps[s["a"]] += 1
-                        steps[s["b"] + window] -= 1
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(steps[:-1]) == 0)]
-                removed.append(n[-1] - len(words))
-                kept.append(b" ".join(words).decode())
-            yield {"doc_id": x["doc_id"], "n_words": n, "n_removed": removed, "kept": kept}
+            words = [t.encode().split() for t in x["text"]]
+            kept = [without(w, spans, window) for w, spans in zip(words, x["spans"])]
+            yield {"doc_id": x["doc_id"], "n_words": [len(w) for w in words], "n_removed": [len(w) - len(k) for w, k in zip(words, kept)], "kept": [b" ".join(k).decode() for k in kept]}
 
     joined = keyed(docs).join(covered(docs, window), "row", "left").select("doc_id", "text", "spans")
     return map_slices(joined, run, "doc_id long, n_words long, n_removed long, kept string")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs without the covered words, in all their columns; texts that lose none stay as they are, white space and all."""
+    spans = covered(docs, window).select(F.col("row").alias("_townwire_row"), F.col("spans").alias("_townwire_spans"))
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
+    joined = docs.withColumn("_townwire_key", key).join(spans, F.col("_townwire_key") == F.col("_townwire_row"), "left")
+    rewrite = lambda x: {"_townwire_text": [t if not s else b" ".join(without(t.encode().split(), s, window)).decode() for t, s in zip(x["text"], x["_townwire_spans"])]}
+    return with_text(append_columns(joined, ["text", "_townwire_spans"], rewrite, "_townwire_text string"), docs.columns, "_townwire_text")

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townwire.llm.common import map_slices, texts
+from townwire.llm.common import append_columns, map_slices, texts
 
 #: Labelled rows that the grammar is fitted to (expected number; more are thinned by a hash of doc_id).
 TRAIN_ROWS = 20_000
@@ -215,13 +215,35 @@ def logistic(points: np.ndarray) -> tuple[float, float]:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5)."""
-    lexicon, slope, offset = fit(docs, labels, rows)
+    score = scoring(docs, labels, rows)
 
     def run(slices):
-        scorer = Scorer(lexicon)
+        of = score()
         for x in slices:
-            score = [1 / (1 + math.exp(-max(-30.0, min(30.0, slope * math.log1p(scorer.clauses(t)) + offset)))) for t in x["text"]]
-            yield {"doc_id": x["doc_id"], "score": score, "predicted": [int(s >= 0.5) for s in score]}
+            own = of(x["text"])
+            yield {"doc_id": x["doc_id"], "score": own, "predicted": [int(s >= 0.5) for s in own]}
 
     scored = map_slices(texts(docs), run, "doc_id long, score double, predicted int")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """docs without the rows that score 0.5 or more, in all their columns."""
+    score = scoring(docs, labels, rows)
+    made = append_columns(docs, ["text"], lambda x: {"_townwire_score": score()([t or "" for t in x["text"]])}, "_townwire_score double")
+    return made.filter("_townwire_score < 0.5").select(*docs.columns)
+
+
+class scoring:
+    """Fits at once; called in a task, it gives the function from texts to scores, which the worker keeps."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, rows: int):
+        self.fitted = fit(docs, labels, rows)
+        self.of = None
+
+    def __call__(self):
+        if self.of is None:
+            lexicon, slope, offset = self.fitted
+            scorer = Scorer(lexicon)
+            self.of = lambda batch: [1 / (1 + math.exp(-max(-30.0, min(30.0, slope * math.log1p(scorer.clauses(t)) + offset)))) for t in batch]
+        return self.of
