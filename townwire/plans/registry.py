@@ -2,9 +2,493 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
+from townwire.functions import text as tx
+from townwire.functions.times import is_archived, lag_seconds
+from townwire.operators import audit as au
+from townwire.operators import cascade, curate, evaluate, gates, lexicon, priors, ranking, rules, screening
+from townwire.operators import index as ix
+from townwire.operators.linear import LinearModel, score_rows
+from townwire.packs import HERE
+from townwire.plans.tables import cases, commits, events, index, posts, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["flagship_reason_histogram"](spark, sf_dir)
+
+
+def pack() -> rules.RulePack:
+    return rules.load_pack(HERE / "prose.json")
+
+
+def prose_lexicon() -> lexicon.Lexicon:
+    return lexicon.Lexicon.load(HERE / "prose_lexicon.json")
+
+
+# SQL pieces: the text with one space for each run of white space, padded so that RE2, which
+# has no look-around, can test for edges of words; and the decisions of the prose pack
+NORM = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
+EDGE = r"[^\p{L}\p{N}_]"
+
+
+def has_sql(*terms: str, of: str = "p") -> str:
+    return f"regexp_matches({of}, '{EDGE}(?:{'|'.join(terms)}){EDGE}')"
+
+
+DECIDED_SQL = rf"""
+    norm as (select *, {NORM} as t from src),
+    padded as (select *, ' ' || replace(lower(t), ' ', '  ') || ' ' as p, ' ' || lower(t) || ' ' as q from norm),
+    sig as (select *, {has_sql("ntble", "esing")} as strong, {has_sql("onbleea", "inging")} as hard, {has_sql("attion", "ertion")} as context,
+      {has_sql("ering")} as ev, {has_sql("thintion")} as venue,
+      {has_sql("nttion")} as near1, {has_sql("ntion")} as near2, {has_sql("of ly", of="q")} as far1, {has_sql("in the of", of="q")} as far2,
+      list_filter(['erble', 'thble', 'thing', 'thtion'], lambda x: regexp_matches(p, '{EDGE}' || x || '{EDGE}')) as places from padded),
+    decided as (select *,
+      case when t = '' then 'empty' when far2 or (far1 and not near1) then 'entity_other:far'
+        when hard and strong then 'strong_positive_over_negative' when hard then 'hard_negative' when near1 or near2 then 'entity_local:near'
+        when strong then 'strong_positive' when ev and venue then 'event_local_venue:thintion' when len(places) >= 2 then 'multi_local_places'
+        when len(places) = 1 and context then 'ambiguous_with_context:' || places[1] when len(places) = 1 then 'ambiguous_no_context:' || places[1]
+        else 'no_match' end as reason from sig),
+    verdicts as (select *, regexp_matches(reason, '^(strong_positive|strong_positive_over_negative|multi_local_places|entity_local:.*|event_local_venue:.*|ambiguous_with_context:.*)$') as matched from decided)
+"""
+DOCS_SQL = "src as (select doc_id as uri, text, lang, source from documents)"
+CASES_SQL = """src as (select d.doc_id as uri, d.text, l.quality = 1 as expected, d.source as bucket, d.lang as signal,
+      case when d.doc_id % 5 = 0 then 'holdout' else 'dev' end as split, d.doc_id % 3 = 0 as regression from labels l join documents d on l.doc_id = d.doc_id)"""
+EVENTS_SQL = "ev as (select *, (props->>'$.k')::bigint as k from events)"
+INDEX_SQL = """ev as (select *, (props->>'$.k')::bigint as k from events),
+    idx as (select event_id::varchar as uri, 'c' || (event_id % 50)::varchar as cid, user_id as author_did, event_type as match_reason,
+      case when event_id % 7 <> 0 then ts - to_hours(k % 48) end as created_at, date_trunc('hour', ts) as indexed_at, k % 11 as like_count, k % 5 as repost_count from ev)"""
+
+
+def decided(rows: DataFrame) -> DataFrame:
+    return cascade.decide(rows, pack(), prose_lexicon())
+
+
+@query(f"with {DOCS_SQL}, {DECIDED_SQL} select matched, reason, count(*) as n from verdicts group by all")
+def flagship_reason_histogram(spark, sf_dir):
+    return cascade.reason_histogram(decided(posts(spark, sf_dir)))
+
+
+@query(f"with {DOCS_SQL}, {DECIDED_SQL} select uri, matched, reason, split_part(reason, ':', 1) as reason_class from verdicts")
+def cascade_verdicts(spark, sf_dir):
+    out = decided(posts(spark, sf_dir))
+    return out.select("uri", "matched", "reason", cascade.reason_class(F.col("reason")).alias("reason_class"))
+
+
+@query(f"with {DOCS_SQL}, {DECIDED_SQL} select uri, case when source in ('src1', 'src2') then 'allowlist_did' else reason end as reason, source in ('src1', 'src2') or matched as matched from verdicts")
+def allowlisted_verdicts(spark, sf_dir):
+    allowed = spark.createDataFrame([("src1",), ("src2",)], "did string")
+    return cascade.decide(posts(spark, sf_dir), pack(), prose_lexicon(), allow_dids=allowed).select("uri", "reason", "matched")
+
+
+@query(rf"select doc_id, length({NORM}) as n, substr(translate(coalesce(text, ''), chr(10) || chr(13), '  '), 1, 160) as preview from documents")
+def text_normalize_preview(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.char_length(tx.normalize(F.col("text"))).cast("long").alias("n"), tx.preview(F.col("text")).alias("preview"))
+
+
+@query(r"select page_id, rtrim(substr(trim(regexp_extract(html, '<title>(.*?)</title>', 1)), 1, 320)) as title, rtrim(substr(trim(html), 1, 320)) as description from pages")
+def embed_clip(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", tx.clip(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"), tx.clip(F.col("html")).alias("description"))
+
+
+@query("select doc_id, lang = 'fr' as gated, 'x-' || lang as tag from documents")
+def lang_prefix_gate(spark, sf_dir):
+    tags = tx.language_tags(F.array(F.concat(F.lit(" "), F.upper("lang"), F.lit("_XX")), F.lit("")))
+    d = table(spark, sf_dir, "documents").withColumn("tags", tags)
+    return d.select("doc_id", (tx.has_language(F.col("tags"), "fr") & ~tx.has_language(F.col("tags"), "en")).alias("gated"), F.concat(F.lit("x-"), F.split(F.get("tags", F.lit(0)), "-")[0]).alias("tag"))
+
+
+@query(f"""with {EVENTS_SQL} select case event_type when 'view' then 'like' when 'click' then 'repost' else 'post' end as kind,
+    case event_type when 'error' then 'delete' else 'create' end as operation, 'did:' || user_id as author_did,
+    case when event_type in ('view', 'click') then 'at://' || k end as subject_uri, epoch_us(ts) as time_us from ev where event_type <> 'purchase'""")
+def json_commit_decode(spark, sf_dir):
+    from townwire.sources import commits as cm
+
+    e = events(spark, sf_dir)
+    collection = F.when(F.col("event_type") == "view", cm.LIKE).when(F.col("event_type") == "click", cm.REPOST).when(F.col("event_type") == "purchase", "app.other").otherwise(cm.POST)
+    operation = F.when(F.col("event_type") == "error", "delete").otherwise("create")
+    micros = F.unix_micros(F.col("ts").cast("timestamp")).cast("string")
+    line = F.concat(
+        F.lit('{"kind":"commit","did":"did:'), F.col("user_id").cast("string"), F.lit('","time_us":'), micros, F.lit(',"commit":{"rkey":"'), F.col("event_id").cast("string"),
+        F.lit('","operation":"'), operation, F.lit('","collection":"'), collection, F.lit('","record":{"subject":{"uri":"at://'), F.col("k").cast("string"), F.lit('"}}}}'),
+    )
+    return cm.decode(cm.parsed(e.select(line.alias("value")))).select("kind", "operation", "author_did", "subject_uri", "time_us")
+
+
+@query("""select conv_id, turn, case when turn > 0 then 'reply_ignored' when contains(lower(coalesce(text, '')), 'the') then 'muted' end as gate from conversations""")
+def post_gates(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    null = F.lit(None).cast("timestamp")
+    gate = gates.gate_reason(gates.FeedConfig(muted=("THE",)), is_reply=F.col("turn") > 0, created=null, reference=null, text=F.col("text"), alt=F.lit(None), archive=False)
+    return c.select("conv_id", "turn", gate.alias("gate"))
+
+
+@query(f"""with {EVENTS_SQL} select event_id, case when event_id % 9 = 0 then false else ts - (ts - to_hours(k)) > interval 1 day end as archived,
+    greatest(0.0, k * 3600.0)::double as lag_s from ev""")
+def archive_gate(spark, sf_dir):
+    e = events(spark, sf_dir)
+    created = F.when(F.col("event_id") % 9 != 0, F.col("ts") - F.make_dt_interval(F.lit(0), F.col("k").cast("int")))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return e.select("event_id", is_archived(created, F.col("ts")).alias("archived"), lag_seconds(micros - F.col("k") * 3_600_000_000, micros).alias("lag_s"))
+
+
+COMMON_LEXICON = [{"id": "a", "region": "other", "surfaces": ["the the", "of ly"]}, {"id": "b", "region": "local", "surfaces": ["nttion", "the"]}, {"id": "c", "region": "local", "surfaces": ["in of"]}]
+HIT_SQL = f"""lex(surface, entity_id, region, ord) as (values ('the the', 'a', 'other', 0), ('nttion', 'b', 'local', 1), ('of ly', 'a', 'other', 2), ('in of', 'c', 'local', 3), ('the', 'b', 'local', 4)),
+    ranked as (select t.*, lex.*, row_number() over (partition by key order by length(surface) desc, ord) as rn from t join lex on regexp_matches(p, '{EDGE}' || surface || '{EDGE}'))"""
+
+
+@query(rf"with t as (select doc_id as key, ' ' || lower({NORM}) || ' ' as p from documents), {HIT_SQL} select key as doc_id, entity_id, region, surface from ranked where rn = 1")
+def lexicon_longest_match(spark, sf_dir):
+    lex = lexicon.Lexicon.of(COMMON_LEXICON)
+    d = table(spark, sf_dir, "documents").select("doc_id", lex.hit(tx.normalize(F.col("text"))).alias("hit"))
+    return d.filter("hit is not null").select("doc_id", "hit.*")
+
+
+@query(rf"with t as (select conv_id * 1000 + turn as key, ' ' || lower({NORM}) || ' ' as p from conversations), {HIT_SQL} select key as post_id, entity_id, region, surface from ranked where rn = 1")
+def lexicon_join(spark, sf_dir):
+    lex = lexicon.Lexicon.of(COMMON_LEXICON)
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("post_id"), tx.normalize(F.col("text")).alias("t"))
+    return lexicon.join_hits(c, lex.table(spark), "post_id", "t")
+
+
+@query(f"with {DOCS_SQL}, {DECIDED_SQL} select uri, array_to_string(places, ',') as places, len(places)::int as n, places[1] as term from verdicts where len(places) > 0")
+def ambiguous_places_set(spark, sf_dir):
+    found = pack().all_of("ambiguous", tx.normalize(F.col("text")))
+    d = rules.once(posts(spark, sf_dir), found=found).filter(F.size("found") > 0)
+    return d.select("uri", F.array_join(F.array_sort("found"), ",").alias("places"), F.size(cascade.distinct_places(F.col("found"), ())).alias("n"), cascade.chosen_term(F.col("found"), ()).alias("term"))
+
+
+@query(rf"""with t as (select doc_id, ' ' || lower({NORM}) || ' ' as p from documents)
+    select doc_id from t where regexp_matches(p, '{EDGE}(?:thble|thing)(?:{EDGE}|{EDGE}[\s\S]{{0,158}}{EDGE})(?:that|this){EDGE}') or regexp_matches(p, '{EDGE}(?:that|this)(?:{EDGE}|{EDGE}[\s\S]{{0,158}}{EDGE})(?:thble|thing){EDGE}')""")
+def cooccurrence_conflict(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    rule = pack().conflicts["far_prose"]
+    return d.filter(rule.condition(tx.normalize(F.col("text")), F.lit(None).cast("string"), F.lit(False))).select("doc_id")
+
+
+MODEL = LinearModel({"bias": -1.0, "micro": 0.75, "place": 0.5, "event": 1.25}, threshold=0.5)
+
+
+@query(rf"""with t as (select doc_id, ' ' || replace(lower({NORM}), ' ', '  ') || ' ' as p from documents),
+    f as (select doc_id, (regexp_matches(p, '{EDGE}ontion{EDGE}')::int + regexp_matches(p, '{EDGE}oning{EDGE}')::int) as micro, {has_sql("thble", "thtion", "thing", "erble")}::int as place, {has_sql("ering")}::int as event from t)
+    select doc_id, (-1.0 + 0.75 * micro + 0.5 * place + 1.25 * event)::double as score, (-1.0 + 0.75 * micro + 0.5 * place + 1.25 * event) >= 0.5 as kept from f""")
+def linear_score(spark, sf_dir):
+    t = tx.normalize(F.col("text"))
+    d = rules.once(table(spark, sf_dir, "documents"), t=t)
+    features = {"micro": F.size(pack().all_of("micro", F.col("t"))).cast("double"), "place": pack().has("ambiguous", F.col("t")).cast("double"), "event": pack().has("event_cue", F.col("t")).cast("double")}
+    return rules.once(d, score=MODEL.score(features)).select("doc_id", "score", (F.col("score") >= MODEL.threshold).alias("kept"))
+
+
+@query(f"""with {EVENTS_SQL}, w(feature, weight) as (values ('view', 0.5), ('click', 1.0), ('purchase', 4.0))
+    select user_id, -1.0 + sum(coalesce(k * weight, 0.0))::double as score from ev left join w on feature = event_type group by user_id""")
+def sparse_score(spark, sf_dir):
+    rows = events(spark, sf_dir).select("user_id", F.col("event_type").alias("feature"), F.col("k").cast("double").alias("value"))
+    weights = spark.createDataFrame([("view", 0.5), ("click", 1.0), ("purchase", 4.0)], "feature string, weight double")
+    return score_rows(rows, weights, "user_id", bias=-1.0)
+
+
+PRIOR_SQL = """ev as (select event_id, user_id, ts, event_type = 'purchase' as strong from events),
+    a as (select *, last_value(case when strong then ts end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as last_strong_at from ev),
+    b as (select *, sum((strong and (last_strong_at is null or ts - last_strong_at > interval 2 day))::int) over (partition by user_id order by ts, event_id) as session from a),
+    c as (select *, sum(strong::int) over (partition by user_id, session order by ts, event_id) as total from b),
+    prior as (select *, coalesce(lag(total) over (partition by user_id order by ts, event_id), 0)::bigint as strong_before from c)"""
+
+
+@query(f"with {PRIOR_SQL} select event_id, strong_before, strong_before >= 3 and coalesce(ts - last_strong_at <= interval 2 day, false) as soft_prior from prior")
+def author_prior_asof(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("strong", F.col("event_type") == "purchase")
+    return priors.with_prior(e, "user_id", "ts", "event_id", "strong", min_strong=3, days=2).select("event_id", "strong_before", "soft_prior")
+
+
+STATS_SQL = f"{PRIOR_SQL}, stats as (select user_id, arg_max(total, session * 1000000 + total)::bigint as strong_match_count, max(ts) as last_strong_at from c where strong group by user_id)"
+
+
+@query(f"with {STATS_SQL} select * from stats")
+def author_strong_stats(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("strong", F.col("event_type") == "purchase")
+    return priors.author_stats(e, "user_id", "ts", "event_id", "strong", days=2)
+
+
+@query(f"with {STATS_SQL} select user_id from stats where strong_match_count >= 3 and timestamp '2024-01-29' - last_strong_at <= interval 2 day")
+def authors_with_prior(spark, sf_dir):
+    return priors.eligible(author_strong_stats(spark, sf_dir), F.lit("2024-01-29").cast("timestamp_ntz"), 3, 2).select("user_id")
+
+
+@query(f"""with {EVENTS_SQL}, r as (select k::varchar as uri, event_id, ts, row_number() over (partition by k order by ts) as rn from ev where event_type = 'signup') select uri, event_id, ts from r where rn = 1""")
+def index_first_wins(spark, sf_dir):
+    created = commits(spark, sf_dir).filter("operation = 'create'").select("uri", "event_id", "ts")
+    return ix.first_wins(created, "uri", "ts")
+
+
+@query(f"""with {EVENTS_SQL}, d as (select k, max(ts) as gone from ev where event_type = 'error' group by k),
+    r as (select e.k::varchar as uri, event_id, ts, row_number() over (partition by e.k order by ts) as rn from ev e left join d on d.k = e.k where event_type = 'signup' and (gone is null or ts > gone))
+    select uri, event_id, ts from r where rn = 1""")
+def tombstone_fold(spark, sf_dir):
+    return ix.fold(commits(spark, sf_dir)).select("uri", "event_id", "ts")
+
+
+@query(f"""with {EVENTS_SQL}, old as (select distinct k from ev where event_id % 3 = 0 and k < 60), r as (select k, event_id, row_number() over (partition by k order by event_id) as rn from ev where k not in (select k from old))
+    select k::varchar as uri, event_id from r where rn = 1""")
+def insert_or_ignore(spark, sf_dir):
+    e = events(spark, sf_dir).select(F.col("k").cast("string").alias("uri"), "event_id")
+    return ix.new_rows(e, e.filter("event_id % 3 = 0 and cast(uri as long) < 60"), "uri", "event_id")
+
+
+ENGAGED_SQL = f"""{EVENTS_SQL}, p as (select k, min(ts) as indexed_at from ev where event_type = 'signup' group by k),
+    g as (select p.k, count(*) filter (where event_type = 'view') as l, count(*) filter (where event_type = 'click') as r from p join ev e on e.k = p.k and e.ts >= p.indexed_at group by p.k)"""
+
+
+@query(f"with {ENGAGED_SQL} select p.k::varchar as uri, indexed_at, coalesce(l, 0)::bigint as like_count, coalesce(r, 0)::bigint as repost_count from p left join g on g.k = p.k")
+def engagement_counts_asof(spark, sf_dir):
+    idx = index_first_wins(spark, sf_dir).select("uri", F.col("ts").alias("indexed_at"))
+    kind = F.when(F.col("event_type") == "view", "like").when(F.col("event_type") == "click", "repost")
+    engagement = events(spark, sf_dir).filter(kind.isNotNull()).select(kind.alias("kind"), F.col("k").cast("string").alias("subject_uri"), "ts")
+    return ix.engagement_counts(idx, engagement)
+
+
+@query("select event_id, ts from events where ts >= (select max(ts) from events) - interval 7 day")
+def retention_prune(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("indexed_at"))
+    now = e.agg(F.max("indexed_at").alias("now"))
+    return ix.retained(e.crossJoin(F.broadcast(now)), F.col("now")).select("event_id", F.col("indexed_at").alias("ts"))  # one row
+
+
+def _rank_sql(order: str, where: str = "true", limit: int = 100) -> str:
+    return f"with {INDEX_SQL} select uri, cid, indexed_at, created_at, like_count, repost_count from idx where {where} order by {order}, cid desc, uri desc limit {limit}"
+
+
+BY_SCORE = "like_count + 2 * repost_count desc, indexed_at desc"
+
+
+def _page(df: DataFrame) -> DataFrame:
+    return df.select("uri", "cid", "indexed_at", "created_at", "like_count", "repost_count")
+
+
+@query(_rank_sql("indexed_at desc"))
+def rank_indexed(spark, sf_dir):
+    return _page(ranking.rankings()["indexed"].page(index(spark, sf_dir), limit=100))
+
+
+@query(_rank_sql("created_at desc nulls last, indexed_at desc"))
+def rank_created(spark, sf_dir):
+    return _page(ranking.rankings()["created"].page(index(spark, sf_dir), limit=100))
+
+
+@query(_rank_sql(BY_SCORE))
+def rank_engagement(spark, sf_dir):
+    return _page(ranking.rankings()["engagement"].page(index(spark, sf_dir), limit=100))
+
+
+@query(f"with {INDEX_SQL}, r as (select *, row_number() over (order by {BY_SCORE}, cid desc, uri desc) as rn from idx) select uri, cid, indexed_at, created_at, like_count, repost_count from r where rn between 41 and 60")
+def page_keyset(spark, sf_dir):
+    mode, rows = ranking.rankings()["engagement"], index(spark, sf_dir)
+    cursor = mode.page(rows, limit=40).select("next_cursor").collect()[-1][0]  # one page
+    return _page(mode.page(rows, cursor, 20))
+
+
+@query(f"with {INDEX_SQL}, r as (select uri, row_number() over (order by {BY_SCORE}, cid desc, uri desc) - 1 as position from idx) select uri, position, position // 20 as page from r")
+def page_numbers(spark, sf_dir):
+    return ranking.page_numbers(index(spark, sf_dir), ranking.rankings()["engagement"], 20).select("uri", "position", "page")
+
+
+RATES_SQL = """round(coalesce(tp / nullif(tp + fp, 0), 0.0)::double, 9) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0.0)::double, 9) as recall,
+    round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0)::double, 9) as f1, round(coalesce((tp + tn) / nullif(tp + fp + tn + fn, 0), 0.0)::double, 9) as accuracy, tp + fp > 0 as precision_defined, tp + fn > 0 as recall_defined"""
+
+
+@query(f"""with {CASES_SQL}, {DECIDED_SQL}, g as (
+      select case when grouping(split) = 0 then 'split' when grouping(signal) = 0 then 'signal' when grouping(bucket) = 0 then 'bucket' else 'overall' end as stratum, coalesce(split, signal, bucket, '') as value,
+      count(*) filter (where expected and matched) as tp, count(*) filter (where not expected and matched) as fp, count(*) filter (where not expected and not matched) as tn, count(*) filter (where expected and not matched) as fn
+      from verdicts group by grouping sets ((), (split), (signal), (bucket))) select stratum, value, tp, fp, tn, fn, {RATES_SQL} from g""")
+def eval_grouping_sets(spark, sf_dir):
+    out = evaluate.confusion(decided(cases(spark, sf_dir)))
+    return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1", "accuracy")})
+
+
+@query(f"with {CASES_SQL}, {DECIDED_SQL} select uri, case when matched then 'FP' else 'FN' end as kind, reason from verdicts where expected <> matched")
+def eval_failures(spark, sf_dir):
+    return evaluate.failures(decided(cases(spark, sf_dir))).select("uri", "kind", "reason")
+
+
+@query(f"with {CASES_SQL}, {DECIDED_SQL} select count(*) filter (where regression) as regressions, count(*) filter (where regression and expected <> matched) as failed, count(*) filter (where regression and expected <> matched) = 0 as passes from verdicts")
+def eval_gate(spark, sf_dir):
+    return evaluate.gate(decided(cases(spark, sf_dir)))
+
+
+@query(f"""with {CASES_SQL}, need(stratum, value) as (values ('split', 'dev'), ('split', 'holdout'), ('signal', 'en'), ('signal', 'xx')),
+    have as (select 'split' as stratum, split as value from src union all select 'signal', signal from src) select n.stratum, n.value, count(h.value) as n from need n left join have h on h.stratum = n.stratum and h.value = n.value group by all""")
+def eval_coverage(spark, sf_dir):
+    return evaluate.coverage(cases(spark, sf_dir), {"split": ["dev", "holdout"], "signal": ["en", "xx"]})
+
+
+AUDIT_SQL = f"""{DOCS_SQL}, {DECIDED_SQL}, audited as (select i.uri, 'old' as indexed_reason, substr(translate(coalesce(v.text, ''), chr(10) || chr(13), '  '), 1, 160) as text_preview, coalesce(v.matched, false) as matched,
+    coalesce(v.reason, 'not_found') as reason, case when v.uri is null then 'not_found' when v.matched then 'kept' else 'dropped' end as status
+    from (select doc_id as uri from documents) i left join (select * from verdicts where uri % 10 <> 0) v on v.uri = i.uri)"""
+
+
+def _audited(spark, sf_dir):
+    p = posts(spark, sf_dir)
+    old = p.select("uri", F.lit("old").alias("match_reason"))
+    live = p.filter("uri % 10 <> 0")
+    return old, au.audit(old, live, decided(live))
+
+
+@query(f"with {AUDIT_SQL} select * from audited")
+def audit_rematch(spark, sf_dir):
+    return _audited(spark, sf_dir)[1]
+
+
+@query(f"with {AUDIT_SQL} select uri from audited where status <> 'dropped'")
+def purge_anti(spark, sf_dir):
+    return au.purge(*_audited(spark, sf_dir)).select("uri")
+
+
+@query(f"with {AUDIT_SQL} select status, count(*) as n from audited group by all")
+def audit_outcomes(spark, sf_dir):
+    return au.outcome_counts(_audited(spark, sf_dir)[1])
+
+
+ACTIVITY_SQL = """act as (select user_id, count(*) as sample_n, count(*) filter (where timestamp '2024-01-30' - ts <= interval 7 day) as recent_7d, count(*) filter (where timestamp '2024-01-30' - ts <= interval 30 day) as recent_30d,
+      count(distinct lower(substr(props, 1, 40))) as prefixes, bool_or(regexp_matches(event_type, 'error')) as fault from events group by user_id),
+    rated as (select *, round(recent_7d / 7, 2)::double as ppd_7d, round(recent_30d / 30, 2)::double as ppd_30d, round(prefixes / greatest(sample_n, 1), 2)::double as unique_prefix_ratio from act),
+    flagged as (select *, list_filter([case when ppd_7d >= 20 then 'high_volume' when ppd_7d >= 8 then 'elevated_volume' end, case when unique_prefix_ratio < 0.45 and sample_n >= 8 then 'low_diversity' end, case when fault then 'slop:fault' end], lambda x: x is not null) as flags from rated)"""
+
+
+def _screened(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    a = screening.activity(e, "user_id", "ts", "props", F.lit("2024-01-30").cast("timestamp_ntz"))
+    return a.join(screening.pattern_hits(e, "user_id", "event_type", {"fault": ("error",)}), "user_id")
+
+
+@query(f"with {ACTIVITY_SQL} select user_id, sample_n, recent_7d, recent_30d, ppd_7d, ppd_30d, unique_prefix_ratio from rated")
+def author_activity(spark, sf_dir):
+    return _screened(spark, sf_dir).drop("slop_hits")
+
+
+@query(f"""with {ACTIVITY_SQL} select user_id, array_to_string(flags, ',') as flags, case when list_contains(flags, 'high_volume') then 'reject'
+    when len(list_filter(flags, lambda x: x <> 'high_volume')) > 0 then 'review' else 'likely_ok' end as recommendation from flagged""")
+def author_screening(spark, sf_dir):
+    out = screening.with_recommendation(screening.with_flags(_screened(spark, sf_dir)))
+    return out.select("user_id", F.array_join("flags", ",").alias("flags"), "recommendation")
+
+
+@query(f"""with {EVENTS_SQL}, u as (select k, event_id, 0 as s from ev where event_type = 'click' union all select k, event_id, 1 from ev where event_type = 'view'),
+    r as (select *, row_number() over (partition by k order by s, event_id) as rn from u) select k, event_id from r where rn = 1""")
+def source_union_priority(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return curate.union_by_priority([e.filter(f"event_type = '{t}'").select("k", "event_id") for t in ("click", "view")], "k", "event_id")
+
+
+@query("""with r as (select conv_id as id, text, row_number() over (partition by conv_id order by text) as rn from conversations where trim(coalesce(text, '')) <> '' and conv_id % 4 <> 0) select id, text from r where rn = 1""")
+def candidate_dedupe(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "text")
+    return curate.candidates(c, c.filter("id % 4 = 0"))
+
+
+@query("with r as (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) select user_id, event_id, rn::int as rn from r where rn <= 3")
+def sample_n_per_author(spark, sf_dir):
+    return curate.newest_per(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", 3, F.desc("ts"), F.desc("event_id")).drop("ts")
+
+
+@query("""with e as (select user_id, count(*) as n from events where event_type = 'view' group by 1), a as (select user_id, count(*) as n from events where event_type = 'click' group by 1),
+    f as (select coalesce(e.user_id, a.user_id) as user_id, coalesce(e.n, 0) - coalesce(a.n, 0) as d from e full join a on e.user_id = a.user_id)
+    select user_id, case when d > 0 then 'missing' else 'extra' end as side, abs(d) as n from f where d <> 0""")
+def key_diff(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return curate.key_diff(e.filter("event_type = 'view'"), e.filter("event_type = 'click'"), "user_id")
+
+
+@query("""select count(distinct case when l.quality = 1 and l.doc_id % 7 <> 0 then l.doc_id end) as added, count(*) filter (where l.quality = 0) as skipped_unlabeled,
+    count(*) filter (where l.quality = 1 and l.doc_id % 7 = 0) as skipped_existing from labels l""")
+def merge_counters(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit("t").alias("text"), F.when(F.col("quality") == 1, F.lit(True)).alias("expected"))
+    return curate.merge_cases(rows.filter("id % 7 = 0"), rows)[1]
+
+
+@query("select doc_id as id, case when quality = 1 then true end as proposed_expected, case when toxic = 1 then 'low' else 'medium' end as proposed_confidence, case when quality = 0 then 'expected is not a boolean' end as error from labels")
+def proposals_parsed(spark, sf_dir):
+    answer = F.concat(F.lit('```json\n{"rationale": "r", "expected": '), F.when(F.col("quality") == 1, "true").otherwise("null"), F.when(F.col("toxic") == 1, ', "confidence": "LOW"').otherwise(""), F.lit("}\n```"))
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), answer.alias("response"))
+    return curate.parse_proposals(rows).drop("proposed_rationale")
+
+
+@query("""with p as (select lower(c_name) as handle, min(c_custkey) as did from customer where c_custkey % 2 = 0 group by 1)
+    select h.handle, did, case when did is null then 'unresolved' else 'ok' end as status from (select distinct lower(c_name) as handle from customer) h left join p on p.handle = h.handle""")
+def handle_resolution(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.upper("c_name").alias("handle"), F.col("c_custkey").alias("did"))
+    return curate.resolve_handles(c, c.filter("did % 2 = 0"))
+
+
+@query("select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by all")
+def volume_by_hour(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count("*").alias("n"))
+
+
+@query("""with a as (select user_id, ts, event_id, coalesce((ts - lag(ts) over w >= interval 6 hour)::int, 1) as opened from events window w as (partition by user_id order by ts, event_id)),
+    b as (select *, sum(opened) over (partition by user_id order by ts, event_id) as s from a) select user_id, min(ts) as started, count(*) as n from b group by user_id, s""")
+def session_activity(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    s = e.groupBy(F.session_window("t", "6 hours"), "user_id").agg(F.count("*").alias("n"))
+    return s.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("started"), "n")
+
+
+def _stream(spark, sf_dir):
+    from townwire.streaming.jobs import read_events
+
+    schema = table(spark, sf_dir, "events").schema
+    # the glob keeps the source a folder whether the table is one file or several
+    return read_events(spark, f"{sf_dir}/events*.parquet", schema).withColumn("t", F.col("ts").cast("timestamp"))
+
+
+def _run(spark, df, mode):
+    import tempfile
+    import uuid
+
+    from townwire.streaming.jobs import run_available
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="townwire-")
+    return run_available(df, f"s{uuid.uuid4().hex}", mode, f"{root}/streams/{uuid.uuid4().hex}")
+
+
+@query()
+def stream_dedupe(spark, sf_dir):
+    from townwire.streaming.jobs import deduplicated
+
+    keyed = _stream(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k"))
+    return _run(spark, deduplicated(keyed, "k", "t", "1 hour").select("k", "event_id"), "append")
+
+
+@query()
+def stream_author_counters(spark, sf_dir):
+    from townwire.streaming.jobs import author_counters
+
+    strong = _stream(spark, sf_dir).filter("event_type = 'purchase'").select("user_id", "t", "event_id")
+    return _run(spark, author_counters(strong, "user_id", "t", "event_id", 2, "1 hour"), "update")
+
+
+@query()
+def stream_volume(spark, sf_dir):
+    from townwire.streaming.jobs import volume
+
+    out = _run(spark, volume(_stream(spark, sf_dir), "t", "1 hour", "1 hour", "event_type"), "complete")
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
