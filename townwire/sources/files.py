@@ -39,7 +39,7 @@ def read_labelled(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     error = F.when(~is_object, F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 80)))
     df = lines.select(F.from_json("value", CASE).alias("c"), error.alias("error"))
     if strict:
-        df = df.filter(F.when(F.col("error").isNotNull(), F.raise_error("error").isNull()).otherwise(True))
+        df = df.filter(F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).isNull()).otherwise(True))
     return df.select("c.*", "error")
 
 
