@@ -22,21 +22,15 @@ nor changed; empty tables give no rows; lines and texts of any length are taken
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from townwire.llm.bloom import FILTER_BITS, Twice, twice_filters
 from townwire.llm.common import append_columns, map_slices, stored, texts, with_text
 
 SPACE = b" \t\n\x0b\x0c\r"
-#: Bits of each of the two filters (2^26: 8 MB), the shards they are built in, and hashes per key.
-FILTER_BITS, SHARDS, PROBES = 1 << 26, 64, 2
-#: Distinct hashes that a task gathers before it sends them on.
-FLUSH = 500_000
-
 
 def keys_of(text: str, min_chars: int) -> list[bytes | None]:
     """Per line its key, None where that is too short."""
@@ -52,99 +46,39 @@ def digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def probes(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Places of each hash in a shard of so many bits; the shard itself is in the top bits."""
-    low, high = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(26)) & np.uint64(0xFFFFFFFF) | np.uint64(1)
-    return ((low[None, :] + np.arange(PROBES, dtype=np.uint64)[:, None] * high[None, :]) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return (hashes >> np.uint64(58)).astype(np.int64) % shards
+def hashes(keys: list[bytes]) -> np.ndarray:
+    import xxhash
 
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
 
-def twice_filters(docs: DataFrame, min_chars: int, bits: int, shards: int) -> list[bytes | None]:
-    """The second filter, by shard, as packed bits: a bounded result however large the input."""
 
-    def hashes(slices) -> Iterator[dict]:
-        import xxhash
+def distinct_keys(doc_id: int | None, text: str, min_chars: int) -> list[bytes]:
+    return [] if doc_id is None else list({k for k in keys_of(text, min_chars) if k})
 
-        def flush(found: list[int]) -> Iterator[dict]:
-            values, n = np.unique(np.array(found, np.uint64), return_counts=True)
-            shard = shard_of(values, shards)
-            order = np.argsort(shard, kind="stable")
-            values, n, shard = values[order], n[order], shard[order]
-            at = np.searchsorted(shard, np.arange(shards + 1))
-            own = [i for i in range(shards) if at[i] < at[i + 1]]
-            yield {"shard": own, "once": [values[at[i] : at[i + 1]].tobytes() for i in own], "twice": [values[at[i] : at[i + 1]][n[at[i] : at[i + 1]] > 1].tobytes() for i in own]}
 
-        found: list[int] = []
-        for x in slices:
-            for doc_id, text in zip(x["doc_id"], x["text"]):
-                if doc_id is not None:
-                    found += [xxhash.xxh3_64_intdigest(k) for k in {k for k in keys_of(text, min_chars) if k}]
-            if len(found) >= FLUSH:
-                yield from flush(found)
-                found = []
-        if found:
-            yield from flush(found)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = bits // shards
-        once: dict[int, np.ndarray] = {}
-        twice: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                a = once.setdefault(row["shard"], np.zeros(size, bool))
-                b = twice.setdefault(row["shard"], np.zeros(size, bool))
-                at = probes(np.frombuffer(row["once"], np.uint64), size)
-                seen = a[at].all(axis=0)
-                b[at[:, seen].ravel()] = True
-                a[at.ravel()] = True
-                b[probes(np.frombuffer(row["twice"], np.uint64), size).ravel()] = True
-        if twice:
-            yield pa.RecordBatch.from_arrays([pa.array(list(twice), pa.int32()), pa.array([np.packbits(x).tobytes() for x in twice.values()], pa.binary())], names=["shard", "filter"])
-
-    sent = map_slices(texts(docs), hashes, "shard int, once binary, twice binary")
-    built = sent.repartition(shards, "shard").mapInArrow(build, "shard int, filter binary")
-    out: list[bytes | None] = [None] * shards
-    for row in built.collect():  # at most `bits` bits
-        out[row["shard"]] = row["filter"]
-    return out
-
-
-def suspects(docs: DataFrame, filters: list[bytes | None], min_chars: int, bits: int, shards: int) -> DataFrame:
+def suspects(docs: DataFrame, min_chars: int, bits: int) -> DataFrame:
     """(key, doc_id) of the distinct keys of each document that may be repeated."""
-    sent = docs.sparkSession.sparkContext.broadcast(filters)
+    filters = twice_filters(texts(docs), lambda x: [hashes(distinct_keys(d, t, min_chars)) for d, t in zip(x["doc_id"], x["text"])], bits)
+    sent = docs.sparkSession.sparkContext.broadcast(filters)  # a fixed number of bits
 
     def run(slices):
-        import xxhash
-
-        size = bits // shards
-        packed = [None if f is None else np.frombuffer(f, np.uint8) for f in sent.value]
+        twice = Twice(sent.value, bits)
         for x in slices:
             keys, ids = [], []
             for doc_id, text in zip(x["doc_id"], x["text"]):
-                if doc_id is not None:
-                    own = {k for k in keys_of(text, min_chars) if k}
-                    keys += own
-                    ids += [doc_id] * len(own)
-            if not keys:
-                continue
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
-            shard, at, hit = shard_of(h, shards), probes(h, size), np.zeros(len(h), bool)
-            for s in np.unique(shard):
-                if packed[s] is not None:
-                    i = np.flatnonzero(shard == s)
-                    p = at[:, i]
-                    hit[i] = (packed[s][p >> 3] >> (7 - (p & 7)) & 1).all(axis=0)
-            yield {"key": [digest(keys[i]) for i in np.flatnonzero(hit)], "doc_id": [ids[i] for i in np.flatnonzero(hit)]}
+                own = distinct_keys(doc_id, text, min_chars)
+                keys += own
+                ids += [doc_id] * len(own)
+            if keys:
+                hit = np.flatnonzero(twice.test(hashes(keys)))
+                yield {"key": [digest(keys[i]) for i in hit], "doc_id": [ids[i] for i in hit]}
 
     return map_slices(texts(docs), run, "key binary, doc_id long")
 
 
-def lost_keys(docs: DataFrame, min_chars: int, min_docs: int, bits: int = FILTER_BITS, shards: int = SHARDS) -> DataFrame:
+def lost_keys(docs: DataFrame, min_chars: int, min_docs: int, bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, keys) of the documents that lose lines."""
-    found = stored(suspects(docs, twice_filters(docs, min_chars, bits, shards), min_chars, bits, shards), "suspects")
+    found = stored(suspects(docs, min_chars, bits), "suspects")
     # in two steps, as a document may come in several rows: pairs first, then documents per key
     repeated = found.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("kept")).filter(F.col("n") >= min_docs)
     return found.join(repeated, "key").filter("doc_id <> kept").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))

@@ -8,8 +8,11 @@
 3. Each shard builds FM-indexes over the runs of its minimisers and streams the same runs
    against them: backward search over the wavelet matrix gives matching statistics, which
    report the windows that occur twice. A run that has equals is reported as a whole.
-   Minimisers with more than ``SHARD_RUNS`` different runs don't fit one index; their windows
-   are counted exactly by digest instead, in as many tasks as there are windows.
+   Minimisers with more than ``SHARD_RUNS`` different runs don't fit one index. Mostly these
+   are runs around one common passage that differ in what stands beside it, so they are
+   trimmed first to windows that two Bloom filters suspect to occur twice, and copies of
+   what is left go on as one. What is still crowded then is counted exactly, by digests of
+   its windows.
 4. What is reported goes back to the documents, which drop the words it covers.
 
 Windows are judged on the input. Defined cases: a null text has no words; texts under one
@@ -27,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from townwire.llm.bloom import Twice, twice_filters
 from townwire.llm.common import append_columns, map_slices, stored, texts, with_text
 
 WINDOW, GRAM = 35, 8
@@ -147,8 +151,50 @@ def indexed(runs: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(search, "mini long, run long, from int, to int")
 
 
+def window_hashes(words: list[bytes], powers: tuple[np.ndarray, np.ndarray], window: int) -> np.ndarray:
+    import xxhash
+
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers[0][: len(h)], dtype=np.uint64)])
+    return mix((sums[window:] - sums[:-window]) * powers[1][: len(h) - window + 1])
+
+
+def trimmed(crowded: DataFrame, window: int) -> DataFrame:
+    """Runs cut down to their suspected windows: (mini, run, times, offset, n, words)."""
+    powers = powers_up_to(4 * window)  # a run has fewer words than two windows
+
+    def all_hashes(x: dict) -> list[np.ndarray]:
+        return [np.repeat(window_hashes(w.split(), powers, window), min(t, 2)) for w, t in zip(x["words"], x["times"])]
+
+    sent = crowded.sparkSession.sparkContext.broadcast(twice_filters(crowded.select("words", "times"), all_hashes))  # a fixed number of bits
+
+    def run(slices):
+        twice = Twice(sent.value)
+        for x in slices:
+            out = {k: [] for k in ("mini", "run", "times", "offset", "n", "words")}
+            for mini, own, times, text in zip(x["mini"], x["run"], x["times"], x["words"]):
+                words = text.split()
+                steps = np.diff(np.concatenate([[0], twice.test(window_hashes(words, powers, window)), [0]]).astype(np.int8))
+                for a, b in zip(np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)):
+                    for k, v in zip(out, (mini, own, times, a, b - a, b" ".join(words[a : b + window - 1]))):
+                        out[k].append(v)
+            yield out
+
+    return map_slices(crowded.select("mini", "run", "times", "words"), run, "mini long, run long, times long, offset int, n int, words binary")
+
+
+def recounted(crowded: DataFrame, window: int) -> DataFrame:
+    """What indexed() gives, for crowded minimisers."""
+    parts = stored(trimmed(crowded, window).withColumn("part", F.xxhash64("words", "n")), "trimmed")
+    kinds = parts.groupBy("mini", "part").agg(F.sum("times").alias("times"), F.min("n").alias("n"), F.min("words").alias("words"))
+    still = kinds.groupBy("mini").agg((F.count("*") > SHARD_RUNS).alias("crowded")).filter("crowded")
+    kinds = stored(kinds.join(still, "mini", "left").select("mini", F.col("part").alias("run"), "times", "n", F.coalesce("crowded", F.lit(False)).alias("crowded"), "words"), "trimmed-kinds")
+    hits = indexed(kinds, window).unionByName(counted(kinds, window)).withColumnRenamed("run", "part")
+    return parts.select("mini", "part", "run", "offset").join(hits, ["mini", "part"]).select("mini", "run", (F.col("offset") + F.col("from")).alias("from"), (F.col("offset") + F.col("to")).alias("to"))
+
+
 def counted(runs: DataFrame, window: int) -> DataFrame:
-    """The same for crowded minimisers, by counting the digests of their windows."""
+    """The same for minimisers that stay crowded, by counting the digests of their windows."""
 
     def run(slices):
         import hashlib
@@ -178,7 +224,9 @@ def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     crowded = kinds.groupBy("mini").agg((F.count("*") > SHARD_RUNS).alias("crowded")).filter("crowded")
     chosen = kinds.join(crowded, "mini", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
     words = stored(with_words(rows, chosen, window), "words")
-    hits = indexed(words, window).unionByName(counted(words, window))
+    hits = indexed(words, window)
+    if not (crowded := words.filter("crowded")).isEmpty():
+        hits = hits.unionByName(recounted(crowded, window))
     spans = runs.join(hits, ["mini", "run"]).select("row", F.struct((F.col("first") + F.col("from")).alias("a"), (F.col("first") + F.col("to")).alias("b")).alias("span"))
     return spans.groupBy("row").agg(F.collect_set("span").alias("spans"))
 
