@@ -75,6 +75,21 @@ def release(spark: SparkSession, scopes: Iterable[str], still_read: DataFrame) -
             _MADE.remove((scope_, path))
 
 
+#: A key is hot with more than one in so many of all rows, so there are fewer hot keys than this.
+HOT_SHARE = 2_000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with a table of one row per key, whose column n adds up to total at most.
+
+    Hot keys are broadcast (fewer than HOT_SHARE rows, by their counts), so their rows stay
+    where they are; all others are shuffled.
+    """
+    hot = F.broadcast(counted.filter(F.col(n) > total / HOT_SHARE))
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(counted.filter(F.col(n) <= total / HOT_SHARE), key))
+
+
 def map_slices(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:
     """mapInArrow over small slices: fn takes an iterator of {column: list} and yields {column: list or array}."""
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from townwire.llm.bloom import Twice, twice_filters
-from townwire.llm.common import append_columns, map_slices, stored, texts, with_text
+from townwire.llm.common import append_columns, join_counted, map_slices, stored, texts, with_text
 
 WINDOW, GRAM = 35, 8
 #: Different runs of one minimiser that go to an index, and words that one index takes.
@@ -217,8 +217,8 @@ def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(row, spans) of rows with words to remove; a span is its first window and its last."""
     rows = keyed(docs)
     runs = stored(all_runs(rows, window), "runs")
-    repeated = runs.groupBy("mini").agg(F.count("*").alias("all")).filter("all > 1").select("mini")
-    runs = stored(runs.join(repeated, "mini"), "suspects")
+    repeated = stored(runs.groupBy("mini").agg(F.count("*").alias("all")).filter("all > 1"), "repeated")
+    runs = stored(join_counted(runs, repeated, "mini", "all", runs.count()).drop("all"), "suspects")
     kinds = runs.groupBy("mini", "run").agg(F.count("*").alias("times"), F.min(F.struct("row", "first", "n")).alias("at")).select("mini", "run", "times", "at.*")
     kinds = stored(kinds, "kinds")
     crowded = kinds.groupBy("mini").agg((F.count("*") > SHARD_RUNS).alias("crowded")).filter("crowded")
