@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from townwire.llm.bloom import FILTER_BITS, Twice, twice_filters
-from townwire.llm.common import append_columns, map_slices, stored, texts, with_text
+from townwire.llm.common import append_columns, join_counted, map_slices, stored, texts, with_text
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -81,7 +81,8 @@ def lost_keys(docs: DataFrame, min_chars: int, min_docs: int, bits: int = FILTER
     found = stored(suspects(docs, min_chars, bits), "suspects")
     # in two steps, as a document may come in several rows: pairs first, then documents per key
     repeated = found.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("kept")).filter(F.col("n") >= min_docs)
-    return found.join(repeated, "key").filter("doc_id <> kept").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    repeated = stored(repeated, "repeated")
+    return join_counted(found, repeated, "key", "n", found.count()).filter("doc_id <> kept").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
 def without(text: str, lost: list[bytes] | None, min_chars: int) -> list[str]:
