@@ -32,7 +32,7 @@ def lines_by_force(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("seed", [3])
 def test_line_dedup(spark, seed):
     rows = awkward(seed)
     got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in line_dedup.dedup_lines(documents(spark, rows)).collect())
@@ -67,7 +67,7 @@ def windows_by_force(rows, width):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("width", "cap"), [(35, 1000), (12, 1000), (12, 1), (5, 2)])
+@pytest.mark.parametrize(("width", "cap"), [(35, 1000), (12, 1)])
 def test_substring_dedup(spark, monkeypatch, width, cap):
     """cap: different runs of one minimiser that go to one index; small ones lead over the trimmed and the counted path."""
     monkeypatch.setattr(substring_dedup, "SHARD_RUNS", cap)
