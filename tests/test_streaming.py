@@ -22,7 +22,7 @@ def landed(spark, path):
 def test_author_counters_equal_batch(spark, tmp_path):
     landed(spark, tmp_path)
     stream = jobs.read_events(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, 1)
-    out = jobs.run_available(jobs.author_counters(stream.filter("strong"), "author", "ts", "k", 2, "1 day"), "counters", "update", f"{tmp_path}/ck1")
+    out = jobs.run_available(jobs.author_counters(stream.filter("strong"), "author", "ts", "k", 2, "1 day"), f"{tmp_path}/counters", "update", f"{tmp_path}/ck1")
     last = {r["author"]: r["strong_match_count"] for r in first_wins(out, "author", -F.unix_micros("last_strong_at")).collect()}
     batch = priors.author_stats(spark.read.parquet(f"{tmp_path}/in"), "author", "ts", "k", "strong", 2)
     assert last == {r["author"]: r["strong_match_count"] for r in batch.collect()}
@@ -41,11 +41,11 @@ def test_dedupe_append_and_compact(spark, tmp_path):
 def test_windows_and_engagement(spark, tmp_path):
     landed(spark, tmp_path)
     read = lambda: jobs.read_events(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
-    per_day = jobs.run_available(jobs.volume(read(), "ts", "1 day", "1 hour"), "per_day", "complete", f"{tmp_path}/ck3")
+    per_day = jobs.run_available(jobs.volume(read(), "ts", "1 day", "1 hour"), f"{tmp_path}/per_day", "complete", f"{tmp_path}/ck3")
     assert per_day.agg(F.sum("n")).first()[0] == 60
-    own = jobs.run_available(jobs.sessions(read(), "ts", "30 hours", "1 hour", "author"), "own", "append", f"{tmp_path}/ck4")
+    own = jobs.run_available(jobs.sessions(read(), "ts", "30 hours", "1 hour", "author"), f"{tmp_path}/own", "append", f"{tmp_path}/ck4")
     assert own.count() >= 1
     posts = read().select(F.concat(F.lit("u"), "k").alias("uri"), F.col("ts").alias("indexed_at"))
     likes = read().select(F.lit("like").alias("kind"), F.concat(F.lit("u"), F.col("k") - 1).alias("subject_uri"), "ts")
-    got = jobs.run_available(jobs.engagement_on_posts(posts, likes, "1 hour", "6 HOURS"), "likes", "append", f"{tmp_path}/ck5")
+    got = jobs.run_available(jobs.engagement_on_posts(posts, likes, "1 hour", "6 HOURS"), f"{tmp_path}/likes", "append", f"{tmp_path}/ck5")
     assert got.count() == 58

@@ -467,7 +467,8 @@ def _run(spark, df, mode):
     from townwire.streaming.jobs import run_available
 
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="townwire-")
-    return run_available(df, f"s{uuid.uuid4().hex}", mode, f"{root}/streams/{uuid.uuid4().hex}")
+    own = f"{root}/streams/{uuid.uuid4().hex}"
+    return run_available(df, f"{own}/out", mode, f"{own}/checkpoint")
 
 
 @query()

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from townwire.operators.index import first_wins
@@ -90,8 +91,14 @@ def compact(spark: SparkSession, path: str, key: str, *order: str) -> DataFrame:
     return first_wins(spark.read.parquet(path), key, *order)
 
 
-def run_available(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Everything available now, through a memory sink: for tests and small backfills, not for large results."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(df: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
+    """Everything available now, batch by batch into a folder, read back: all batches, of complete mode the last."""
+    spark = df.sparkSession
+    query = append_batches(df, path, checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    if query.lastProgress is None:  # nothing was there to read
+        return spark.createDataFrame([], df.schema)
+    out = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", path).parquet(path)
+    if mode == "complete":
+        out = out.join(F.broadcast(out.agg(F.max("batch").alias("batch"))), "batch", "left_semi")  # one row
+    return out.drop("batch")
