@@ -89,6 +89,30 @@ def test_template_finds_fixed_text(spark):
     assert html_text.templates(pages(spark, rows[:5]).select("url", "html")).count() == 0
 
 
+def main_texts(spark, rows):
+    return {r["page_id"]: r["text"] for r in html_text.main_text(pages(spark, rows)).collect()}
+
+
+def test_article_keeps_its_fixed_text(spark):
+    listed = PAGE.replace("<li>one {i}<li>two {i}", "<li>one<li>two")
+    got = main_texts(spark, [(i, f"http://a.example/{i}", listed.format(i=i)) for i in range(12)])
+    assert got == {i: f"Title & {i}\n\nFirst bold text line {i}\n\nSecond <{i}>\n\none\n\ntwo" for i in range(12)}
+    headed = "<article><h1>Day {i}</h1><div class=ad>Buy</div><h2>Summary</h2><p>Text {i}</p><h2>References</h2><p>Book {i}</p></article>"
+    got = main_texts(spark, [(i, f"http://b.example/{i}", headed.format(i=i)) for i in range(12)])
+    assert got == {i: f"Day {i}\n\nSummary\n\nText {i}\n\nReferences\n\nBook {i}" for i in range(12)}
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_copies_of_one_article_keep_it(spark, tag):
+    page = "<body><nav>Menu</nav><{tag}><h1>{t}</h1><p>Short one<p>And two<ul><li>a<li>b</ul></{tag}><footer>Foot</footer></body>"
+    want = "{t}\n\nShort one\n\nAnd two\n\na\n\nb"
+    copies = [(i, f"http://c.example/{i}", page.format(tag=tag, t="Same")) for i in range(12)]
+    assert main_texts(spark, copies) == {i: want.format(t="Same") for i in range(12)}
+    others = [(1000 + i, f"http://c.example/o{i}", f"<body><nav>Menu</nav><{tag}><h1>Other {i}</h1><p>Own {i}</{tag}></body>") for i in range(12)]
+    many = [(i, f"http://c.example/{i}", page.format(tag=tag, t="Same")) for i in range(200)]
+    assert main_texts(spark, many + others) == {i: want.format(t="Same") for i in range(200)} | {1000 + i: f"Other {i}\n\nOwn {i}" for i in range(12)}
+
+
 def test_fingerprints(spark):
     rows = awkward(11, 30)
     out = fingerprints.fingerprint_pairs(documents(spark, rows)).collect()

@@ -6,10 +6,14 @@
    they form an equivalence class. Vectors are compared by a hash that adds up page by
    page, so a host with a third of all pages is counted in every task and merged. Classes
    that span most of a host's pages are valid.
+   Pages are counted once per host and own text, so copies of a page under many urls and
+   repeated rows weigh as one page.
 3. Valid classes nest by their paths into the host's template. A text token in the template
    is fixed text, a path token opens a slot. Slots are content or not: paths under menus,
    headers, footers, sidebars, notices, adverts, forms and comments aren't, and outside an
-   article neither are slots that hold mostly links across the host's pages.
+   article neither are slots that hold mostly links across the host's pages. Fixed text is
+   left out outside articles; inside one it is the article's (headings, list items), unless
+   it comes behind all of the article's own text and a page part parts it from that.
 4. A last map extracts the content slots' blocks of every page.
 
 Defined cases: null or empty html gives ''; a page with a null url belongs to the host '';
@@ -144,18 +148,36 @@ def blocks(page: str) -> Iterator[tuple[str, int, str, int]]:
     yield from flush()
 
 
+def own_blocks(found: list[tuple[str, int, str, int]]) -> list[int]:
+    """Where the blocks of the article stand, or without one all that aren't in page parts."""
+    return [i for i, b in enumerate(found) if b[1] == ARTICLE] or [i for i, b in enumerate(found) if b[1] == OTHER]
+
+
+def without_fixed(found: list[tuple[str, int, str, int]], places: list[int], fixed) -> list[int]:
+    """places without an article's closing fixed texts: those behind its last own text and a page part."""
+    last = next((k for k in range(len(places) - 1, -1, -1) if not fixed(found[places[k]])), None)
+    if last is None:
+        return places
+    part = next((i for i in range(places[last], len(found)) if found[i][1] == OUT), len(found))
+    return [i for i in places if i < part]
+
+
 def tokens(pages: DataFrame) -> DataFrame:
-    """Per page and token: how often it occurs, and its path's characters, all and linked. Token 0 stands for the page."""
+    """Per host, own text and token: how often it occurs, and its path's characters, all and linked. Token 0 stands for the page.
+
+    Of the pages of a host that have the same own text, the one with the least hash counts.
+    """
+    lists = {"token": "long", "path": "long", "kind": "int", "times": "long", "chars": "long", "linked": "long"}
 
     def run(slices):
         import xxhash
 
         digest = lambda s: xxhash.xxh3_64_intdigest(s) - (1 << 63)
         for x in slices:
-            out = {k: [] for k in ("host", "token", "path", "kind", "page", "times", "chars", "linked")}
+            out = {k: [] for k in ("host", "body", "page", *lists)}
             for url, source in zip(x["url"], x["html"]):
-                host, found = host_of(url), {0: [0, OUT, 1, 0, 0]}
-                for path, kind, text, linked in blocks(source or ""):
+                read, found = list(blocks(source or "")), {0: [0, OUT, 1, 0, 0]}
+                for path, kind, text, linked in read:
                     p = digest(path)
                     for token, own in ((p, 1), (digest(f"{path}\n{text}"), 0)):
                         if own or text.count(" ") < TEXT_WORDS:
@@ -163,13 +185,14 @@ def tokens(pages: DataFrame) -> DataFrame:
                             one[2] += 1
                             one[3] += own * len(text)
                             one[4] += own * linked
-                page = digest(f"{url}\n{source}")
-                for token, values in found.items():
-                    for k, v in zip(out, (host, token, *values[:2], page, *values[2:])):
-                        out[k].append(v)
+                body = digest("\n".join(read[i][2] for i in own_blocks(read)))
+                for k, v in zip(out, (host_of(url), body, digest(f"{url}\n{source}"), list(found), *map(list, zip(*found.values())))):
+                    out[k].append(v)
             yield out
 
-    return map_slices(pages, run, "host string, token long, path long, kind int, page long, times long, chars long, linked long")
+    each = map_slices(pages, run, "host string, body long, page long, " + ", ".join(f"{k} array<{v}>" for k, v in lists.items()))
+    once = each.groupBy("host", "body").agg(F.min("page").alias("page"), F.min_by(F.struct(*lists), "page").alias("x"))
+    return once.select("host", "page", F.inline(F.arrays_zip(*(F.col(f"x.{k}").alias(k) for k in lists))).alias(*lists))
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -209,10 +232,14 @@ def main_text(pages: DataFrame) -> DataFrame:
             out = []
             for source, fixed, links in zip(x["html"], x["fixed"], x["links"]):
                 fixed, links = set(fixed or ()), set(links or ())
-                kept = [(kind, text) for path, kind, text, linked in blocks(source or "") if kind != OUT and not (kind == OTHER and (digest(path) in links if links else linked > LINKED * len(text))) and not (fixed and digest(f"{path}\n{text}") in fixed)]
-                if any(kind == ARTICLE for kind, _ in kept):
-                    kept = [x for x in kept if x[0] == ARTICLE]
-                out.append("\n\n".join(text for _, text in kept))
+                found = list(blocks(source or ""))
+                is_fixed = lambda b: bool(fixed) and digest(f"{b[0]}\n{b[2]}") in fixed  # noqa: B023, E731
+                places = own_blocks(found)
+                if places and found[places[0]][1] == OTHER:
+                    places = [i for i in places for path, _, text, linked in found[i : i + 1] if not (digest(path) in links if links else linked > LINKED * len(text)) and not is_fixed(found[i])]
+                else:
+                    places = without_fixed(found, places, is_fixed)
+                out.append("\n\n".join(found[i][2] for i in places))
             yield {"page_id": x["page_id"], "url": x["url"], "text": out, "n_chars": [len(t) for t in out]}
 
     return map_slices(joined.select("page_id", "url", "html", "fixed", "links"), run, "page_id long, url string, text string, n_chars long")
