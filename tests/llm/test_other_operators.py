@@ -113,6 +113,24 @@ def test_copies_of_one_article_keep_it(spark, tag):
     assert main_texts(spark, many + others) == {i: want.format(t="Same") for i in range(200)} | {1000 + i: f"Other {i}\n\nOwn {i}" for i in range(12)}
 
 
+LONG = "Thirteen words or more make running text, so this sentence has quite enough of them."
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ('<div style="overflow:hidden"><p>Text</div>', ["Text"]), ('<div aria-hidden="false" data-id="menu"><p>Text</div>', ["Text"]), ('<p>Text<div hidden>No</div><div HIDDEN="">No</div>', ["Text"]),
+    ('<div title="hidden class=ad role=menu"><p>Text</div>', ["Text"]), ("<p>Text<div class='x ad'>No</div><div id=menu>No</div>", ["Text"]),
+    ('<div class="content with-sidebar"><p>Text<div class="sidebar">No</div></div>', ["Text"]),
+    (f'<div id="discussion-page"><article><p>{LONG}<div class="comments"><article><p>No</article></div></article><div class="related"><article><p>No</article></div></div>', [LONG]),
+    (f'<main><h1>Title</h1><div class="search-page"><article><p>{LONG}</article></div></main>', ["Title", LONG]),
+    (f'<article><p>{LONG}</article><div class="related"><article><p>{LONG} No</article></div>', [LONG]),
+    (f'<div><p>{LONG}</div><div class="related"><article><p>No</article></div>', [LONG]),
+    (f'<article><p>Text</article><nav><article><p>{LONG}</article></nav>', ["Text"]),
+])
+def test_attributes_and_marked_wrappers(page, want):
+    found = list(html_text.blocks(f"<html><body>{page}</body></html>"))
+    assert [found[i][2] for i in html_text.own_blocks(found)] == want
+
+
 def test_fingerprints(spark):
     rows = awkward(11, 30)
     out = fingerprints.fingerprint_pairs(documents(spark, rows)).collect()

@@ -49,8 +49,10 @@ NOT_CONTENT_WORDS = frozenset(
 )
 NOT_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-#: Kinds of paths.
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: What such a class begins with says what its element holds or lacks, not what it is.
+HOLDS = re.compile(r"(?:with|has|have|no|without)[-_]")
+#: Kinds of paths; an article below n elements that only a word of their class or id marks has the kind OTHER + n.
 OUT, ARTICLE, OTHER = 0, 1, 2
 #: Share of a host's pages that a valid class spans, the share for fixed text, and the pages a host needs for it.
 VALID, FIXED, LEAST_PAGES = 0.5, 0.9, 10
@@ -65,9 +67,9 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def words_of(attributes: str) -> tuple[str, bool]:
-    """What an element's path token shows of its attributes, and whether they mark it as no content."""
-    shown, out = [], False
+def words_of(attributes: str) -> tuple[str, bool, bool]:
+    """What an element's path token shows of its attributes, whether they mark it as no content, and whether only a word in them does."""
+    shown, out, worded = [], False, False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden":
@@ -76,13 +78,13 @@ def words_of(attributes: str) -> tuple[str, bool]:
             out = out or value in NOT_CONTENT_ROLES
         elif name in ("class", "id"):
             shown.append(f"{name}={re.sub(r'[0-9]+', '0', value)}")
-            out = out or not NOT_CONTENT_WORDS.isdisjoint(re.split(r"[^a-z]+", value))
-    return " ".join(shown), out
+            worded = worded or any(not HOLDS.match(x) and not NOT_CONTENT_WORDS.isdisjoint(re.split(r"[^a-z]+", x)) for x in value.split())
+    return " ".join(shown), out, worded
 
 
 def blocks(page: str) -> Iterator[tuple[str, int, str, int]]:
     """(path, kind, text, linked characters) of the page's blocks in order; text is clean and not empty."""
-    stack: list[tuple[str, str, int]] = [("", "", OTHER)]  # element, path, kind
+    stack: list[tuple[str, str, int, int]] = [("", "", OTHER, 0)]  # element, path, kind, marked elements that an article lifts (-1: none can)
     parts: list[str] = []
     linked = in_link = 0
     at, end = 0, len(page)
@@ -130,13 +132,15 @@ def blocks(page: str) -> Iterator[tuple[str, int, str, int]]:
                     while len(stack) > 1 and stack[-1][0] in CLOSES[tag]:
                         stack.pop()
                 if tag not in VOID and not m[3].rstrip().endswith("/"):
-                    shown, out = words_of(m[3]) if m[3] else ("", False)
-                    _, path, kind = stack[-1]
-                    if out and tag not in ("html", "body") or tag in NOT_CONTENT:
-                        kind = OUT
-                    elif tag in CONTENT and kind != OUT:
-                        kind = ARTICLE
-                    stack.append((tag, f"{path}/{tag} {shown}".rstrip(), kind))
+                    shown, out, worded = words_of(m[3]) if m[3] else ("", False, False)
+                    _, path, kind, marked = stack[-1]
+                    if tag in NOT_CONTENT or out and tag not in ("html", "body"):
+                        kind, marked = OUT, -1
+                    elif worded and tag not in ("html", "body"):
+                        kind, marked = OUT, marked + (marked >= 0)
+                    elif tag in CONTENT and marked >= 0:
+                        kind = OTHER + marked if marked else ARTICLE
+                    stack.append((tag, f"{path}/{tag} {shown}".rstrip(), kind, marked))
         elif tag == "a":
             in_link = max(0, in_link - 1)
         elif tag in BLOCKS:
@@ -149,8 +153,21 @@ def blocks(page: str) -> Iterator[tuple[str, int, str, int]]:
 
 
 def own_blocks(found: list[tuple[str, int, str, int]]) -> list[int]:
-    """Where the blocks of the article stand, or without one all that aren't in page parts."""
-    return [i for i, b in enumerate(found) if b[1] == ARTICLE] or [i for i, b in enumerate(found) if b[1] == OTHER]
+    """Where the blocks of the article stand, or without one all that aren't in page parts.
+
+    An article below marked elements counts where none below fewer of them has running text,
+    and where a page without an article elsewhere hasn't more running text elsewhere.
+    """
+    depth = {b[1]: 0 for b in found if b[1] not in (OUT, OTHER)}
+    for _, kind, text, _ in found:
+        if kind in depth:
+            depth[kind] = max(depth[kind], text.count(" "))
+    most = next((k for k in sorted(depth) if depth[k] >= TEXT_WORDS), min(depth, default=ARTICLE))
+    if depth and ARTICLE not in depth:
+        running = [b for b in found if b[2].count(" ") >= TEXT_WORDS]
+        if sum(len(b[2]) for b in running if b[1] == OTHER) > sum(len(b[2]) for b in running if b[1] in depth):
+            depth.clear()  # most running text stands outside of marked elements
+    return [i for i, b in enumerate(found) if b[1] in depth and b[1] <= most] or [i for i, b in enumerate(found) if b[1] == OTHER]
 
 
 def without_fixed(found: list[tuple[str, int, str, int]], places: list[int], fixed) -> list[int]:
