@@ -131,6 +131,15 @@ def test_attributes_and_marked_wrappers(page, want):
     assert [found[i][2] for i in html_text.own_blocks(found)] == want
 
 
+def test_repeated_rows_change_no_text(spark):
+    page = "<body><div><h2>{t}</h2><p>Text {i}<p>All of these pages say so</div></body>"
+    rows = [(i, f"http://d.example/{i}", page.format(i=i, t="Often" if i % 4 else f"Seldom {i}")) for i in range(20)]
+    few = [(100 + i, f"http://e.example/{i}", page.format(i=i, t="Few")) for i in range(6)]
+    got = main_texts(spark, rows + few)
+    assert got[1] == "Often\n\nText 1" and got[101] == "Few\n\nText 1\n\nAll of these pages say so"
+    assert main_texts(spark, 2 * (rows + few)) == got
+
+
 def test_fingerprints(spark):
     rows = awkward(11, 30)
     out = fingerprints.fingerprint_pairs(documents(spark, rows)).collect()

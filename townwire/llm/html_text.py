@@ -3,8 +3,8 @@
 1. Each page is read into blocks; a block's token is the path of block-level elements above
    it, with their classes and ids. Short texts are tokens too (path and words).
 2. Per host, tokens that occur in the same pages equally often share an occurrence vector:
-   they form an equivalence class. Vectors are compared by a hash that adds up page by
-   page, so a host with a third of all pages is counted in every task and merged. Classes
+   they form an equivalence class. Vectors are compared by a hash whose halves add up page
+   by page (equal parts don't cancel out), so a host with a third of all pages is counted in every task and merged. Classes
    that span most of a host's pages are valid.
    Pages are counted once per host and own text, so copies of a page under many urls and
    repeated rows weigh as one page.
@@ -214,15 +214,16 @@ def tokens(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame) -> DataFrame:
     """Per host: the fixed texts of its template, and the slots outside articles that hold mostly links."""
+    own = F.xxhash64("page", "times")
     counted = tokens(pages).groupBy("host", "token").agg(
         F.first("path").alias("path"), F.first("kind").alias("kind"), F.count("*").alias("pages"),
-        F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
+        *(F.sum(x.bitwiseAND(F.lit(0xFFFFFFFF))).alias(k) for k, x in (("low", own), ("high", F.shiftright(own, 32)))), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
     )
     counted = stored(counted.filter((F.col("pages") >= LEAST_PAGES) | (F.col("token") == 0)), "tokens")
     hosts = counted.filter("token = 0").filter(F.col("pages") >= LEAST_PAGES).select("host", F.col("pages").alias("all"))
     # equivalence classes: tokens of a host with one occurrence vector; valid where they span enough of its pages
     members = counted.filter("token <> 0").join(hosts, "host").filter(F.col("pages") >= VALID * F.col("all"))
-    classes = members.groupBy("host", "vector").agg(
+    classes = members.groupBy("host", "low", "high").agg(
         F.max("all").alias("all"), F.max("pages").alias("pages"), F.collect_set(F.struct("token", "path", "kind", "chars", "linked")).alias("tokens")
     )  # at most 1 / VALID times as many tokens as a page has
     token = F.col("t")
