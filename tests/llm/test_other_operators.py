@@ -224,3 +224,12 @@ def test_toxicity_without_labels(spark):
 ])
 def test_grammar(text, want):
     assert toxicity.Scorer({"grump": 2.0, "grump ": 2.0}).clauses(text) == pytest.approx(want)
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("I will kill you", 4.0), ("matar a ellos", 4.0), ("killing them", 4.0), ("kill. you", 0.0), ("kill a b c you", 4.0), ("kill a b c d you", 0.0), ("you kill you", 4.0),
+    ("kill and murder you", 8.0), ("not kill you", 2.4), ("he said kill you", 4.0 * 0.7), ("not kill you. kill you", 6.4), ("matarte", 4.0), ("no matarte", 2.4), ("kill them!", 4.0),
+    ("grump you", 2.5), ("you grump you", 2.5), ("grump. you", 2.0), ("not grump you", 1.5), ("je vais tuer ton chien", 0.0),
+])
+def test_grammar_looks_both_ways(text, want):
+    assert toxicity.Scorer({"grump": 2.0, "grump ": 2.0}).clauses(text) == pytest.approx(want)

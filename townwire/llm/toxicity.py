@@ -1,12 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words are read as symbols (insult, threat, target, negation, reported speech, end of a
-clause, other). Five small transducers, one per pattern, are composed into one machine that
-reads a document's symbols and scores clauses:
+clause, other). A first transducer reads them backwards and marks the insults and threats
+that a target follows; five small transducers, one per pattern, are composed into one
+machine that reads the marked symbols and scores clauses:
 
 * insult: an insult stem counts with its learned weight;
-* threat: a threat word counts only if a target stands near it;
-* target: an insult near a target counts more;
+* threat: a threat word counts only if a target stands near it, before or behind it in its clause;
+* target: an insult near a target, in either order, counts more;
 * negation: an insult or threat shortly behind a negation counts less;
 * reported speech: so does one in a clause that reports what somebody said.
 
@@ -42,8 +43,17 @@ STARTS = (4, 5, 6)
 TARGETS = frozenset("you your yours yourself u he she him her they them these those people du dich dir euch ihr tu te toi vous ils elles eux tú ti usted ustedes ellos ellas".split())
 NEGATIONS = frozenset("not never no isn't aren't wasn't don't nobody nicht kein keine nie pas jamais nunca jamás".split())
 REPORTS = frozenset("said says say claimed reported called quoted alleged told wrote according sagte sagt behauptete nannte dit disait déclaré dijo dice llamó".split())
-THREATS = frozenset("kill murder hurt beat stab shoot destroy umbringen töten schlagen tuer frapper matar golpear".split())
-INSULT, THREAT, TARGET, NEGATION, REPORT, END, OTHER = range(7)
+THREATS = frozenset(
+    "kill kills killed killing murder murders murdered murdering hurt hurts hurting beat beats beaten beating stab stabs stabbed stabbing shoot shoots shooting shot destroy destroys destroyed destroying "
+    "umbringen umbringe umbringst umbringt umgebracht umzubringen töten töte tötest tötet tötete getötet schlagen schlage schlägst schlägt schlug geschlagen "
+    "tuer tue tues tuent tuez tuons tué tués tuée tuerai tueras tuera tuerons tuerez tueront frapper frappe frappes frappent frappez frappé frapperai frappera frapperont "
+    "matar mato matas mata matamos matan maté mató mataron matado matando mataré matarás matará mataremos matarán golpear golpeo golpeas golpea golpean golpeé golpeó golpeado golpeando golpearé golpeará golpearán".split()
+)
+#: Spanish threats that hold their target.
+AIMED = frozenset(f"{w}{p}" for w in ("matar", "golpear") for p in ("te", "le", "la", "lo", "os", "les", "las", "los"))
+INSULT, THREAT, TARGET, NEGATION, REPORT, END, OTHER, INSULT_AHEAD, THREAT_AHEAD = range(9)
+#: What an insult or threat becomes before a target.
+AHEAD = {INSULT: INSULT_AHEAD, THREAT: THREAT_AHEAD}
 #: Words that a target, a negation or a threat reaches; factors of the patterns; a threat's weight.
 NEAR_TARGET, NEAR_NEGATION = 4, 3
 TARGETED, NEGATED, REPORTED, THREAT_WEIGHT = 1.25, 0.6, 0.7, 4.0
@@ -76,6 +86,8 @@ def counting(trigger: int, reach: int, insult: float, threat: float, otherwise:
             return 0, 1.0, otherwise
         if symbol == trigger:
             return reach, 1.0, 1.0
+        if trigger == TARGET and symbol in (INSULT_AHEAD, THREAT_AHEAD):
+            return max(0, state - 1), insult, threat
         return max(0, state - 1), insult if state else 1.0, threat if state else otherwise
 
     return Transducer(reach + 1, step)
@@ -90,10 +102,16 @@ def reporting() -> Transducer:
     return Transducer(2, step)
 
 
+def backwards() -> list[list[tuple[int, bool]]]:
+    """The machine that reads from the end: [state, symbol] -> next state, whether a target follows near in the clause."""
+    machine = counting(TARGET, NEAR_TARGET, 1.0, 1.0, otherwise=0.0)
+    return [[(step[0], step[2] > 0) for step in (machine.step(s, x) for x in range(9))] for s in range(machine.n)]
+
+
 def grammar() -> np.ndarray:
     """The composed machine as a table: [state, symbol] -> next state, insult factor, threat factor."""
     machine = counting(TARGET, NEAR_TARGET, TARGETED, 1.0, otherwise=0.0).compose(counting(NEGATION, NEAR_NEGATION, NEGATED, NEGATED)).compose(reporting())
-    return np.array([[machine.step(s, x) for x in range(7)] for s in range(machine.n)])
+    return np.array([[machine.step(s, x) for x in range(9)] for s in range(machine.n)])
 
 
 def bare(token: str) -> str:
@@ -110,6 +128,7 @@ class Scorer:
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon, self.table = lexicon, [[tuple(x) for x in row] for row in grammar().tolist()]
+        self.back = backwards()
         self.known: dict[str, tuple[int, float, bool]] = {}
 
     def read(self, token: str) -> tuple[int, float, bool]:
@@ -118,7 +137,7 @@ class Scorer:
         weight = max((self.lexicon[s] for s in stems(word) if s in self.lexicon), default=0.0)
         if weight:
             return INSULT, weight, end
-        for words, symbol in ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
+        for words, symbol in ((THREATS, THREAT), (AIMED, THREAT_AHEAD), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
             if word in words:
                 return symbol, THREAT_WEIGHT, end
         return OTHER, 0.0, end
@@ -133,14 +152,22 @@ class Scorer:
                     known.clear()
                 known[t] = read(t)
         symbols = [known[t] if t in known else read(t) for t in tokens]
-        if not any(x[1] for x in symbols if x[0] <= THREAT):
+        if not any(x[1] for x in symbols if x[0] <= THREAT or x[0] == THREAT_AHEAD):
             return 0.0
+        state, back = 0, self.back
+        for i in range(len(symbols) - 1, -1, -1):
+            symbol, weight, end = symbols[i]
+            if end:
+                state = back[state][END][0]
+            state, follows = back[state][symbol]
+            if follows and symbol in AHEAD:
+                symbols[i] = AHEAD[symbol], weight, end
         total, state, table = 0.0, 0, self.table
         for symbol, weight, end in symbols:
             state, insult, threat = table[int(state)][symbol]
-            if symbol == INSULT:
+            if symbol in (INSULT, INSULT_AHEAD):
                 total += weight * insult
-            elif symbol == THREAT:
+            elif symbol in (THREAT, THREAT_AHEAD):
                 total += weight * threat
             if end:
                 state = table[int(state)][END][0]
