@@ -162,6 +162,14 @@ def test_fingerprints(spark):
     assert single["near_next"] == 1.0 and fingerprints.fingerprint_pairs(documents(spark, [])).count() == 0
 
 
+def test_no_text_of_any_length_is_without_anchor(spark):
+    rng = random.Random(8)
+    rows = [(n, " ".join("".join(rng.choices("abcdefgh", k=3)) for _ in range(n))) for n in range(1, 11) for _ in range(30)]
+    got = spark.createDataFrame(rows, "n int, t string").select("n", "t", fingerprints.anchors(F.col("t")).alias("a")).collect()
+    assert all(r["a"] for r in got) and len({(r["t"], tuple(x >> 24 for x in r["a"])) for r in got}) == len({tuple(x >> 24 for x in r["a"]) for r in got})
+    assert spark.createDataFrame([("",)], "t string").select(fingerprints.anchors(F.col("t"))).first()[0] == []
+
+
 def test_next_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 3)
     rows = [(random.Random(1).randrange(10**12) + k * k, f"text {k}") for k in range(60)] + [(7, "b"), (7, "a")]
