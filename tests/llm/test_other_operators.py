@@ -170,6 +170,20 @@ def test_no_text_of_any_length_is_without_anchor(spark):
     assert spark.createDataFrame([("",)], "t string").select(fingerprints.anchors(F.col("t"))).first()[0] == []
 
 
+def test_likeness_matches_places(spark):
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choices("abcdefghijkl", k=rng.randint(1, 7))) for _ in range(n)]
+    shared = words(300)
+    rows = [(1, " ".join(words(9000) + shared + words(100))), (2, " ".join(words(2000) + shared + words(7000))), (3, " ".join(words(9000)))]
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_pairs(documents(spark, rows)).collect()}
+    assert 0.005 < got[1]["near_next"] < 0.03 and got[2]["near_next"] == 0 and got[3]["near_next"] == 0
+    assert 0.25 < got[1]["near_edited"] < 0.45 and len(got[1]["fingerprint"]) > 6 * 64 * 14
+    at = lambda *places: [(h + 1 << 24) + p for h, p in enumerate(places)]
+    cases = [(at(0, 1, 2, 3), at(5, 6, 7, 8), 1.0), (at(0, 1, 2, 3), at(0, 5, 11, 20), 0.0), (at(0, 1, 2, 3), at(4, 5, 30, 50), 0.5), (at(7), at(3), 1.0), (at(7), at(3, 4), 0.5), ([], [], 1.0), ([], at(1), 0.0)]
+    df = spark.createDataFrame([c[:2] for c in cases], "a array<long>, b array<long>")
+    assert [r[0] for r in df.select(fingerprints.likeness(F.col("a"), F.col("b"))).collect()] == [c[2] for c in cases]
+
+
 def test_next_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 3)
     rows = [(random.Random(1).randrange(10**12) + k * k, f"text {k}") for k in range(60)] + [(7, "b"), (7, "a")]
