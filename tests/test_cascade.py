@@ -137,3 +137,12 @@ def test_lexicon(spark):
     narrow = {r["k"]: (r["h"]["entity_id"], r["h"]["surface"]) for r in df.select("k", lex.hit(F.col("t")).alias("h")).filter("h is not null").collect()}
     joined = {r["k"]: (r["entity_id"], r["surface"]) for r in join_hits(df, lex.table(spark), "k", "t").collect()}
     assert narrow == joined == want
+
+
+def test_join_hits_of_any_length(spark):
+    lex = Lexicon.of([{"id": "a", "region": "local", "surfaces": ["st. mary's", "mary"]}, {"id": "b", "region": "other", "surfaces": ["one two three four five six seven", "six"]}])
+    df = spark.createDataFrame([(1, "at st. mary's now"), (2, "one two three four five six seven"), (3, "mary and six"), (4, "none")], "k int, t string")
+    narrow = {r["k"]: (r["h"]["entity_id"], r["h"]["surface"]) for r in df.select("k", lex.hit(F.col("t")).alias("h")).filter("h is not null").collect()}
+    joined = {r["k"]: (r["entity_id"], r["surface"]) for r in join_hits(df, lex.table(spark), "k", "t").collect()}
+    assert joined == narrow == {1: ("a", "st. mary's"), 2: ("b", "one two three four five six seven"), 3: ("a", "mary")}
+    assert join_hits(df, Lexicon(()).table(spark), "k", "t").count() == 0

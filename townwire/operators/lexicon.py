@@ -64,18 +64,21 @@ class Lexicon:
         return spark.createDataFrame([(s.surface, s.entity_id, s.region, i) for i, s in enumerate(self.surfaces)], "surface string, entity_id string, region string, ord int")
 
 
-def join_hits(texts: DataFrame, lexicon: DataFrame, key: str, text: str, longest: int = 4) -> DataFrame:
+def join_hits(texts: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
     """The same for lexicons of any size: token n-grams joined on the surface, then one row per key with its longest hit.
 
-    lexicon: (surface, entity_id, region, ord). Spark broadcasts it where its own size check
+    lexicon: (surface, entity_id, region, ord). The n-grams have all numbers of tokens that its
+    surfaces have, which one aggregate finds. Spark broadcasts it where its own size check
     allows, and shuffles otherwise. Meant for short posts; long texts go
     through ``Lexicon.hit``, which makes no rows.
     """
     tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(0))
-    grams = texts.select(key, F.explode(F.array_distinct(F.flatten(F.transform(F.lit(list(range(1, longest + 1))), lambda n: _grams(tokens, n))))).alias("surface"))
-    spaced = lexicon.withColumn("surface", F.array_join(F.regexp_extract_all("surface", F.lit(TOKEN), F.lit(0)), " ")).withColumn("len", F.length("surface"))
+    parts = F.regexp_extract_all("surface", F.lit(TOKEN), F.lit(0))
+    lengths = sorted(r["n"] for r in lexicon.select(F.size(parts).alias("n")).filter("n > 0").distinct().collect()) or [1]  # as many as there are lengths
+    grams = texts.select(key, F.explode(F.array_distinct(F.flatten(F.transform(F.lit(lengths), lambda n: _grams(tokens, n))))).alias("gram"))
+    spaced = lexicon.withColumn("gram", F.array_join(parts, " ")).withColumn("len", F.length("surface"))
     best = F.max_by(F.struct("entity_id", "region", "surface"), F.struct("len", -F.col("ord")))
-    return grams.join(spaced, "surface").groupBy(key).agg(best.alias("hit")).select(key, "hit.*")
+    return grams.join(spaced, "gram").groupBy(key).agg(best.alias("hit")).select(key, "hit.*")
 
 
 def _grams(tokens: Column, n: Column) -> Column:
