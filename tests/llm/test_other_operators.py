@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -18,18 +20,14 @@ def vectors(spark, rows):
 
 
 def top_by_force(rows, every, k, scale):
-    ints = {}
-    for i, v in rows:
-        if i is not None and v is not None and None not in v and np.isfinite(v).all():
-            x = np.floor(scale * np.asarray(v, np.float32).astype(np.float64)).astype("<i8")
-            if i not in ints or x.tobytes() < ints[i].tobytes():
-                ints[i] = x
-    dot = lambda a, b: sum(int(x) * int(y) for x, y in zip(a, b))
-    out = set()
-    for q in ints:
-        if q % every == 0:
-            best = sorted((-dot(ints[q], ints[c]), c) for c in ints if c != q)[:k]
-            out |= {(q, r, c, -s) for r, (s, c) in enumerate(best, 1)}
+    ints = [(i, [math.floor(Fraction(float(np.float32(x))) * scale) for x in v]) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    long = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    out = Counter()
+    for n, (i, q) in enumerate(ints):
+        if i % every == 0:
+            best = sorted((-dot(q, v), c) for m, (c, v) in enumerate(ints) if m != n)[:k]
+            out.update((i, r, c, long(-s)) for r, (s, c) in enumerate(best, 1))
     return out
 
 
@@ -39,10 +37,25 @@ def test_top_k(spark, dims):
     base = rng.normal(size=(8, dims))
     rows = [(i, (base[i % 8] + (i % 3) * 0.01).tolist()) for i in range(150)]  # many equal vectors
     rows += [(200, None), (201, [None] * dims), (202, [math.nan] * dims), (203, [math.inf] * dims), (204, [1.0]), (205, []), (None, base[0].tolist()), (206, base[0].tolist()), (206, base[0].tolist()), (210, base[1].tolist())]
-    got = {tuple(r) for r in top_k.top_k(vectors(spark, rows), every=10, k=5).collect()}
+    rows += [(206, base[2].tolist()), (20, base[0].tolist()), (20, base[3].tolist())]  # rows that share an id are rows of their own
+    got = Counter(tuple(r) for r in top_k.top_k(vectors(spark, rows), every=10, k=5).collect())
     assert got == top_by_force(rows, 10, 5, 256)
 
 
+def test_top_k_keeps_rows_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.9, 0.0])]
+    assert sorted(tuple(r) for r in top_k.top_k(vectors(spark, rows)).collect()) == [(0, 1, 1, 58880), (0, 2, 1, 32768)]
+
+
+def test_top_k_of_wide_numbers_is_exact(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=6) * 10.0 ** rng.integers(-3, 38)).tolist()) for i in range(60)]
+    rows += [(100, [3e38] * 6), (101, [3e38] * 6), (102, [-3e38] * 6), (103, [2.0**27, 2.0**27]), (104, [2.0**27, 2.0**27])]
+    got = Counter(tuple(r) for r in top_k.top_k(vectors(spark, rows), every=10, k=7).collect())
+    assert got == top_by_force(rows, 10, 7, 256)
+    assert any(abs(r[3]) >= 2**63 - 1 for r in got)
+
+
 def test_top_k_of_few(spark):
     assert top_k.top_k(vectors(spark, [])).count() == 0
     assert {tuple(r) for r in top_k.top_k(vectors(spark, [(0, [1.0]), (1, [2.0])])).collect()} == {(0, 1, 1, 256 * 512)}
@@ -53,7 +66,7 @@ def test_search_block_never_prunes_ties():
     v = rng.integers(-3, 4, (48, 400))
     q = rng.integers(-3, 4, (48, 6))
     ids = np.arange(400)
-    for query, found, scores in top_k.search_block(np.arange(6), q, ids, v, 7):
+    for query, found, scores in top_k.search_block(np.arange(6), q.astype(float), np.full(6, -np.inf), ids, ids, v.astype(float), 7):
         full = q[:, query] @ v
         order = [i for i in np.lexsort((ids, -full)) if i != query][:7]
         assert found.tolist() == order and scores.tolist() == full[order].tolist()

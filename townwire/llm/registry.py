@@ -90,11 +90,11 @@ ORACLES = {
         from marked group by doc_id
     """,
     "op8_exact_top_k": """
-        with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+        with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-        pairs as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
-          from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
-        ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
+        pairs as (select q.r, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+          from v q join v c on q.vec_id % 50 = 0 and q.r <> c.r),
+        ranked as (select *, row_number() over (partition by r order by score desc, vec_id) as rank from pairs)
         select query_id, rank::int as rank, vec_id, score from ranked where rank <= 5
     """,
     "op9_substring_dedup": r"""
