@@ -95,11 +95,91 @@ def test_html_text(spark):
     assert html_text.main_text(pages(spark, [])).count() == 0
 
 
+def template_of(spark, rows):
+    return {r["host"]: r for r in html_text.templates(html_text.parsed(pages(spark, rows))).collect()}
+
+
 def test_template_finds_fixed_text(spark):
     rows = [(i, "http://h.example/", PAGE.format(i=i)) for i in range(12)]
-    t = html_text.templates(pages(spark, rows).select("url", "html")).collect()
-    assert len(t) == 1 and t[0]["host"] == "h.example" and t[0]["fixed"]
-    assert html_text.templates(pages(spark, rows[:5]).select("url", "html")).count() == 0
+    t = template_of(spark, rows)
+    assert list(t) == ["h.example"] and t["h.example"]["fixed"] and t["h.example"]["valid"]
+    assert template_of(spark, rows[:5]) == {}
+
+
+def classes_by_force(rows):
+    """Equivalence classes of one host's pages from whole occurrence vectors: {tokens in order: pages}."""
+    import xxhash
+
+    digest = lambda s: xxhash.xxh3_64_intdigest(s) - (1 << 63)
+    streams = []
+    for h in dict.fromkeys(h for _, _, h in rows):
+        streams.append([digest(x) for path, _, text, *_ in html_text.blocks(h) for x in (path, f"{path}\n{text}")])
+    vectors = {}
+    for t in set().union(*streams):
+        vectors.setdefault(tuple(s.count(t) for s in streams), set()).add(t)
+    found = {}
+    for vector, tokens in vectors.items():
+        n = sum(v > 0 for v in vector)
+        if n >= 0.5 * len(streams) and len(tokens) >= 2:
+            orders = [[t for t in s if t in tokens] for s in streams]
+            first = next(o for o in orders if o)[: len(tokens)]
+            if all(o == first * (len(o) // len(tokens)) for o in orders):
+                found[tuple(first)] = n
+    wider = sorted(found, key=lambda c: (-found[c], -min(c)))
+    out = {}
+    for k, c in enumerate(wider):
+        ok = True
+        for s in streams:
+            at = [i for i, t in enumerate(s) if t in c]
+            for a in range(0, len(at), len(c)):
+                between = s[at[a] : at[a + len(c) - 1]] if at else []
+                ok = ok and not any(t in w for w in wider[:k] for t in between)
+        if ok:
+            out[c] = found[c]
+    return out
+
+
+#: No telling names anywhere: menus, a long notice that all pages hold, records of varying number, an article, teasers.
+PLAIN = """<body><div><p>{menu}</p></div><div><p>By reading on you agree to all of what the long and tiresome rules of this very site say about you and about us.</p></div>
+<div><h2>{t}</h2><p>{a}</p><p>{b}</p>{more}</div><div><p>Latest</p>{teasers}</div><div><p>Contact</p></div>"""
+
+
+def plain_pages(n=14):
+    rng = random.Random(6)
+    word = lambda k: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(k))
+    rows, want = [], {}
+    for i in range(n):
+        own = [f"Title {i}", word(20), word(14), *(word(13) for _ in range(i % 3))]
+        menu = " ".join(f"<a href=/{word(1)}>{word(1)}</a>" for _ in range(4))
+        teasers = "".join(f"<p><a href=/x>{word(3)}</a></p><p>{i}.{k}.</p>" for k in range(i % 4))
+        rows.append((i, f"http://p.example/{i}", PLAIN.format(menu=menu, t=own[0], a=own[1], b=own[2], more="".join(f"<p>{p}</p>" for p in own[3:]), teasers=teasers)))
+        want[i] = own
+    return rows, want
+
+
+def test_classes_match_brute_force(spark):
+    for rows in (plain_pages()[0], [(i, "http://p.example/", PAGE.format(i=i)) for i in range(12)]):
+        (t,) = template_of(spark, rows).values()
+        assert {tuple(c["tokens"]): c["pages"] for c in t["valid"]} == classes_by_force(rows) != {}
+
+
+def test_template_decides_without_names(spark, monkeypatch):
+    """Menus, notices and endings in plain elements go by the template alone; without it they stay."""
+    for names in ("NOT_CONTENT", "NOT_CONTENT_WORDS", "NOT_CONTENT_ROLES", "CONTENT"):
+        monkeypatch.setattr(html_text, names, frozenset())
+    import xxhash
+
+    digest = lambda s: xxhash.xxh3_64_intdigest(s) - (1 << 63)
+    rows, want = plain_pages()
+    row = next(iter(template_of(spark, rows).values()))
+    template = {k: set(row[k]) for k in ("tokens", "menus", "running", "fixed")} | {"main": row["main"]}
+    assert row["main"] == "/body/div"
+    for i, _, h in rows:
+        found = list(html_text.blocks(h))
+        place, words = [digest(b[0]) for b in found], [digest(f"{b[0]}\n{b[2]}") for b in found]
+        texts = lambda t: [found[k][2] for k in html_text.content(found, place, words, t)]  # noqa: B023, E731
+        assert texts(template) == want[i]
+        assert "Contact" in texts(None) and any(x.startswith("By reading on") for x in texts(None))
 
 
 def main_texts(spark, rows):
