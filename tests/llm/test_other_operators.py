@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.clauses import CLAUSES, INSULTS
 from tests.llm.helpers import awkward, documents
 from townwire.llm import fingerprints, html_text, top_k, toxicity
 
@@ -334,17 +335,52 @@ def test_toxicity_without_labels(spark):
 
 
 @pytest.mark.parametrize(("text", "want"), [
-    ("grump", 2.0), ("a tree", 0.0), ("you grump", 2.5), ("not a grump", 1.2), ("not. grump", 2.0), ("he said grump here", 2.0 * 0.7 * 1.25), ("they said nothing. grump", 2.0),
-    ("kill", 0.0), ("kill time. you", 0.0), ("you kill", 4.0), ("not you kill", 2.4), ("GRUMP!", 2.0), ("grumpish", 2.0),
+    ("grump", 2.0), ("a tree", 0.0), ("you grump", 3.0), ("not a grump", 0.5), ("not. grump", 2.0), ("he said grump here", 0.75), ("grump here, he said", 0.75), ("they said nothing. grump", 2.0), ("said nothing\ngrump", 2.0),
+    ("kill", 0.0), ("kill time. you", 0.0), ("you kill", 4.0), ("not you kill", 1.0), ("GRUMP!", 2.0), ("grumpish", 2.0), ("grump.*** grump", 4.0),
+    ("grump grump", 3.0), ("grump grump grump grump grump grump", 4.0 * (1 - 0.5**6)), ("grump. grump", 4.0), ("killed you", 0.0),
 ])
 def test_grammar(text, want):
-    assert toxicity.Scorer({"grump": 2.0, "grump ": 2.0}).clauses(text) == pytest.approx(want)
+    assert toxicity.Scorer({"grump": 2.0, "grump ": 2.0}, 4.0).clauses(text) == pytest.approx(want)
 
 
 @pytest.mark.parametrize(("text", "want"), [
-    ("I will kill you", 4.0), ("matar a ellos", 4.0), ("killing them", 4.0), ("kill. you", 0.0), ("kill a b c you", 4.0), ("kill a b c d you", 0.0), ("you kill you", 4.0),
-    ("kill and murder you", 8.0), ("not kill you", 2.4), ("he said kill you", 4.0 * 0.7), ("not kill you. kill you", 6.4), ("matarte", 4.0), ("no matarte", 2.4), ("kill them!", 4.0),
-    ("grump you", 2.5), ("you grump you", 2.5), ("grump. you", 2.0), ("not grump you", 1.5), ("je vais tuer ton chien", 0.0),
+    ("I will kill you", 4.0), ("I'll kill you tomorrow.", 4.0), ("we will hurt them", 4.0), ("matar a ellos", 4.0), ("killing them", 4.0), ("kill. you", 0.0), ("kill a b c you", 4.0), ("kill a b c d you", 0.0), ("you kill you", 4.0),
+    ("kill and murder you", 6.0), ("not kill you", 1.0), ("he said kill you", 1.0), ("not kill you. kill you", 5.0), ("matarte", 4.0), ("no matarte", 1.0), ("kill them!", 4.0),
+    ("grump you", 3.0), ("you grump you", 3.0), ("grump. you", 2.0), ("not grump you", 0.75), ("je vais tuer ton chien", 0.0),
 ])
 def test_grammar_looks_both_ways(text, want):
-    assert toxicity.Scorer({"grump": 2.0, "grump ": 2.0}).clauses(text) == pytest.approx(want)
+    assert toxicity.Scorer({"grump": 2.0, "grump ": 2.0}, 4.0).clauses(text) == pytest.approx(want)
+
+
+def accuracy(language, patterns):
+    scorer = toxicity.Scorer(INSULTS, 8.0, patterns)
+    right = [(scorer.clauses(text) >= 5) == bool(toxic) for text, toxic in CLAUSES[language]]
+    return sum(right) / len(right)
+
+
+@pytest.mark.parametrize("language", list(CLAUSES))
+def test_every_pattern_is_needed(language):
+    """In each language all patterns together read the clauses better than without any one of them."""
+    whole = accuracy(language, toxicity.PATTERNS)
+    assert whole >= 0.9
+    for left_out in toxicity.PATTERNS:
+        assert accuracy(language, tuple(p for p in toxicity.PATTERNS if p != left_out)) < whole
+
+
+def test_stems_need_several_words(spark):
+    """A word that toxic documents share is learned whole, so that others which begin alike stay clean; a start that many share is learned as such."""
+    rng = random.Random(5)
+    filler = ["house", "tree", "lamp", "river", "stone"]
+    rows = [(i, " ".join([*rng.choices(filler, k=9), *(["pathetic", f"blargh{i}"] if i % 3 == 0 else [])])) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    lexicon, *rest = toxicity.fit(documents(spark, rows), labels)
+    assert "pathetic " in lexicon and "blargh" in lexicon and not {"path", "pathe", "pathet"} & set(lexicon)
+    scorer = toxicity.Scorer(lexicon, rest[-1])
+    assert scorer.clauses("pathology and a pathway") == 0 and scorer.clauses("blargh77777") > 0
+
+
+def test_words_of_one_text_are_no_sum(spark):
+    """The order of texts by clauses is not that by the sum of their words."""
+    scorer = toxicity.Scorer({"grump ": 2.0})
+    one_clause, quoted, two = "grump grump grump", "she said grump. he said grump. they said grump", "you grump. you grump"
+    assert scorer.clauses(quoted) < scorer.clauses(one_clause) < scorer.clauses(two)

@@ -1,25 +1,32 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words are read as symbols (insult, threat, target, negation, reported speech, end of a
-clause, other). A first transducer reads them backwards and marks the insults and threats
-that a target follows; five small transducers, one per pattern, are composed into one
-machine that reads the marked symbols and scores clauses:
-
-* insult: an insult stem counts with its learned weight;
-* threat: a threat word counts only if a target stands near it, before or behind it in its clause;
-* target: an insult near a target, in either order, counts more;
-* negation: an insult or threat shortly behind a negation counts less;
-* reported speech: so does one in a clause that reports what somebody said.
-
-Insult stems and their weights are learned from labelled rows: whole words and starts of
-words whose documents are labelled toxic far more often than not. Two passes over a bounded
-sample count them (first in toxic documents, then, for stems that are frequent there, in
-the others); a logistic curve over the clause score is fitted to the same sample. Scoring
-is one map over all documents.
+clause, other). Five small transducers are composed into one bimachine: an automaton that
+reads forwards and one that reads backwards, each the composition of its patterns.
+
+* insult: words and stems of the learned lexicon are insults with their learned weight;
+* threat: words of violence are threats;
+* target: a person named near an insult or threat, before or behind it, in its clause;
+* negation: a negation shortly before it;
+* reported speech: the clause reports, before or behind, what somebody said.
+
+What is scored is a clause, by the patterns that it matches and not word by word: the
+heaviest match counts in full, further ones half, a quarter and so on, so that a clause
+never weighs more than twice its heaviest pattern. An insult at a target weighs more than a
+bare insult, the weakest pattern; a threat without a target is none. Negated and reported
+patterns weigh a quarter, so that one doesn't mark a text. A text's score is a logistic
+curve over the sum of its clauses. A threat at a target weighs ``OVER_HALF`` times what
+brings that curve to one half, as labels show too few of them to learn it.
+
+Insults and their weights are learned from labelled rows: whole words whose documents are
+labelled toxic far more often than not, and starts of words where several such words begin
+so and none carries them alone. Two passes over a bounded, stored sample count them (first
+in toxic documents, then, for stems that are frequent there, in the others); the curve is
+fitted to the same sample. Scoring is one map over all documents.
 
 Defined cases: a null or empty text scores what a text without matches scores; repeated
 rows score alike; labels that are null or for unknown documents teach nothing, of several
-for one doc_id the highest counts; without any usable label every text scores 0 unless
+for one doc_id the highest counts; without any usable label every text scores alike unless
 threats match; texts of any length are read whole.
 """
 
@@ -32,86 +39,102 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townwire.llm.common import append_columns, map_slices, texts
+from townwire.llm.common import append_columns, map_slices, stored, texts
 
 #: Labelled rows that the grammar is fitted to (expected number; more are thinned by a hash of doc_id).
 TRAIN_ROWS = 20_000
 #: Stems taken from the first counting pass, stems kept, least documents for one (also as a share of the toxic ones), least log odds.
 CANDIDATES, LEXICON, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 20_000, 2_000, 5, 0.01, 2.5
-#: Lengths of word starts that are tried as stems, besides whole words.
-STARTS = (4, 5, 6)
+#: Lengths of word starts that are tried as stems; the words that must begin so, and the most of a stem's documents that one of them may have.
+STARTS, STEM_WORDS, STEM_SHARE = (4, 5, 6), 3, 0.6
 TARGETS = frozenset("you your yours yourself u he she him her they them these those people du dich dir euch ihr tu te toi vous ils elles eux tú ti usted ustedes ellos ellas".split())
 NEGATIONS = frozenset("not never no isn't aren't wasn't don't nobody nicht kein keine nie pas jamais nunca jamás".split())
-REPORTS = frozenset("said says say claimed reported called quoted alleged told wrote according sagte sagt behauptete nannte dit disait déclaré dijo dice llamó".split())
+REPORTS = frozenset("said says say claimed reported called quoted alleged told wrote according insulted sagte sagt behauptete nannte dit disait déclaré dijo dice llamó".split())
+#: Words that threaten. Forms that only tell what has happened aren't among them.
 THREATS = frozenset(
-    "kill kills killed killing murder murders murdered murdering hurt hurts hurting beat beats beaten beating stab stabs stabbed stabbing shoot shoots shooting shot destroy destroys destroyed destroying "
-    "umbringen umbringe umbringst umbringt umgebracht umzubringen töten töte tötest tötet tötete getötet schlagen schlage schlägst schlägt schlug geschlagen "
-    "tuer tue tues tuent tuez tuons tué tués tuée tuerai tueras tuera tuerons tuerez tueront frapper frappe frappes frappent frappez frappé frapperai frappera frapperont "
-    "matar mato matas mata matamos matan maté mató mataron matado matando mataré matarás matará mataremos matarán golpear golpeo golpeas golpea golpean golpeé golpeó golpeado golpeando golpearé golpeará golpearán".split()
+    "kill kills killing murder murders murdering hurt hurts hurting beating stab stabs stabbing shoot shoots shooting destroy destroys destroying "
+    "umbringen umbringe umbringst umbringt umzubringen töten töte tötest tötet schlagen schlage schlägst schlägt "
+    "tuer tue tues tuent tuez tuons tuerai tueras tuera tuerons tuerez tueront frapper frappe frappes frappent frappez frapperai frappera frapperont "
+    "matar mato matas mata matamos matan matando mataré matarás matará mataremos matarán golpear golpeo golpeas golpea golpean golpeando golpearé golpeará golpearán".split()
 )
 #: Spanish threats that hold their target.
 AIMED = frozenset(f"{w}{p}" for w in ("matar", "golpear") for p in ("te", "le", "la", "lo", "os", "les", "las", "los"))
-INSULT, THREAT, TARGET, NEGATION, REPORT, END, OTHER, INSULT_AHEAD, THREAT_AHEAD = range(9)
-#: What an insult or threat becomes before a target.
-AHEAD = {INSULT: INSULT_AHEAD, THREAT: THREAT_AHEAD}
-#: Words that a target, a negation or a threat reaches; factors of the patterns; a threat's weight.
-NEAR_TARGET, NEAR_NEGATION = 4, 3
-TARGETED, NEGATED, REPORTED, THREAT_WEIGHT = 1.25, 0.6, 0.7, 4.0
+INSULT, THREAT, TARGET, NEGATION, REPORT, END, OTHER, AIMED_THREAT = range(8)
+#: Words that a target and a negation reach.
+NEAR_TARGET, NEAR_NEGATION = 4, 4
+#: What the patterns note about an insult or threat.
+TARGETED, NEGATED, REPORTED = 1, 2, 4
+#: Factor of an insult at a target; of what is negated or reported; of each further match in a clause.
+AT_TARGET, WEAKENED, FURTHER = 1.5, 0.25, 0.5
+#: A threat's weight while the curve isn't known, and as a multiple of what brings it to one half.
+THREAT_WEIGHT, OVER_HALF = 6.0, 1.25
+PATTERNS = ("insult", "threat", "target", "negation", "report")
 ENDS = frozenset(".!?;:")
-MARKS = "\"'“”‘’«»()[]{}<>.,;:!?…-–—*_~#%&$"
+MARKS = "¡¿\"'“”‘’«»()[]{}<>.,;:!?…-–—*_~#%&$"
 
 
 class Transducer:
-    """States 0..n-1 from 0 on; step(state, symbol) gives the next state and a factor for an insult, another for a threat."""
+    """States 0..n-1 from 0 on; step(state, symbol) gives the next state and the notes on the symbol."""
 
     def __init__(self, n: int, step):
         self.n, self.step = n, step
 
     def compose(self, other: Transducer) -> Transducer:
-        """Both read the same symbols; their factors multiply."""
+        """Both read the same symbols; the notes of both hold."""
 
         def step(state: int, symbol: int):
-            a, x, y = self.step(state // other.n, symbol)
-            b, z, w = other.step(state % other.n, symbol)
-            return a * other.n + b, x * z, y * w
+            a, x = self.step(state // other.n, symbol)
+            b, y = other.step(state % other.n, symbol)
+            return a * other.n + b, x | y
 
         return Transducer(self.n * other.n, step)
 
+    def table(self) -> list[list[tuple[int, int]]]:
+        return [[self.step(s, x) for x in range(8)] for s in range(self.n)]
 
-def counting(trigger: int, reach: int, insult: float, threat: float, otherwise: float = 1.0) -> Transducer:
-    """Within reach words behind a trigger (and its clause) insults and threats get factors; elsewhere a threat gets otherwise."""
+
+def within(trigger: int, reach: int, note: int) -> Transducer:
+    """Notes the symbols within reach words behind a trigger in its clause."""
 
     def step(state: int, symbol: int):
         if symbol == END:
-            return 0, 1.0, otherwise
+            return 0, 0
         if symbol == trigger:
-            return reach, 1.0, 1.0
-        if trigger == TARGET and symbol in (INSULT_AHEAD, THREAT_AHEAD):
-            return max(0, state - 1), insult, threat
-        return max(0, state - 1), insult if state else 1.0, threat if state else otherwise
+            return reach, 0
+        return max(0, state - 1), note if state else 0
 
     return Transducer(reach + 1, step)
 
 
-def reporting() -> Transducer:
-    """From a reporting word to the end of the clause."""
+def clause(trigger: int, note: int) -> Transducer:
+    """Notes all symbols from a trigger to the end of its clause."""
+    return Transducer(2, lambda state, symbol: (0 if symbol == END else 1 if symbol == trigger else state, note if state and symbol != END else 0))
 
-    def step(state: int, symbol: int):
-        return (0 if symbol == END else 1 if symbol == REPORT else state), (REPORTED if state else 1.0), (REPORTED if state else 1.0)
 
-    return Transducer(2, step)
+def aimed() -> Transducer:
+    """Notes threats that hold their target."""
+    return Transducer(1, lambda state, symbol: (0, TARGETED if symbol == AIMED_THREAT else 0))
 
 
-def backwards() -> list[list[tuple[int, bool]]]:
-    """The machine that reads from the end: [state, symbol] -> next state, whether a target follows near in the clause."""
-    machine = counting(TARGET, NEAR_TARGET, 1.0, 1.0, otherwise=0.0)
-    return [[(step[0], step[2] > 0) for step in (machine.step(s, x) for x in range(9))] for s in range(machine.n)]
+def grammar(patterns: tuple[str, ...] = PATTERNS) -> tuple[list, list]:
+    """The composed machines that read forwards and backwards: [state][symbol] -> next state, notes."""
+    forwards = backwards = Transducer(1, lambda state, symbol: (0, 0))
+    if "target" in patterns:
+        forwards, backwards = forwards.compose(within(TARGET, NEAR_TARGET, TARGETED)).compose(aimed()), backwards.compose(within(TARGET, NEAR_TARGET, TARGETED))
+    if "negation" in patterns:
+        forwards = forwards.compose(within(NEGATION, NEAR_NEGATION, NEGATED))
+    if "report" in patterns:
+        forwards, backwards = forwards.compose(clause(REPORT, REPORTED)), backwards.compose(clause(REPORT, REPORTED))
+    return forwards.table(), backwards.table()
 
 
-def grammar() -> np.ndarray:
-    """The composed machine as a table: [state, symbol] -> next state, insult factor, threat factor."""
-    machine = counting(TARGET, NEAR_TARGET, TARGETED, 1.0, otherwise=0.0).compose(counting(NEGATION, NEAR_NEGATION, NEGATED, NEGATED)).compose(reporting())
-    return np.array([[machine.step(s, x) for x in range(9)] for s in range(machine.n)])
+def pattern_weight(symbol: int, weight: float, notes: int) -> float:
+    """What a matched pattern weighs."""
+    if symbol == INSULT:
+        weight *= AT_TARGET if notes & TARGETED else 1.0
+    elif not notes & TARGETED:
+        return 0.0
+    return weight * WEAKENED if notes & (NEGATED | REPORTED) else weight
 
 
 def bare(token: str) -> str:
@@ -124,27 +147,26 @@ def stems(word: str) -> list[str]:
 
 
 class Scorer:
-    """Reads documents with the composed machine."""
-
-    def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.table = lexicon, [[tuple(x) for x in row] for row in grammar().tolist()]
-        self.back = backwards()
+    """Reads documents with the composed machines."""
+
+    def __init__(self, lexicon: dict[str, float], threat: float = THREAT_WEIGHT, patterns: tuple[str, ...] = PATTERNS):
+        self.lexicon = lexicon if "insult" in patterns else {}
+        self.forwards, self.backwards = grammar(patterns)
+        self.words = {w: (TARGET, 0.0) for w in TARGETS} | {w: (NEGATION, 0.0) for w in NEGATIONS} | {w: (REPORT, 0.0) for w in REPORTS}
+        if "threat" in patterns:
+            self.words |= {w: (THREAT, threat) for w in THREATS} | {w: (AIMED_THREAT, threat) for w in AIMED}
         self.known: dict[str, tuple[int, float, bool]] = {}
 
     def read(self, token: str) -> tuple[int, float, bool]:
         """A token's symbol, its weight, and whether a clause ends with it."""
-        word, end = bare(token), token[-1] in ENDS
+        word = bare(token)
         weight = max((self.lexicon[s] for s in stems(word) if s in self.lexicon), default=0.0)
-        if weight:
-            return INSULT, weight, end
-        for words, symbol in ((THREATS, THREAT), (AIMED, THREAT_AHEAD), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
-            if word in words:
-                return symbol, THREAT_WEIGHT, end
-        return OTHER, 0.0, end
+        symbol, weight = (INSULT, weight) if weight else self.words.get(word, (OTHER, 0.0))
+        return symbol, weight, not ENDS.isdisjoint(token[len(token.rstrip(MARKS)) :])
 
     def clauses(self, text: str) -> float:
         """The sum of the scores of matched clauses."""
-        tokens = text.lower().split()
+        tokens = text.lower().replace("\n", " . ").split()
         known, read = self.known, self.read
         for t in set(tokens):
             if t not in known:
@@ -152,27 +174,28 @@ class Scorer:
                     known.clear()
                 known[t] = read(t)
         symbols = [known[t] if t in known else read(t) for t in tokens]
-        if not any(x[1] for x in symbols if x[0] <= THREAT or x[0] == THREAT_AHEAD):
-            return 0.0
-        state, back = 0, self.back
-        for i in range(len(symbols) - 1, -1, -1):
-            symbol, weight, end = symbols[i]
-            if end:
-                state = back[state][END][0]
-            state, follows = back[state][symbol]
-            if follows and symbol in AHEAD:
-                symbols[i] = AHEAD[symbol], weight, end
-        total, state, table = 0.0, 0, self.table
-        for symbol, weight, end in symbols:
-            state, insult, threat = table[int(state)][symbol]
-            if symbol in (INSULT, INSULT_AHEAD):
-                total += weight * insult
-            elif symbol in (THREAT, THREAT_AHEAD):
-                total += weight * threat
-            if end:
-                state = table[int(state)][END][0]
+        total, begin, live = 0.0, 0, False
+        for i, (_, weight, end) in enumerate(symbols):
+            live = live or weight > 0
+            if end or i == len(symbols) - 1:
+                if live:
+                    total += self.clause(symbols[begin : i + 1])
+                begin, live = i + 1, False
         return total
 
+    def clause(self, symbols: list[tuple[int, float, bool]]) -> float:
+        """The patterns that one clause matches, the heaviest in full and further ones less and less."""
+        behind, state = [], 0
+        for symbol, _, _ in reversed(symbols):
+            state, notes = self.backwards[state][symbol]
+            behind.append(notes)
+        matched, state = [], 0
+        for (symbol, weight, _), after in zip(symbols, reversed(behind)):
+            state, notes = self.forwards[state][symbol]
+            if weight:
+                matched.append(pattern_weight(symbol, weight, notes | after))
+        return sum(w * FURTHER**k for k, w in enumerate(sorted(matched, reverse=True)))
+
 
 def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
@@ -187,31 +210,40 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return texts(docs).join(F.broadcast(chosen), "doc_id")  # bounded by `rows`
 
 
-def count_stems(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
-    """(stem, n): in how many of the rows' texts each stem occurs; each task adds its own up first."""
+def count_words(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
+    """(word, n): in how many of the rows' texts each word occurs; each task adds its own up first. only: stems that the word must have."""
 
     def run(slices):
         n: Counter = Counter()
         for x in slices:
             for text in x["text"]:
-                found = {s for w in {bare(t) for t in text.lower().split()} if w for s in stems(w)}
-                n.update(found if only is None else found & only)
+                found = {w for w in {bare(t) for t in text.lower().split()} if w}
+                n.update(found if only is None else [w for w in found if not only.isdisjoint(stems(w))])
             if len(n) > 400_000:
-                yield {"stem": list(n), "n": list(n.values())}
+                yield {"word": list(n), "n": list(n.values())}
                 n.clear()
-        yield {"stem": list(n), "n": list(n.values())}
+        yield {"word": list(n), "n": list(n.values())}
+
+    return map_slices(rows.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
 
-    return map_slices(rows.select("text"), run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+def count_stems(words: DataFrame) -> DataFrame:
+    """(stem, n, kinds, most): documents of the words that begin so (once for each such word), their number, and the documents of the commonest."""
+    word = F.col("word")
+    starts = F.array(F.concat(word, F.lit(" ")), *(F.when(F.char_length(word) > n, F.left(word, F.lit(n))) for n in STARTS))
+    each = words.select(F.explode(F.filter(starts, lambda s: s.isNotNull())).alias("stem"), "n")
+    return each.groupBy("stem").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.max("n").alias("most"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[dict[str, float], float, float]:
-    """The insult lexicon, and slope and offset of the logistic curve."""
-    sample = training_rows(docs, labels, rows)
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[dict[str, float], float, float, float]:
+    """The insult lexicon, slope and offset of the logistic curve, and a threat's weight."""
+    sample = stored(training_rows(docs, labels, rows), "sample")
     toxic, clean = sample.filter("toxic = 1").dropDuplicates(["text"]), sample.filter("toxic = 0")
     n_toxic, n_clean = toxic.count(), clean.count()
-    often = count_stems(toxic).filter(F.col("n") >= max(LEAST_DOCS, LEAST_SHARE * n_toxic)).orderBy(F.desc("n"), "stem").limit(CANDIDATES)
+    productive = F.col("stem").endswith(" ") | ((F.col("kinds") >= STEM_WORDS) & (F.col("most") <= STEM_SHARE * F.col("n")))
+    often = count_stems(count_words(toxic)).filter((F.col("n") >= max(LEAST_DOCS, LEAST_SHARE * n_toxic)) & productive).orderBy(F.desc("n"), "stem").limit(CANDIDATES)
     in_toxic = {r["stem"]: r["n"] for r in often.collect()}
-    in_clean = {r["stem"]: r["n"] for r in count_stems(clean, frozenset(in_toxic)).collect()} if in_toxic else {}
+    in_clean = {r["stem"]: r["n"] for r in count_stems(count_words(clean, frozenset(in_toxic))).filter(F.col("stem").isin(*in_toxic)).collect()} if in_toxic else {}
     odds = {s: math.log((n + 0.5) / (n_toxic + 1)) - math.log((in_clean.get(s, 0) + 0.5) / (n_clean + 1)) for s, n in in_toxic.items()}
     best = sorted((s for s in odds if odds[s] >= LEAST_ODDS), key=lambda s: (-odds[s] * in_toxic[s], s))[:LEXICON]
     lexicon = {s: odds[s] for s in best}
@@ -223,7 +255,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[dic
 
     # equal scores are summed first; at most one row per row of the sample
     points = map_slices(sample.select("text", "toxic"), run, "x double, toxic int").groupBy("x").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).collect()
-    return lexicon, *logistic(np.array([(p["x"], p["n"], p["k"]) for p in points], float).reshape(-1, 3))
+    slope, offset = logistic(np.array([(p["x"], p["n"], p["k"]) for p in points], float).reshape(-1, 3))
+    half = math.expm1(-offset / slope) if slope > 0 and 0 < -offset / slope < 5 else THREAT_WEIGHT / OVER_HALF
+    return lexicon, slope, offset, OVER_HALF * half
 
 
 def logistic(points: np.ndarray) -> tuple[float, float]:
@@ -270,7 +304,7 @@ class scoring:
 
     def __call__(self):
         if self.of is None:
-            lexicon, slope, offset = self.fitted
-            scorer = Scorer(lexicon)
+            lexicon, slope, offset, threat = self.fitted
+            scorer = Scorer(lexicon, threat)
             self.of = lambda batch: [1 / (1 + math.exp(-max(-30.0, min(30.0, slope * math.log1p(scorer.clauses(t)) + offset)))) for t in batch]
         return self.of
