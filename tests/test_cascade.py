@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from townwire.operators import cascade
 from townwire.operators.lexicon import Lexicon, join_hits
 from townwire.operators.linear import LinearModel
-from townwire.operators.rules import Conflict, RulePack, SetConflict
+from townwire.operators.rules import Conflict, RulePack, SetConflict, reading
 
 PACK = RulePack(
     classes={
@@ -124,7 +124,12 @@ def test_against_sequential_reading(spark):
 def test_each_class_is_matched_once_in_the_plan(spark):
     df = spark.createDataFrame([("a",)], "text string")
     plan = cascade.decide(df, PACK, LEXICON)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("horoscope") == 1 and "Exchange" not in cascade.decide(df, PACK, LEXICON)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("horoscope") == 1 and plan.count("split(") == 1 and "Exchange" not in cascade.decide(df, PACK, LEXICON)._jdf.queryExecution().executedPlan().toString()
+
+
+def narrow_hits(df, lex):
+    d, read = reading(df, F.col("t"))
+    return {r["k"]: (r["h"]["entity_id"], r["h"]["surface"]) for r in d.select("k", lex.hit(read).alias("h")).collect() if r["h"]}
 
 
 def test_lexicon(spark):
@@ -134,15 +139,28 @@ def test_lexicon(spark):
     rows = [(1, "one two three four"), (2, "One Two"), (3, "three"), (4, "ones"), (5, "")]
     df = spark.createDataFrame(rows, "k int, t string")
     want = {1: ("b", "two three four"), 2: ("a", "one two"), 3: ("a", "three")}
-    narrow = {r["k"]: (r["h"]["entity_id"], r["h"]["surface"]) for r in df.select("k", lex.hit(F.col("t")).alias("h")).filter("h is not null").collect()}
+    narrow = narrow_hits(df, lex)
     joined = {r["k"]: (r["entity_id"], r["surface"]) for r in join_hits(df, lex.table(spark), "k", "t").collect()}
     assert narrow == joined == want
 
 
+def test_lexicon_of_many_surfaces_reads_alike(spark, monkeypatch):
+    from townwire.operators import lexicon
+
+    rng = random.Random(3)
+    names = ["".join(rng.choices("ab", k=rng.randint(1, 2))) for _ in range(60)]
+    surfaces = list(dict.fromkeys(" ".join(rng.choices(names, k=rng.randint(1, 3))) for _ in range(40)))
+    lex = Lexicon.of([{"id": str(i), "region": "local", "surfaces": [s]} for i, s in enumerate(surfaces)])
+    df = spark.createDataFrame([(i, rng.choice([" ", ", ", " ("]).join(rng.choices(names, k=rng.randint(0, 6)))) for i in range(200)], "k int, t string")
+    few = narrow_hits(df, lex)
+    monkeypatch.setattr(lexicon, "ONE_BY_ONE", 0)
+    assert few == narrow_hits(df, lex) and len(few) > 50
+
+
 def test_join_hits_of_any_length(spark):
     lex = Lexicon.of([{"id": "a", "region": "local", "surfaces": ["st. mary's", "mary"]}, {"id": "b", "region": "other", "surfaces": ["one two three four five six seven", "six"]}])
     df = spark.createDataFrame([(1, "at st. mary's now"), (2, "one two three four five six seven"), (3, "mary and six"), (4, "none")], "k int, t string")
-    narrow = {r["k"]: (r["h"]["entity_id"], r["h"]["surface"]) for r in df.select("k", lex.hit(F.col("t")).alias("h")).filter("h is not null").collect()}
+    narrow = narrow_hits(df, lex)
     joined = {r["k"]: (r["entity_id"], r["surface"]) for r in join_hits(df, lex.table(spark), "k", "t").collect()}
     assert joined == narrow == {1: ("a", "st. mary's"), 2: ("b", "one two three four five six seven"), 3: ("a", "mary")}
     assert join_hits(df, Lexicon(()).table(spark), "k", "t").count() == 0

@@ -124,13 +124,17 @@ def test_evaluation(spark):
 def test_curation(spark):
     raw = spark.createDataFrame([("1", "a", True, None, "low note"), ("2", " ", False, "dev", None), ("3", "c", None, "odd", None)], "id string, text string, expected boolean, split string, note string")
     got = curate.normalize_cases(raw)
-    assert [(r["id"], r["split"], r["bucket"], r["regression"], r["error"]) for r in got.orderBy("id").collect()] == [("1", "dev", "uncategorized", True, None), ("2", "dev", "uncategorized", True, "text is missing"), ("3", "odd", "uncategorized", True, "unknown split odd")]
-    with pytest.raises(Exception, match="text is missing|unknown split odd"):
-        curate.normalize_cases(raw, strict=True).collect()
+    assert [(r["id"], r["split"], r["bucket"], r["regression"], r["error"]) for r in got.orderBy("id").collect()] == [("1", "dev", "uncategorized", True, None), ("2", "dev", "uncategorized", True, None), ("3", "odd", "uncategorized", True, None)]
+    odd = raw.withColumn("expected", F.lit(True))
+    assert [r["error"] for r in curate.normalize_cases(odd).orderBy("id").collect()] == [None, None, "unknown split odd"]
+    with pytest.raises(Exception, match="unknown split odd"):
+        curate.normalize_cases(odd, strict=True).collect()
+    tagged = spark.createDataFrame([("1", "", True, ["en", "", None]), ("2", "", True, []), ("3", "", True, None)], "id string, text string, expected boolean, langs array<string>")
+    assert [r["langs"] for r in curate.normalize_cases(tagged).orderBy("id").collect()] == [["en"], None, None]
     existing = spark.createDataFrame([("1", "old", False)], "id string, text string, expected boolean")
     incoming = spark.createDataFrame([("1", "new", True), ("2", "x", True), ("2", "y", True), ("3", "z", None)], "id string, text string, expected boolean")
     merged, counters = curate.merge_cases(existing, incoming)
-    assert rows(merged, "id", "text") == [("1", "old"), ("2", "x")] and counters.first().asDict() == {"added": 1, "skipped_unlabeled": 1, "skipped_existing": 2}
+    assert rows(merged, "id", "text") == [("1", "old"), ("2", "x")] and counters.first().asDict() == {"added": 1, "skipped_unlabeled": 1, "skipped_existing": 2, "rejected": 0}
     answers = spark.createDataFrame([("1", '```json\n{"expected": true, "rationale": " r ", "confidence": "High"}\n```'), ("2", "no"), ("3", 'x {"expected": "maybe"} y')], "id string, response string")
     p = curate.parse_proposals(answers)
     assert rows(p, "id", "proposed_confidence", "error") == [("1", "high", None), ("2", "medium", "no object"), ("3", "medium", "expected is not a boolean")]
@@ -146,12 +150,12 @@ def test_sets_of_keys(spark):
     listed = spark.createDataFrame([("B", 2), ("b", 1), ("a", 3)], "k string, p int")
     assert rows(curate.ordered_distinct(listed, "k", "p", ignore_case=True), "k", "p") == [("a", 3), ("b", 1)]
     assert rows(curate.newest_per(two, "k", 1, F.desc("v")), "k", "v") == [("b", 2), ("c", 3)]
-    assert rows(curate.resolve_handles(spark.createDataFrame([("X",), ("y",)], "handle string"), spark.createDataFrame([("x", "d1")], "handle string, did string")), "handle", "status") == [("x", "ok"), ("y", "unresolved")]
+    assert rows(curate.resolve_handles(spark.createDataFrame([("X",), ("y",), ("z",)], "handle string"), spark.createDataFrame([("x", "d1"), ("z", "d2"), ("Z", "d3")], "handle string, did string")), "handle", "status") == [("x", "ok"), ("y", "unresolved"), ("z", "ambiguous")]
 
 
 def test_screening(spark):
     posts = [("busy", at(hours=i % 100), f"text {i}") for i in range(150)] + [("same", at(hours=1), "the same words") for _ in range(9)] + [("fine", at(hours=1), "hello")] + [("promo", at(hours=2), "Buy now")]
     df = spark.createDataFrame(posts, "author string, ts timestamp, text string")
     act = screening.activity(df, "author", "ts", "text", F.lit(at(days=5)))
-    got = screening.with_recommendation(screening.with_flags(act.join(screening.pattern_hits(df, "author", "text", {"promo": ("buy now",)}), "author")))
+    got = screening.with_recommendation(screening.with_flags(screening.pattern_hits(act, {"promo": ("buy now",)})))
     assert {r["author"]: (r["flags"], r["recommendation"]) for r in got.collect()} == {"busy": (["high_volume"], "reject"), "same": (["low_diversity"], "review"), "fine": ([], "likely_ok"), "promo": (["slop:promo"], "review")}

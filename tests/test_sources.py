@@ -38,9 +38,9 @@ def test_shed(spark):
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "list.txt").write_text("# head\n A \n\nb # note\nA\n")
-    assert sorted(r["key"] for r in files.read_list(spark, str(tmp_path / "list.txt")).collect()) == ["A", "b"]
-    assert sorted(r["key"] for r in files.read_list(spark, str(tmp_path / "list.txt"), lower=True).collect()) == ["a", "b"]
+    (tmp_path / "list.txt").write_text("# head\n A \n\nb # note\nA\n  # more\n")
+    assert sorted(r["key"] for r in files.read_list(spark, str(tmp_path / "list.txt")).collect()) == ["A", "b # note"]
+    assert sorted(r["key"] for r in files.read_list(spark, str(tmp_path / "list.txt"), lower=True).collect()) == ["a", "b # note"]
     (tmp_path / "cases.jsonl").write_text('{"id": "1", "expected": true}\n\n# note\n{"id": "2"}\n')
     assert sorted((r["id"], r["expected"]) for r in files.read_labelled(spark, str(tmp_path / "cases.jsonl")).collect()) == [("1", True), ("2", None)]
     (tmp_path / "bad.jsonl").write_text('{"id": "1"}\n[2]\n')
@@ -52,7 +52,14 @@ def test_files(spark, tmp_path):
     assert cases.count() == 2
     files.write_jsonl(cases.select("id", "note"), str(tmp_path / "out"))
     assert sorted(json.loads(r["value"])["id"] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["1", "2"] and '"note":null' in spark.read.text(str(tmp_path / "out")).first()["value"]
-    assert files.read_jsonl(spark, str(tmp_path / "cases.jsonl"), files.CASE, strict=False).filter("_corrupt_record is not null").count() == 1
+    bad = files.read_jsonl(spark, str(tmp_path / "cases.jsonl"), files.CASE, strict=False)
+    assert bad.filter("error is not null").count() == 1 and bad.count() == 3
+    assert bad.select("error").filter("error is not null").first()["error"] == "not a JSON object in cases.jsonl: # note"
+    assert [tuple(r) for r in files.numbered_errors(spark, str(tmp_path / "cases.jsonl")).collect()] == [("cases.jsonl", 3, "# note")]
+    with pytest.raises(Exception, match="not a JSON object in cases.jsonl"):
+        files.read_jsonl(spark, str(tmp_path / "cases.jsonl"), files.CASE).collect()
+    files.write_cases(cases.select("id", "text"), str(tmp_path / "cases"))
+    assert files.read_cases(spark, str(tmp_path / "cases")).count() == 2 and spark.read.text(str(tmp_path / "cases"), wholetext=True).first()[0].startswith('[{"id":"1"')
 
 
 def test_payloads(spark):

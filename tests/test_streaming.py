@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from townwire.operators import priors
@@ -22,7 +23,7 @@ def landed(spark, path):
 def test_author_counters_equal_batch(spark, tmp_path):
     landed(spark, tmp_path)
     stream = jobs.read_events(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, 1)
-    out = jobs.run_available(jobs.author_counters(stream.filter("strong"), "author", "ts", "k", 2, "1 day"), f"{tmp_path}/counters", "update", f"{tmp_path}/ck1")
+    out = jobs.run_available(jobs.author_counters(stream.filter("strong"), "author", "ts", 2, "1 day"), f"{tmp_path}/counters", "update", f"{tmp_path}/ck1")
     last = {r["author"]: r["strong_match_count"] for r in first_wins(out, "author", -F.unix_micros("last_strong_at")).collect()}
     batch = priors.author_stats(spark.read.parquet(f"{tmp_path}/in"), "author", "ts", "k", "strong", 2)
     assert last == {r["author"]: r["strong_match_count"] for r in batch.collect()}
@@ -34,10 +35,34 @@ def test_dedupe_append_and_compact(spark, tmp_path):
     once = jobs.deduplicated(stream.withColumn("key", F.col("k") % 10), "key", "ts", "60 days")
     query = jobs.append_batches(once, f"{tmp_path}/log", f"{tmp_path}/ck2").trigger(availableNow=True).start()
     query.awaitTermination()
-    assert jobs.compact(spark, f"{tmp_path}/log", "key", "ts").count() == 10 == spark.read.parquet(f"{tmp_path}/log").count()
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 10
     assert len(rows) == 60
 
 
+def test_compact_applies_deletes_of_later_batches(spark, tmp_path):
+    log = [("a", "create", 1), ("b", "create", 1), ("a", "delete", 2), ("b", "create", 3), ("c", "delete", 1), ("c", "create", 2)]
+    for k, (uri, operation, hour) in enumerate(log):
+        spark.createDataFrame([(uri, operation, T0 + timedelta(hours=hour))], "uri string, operation string, ts timestamp").write.mode("append").parquet(f"{tmp_path}/log/batch={k}")
+    assert sorted((r["uri"], r["ts"]) for r in jobs.compact(spark, f"{tmp_path}/log").collect()) == [("b", T0 + timedelta(hours=1)), ("c", T0 + timedelta(hours=2))]
+
+
+def test_clusters_merge_in_any_order():
+    rng = np.random.default_rng(1)
+    times = np.sort(rng.integers(0, 10_000, 300))
+    whole = jobs.clusters(times, 40)
+    for _ in range(5):
+        rng.shuffle(times)
+        found = []
+        for part in np.array_split(times, 7):
+            found = jobs.merged(found + jobs.clusters(part, 40), 40)
+        assert found == whole and sum(n for _, _, n in found) == 300
+
+
+def test_lag_health(spark):
+    df = spark.createDataFrame([("a", T0), ("b", T0 - timedelta(seconds=400))], "k string, ts timestamp")
+    assert sorted(tuple(r) for r in jobs.lag_health(df, "ts", F.lit(T0 + timedelta(seconds=10)), "k").collect()) == [("a", 10.0, True), ("b", 410.0, False)]
+
+
 def test_windows_and_engagement(spark, tmp_path):
     landed(spark, tmp_path)
     read = lambda: jobs.read_events(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)

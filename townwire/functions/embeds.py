@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from townwire.functions.text import clip, join_present, normalize
+from townwire.functions.text import clip, join_present
 
 DEPTH = 3
 
@@ -26,21 +26,22 @@ def embed_type(depth: int = DEPTH) -> T.StructType:
 
 
 def _parts(embed: Column, depth: int) -> list[Column]:
-    """Arrays of strings in reading order."""
+    """Arrays of strings in reading order, each clipped."""
     own = [
-        F.transform(embed["images"], lambda i: normalize(i["alt"])),
-        F.array(clip(normalize(embed["external"]["title"])), clip(normalize(embed["external"]["description"]))),
+        F.transform(embed["images"], lambda i: clip(i["alt"])),
+        F.array(clip(embed["external"]["title"]), clip(embed["external"]["description"])),
     ]
     if depth > 1:
         own += _parts(embed["media"], depth - 1)
-        for name in ("record", "value"):
-            quoted = embed["record"][name]
-            own += [F.array(clip(normalize(quoted["text"]))), *_parts(quoted["embed"], depth - 1)]
+        # the quoted record, or where that is missing or empty its value
+        record = embed["record"]["record"]
+        quoted = F.when(record["text"].isNotNull() | record["embed"].isNotNull(), record).otherwise(embed["record"]["value"])
+        own += [F.array(clip(quoted["text"])), *_parts(quoted["embed"], depth - 1)]
     return own
 
 
 def alt_text(embed: Column, depth: int = DEPTH) -> Column:
-    """Image alts, link-card title and description, media, quoted text and its embed, joined by a space; '' for none."""
+    """Image alts, link-card title and description, media, quoted text and its embed, each clipped, joined by a space; '' for none."""
     empty = F.array().cast("array<string>")
     return F.coalesce(join_present(F.concat(*(F.coalesce(p, empty) for p in _parts(embed, depth)))), F.lit(""))
 

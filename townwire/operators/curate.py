@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -40,40 +41,49 @@ def newest_per(rows: DataFrame, group: str, n: int, *order: Column) -> DataFrame
     return rows.withColumn("rn", F.row_number().over(W.partitionBy(group).orderBy(*order))).filter(F.col("rn") <= n)
 
 
-def normalize_cases(raw: DataFrame, strict: bool = False) -> DataFrame:
-    """Labelled cases with defaults and an error column (null for good rows); strict raises instead."""
+def normalize_cases(raw: DataFrame, strict: bool = False, defaults: dict | None = None) -> DataFrame:
+    """Labelled cases with defaults and an error column (null for good rows); strict raises instead. Rows without a label stay, unlabelled.
+
+    Optional fields are null where they are empty; langs keeps the tags that aren't.
+    """
     have = set(raw.columns)
+    given = {"signal": "text", "bucket": "uncategorized", "split": "dev", "regression": True} | (defaults or {})
     col = lambda c, kind: (F.col(c) if c in have else F.lit(None)).cast(kind)
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
-    split, signal = F.coalesce(col("split", "string"), F.lit("dev")), F.coalesce(col("signal", "string"), F.lit("text"))
-    error = F.coalesce(
-        F.when(blank(col("id", "string")), "id is missing"),
-        F.when(blank(col("text", "string")), "text is missing"),
-        F.when(~split.isin(*SPLITS), F.concat(F.lit("unknown split "), split)),
+    present = lambda c: F.when(c != "", c)
+    named = lambda c: F.coalesce(present(col(c, "string")), F.lit(given[c]))
+    split, signal, key = named("split"), named("signal"), F.trim(F.coalesce(col("id", "string"), F.lit("")))
+    error = F.when(col("expected", "boolean").isNotNull(), F.coalesce(
+        F.when(key == "", "labeled row is missing id"),
+        F.when(col("text", "string").isNull(), "text is missing"),
         F.when(~signal.isin(*SIGNALS), F.concat(F.lit("unknown signal "), signal)),
-    )
-    optional = {c: F.when(~blank(col(c, "string")), col(c, "string")) for c in ("author_did", "author_handle", "alt_text", "note")}
+        F.when(~split.isin(*SPLITS), F.concat(F.lit("unknown split "), split)),
+    ))
+    langs = F.filter(col("langs", "array<string>"), lambda x: x.isNotNull() & (x != ""))
     out = raw.select(
-        col("id", "string").alias("id"), col("text", "string").alias("text"), col("expected", "boolean").alias("expected"), signal.alias("signal"),
-        F.coalesce(col("bucket", "string"), F.lit("uncategorized")).alias("bucket"), split.alias("split"),
-        F.coalesce(col("regression", "boolean"), F.lit(True)).alias("regression"), F.coalesce(col("soft_prior", "boolean"), F.lit(False)).alias("soft_prior"),
-        *(c.alias(k) for k, c in optional.items()), error.alias("error"),
+        key.alias("id"), col("text", "string").alias("text"), col("expected", "boolean").alias("expected"), signal.alias("signal"),
+        F.coalesce(present(F.trim(named("bucket"))), F.lit(given["bucket"])).alias("bucket"), split.alias("split"),
+        F.coalesce(col("regression", "boolean"), F.lit(given["regression"])).alias("regression"), F.coalesce(col("soft_prior", "boolean"), F.lit(False)).alias("soft_prior"),
+        *(present(col(c, "string")).alias(c) for c in ("author_did", "author_handle", "alt_text", "note")), F.when(F.size(col("langs", "array<string>")) > 0, langs).alias("langs"), error.alias("error"),
     )
     return out.filter(F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).isNull()).otherwise(True)) if strict else out
 
 
-def merge_cases(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(all cases, counters): labelled incoming cases with new ids join the existing ones, which never change."""
-    labelled = incoming.filter(F.col("expected").isNotNull())
-    fresh = first_wins(labelled.join(existing.select("id"), "id", "left_anti"), "id", "text")
-    known = existing.select("id", F.lit(True).alias("_townwire_known"))
-    counted = incoming.join(known, "id", "left").agg(
-        F.count_if(F.col("expected").isNull()).alias("skipped_unlabeled"),
-        F.count_distinct(F.when(F.col("expected").isNotNull() & F.col("_townwire_known").isNull(), F.col("id"))).alias("added"),
-        F.count_if(F.col("expected").isNotNull()).alias("labelled"),
-    )
-    counters = counted.select("added", "skipped_unlabeled", (F.col("labelled") - F.col("added")).alias("skipped_existing"))
-    return existing.unionByName(fresh, allowMissingColumns=True), counters
+def merge_cases(existing: DataFrame, incoming: DataFrame, strict: bool = False, defaults: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(all cases, counters): incoming cases are normalised; labelled ones with new ids join the existing ones, which never change.
+
+    Rows with an error are counted as rejected and don't join; strict raises instead.
+    """
+    rows = normalize_cases(incoming, strict, defaults)
+    good = F.col("expected").isNotNull() & F.col("error").isNull()
+    known = existing.select(F.col("id").cast("string").alias("id")).distinct()
+    fresh = first_wins(rows.filter(good).drop("error").join(known, "id", "left_anti"), "id", "text")
+    counted = rows.join(known.withColumn("_townwire_known", F.lit(True)), "id", "left").agg(
+        F.count_if(F.col("expected").isNull()).alias("skipped_unlabeled"), F.count_if(F.col("error").isNotNull()).alias("rejected"),
+        F.count_distinct(F.when(good & F.col("_townwire_known").isNull(), F.col("id"))).alias("added"), F.count_if(good).alias("labelled"),
+    )
+    counters = counted.select("added", "skipped_unlabeled", (F.col("labelled") - F.col("added")).alias("skipped_existing"), "rejected")
+    kept = existing.withColumn("id", F.col("id").cast("string"))
+    return kept.unionByName(fresh, allowMissingColumns=True), counters
 
 
 PROPOSAL = "expected boolean, rationale string, confidence string"
@@ -109,6 +119,17 @@ def key_diff(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
 
 
 def resolve_handles(handles: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(handle, did, status): each listed handle's current id; unresolved where no profile has it."""
-    p = profiles.select(F.lower("handle").alias("handle"), "did").groupBy("handle").agg(F.min("did").alias("did"))
-    return handles.select(F.lower("handle").alias("handle")).distinct().join(p, "handle", "left").withColumn("status", F.when(F.col("did").isNull(), "unresolved").otherwise("ok"))
+    """(handle, did, dids, status): each listed handle's id; unresolved where no profile has it, ambiguous where several ids do (did is then the least of dids)."""
+    p = profiles.select(F.lower("handle").alias("handle"), "did").groupBy("handle").agg(F.min("did").alias("did"), F.count_distinct("did").alias("dids"))
+    status = F.when(F.col("did").isNull(), "unresolved").when(F.col("dids") > 1, "ambiguous").otherwise("ok")
+    return handles.select(F.lower("handle").alias("handle")).distinct().join(p, "handle", "left").select("handle", "did", F.coalesce("dids", F.lit(0)).alias("dids"), status.alias("status"))
+
+
+def alignment(handles: DataFrame, dids: DataFrame, resolved: DataFrame) -> DataFrame:
+    """One row: how many handles and ids are listed, resolved ids that aren't, listed ids that no handle resolves to, and whether the lists agree, one id a handle."""
+    listed, found = dids.select(F.col("did").cast("string").alias("did")).distinct(), resolved.filter("status = 'ok'").select(F.col("did").cast("string").alias("did"))
+    missing, stale = found.distinct().join(listed, "did", "left_anti"), listed.join(found.distinct(), "did", "left_anti")
+    counts = {"handles": handles.select(F.lower("handle")).distinct(), "dids": listed, "ambiguous": resolved.filter("status = 'ambiguous'"), "missing": missing, "stale": stale}
+    each = [df.select(F.lit(k).alias("k")) for k, df in counts.items()]
+    rows = reduce(DataFrame.unionByName, each).groupBy().agg(*(F.count_if(F.col("k") == k).alias(k) for k in counts))
+    return rows.withColumn("aligned", (F.col("handles") == F.col("dids")) & (F.col("missing") + F.col("stale") + F.col("ambiguous") == 0))

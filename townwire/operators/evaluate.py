@@ -18,16 +18,13 @@ def effective_prior(case_prior: Column, author: Column) -> Column:
 def confusion(cases: DataFrame, strata: Iterable[str] = STRATA, expected: str = "expected", got: str = "matched") -> DataFrame:
     """tp, fp, tn, fn overall and by each stratum alone: (stratum, value, counts, rates), in one pass of grouping sets."""
     strata = list(strata)
-    sets = "(), " + ", ".join(f"({s})" for s in strata)
-    cases.select(*strata, F.col(expected).alias("e"), F.col(got).alias("g")).createOrReplaceTempView("_townwire_cases")
-    level = " ".join(f"WHEN grouping({s}) = 0 THEN '{s}'" for s in strata)
-    value = "coalesce(" + ", ".join(f"CASE WHEN grouping({s}) = 0 THEN cast({s} AS string) END" for s in strata) + ", '')"
-    counted = cases.sparkSession.sql(f"""
-        SELECT CASE {level} ELSE 'overall' END AS stratum, {value} AS value,
-          count_if(e AND g) AS tp, count_if(NOT e AND g) AS fp, count_if(NOT e AND NOT g) AS tn, count_if(e AND NOT g) AS fn
-        FROM _townwire_cases GROUP BY GROUPING SETS ({sets})
-    """)
-    return rates(counted)
+    e, g = F.col(expected), F.col(got)
+    counted = cases.groupingSets([[], *([F.col(x)] for x in strata)], *strata).agg(
+        *(F.grouping(x).alias(f"_townwire_{x}") for x in strata),
+        F.count_if(e & g).alias("tp"), F.count_if(~e & g).alias("fp"), F.count_if(~e & ~g).alias("tn"), F.count_if(e & ~g).alias("fn"),
+    )
+    chosen = lambda value, other: F.coalesce(*(F.when(F.col(f"_townwire_{x}") == 0, value(x)) for x in strata), F.lit(other))
+    return rates(counted.select(chosen(F.lit, "overall").alias("stratum"), chosen(lambda x: F.col(x).cast("string"), "").alias("value"), "tp", "fp", "tn", "fn"))
 
 
 def rates(counted: DataFrame) -> DataFrame:

@@ -37,18 +37,27 @@ def new_rows(incoming: DataFrame, existing: DataFrame, key: str = "uri", *order:
     return first_wins(incoming.join(existing.select(key).distinct(), key, "left_anti"), key, *(order or (key,)))
 
 
-def engagement_counts(index: DataFrame, engagement: DataFrame, kinds: Iterable[str] = ("like", "repost"), as_of: bool = True) -> DataFrame:
+def engagement_counts(index: DataFrame, engagement: DataFrame, kinds: Iterable[str] = ("like", "repost"), as_of: bool = True, slot: str = "hour") -> DataFrame:
     """Index rows with <kind>_count. Engagement counts from the moment a post is indexed (as_of) or at any time.
 
-    engagement: kind, subject_uri, ts. It is summed per post before the join wherever that
-    loses nothing, so a post with a third of all likes is no hot key.
+    engagement: kind, subject_uri, ts. It is summed per post and ``slot`` before any join, so
+    that a post with a third of all likes is no hot key. Whole slots behind the post's own then
+    count by their sums; rows are only compared one by one in the slot in which it is indexed.
     """
     kinds = list(kinds)
+    of = lambda df: df.groupBy(F.col("subject_uri").alias("uri"), *([F.date_trunc(slot, "ts").alias("_townwire_slot")] if as_of else [])).agg(*(F.count_if(F.col("kind") == k).alias(f"new_{k}") for k in kinds))
+    sums = lambda df: df.groupBy("uri").agg(*(F.sum(f"new_{k}").alias(f"new_{k}") for k in kinds))
     if as_of:
-        joined = engagement.join(index.select(F.col("uri").alias("subject_uri"), "indexed_at"), "subject_uri").filter("ts >= indexed_at")
+        posts = index.select("uri", "indexed_at")
+        begins = F.date_trunc(slot, "indexed_at")
+        later = of(engagement).join(posts, "uri").filter(F.col("_townwire_slot") > begins)
+        # distinct times first: in one slot a post has at most as many as there are microseconds, mostly far fewer than rows
+        times = engagement.groupBy("subject_uri", "kind", "ts").agg(F.count("*").alias("n"), F.first(F.date_trunc(slot, "ts")).alias("_townwire_slot"))
+        same = times.join(posts.select(F.col("uri").alias("subject_uri"), "indexed_at", begins.alias("_townwire_slot")), ["subject_uri", "_townwire_slot"]).filter("ts >= indexed_at")
+        own = same.groupBy(F.col("subject_uri").alias("uri")).agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"new_{k}") for k in kinds))
+        counted = sums(later.select("uri", *(f"new_{k}" for k in kinds)).unionByName(own))
     else:
-        joined = engagement
-    counted = joined.groupBy(F.col("subject_uri").alias("uri")).agg(*(F.count_if(F.col("kind") == k).alias(f"new_{k}") for k in kinds))
+        counted = of(engagement)
     out = index.join(counted, "uri", "left")
     for k in kinds:
         had = F.coalesce(F.col(f"{k}_count"), F.lit(0)) if f"{k}_count" in index.columns else F.lit(0)

@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from townwire.functions.text import pattern
+from townwire.operators.rules import Reading, has_terms, literals, may_hold, split_terms
 
 REGIONS = ("local", "other")
+#: Surfaces of several words that are tested one by one.
+ONE_BY_ONE = 100
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 
 
@@ -42,22 +45,30 @@ class Lexicon:
     def load(path: str | Path) -> Lexicon:
         return Lexicon.of(json.loads(Path(path).read_text(encoding="utf-8"))["entities"])
 
-    def hit(self, text: Column) -> Column:
-        """struct(entity_id, region, surface) of a normalised text's longest hit, or null. Narrow: one alternation, for lexicons of some thousand surfaces.
+    def hit(self, text: Reading) -> Column:
+        """struct(entity_id, region, surface) of a text's longest hit, or null. Narrow, for lexicons of some thousand surfaces.
 
-        The alternation is looked for at every position without consuming it, so overlapping
-        surfaces don't hide each other.
+        Surfaces of one word are looked up among the text's words. Others are tested one by
+        one, the longest first, up to the first hit, which mostly takes a plain substring
+        search; where they are many, one alternation is looked for at every position without
+        consuming it, so that overlapping surfaces don't hide each other.
         """
-        if not self.surfaces:
-            return F.lit(None).cast("struct<entity_id:string,region:string,surface:string>")
         first = {}
         for rank, s in enumerate(self.surfaces):
-            first.setdefault(s.surface, (rank, s))
-        body = pattern(first, capture=True).removeprefix("(?iu)")
-        hits = F.regexp_extract_all(text, F.lit(f"(?iu)(?={body})"), F.lit(1))
-        ranks = F.create_map(*(x for name, (rank, _) in first.items() for x in (F.lit(name), F.lit(rank))))
+            first.setdefault(s.surface, rank)
+        if not first:
+            return F.lit(None).cast("struct<entity_id:string,region:string,surface:string>")
+        words, others = split_terms(first)
+        ranks = F.create_map(*(x for name, rank in first.items() for x in (F.lit(name), F.lit(rank))))
         table = F.array(*(F.struct(F.lit(s.entity_id).alias("entity_id"), F.lit(s.region).alias("region"), F.lit(s.surface).alias("surface")) for s in self.surfaces))
-        best = F.array_min(F.transform(hits, lambda h: F.element_at(ranks, F.lower(h))))
+        parts = [F.array_min(F.transform(F.array_intersect(text.words, literals(words)), lambda h: F.element_at(ranks, h)))] if words else []
+        if 0 < len(others) <= ONE_BY_ONE:
+            parts.append(F.coalesce(*(F.when(has_terms([t], text), first[t]) for t in sorted(others, key=first.__getitem__))))
+        elif others:
+            body = pattern(others, capture=True).removeprefix("(?iu)")
+            hits = F.regexp_extract_all(text.text, F.lit(f"(?iu)(?={body})"), F.lit(1))
+            parts.append(F.when(may_hold(others, text), F.array_min(F.transform(hits, lambda h: F.element_at(ranks, F.lower(h))))))
+        best = F.least(*parts) if len(parts) > 1 else parts[0]
         return F.when(best.isNotNull(), F.get(table, best))
 
     def table(self, spark: SparkSession) -> DataFrame:

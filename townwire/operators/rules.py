@@ -1,13 +1,17 @@
 """Rule packs: term tables that become predicate columns.
 
-A pack is data: classes of literal terms and conflict rules. Every class is compiled to one
-alternation on the driver, a literal in the plan that each task compiles once.
+A pack is data: classes of literal terms and conflict rules. A text is read once, into its
+lower-case form and its distinct words: terms that are one word are looked up among these,
+others are looked for as plain substrings, and only where one occurs, but not between
+spaces, does a regular expression, compiled once by each task, test the edges of its words.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +20,60 @@ from pyspark.sql import functions as F
 from townwire.functions.text import near, pattern
 
 
+@dataclass(frozen=True)
+class Reading:
+    """A normalised text, its lower-case form between two spaces, and its distinct words in order of appearance."""
+
+    text: Column
+    low: Column
+    words: Column
+
+
+def reading(df: DataFrame, text: Column, name: str = "_townwire_read", skip: Column | None = None) -> tuple[DataFrame, Reading]:
+    """df with a normalised text read once. Where skip holds, nothing is read."""
+    df = once(df, **{f"{name}_text": text})
+    own = F.col(f"{name}_text")
+    low = F.concat(F.lit(" "), F.lower(own), F.lit(" "))
+    low = low if skip is None else F.when(skip, F.lit("")).otherwise(low)
+    df = once(df, **{f"{name}_low": low})
+    df = once(df, **{f"{name}_words": F.array_distinct(F.split(F.col(f"{name}_low"), NOT_WORD))})
+    return df, Reading(own, F.col(f"{name}_low"), F.col(f"{name}_words"))
+
+
+NOT_WORD = r"[^\p{L}\p{N}_]+"
+
+
+def split_terms(terms: Iterable[str]) -> tuple[list[str], list[str]]:
+    """Terms that are one word, in lower case, and all others."""
+    one = lambda t: all(ch.isalnum() or ch == "_" for ch in t)
+    terms = sorted(set(terms))
+    return [t.lower() for t in terms if one(t)], [t for t in terms if not one(t)]
+
+
+def literals(values: Iterable[str]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
+
+
+def either(parts: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a | b, parts, F.lit(False))
+
+
+def may_hold(terms: Iterable[str], read: Reading) -> Column:
+    """Does any term occur as a word or a substring? True wherever has_terms is."""
+    words, others = split_terms(terms)
+    return either([*([F.arrays_overlap(read.words, literals(words))] if words else []), *(F.contains(read.low, F.lit(t.lower())) for t in others)])
+
+
+def has_terms(terms: Iterable[str], read: Reading) -> Column:
+    """Does any term occur between edges of words?"""
+    words, others = split_terms(terms)
+    parts = [F.arrays_overlap(read.words, literals(words))] if words else []
+    parts += [F.contains(read.low, F.lit(f" {t.lower()} ")) for t in others]
+    if others:
+        parts.append(may_hold(others, read) & read.text.rlike(pattern(others)))
+    return either(parts)
+
+
 @dataclass(frozen=True)
 class Conflict:
     """A place name meant elsewhere: a trigger with a cue within a window, a fixed phrase, or a telling handle; unless an escape matches."""
@@ -29,21 +87,19 @@ class Conflict:
     escape: tuple[str, ...] = ()
     escape_context: bool = False
 
-    def condition(self, text: Column, handle: Column, context: Column) -> Column:
+    def condition(self, read: Reading, handle: Column, context: Column) -> Column:
         hits = []
         if self.cues:
-            hits.append(text.rlike(near(pattern(self.trigger), pattern(self.cues), self.window)))
+            hits.append(has_terms(self.trigger, read) & has_terms(self.cues, read) & read.text.rlike(near(pattern(self.trigger), pattern(self.cues), self.window)))
         if self.phrases:
-            hits.append(text.rlike(pattern(self.phrases)))
+            hits.append(has_terms(self.phrases, read))
         if self.handles:
-            hits.append(F.coalesce(handle, F.lit("")).rlike("(?iu)(?:" + "|".join(pattern([h]).removeprefix("(?iu)") for h in self.handles) + ")") & text.rlike(pattern(self.trigger)))
+            hits.append(F.coalesce(handle, F.lit("")).rlike("(?iu)(?:" + "|".join(pattern([h]).removeprefix("(?iu)") for h in self.handles) + ")") & has_terms(self.trigger, read))
         if not hits:
             raise ValueError(f"conflict {self.name} has no cue, phrase or handle")
-        out = hits[0]
-        for h in hits[1:]:
-            out = out | h
+        out = either(hits)
         if self.escape:
-            out = out & ~text.rlike(pattern(self.escape))
+            out = out & ~has_terms(self.escape, read)
         return out & ~context if self.escape_context else out
 
 
@@ -75,19 +131,24 @@ class RulePack:
     #: (language, language that lifts the gate, word) of the language gate.
     language_gate: tuple[str, str, str] | None = None
 
-    def has(self, name: str, text: Column) -> Column:
-        terms = self.classes.get(name)
-        return text.rlike(pattern(terms)) if terms else F.lit(False)
-
-    def all_of(self, name: str, text: Column) -> Column:
-        """All matches of a class, lower-cased and distinct, in order of appearance."""
-        terms = self.classes.get(name)
-        empty = F.array().cast("array<string>")
-        return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern(terms, capture=True)), F.lit(1)), F.lower)) if terms else empty
-
-    def first_of(self, name: str, text: Column) -> Column:
-        terms = self.classes.get(name)
-        return F.lower(F.regexp_extract(text, pattern(terms, capture=True), 1)) if terms else F.lit("")
+    def has(self, name: str, read: Reading) -> Column:
+        return has_terms(self.classes.get(name, ()), read)
+
+    def all_of(self, name: str, read: Reading) -> Column:
+        """All matches of a class, lower-cased and distinct, in order of appearance; of terms that overlap the longest first."""
+        terms = self.classes.get(name, ())
+        words, others = split_terms(terms)
+        alone = F.array_intersect(read.words, literals(words))
+        if not others:
+            return alone
+        found = F.array_distinct(F.transform(F.regexp_extract_all(read.text, F.lit(pattern(terms, capture=True)), F.lit(1)), F.lower))
+        return F.when(may_hold(others, read), found).otherwise(alone)
+
+    def first_of(self, name: str, read: Reading) -> Column:
+        terms = self.classes.get(name, ())
+        words, others = split_terms(terms)
+        alone = F.coalesce(F.get(F.array_intersect(read.words, literals(words)), F.lit(0)), F.lit(""))
+        return F.when(may_hold(others, read), F.lower(F.regexp_extract(read.text, pattern(terms, capture=True), 1))).otherwise(alone) if others else alone
 
 
 def load_pack(path: str | Path) -> RulePack:

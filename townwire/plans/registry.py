@@ -160,8 +160,8 @@ HIT_SQL = f"""lex(surface, entity_id, region, ord) as (values ('the the', 'a', '
 @query(rf"with t as (select doc_id as key, ' ' || lower({NORM}) || ' ' as p from documents), {HIT_SQL} select key as doc_id, entity_id, region, surface from ranked where rn = 1")
 def lexicon_longest_match(spark, sf_dir):
     lex = lexicon.Lexicon.of(COMMON_LEXICON)
-    d = table(spark, sf_dir, "documents").select("doc_id", lex.hit(tx.normalize(F.col("text"))).alias("hit"))
-    return d.filter("hit is not null").select("doc_id", "hit.*")
+    d, read = rules.reading(table(spark, sf_dir, "documents"), tx.normalize(F.col("text")))
+    return rules.once(d.select("doc_id", lex.hit(read).alias("h")), hit=F.col("h")).filter("hit is not null").select("doc_id", "hit.*")
 
 
 @query(rf"with t as (select conv_id * 1000 + turn as key, ' ' || lower({NORM}) || ' ' as p from conversations), {HIT_SQL} select key as post_id, entity_id, region, surface from ranked where rn = 1")
@@ -173,17 +173,17 @@ def lexicon_join(spark, sf_dir):
 
 @query(f"with {DOCS_SQL}, {DECIDED_SQL} select uri, array_to_string(places, ',') as places, len(places)::int as n, places[1] as term from verdicts where len(places) > 0")
 def ambiguous_places_set(spark, sf_dir):
-    found = pack().all_of("ambiguous", tx.normalize(F.col("text")))
-    d = rules.once(posts(spark, sf_dir), found=found).filter(F.size("found") > 0)
+    d, read = rules.reading(posts(spark, sf_dir), tx.normalize(F.col("text")))
+    d = rules.once(d, found=pack().all_of("ambiguous", read)).filter(F.size("found") > 0)
     return d.select("uri", F.array_join(F.array_sort("found"), ",").alias("places"), F.size(cascade.distinct_places(F.col("found"), ())).alias("n"), cascade.chosen_term(F.col("found"), ()).alias("term"))
 
 
 @query(rf"""with t as (select doc_id, ' ' || lower({NORM}) || ' ' as p from documents)
     select doc_id from t where regexp_matches(p, '{EDGE}(?:thble|thing)(?:{EDGE}|{EDGE}[\s\S]{{0,158}}{EDGE})(?:that|this){EDGE}') or regexp_matches(p, '{EDGE}(?:that|this)(?:{EDGE}|{EDGE}[\s\S]{{0,158}}{EDGE})(?:thble|thing){EDGE}')""")
 def cooccurrence_conflict(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d, read = rules.reading(table(spark, sf_dir, "documents"), tx.normalize(F.col("text")))
     rule = pack().conflicts["far_prose"]
-    return d.filter(rule.condition(tx.normalize(F.col("text")), F.lit(None).cast("string"), F.lit(False))).select("doc_id")
+    return d.filter(rule.condition(read, F.lit(None).cast("string"), F.lit(False))).select("doc_id")
 
 
 MODEL = LinearModel({"bias": -1.0, "micro": 0.75, "place": 0.5, "event": 1.25}, threshold=0.5)
@@ -193,9 +193,8 @@ MODEL = LinearModel({"bias": -1.0, "micro": 0.75, "place": 0.5, "event": 1.25},
     f as (select doc_id, (regexp_matches(p, '{EDGE}ontion{EDGE}')::int + regexp_matches(p, '{EDGE}oning{EDGE}')::int) as micro, {has_sql("thble", "thtion", "thing", "erble")}::int as place, {has_sql("ering")}::int as event from t)
     select doc_id, (-1.0 + 0.75 * micro + 0.5 * place + 1.25 * event)::double as score, (-1.0 + 0.75 * micro + 0.5 * place + 1.25 * event) >= 0.5 as kept from f""")
 def linear_score(spark, sf_dir):
-    t = tx.normalize(F.col("text"))
-    d = rules.once(table(spark, sf_dir, "documents"), t=t)
-    features = {"micro": F.size(pack().all_of("micro", F.col("t"))).cast("double"), "place": pack().has("ambiguous", F.col("t")).cast("double"), "event": pack().has("event_cue", F.col("t")).cast("double")}
+    d, read = rules.reading(table(spark, sf_dir, "documents"), tx.normalize(F.col("text")))
+    features = {"micro": F.size(pack().all_of("micro", read)).cast("double"), "place": pack().has("ambiguous", read).cast("double"), "event": pack().has("event_cue", read).cast("double")}
     return rules.once(d, score=MODEL.score(features)).select("doc_id", "score", (F.col("score") >= MODEL.threshold).alias("kept"))
 
 
@@ -367,27 +366,40 @@ def audit_outcomes(spark, sf_dir):
     return au.outcome_counts(_audited(spark, sf_dir)[1])
 
 
-ACTIVITY_SQL = """act as (select user_id, count(*) as sample_n, count(*) filter (where timestamp '2024-01-30' - ts <= interval 7 day) as recent_7d, count(*) filter (where timestamp '2024-01-30' - ts <= interval 30 day) as recent_30d,
-      count(distinct lower(substr(props, 1, 40))) as prefixes, bool_or(regexp_matches(event_type, 'error')) as fault from events group by user_id),
-    rated as (select *, round(recent_7d / 7, 2)::double as ppd_7d, round(recent_30d / 30, 2)::double as ppd_30d, round(prefixes / greatest(sample_n, 1), 2)::double as unique_prefix_ratio from act),
-    flagged as (select *, list_filter([case when ppd_7d >= 20 then 'high_volume' when ppd_7d >= 8 then 'elevated_volume' end, case when unique_prefix_ratio < 0.45 and sample_n >= 8 then 'low_diversity' end, case when fault then 'slop:fault' end], lambda x: x is not null) as flags from rated)"""
+ACTIVITY_SQL = """sample as (select *, k % 5 = 0 as reply, case when event_id % 11 = 0 then '  ' else '  ' || event_type || ' ' || (k % 7)::varchar end as body from (select *, (props->>'$.k')::bigint as k from events)),
+    act as (select user_id, count(*) as sample_n, count(*) filter (where timestamp '2024-01-30' - ts <= interval 7 day) as recent_7d, count(*) filter (where timestamp '2024-01-30' - ts <= interval 30 day) as recent_30d,
+      count(*) filter (where not reply and trim(body) <> '') as originals, count(distinct case when not reply and trim(body) <> '' then lower(substr(ltrim(body), 1, 40)) end) as prefixes from sample group by user_id),
+    newest as (select user_id, body, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from sample where not reply and trim(body) <> ''),
+    texts as (select user_id, string_agg(body, '|' order by rn) as sample_texts from newest where rn <= 5 group by user_id),
+    rated as (select act.*, coalesce(sample_texts, '') as sample_texts, round(recent_7d / 7, 2)::double as ppd_7d, round(recent_30d / 30, 2)::double as ppd_30d, round(prefixes / greatest(originals, 1), 2)::double as unique_prefix_ratio from act left join texts using (user_id)),
+    flagged as (select *, list_filter([case when user_id % 10 = 3 then 'bot' end, case when greatest(ppd_7d, ppd_30d) >= 20 then 'high_volume' when greatest(ppd_7d, ppd_30d) >= 8 then 'elevated_volume' end,
+      case when unique_prefix_ratio < 0.45 and sample_n >= 8 then 'low_diversity' end, case when contains(sample_texts, 'error') then 'slop:fault' end, case when contains(sample_texts, 'click 3') or user_id % 8 = 1 then 'slop:promo' end], lambda x: x is not null) as flags from rated)"""
 
 
 def _screened(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    a = screening.activity(e, "user_id", "ts", "props", F.lit("2024-01-30").cast("timestamp_ntz"))
-    return a.join(screening.pattern_hits(e, "user_id", "event_type", {"fault": ("error",)}), "user_id")
+    e = events(spark, sf_dir)
+    body = F.when(F.col("event_id") % 11 == 0, "  ").otherwise(F.concat(F.lit("  "), "event_type", F.lit(" "), (F.col("k") % 7).cast("string")))
+    a = screening.activity(e.withColumn("body", body), "user_id", "ts", "body", F.lit("2024-01-30").cast("timestamp_ntz"), F.col("k") % 5 == 0, "event_id")
+    profile = {"handle": F.when(F.col("user_id") % 10 == 3, "news.bot.example").otherwise("robot.example"), "description": F.when(F.col("user_id") % 8 == 1, "Link in bio, Shop now!").otherwise("")}
+    return screening.pattern_hits(a.withColumns(profile), {"fault": ("error",), "promo": ("click 3", "shop now")}, "description")
 
 
 @query(f"with {ACTIVITY_SQL} select user_id, sample_n, recent_7d, recent_30d, ppd_7d, ppd_30d, unique_prefix_ratio from rated")
 def author_activity(spark, sf_dir):
-    return _screened(spark, sf_dir).drop("slop_hits")
+    return _screened(spark, sf_dir).select("user_id", "sample_n", "recent_7d", "recent_30d", "ppd_7d", "ppd_30d", "unique_prefix_ratio")
+
+
+@query(f"with {ACTIVITY_SQL} select user_id, sample_texts, unique_prefix_ratio, originals from rated")
+def author_originals(spark, sf_dir):
+    e = events(spark, sf_dir)
+    n = e.groupBy("user_id").agg(F.count_if((F.col("k") % 5 != 0) & (F.col("event_id") % 11 != 0)).alias("originals"))
+    return _screened(spark, sf_dir).join(n, "user_id").select("user_id", F.array_join("sample_texts", "|").alias("sample_texts"), "unique_prefix_ratio", "originals")
 
 
-@query(f"""with {ACTIVITY_SQL} select user_id, array_to_string(flags, ',') as flags, case when list_contains(flags, 'high_volume') then 'reject'
-    when len(list_filter(flags, lambda x: x <> 'high_volume')) > 0 then 'review' else 'likely_ok' end as recommendation from flagged""")
+@query(f"""with {ACTIVITY_SQL} select user_id, array_to_string(flags, ',') as flags, case when list_contains(flags, 'high_volume') or list_contains(flags, 'bot') then 'reject'
+    when len(flags) > 0 then 'review' else 'likely_ok' end as recommendation from flagged""")
 def author_screening(spark, sf_dir):
-    out = screening.with_recommendation(screening.with_flags(_screened(spark, sf_dir)))
+    out = screening.with_recommendation(screening.with_flags(_screened(spark, sf_dir), screening.is_bot(("bot",), "handle", "description")))
     return out.select("user_id", F.array_join("flags", ",").alias("flags"), "recommendation")
 
 
@@ -417,11 +429,27 @@ def key_diff(spark, sf_dir):
     return curate.key_diff(e.filter("event_type = 'view'"), e.filter("event_type = 'click'"), "user_id")
 
 
-@query("""select count(distinct case when l.quality = 1 and l.doc_id % 7 <> 0 then l.doc_id end) as added, count(*) filter (where l.quality = 0) as skipped_unlabeled,
-    count(*) filter (where l.quality = 1 and l.doc_id % 7 = 0) as skipped_existing from labels l""")
+@query("""select count(distinct case when quality = 1 and doc_id % 7 <> 0 and doc_id % 5 <> 1 then doc_id end) as added, count(*) filter (where quality = 0) as skipped_unlabeled,
+    count(*) filter (where quality = 1 and doc_id % 7 = 0 and doc_id % 5 <> 1) as skipped_existing, count(*) filter (where quality = 1 and doc_id % 5 = 1) as rejected from labels""")
 def merge_counters(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit("t").alias("text"), F.when(F.col("quality") == 1, F.lit(True)).alias("expected"))
-    return curate.merge_cases(rows.filter("id % 7 = 0"), rows)[1]
+    split = F.when(F.col("doc_id") % 5 == 1, "odd").when(F.col("doc_id") % 5 == 2, "")
+    rows = table(spark, sf_dir, "labels").select(F.concat(F.lit(" "), F.col("doc_id").cast("string")).alias("id"), F.lit("").alias("text"), F.when(F.col("quality") == 1, F.lit(True)).alias("expected"), split.alias("split"))
+    old = rows.filter("cast(trim(id) as long) % 7 = 0").withColumn("id", F.trim("id"))
+    return curate.merge_cases(old, rows)[1]
+
+
+@query("""select l.doc_id::varchar as id, coalesce(d.text, '') as text, quality = 1 as expected, case when l.doc_id % 4 = 0 then 'author' else 'text' end as signal, case when l.doc_id % 3 = 0 then source else 'uncategorized' end as bucket,
+    case when l.doc_id % 6 = 0 then 'odd' when l.doc_id % 6 = 1 then 'holdout' else 'dev' end as split, l.doc_id % 5 <> 0 as regression, l.doc_id % 8 = 0 as soft_prior, case when l.doc_id % 9 = 0 then 'n' end as note,
+    case when l.doc_id % 10 = 0 then lang when l.doc_id % 10 = 1 then '' end as langs, case when l.doc_id % 6 = 0 then 'unknown split odd' end as error from labels l join documents d using (doc_id)""")
+def cases_normalized(spark, sf_dir):
+    k = F.col("doc_id")
+    raw = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id").select(
+        F.concat(k.cast("string"), F.lit(" ")).alias("id"), F.coalesce("text", F.lit("")).alias("text"), (F.col("quality") == 1).alias("expected"), F.when(k % 4 == 0, "author").otherwise("").alias("signal"),
+        F.when(k % 3 == 0, F.col("source")).otherwise(F.lit(" ")).alias("bucket"), F.when(k % 6 == 0, "odd").when(k % 6 == 1, "holdout").alias("split"), F.when(k % 5 == 0, False).alias("regression"),
+        F.when(k % 8 == 0, True).alias("soft_prior"), F.when(k % 9 == 0, "n").otherwise("").alias("note"), F.when(k % 10 == 0, F.array(F.col("lang"), F.lit(""), F.lit(None))).when(k % 10 == 1, F.array(F.lit(""))).alias("langs"),
+    )
+    out = curate.normalize_cases(raw)
+    return out.select("id", "text", "expected", "signal", "bucket", "split", "regression", "soft_prior", "note", F.array_join("langs", ",").alias("langs"), "error")
 
 
 @query("select doc_id as id, case when quality = 1 then true end as proposed_expected, case when toxic = 1 then 'low' else 'medium' end as proposed_confidence, case when quality = 0 then 'expected is not a boolean' end as error from labels")
@@ -431,11 +459,27 @@ def proposals_parsed(spark, sf_dir):
     return curate.parse_proposals(rows).drop("proposed_rationale")
 
 
-@query("""with p as (select lower(c_name) as handle, min(c_custkey) as did from customer where c_custkey % 2 = 0 group by 1)
-    select h.handle, did, case when did is null then 'unresolved' else 'ok' end as status from (select distinct lower(c_name) as handle from customer) h left join p on p.handle = h.handle""")
+RESOLVED_SQL = """h as (select distinct 'h' || (c_custkey % 400)::varchar as handle from customer), p as (select 'h' || (s_suppkey % 90)::varchar as handle, min(s_suppkey) as did, count(distinct s_suppkey) as dids from supplier group by 1),
+    r as (select h.handle, did, coalesce(dids, 0) as dids, case when did is null then 'unresolved' when dids > 1 then 'ambiguous' else 'ok' end as status from h left join p using (handle))"""
+
+
+def _handles(spark, sf_dir):
+    handles = table(spark, sf_dir, "customer").select(F.concat(F.lit("H"), (F.col("c_custkey") % 400).cast("string")).alias("handle"))
+    profiles = table(spark, sf_dir, "supplier").select(F.concat(F.lit("h"), (F.col("s_suppkey") % 90).cast("string")).alias("handle"), F.col("s_suppkey").alias("did"))
+    return handles, curate.resolve_handles(handles, profiles)
+
+
+@query(f"with {RESOLVED_SQL} select * from r")
 def handle_resolution(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.upper("c_name").alias("handle"), F.col("c_custkey").alias("did"))
-    return curate.resolve_handles(c, c.filter("did % 2 = 0"))
+    return _handles(spark, sf_dir)[1]
+
+
+@query(f"""with {RESOLVED_SQL}, l as (select distinct s_suppkey as did from supplier where s_suppkey % 3 <> 0), ok as (select did from r where status = 'ok')
+    select (select count(*) from h) as handles, (select count(*) from l) as dids, (select count(*) from r where status = 'ambiguous') as ambiguous, (select count(*) from ok where did not in (select did from l)) as missing,
+      (select count(*) from l where did not in (select did from ok)) as stale, false as aligned""")
+def list_alignment(spark, sf_dir):
+    handles, resolved = _handles(spark, sf_dir)
+    return curate.alignment(handles, table(spark, sf_dir, "supplier").filter("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("did")), resolved)
 
 
 @query("select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by all")
@@ -452,6 +496,15 @@ def session_activity(spark, sf_dir):
     return s.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("started"), "n")
 
 
+def scratch(spark) -> str:
+    """A new folder below the shared one."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="townwire-")
+    return f"{root}/queries/{uuid.uuid4().hex}"
+
+
 def _stream(spark, sf_dir):
     from townwire.streaming.jobs import read_events
 
@@ -461,35 +514,67 @@ def _stream(spark, sf_dir):
 
 
 def _run(spark, df, mode):
-    import tempfile
-    import uuid
-
     from townwire.streaming.jobs import run_available
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="townwire-")
-    own = f"{root}/streams/{uuid.uuid4().hex}"
+    own = scratch(spark)
     return run_available(df, f"{own}/out", mode, f"{own}/checkpoint")
 
 
-@query()
+@query("select distinct props->>'$.k' as k from events")
 def stream_dedupe(spark, sf_dir):
     from townwire.streaming.jobs import deduplicated
 
     keyed = _stream(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k"))
-    return _run(spark, deduplicated(keyed, "k", "t", "1 hour").select("k", "event_id"), "append")
+    return _run(spark, deduplicated(keyed, "k", "t", "60 days").select("k"), "append")
 
 
-@query()
+@query(f"with {STATS_SQL} select user_id, strong_match_count, last_strong_at from stats")
 def stream_author_counters(spark, sf_dir):
     from townwire.streaming.jobs import author_counters
 
-    strong = _stream(spark, sf_dir).filter("event_type = 'purchase'").select("user_id", "t", "event_id")
-    return _run(spark, author_counters(strong, "user_id", "t", "event_id", 2, "1 hour"), "update")
+    strong = _stream(spark, sf_dir).filter("event_type = 'purchase'").select("user_id", "t")
+    out = _run(spark, author_counters(strong, "user_id", "t", 2, "1 hour"), "update")
+    # the last update of each author; with one file there is one
+    best = ix.first_wins(out, "user_id", -F.unix_micros("last_strong_at"), -F.col("strong_match_count"))
+    return best.withColumn("last_strong_at", F.col("last_strong_at").cast("timestamp_ntz"))
 
 
-@query()
+@query("select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by all")
 def stream_volume(spark, sf_dir):
     from townwire.streaming.jobs import volume
 
     out = _run(spark, volume(_stream(spark, sf_dir), "t", "1 hour", "1 hour", "event_type"), "complete")
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+@query(ORACLES["tombstone_fold"])
+def stream_index(spark, sf_dir):
+    """Creates and deletes appended batch by batch, then compacted."""
+    from townwire.streaming.jobs import append_batches, compact
+
+    own = scratch(spark)
+    e = _stream(spark, sf_dir).filter("event_type in ('signup', 'error')")
+    log = e.select(F.get_json_object("props", "$.k").alias("uri"), F.when(F.col("event_type") == "signup", "create").otherwise("delete").alias("operation"), "ts", "event_id")
+    append_batches(log, f"{own}/log", f"{own}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return compact(spark, f"{own}/log").select("uri", "event_id", "ts")
+
+
+@query("""with n as (select max(ts) + interval 200 second as now from events) select event_type, epoch(now - max(ts))::double as lag_s, epoch(now - max(ts)) < 300 as healthy from events, n group by event_type, now""")
+def lag_health(spark, sf_dir):
+    from townwire.streaming import jobs
+
+    e = table(spark, sf_dir, "events")
+    now = e.agg((F.max("ts") + F.expr("INTERVAL 200 SECOND")).alias("now"))
+    return jobs.lag_health(e.crossJoin(F.broadcast(now)), "ts", F.col("now"), "event_type", "now").drop("now")  # one row
+
+
+@query(f"""with {EVENTS_SQL}, m as (select max(ts) as now from ev) select event_id from ev, m where event_type <> 'view' or now - ts <= interval 120 second""")
+def shed_engagement(spark, sf_dir):
+    from townwire.sources.commits import shed
+
+    e = table(spark, sf_dir, "events")
+    now = e.agg(F.max("ts").cast("timestamp").alias("now"))
+    return shed(e.crossJoin(F.broadcast(now)), F.col("now"), F.col("ts").cast("timestamp"), F.col("event_type") == "view").select("event_id")  # one row
+
+
+from townwire.plans import rule_queries, source_queries  # noqa: E402, F401  register the queries of the whole rule pack and of files

@@ -26,32 +26,42 @@ CASE = T.StructType([
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True) -> DataFrame:
-    """JSON lines. strict fails on a bad line; else bad lines have _corrupt_record set."""
-    if strict:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("_corrupt_record", S)])).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    """JSON lines in files of any size, with error: null for good lines, else the file, the line's start and what is wrong. Blank lines are skipped. strict fails on a bad line."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")).filter(F.trim("value") != "")
+    return _objects(lines, schema, strict)
 
 
-def read_labelled(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Labelled JSON lines; blank lines and lines from # on are skipped. A line that isn't an object fails, or has error set."""
-    lines = spark.read.text(path).filter(~F.trim("value").rlike(r"^(#|$)"))
+def _objects(lines: DataFrame, schema: T.StructType, strict: bool) -> DataFrame:
     is_object = F.trim("value").startswith("{") & F.try_parse_json("value").isNotNull()
-    error = F.when(~is_object, F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 80)))
-    df = lines.select(F.from_json("value", CASE).alias("c"), error.alias("error"))
+    error = F.when(~is_object, F.concat(F.lit("not a JSON object in "), "file", F.lit(": "), F.substring("value", 1, 80)))
+    df = lines.select(F.from_json("value", schema).alias("c"), error.alias("error"))
     if strict:
         df = df.filter(F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).isNull()).otherwise(True))
     return df.select("c.*", "error")
 
 
+def numbered_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of the lines in small files that are no JSON objects, numbered from 1, for messages to people: each file is one row here."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "value"))
+    bad = (F.trim("value") != "") & ~(F.trim("value").startswith("{") & F.coalesce(F.try_parse_json("value").isNotNull(), F.lit(False)))
+    return files.filter(bad).select("file", (F.col("at") + 1).alias("line"), "value")
+
+
+def read_labelled(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Labelled JSON lines; blank lines and lines from # on are skipped. A line that isn't an object fails, or has error set."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")).filter(~F.trim("value").rlike(r"^(#|$)"))
+    return _objects(lines, CASE, strict)
+
+
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of evaluation cases."""
     return spark.read.schema(CASE).option("multiLine", True).json(path)
 
 
 def read_list(spark: SparkSession, path: str, lower: bool = False) -> DataFrame:
-    """A list file's keys: trimmed, without blanks and comments, each once."""
-    key = F.trim(F.regexp_replace("value", "#.*$", ""))
-    return spark.read.text(path).select((F.lower(key) if lower else key).alias("key")).filter("key <> ''").distinct()
+    """A list file's keys: trimmed lines, each once, without blank ones and those that begin with #."""
+    key = F.trim(F.col("value"))
+    return spark.read.text(path).filter(~key.rlike(r"^(#|$)")).select((F.lower(key) if lower else key).alias("key")).distinct()
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -59,6 +69,13 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def write_cases(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One file that holds a JSON array, in the order of id. For labelled sets, which people edit: all rows go through one task."""
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "true"}).alias("value"), "id").coalesce(1).sortWithinPartitions("id")
+    joined = rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "value"))), lambda x: x["value"]), ",\n ").alias("body"))
+    joined.select(F.concat(F.lit("["), "body", F.lit("]")).alias("value")).write.mode(mode).text(path)
+
+
 def post_views_to_events(views: DataFrame) -> DataFrame:
     """Hydrated posts as create events in event time; status is bad_payload where uri, did, record or creation time is missing."""
     created = parse_iso(F.col("record.createdAt"))

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from townwire.operators.index import first_wins
+from townwire.functions.times import HEALTHY_LAG_S, lag_seconds
+from townwire.operators.index import fold
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -30,33 +32,50 @@ def deduplicated(events: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def author_counters(strong: DataFrame, author: str, ts: str, key: str, days: float, delay: str) -> DataFrame:
+def clusters(times: np.ndarray, gap: int) -> list[list[int]]:
+    """[first, last, number] of the runs of times (microseconds) whose neighbours are a gap apart at most."""
+    times = np.sort(times)
+    cuts = [0, *(np.flatnonzero(np.diff(times) > gap) + 1), len(times)]
+    return [[int(times[a]), int(times[b - 1]), b - a] for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
+def merged(found: list[list[int]], gap: int) -> list[list[int]]:
+    """Clusters of several batches as one list, in time order. Exact, as times between two clusters' ends are near both."""
+    out: list[list[int]] = []
+    for first, last, n in sorted(found):
+        if out and first - out[-1][1] <= gap:
+            out[-1] = [out[-1][0], max(out[-1][1], last), out[-1][2] + n]
+        else:
+            out.append([first, last, n])
+    return out
+
+
+def author_counters(strong: DataFrame, author: str, ts: str, days: float, delay: str) -> DataFrame:
     """After every micro-batch, per author with new strong matches: the counter since the last gap.
 
-    State is (count, last time) per author and goes after the gap has passed by the
-    watermark. Rows of a batch are taken in time order.
+    State is (count, first and last time) per author and goes after the gap has passed by the
+    watermark. Rows of a batch may come in any order: each Arrow batch shrinks to its clusters,
+    of which there are no more than gaps, so an author with very many rows takes no memory.
     """
-    gap = pd.Timedelta(seconds=days * 86400)
+    gap = int(days * 86_400_000_000)
 
     def advance(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        count, last = state.get if state.exists else (0, None)
-        last = None if last is None else pd.Timestamp(last, unit="us")
-        rows = pd.concat(list(batches)).sort_values([ts, key])
-        for t in rows[ts]:
-            count = count + 1 if last is not None and t - last <= gap else 1
-            last = t
-        micros = int(last.value // 1000) if last.unit == "ns" else int(last.as_unit("us").value)
-        state.update((count, micros))
-        state.setTimeoutTimestamp(max(micros // 1000 + int(gap.total_seconds() * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({author: [who[0]], "strong_match_count": [count], "last_strong_at": [last]})
+        count, first, last = state.get if state.exists else (0, 0, 0)
+        found = [[first, last, count]] if count else []
+        for rows in batches:
+            found = merged(found + clusters(rows[ts].to_numpy("datetime64[us]").astype(np.int64), gap), gap)
+        first, last, count = found[-1]
+        state.update((count, first, last))
+        state.setTimeoutTimestamp(max((last + gap) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({author: [who[0]], "strong_match_count": [count], "last_strong_at": [pd.Timestamp(last, unit="us")]})
 
     kind = strong.schema[author].dataType.simpleString()
     return (
-        strong.withWatermark(ts, delay).groupBy(author)
-        .applyInPandasWithState(advance, f"{author} {kind}, strong_match_count long, last_strong_at timestamp", "count long, last_us long", "update", GroupStateTimeout.EventTimeTimeout)
+        strong.select(author, ts).withWatermark(ts, delay).groupBy(author)
+        .applyInPandasWithState(advance, f"{author} {kind}, strong_match_count long, last_strong_at timestamp", "count long, first_us long, last_us long", "update", GroupStateTimeout.EventTimeTimeout)
     )
 
 
@@ -86,9 +105,21 @@ def append_batches(df: DataFrame, path: str, checkpoint: str):
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def compact(spark: SparkSession, path: str, key: str, *order: str) -> DataFrame:
-    """The appended log folded to one row per key."""
-    return first_wins(spark.read.parquet(path), key, *order)
+def compact(spark: SparkSession, path: str, ts: str = "ts") -> DataFrame:
+    """The appended log of creates and deletes folded to the rows that live: deletes are tombstones, whatever batch they came in."""
+    return fold(spark.read.parquet(path), ts)
+
+
+def lag_health(events: DataFrame, ts: str, now: Column, *keys: str) -> DataFrame:
+    """How far the newest event, overall or of each key, is behind: lag_s, and whether that is healthy. Without events both are null."""
+    newest = events.groupBy(*keys).agg(F.max(F.unix_micros(F.col(ts).cast("timestamp"))).alias("newest"))
+    lag = lag_seconds(F.col("newest"), F.unix_micros(now.cast("timestamp")))
+    return newest.select(*keys, lag.alias("lag_s"), (lag < HEALTHY_LAG_S).alias("healthy"))
+
+
+def observed(stream: DataFrame, ts: str, name: str = "lag") -> DataFrame:
+    """The stream with its newest event time and number of rows as metrics of every micro-batch's progress."""
+    return stream.observe(name, F.max(ts).alias("newest"), F.count(F.lit(1)).alias("n"))
 
 
 def run_available(df: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
