@@ -5,20 +5,25 @@
 2. Only the histogram of piece lengths (at most as many rows as a sequence has tokens)
    reaches the driver. There, patterns of one to three lengths that fill a sequence are
    enumerated, their repeat counts fitted to the histogram by non-negative least squares
-   and rounded down, and what is left is packed best-fit by decreasing length. The result
-   is a list of runs: "these ranks of this length go to these sequences at this offset".
-3. Each piece gets its rank among the pieces of its length, counted in two steps (within
-   hashed buckets, then over the buckets), so a length that a third of all pieces share
-   isn't ranked in one task. The run that holds the rank gives sequence and offset.
+   and rounded down, and what is left is packed best-fit by decreasing length. Exchanges
+   mend the rounding: the emptiest sequences and some others are emptied and packed anew as
+   long as that saves one or gathers the room. The result is a list of runs: "these ranks of
+   this length go to these sequences at this offset".
+3. Each piece gets its rank among the pieces of its length, counted in three steps (within
+   hashed buckets, over the buckets of a group, over groups), so a length that a third of
+   all pieces share isn't ranked in one task. The run that holds the rank gives sequence and
+   offset.
 
 Defined cases: a null or empty text is one piece that holds the end id alone; rows with a
-null or repeated doc_id are packed like others (a repeated doc_id has its pieces twice); an
-empty table gives no rows; no text is cut short.
+null or repeated doc_id are packed like others (a repeated doc_id has its pieces twice), as
+pieces are told apart by a number of their row; an empty table gives no rows; no text is cut
+short.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter
 
 import numpy as np
@@ -33,26 +38,30 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 #: Pieces that one ranking bucket holds on average.
 BUCKET_ROWS = 50_000
+#: Buckets of one group.
+GROUP = 1_000
+#: Rounds of exchanges, sequences that one empties, and the noises that the order of their pieces is tried with.
+EXCHANGES, EXCHANGED, NOISES = 200, 40, (0, 30, 100, 300)
 #: Patterns of three lengths that the fit may use besides all pairs.
 TRIPLES = 4_000
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
-    """One row per piece: where it starts among its document's ids, its length, and the crc32 of its ids."""
+    """One row per piece: its document's row, where it starts among its ids, its length, and the crc32 of its ids."""
 
     def run(slices):
         encode = encoder(vocabulary).encode_to_numpy
         for x in slices:
-            out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for doc_id, text in zip(x["doc_id"], x["text"]):
+            out = {k: [] for k in ("row", "doc_id", "piece", "start", "length", "ids_crc32")}
+            for row, doc_id, text in zip(x["row"], x["doc_id"], x["text"]):
                 ids = np.append(encode(text, allowed_special="all"), end_id).astype("<u4")
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    for name, value in zip(out, (doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes()))):
+                    for name, value in zip(out, (row, doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes()))):
                         out[name].append(value)
             yield out
 
-    return map_slices(texts(docs), run, PIECES)
+    return map_slices(texts(docs).withColumn("row", F.monotonically_increasing_id()), run, f"row long, {PIECES}")
 
 
 def patterns(counts: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
@@ -119,6 +128,48 @@ def best_fit(counts: np.ndarray, capacity: int) -> Counter:
     return out
 
 
+def repacked(pieces: list[int], capacity: int) -> list[list[int]]:
+    """Best-fit in the given order."""
+    rooms: list[tuple[int, int]] = []
+    out: list[list[int]] = []
+    for n in pieces:
+        i = bisect_left(rooms, (n, -1))
+        if i < len(rooms):
+            room, k = rooms.pop(i)
+        else:
+            room, k = capacity, len(out)
+            out.append([])
+        out[k].append(n)
+        if room > n:
+            insort(rooms, (room - n, k))
+    return out
+
+
+def exchanged(chosen: Counter, capacity: int) -> Counter:
+    """The same pieces after exchanges, of which each saves a sequence or gathers room in fewer. Their cost doesn't depend on the number of pieces."""
+    rng = np.random.default_rng(0)
+    square = lambda packed: -sum(sum(q) ** 2 * n for q, n in packed)
+    for _ in range(EXCHANGES):
+        taken: Counter = Counter()
+        for q in sorted((q for q in chosen if sum(q) < capacity), key=lambda q: (sum(q), q)):
+            taken[q] = min(chosen[q], EXCHANGED // 2 - taken.total())
+            if taken.total() >= EXCHANGED // 2:
+                break
+        if not taken:
+            break
+        others = sorted(q for q, n in chosen.items() if len(q) > 1 and n > taken[q])
+        taken.update(others[i] for i in rng.permutation(len(others))[: EXCHANGED // 2])
+        pieces = np.array([n for q, k in taken.items() for n in q * k])
+        if -(-int(pieces.sum()) // capacity) >= taken.total():
+            continue
+        tried = [repacked(pieces[np.argsort(-(pieces + rng.random(len(pieces)) * noise), kind="stable")].tolist(), capacity) for noise in NOISES]
+        best = min(tried, key=lambda t: (len(t), square((q, 1) for q in t)))
+        if (len(best), square((q, 1) for q in best)) < (taken.total(), square(taken.items())):
+            chosen = chosen - taken
+            chosen.update(tuple(sorted(q, reverse=True)) for q in best)
+    return chosen
+
+
 def plan(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
     """Runs of ranks: length, first rank, first sequence, offset. Their number depends on the lengths, not on the pieces."""
     left, chosen = counts.astype(np.int64).copy(), Counter()
@@ -132,9 +183,7 @@ def plan(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
             for a, k in need.items():
                 left[a] -= n * k
     chosen.update(best_fit(left, capacity))
-    alone = best_fit(counts.astype(np.int64), capacity)
-    if sum(alone.values()) < sum(chosen.values()):  # rounding may cost more than the fit gains
-        chosen = alone
+    chosen = exchanged(chosen, capacity)
     runs, rank, sequence = [], Counter(), 0
     for pattern, n in sorted(chosen.items(), reverse=True):
         offset = 0
@@ -150,12 +199,15 @@ def plan(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
 def ranked(pieces: DataFrame, n_pieces: int) -> DataFrame:
     """Each piece with its rank among those of its length, from 0."""
     n_buckets = max(8, -(-n_pieces // BUCKET_ROWS))
-    p = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_buckets)))
-    within = W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sizes = p.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    starts = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    return p.withColumn("row", F.row_number().over(within)).join(starts, ["length", "bucket"]).withColumn("rank", F.col("first") + F.col("row") - 1)
+    p = pieces.withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), F.lit(n_buckets)))
+    within = W.partitionBy("length", "bucket").orderBy("row", "piece")
+    before = lambda *keys: W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    sizes = p.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("group", F.floor(F.col("bucket") / GROUP))
+    groups = sizes.groupBy("length", "group").agg(F.sum("n").alias("n"))
+    groups = groups.select("length", "group", F.coalesce(F.sum("n").over(before("length").orderBy("group")), F.lit(0)).alias("group_first"))
+    starts = sizes.withColumn("first", F.coalesce(F.sum("n").over(before("length", "group").orderBy("bucket")), F.lit(0))).join(groups, ["length", "group"])
+    starts = starts.select("length", "bucket", (F.col("first") + F.col("group_first")).alias("first"))
+    return p.withColumn("at", F.row_number().over(within)).join(starts, ["length", "bucket"]).withColumn("rank", F.col("first") + F.col("at") - 1)
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
