@@ -79,15 +79,16 @@ def release(spark: SparkSession, scopes: Iterable[str], still_read: DataFrame) -
 HOT_SHARE = 2_000
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str, total: int) -> DataFrame:
+def join_counted(rows: DataFrame, counted: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
     """rows joined with a table of one row per key, whose column n adds up to total at most.
 
     Hot keys are broadcast (fewer than HOT_SHARE rows, by their counts), so their rows stay
     where they are; all others are shuffled.
     """
+    keys = [key] if isinstance(key, str) else key
     hot = F.broadcast(counted.filter(F.col(n) > total / HOT_SHARE))
-    rest = rows.join(hot.select(key), key, "left_anti")
-    return rows.join(hot, key).unionByName(rest.join(counted.filter(F.col(n) <= total / HOT_SHARE), key))
+    rest = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(counted.filter(F.col(n) <= total / HOT_SHARE), keys))
 
 
 def map_slices(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:

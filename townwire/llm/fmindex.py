@@ -1,4 +1,4 @@
-"""A compressed FM-index over word ids: a wavelet matrix of the Burrows-Wheeler transform, searched for many patterns at once."""
+"""A compressed FM-index over word ids: a wavelet matrix of the Burrows-Wheeler transform, as many bits a word as an id needs, searched for many patterns at once."""
 
 from __future__ import annotations
 
@@ -34,7 +34,7 @@ class WaveletMatrix:
             bits = (symbols >> level) & 1
             packed = np.packbits(np.pad(bits.astype(np.uint8), (0, 64 - len(bits) % 64)), bitorder="little").view(np.uint64)
             self.words.append(packed)
-            self.sums.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)]))
+            self.sums.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int32)]))
             self.zeros.append(int(len(bits) - bits.sum()))
             symbols = np.concatenate([symbols[bits == 0], symbols[bits == 1]])
 
@@ -53,7 +53,7 @@ class FMIndex:
     def __init__(self, texts: list[np.ndarray], n_symbols: int):
         """n_symbols: one more than the largest id."""
         self.starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-        self.symbols = np.zeros(sum(len(t) + 1 for t in texts), np.int64)
+        self.symbols = np.zeros(sum(len(t) + 1 for t in texts), np.int32)
         for at, t in zip(self.starts, texts):
             self.symbols[at : at + len(t)] = t
         self.n = len(self.symbols)
