@@ -298,6 +298,59 @@ def test_anchors_are_closed_syncmers(spark):
     assert {(x >> 24, (x & 0xFFFFFF) + 2) for x in got if x >> 24 in common} == {(x >> 24, x & 0xFFFFFF) for x in shifted if x >> 24 in common}
 
 
+def anchors_by_force(text):
+    """{hash: first place} by the definition, with the standard XXH64."""
+    import regex
+    import xxhash
+
+    def chained(*parts):
+        seed = 42
+        for x in parts:
+            seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x.to_bytes(8, "little", signed=True), seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    consonants = "bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ56789"
+    pieces = regex.findall(rf"[{consonants}]+[^\s{consonants}]?|[^\s{consonants}]", text)
+    low = lambda h: h & 0xFFFFFFFF
+    inner = [chained(a, b) for a, b in zip(pieces, pieces[1:])]
+    found = {}
+    for i in range(len(pieces) - 5):
+        window = inner[i : i + 5]
+        if min(window) in (window[0], window[4]):
+            found.setdefault(low(chained(window[0], window[2], window[4])), i)
+    return found or ({low(chained(" ".join(pieces))): 0} if pieces else {})
+
+
+def likeness_by_force(a, b):
+    if not a and not b:
+        return 1.0
+    apart = Counter(b[h] - a[h] for h in a.keys() & b.keys())
+    agreed = sum(n for n in apart.values() if n > 1 or min(len(a), len(b)) == 1)
+    return agreed / (len(a) + len(b) - len(a.keys() & b.keys()))
+
+
+def test_fingerprints_match_brute_force(spark):
+    rng = random.Random(12)
+    cjk = "".join(chr(0x4E00 + rng.randrange(800)) for _ in range(400))
+    rows = [(d, t) for d, t in awkward(11, 25) if d is not None] + [(5000, cjk), (5001, "的" + cjk[:300]), (5002, "x" * 4000), (5003, "Größe ñandú 12345 67890 été")]
+    rows = list({d: (d, t) for d, t in rows}.values())
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_pairs(documents(spark, rows), keep=None).collect()}
+    order = sorted((d, t or "") for d, t in rows)
+    for (d, t), (_, after) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        own, edited, following = (anchors_by_force(x) for x in (t, t[: len(t) - half] + after[:half], after))
+        assert got[d]["fingerprint"] == "".join(f"{h:08x}{p:06x}" for h, p in sorted(own.items()))
+        assert got[d]["edited_fingerprint"] == "".join(f"{h:08x}{p:06x}" for h, p in sorted(edited.items()))
+        assert got[d]["near_edited"] == pytest.approx(likeness_by_force(own, edited)) and got[d]["near_next"] == pytest.approx(likeness_by_force(own, following))
+
+
+@pytest.mark.parametrize("text", ["".join(chr(0x4E00 + (k * k * 7919 + k) % 5000) for k in range(3000)), "".join(random.Random(4).choices("abcdefghijklmnopqrstuvwxyz", k=3000))])
+def test_texts_without_spaces_keep_their_anchors(spark, text):
+    rows = [text, "x" + text, text[:1500] + "y" + text[1500:]]
+    own, ahead, inside = ({x >> 24 for x in r["a"]} for r in spark.createDataFrame(list(enumerate(rows)), "i int, t string").orderBy("i").select(fingerprints.anchors(F.col("t")).alias("a")).collect())
+    assert len(own & ahead) > 0.9 * len(own) and len(own & inside) > 0.9 * len(own)
+
+
 def labelled(spark, n=600):
     rng = random.Random(4)
     filler = ["der", "said", "not", "you", "house", "tree", "lamp", "river", "stone", "green", "walks", "."]
