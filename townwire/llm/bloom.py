@@ -1,8 +1,8 @@
-"""Two Bloom filters of fixed size, for hashes seen once and seen twice, built without gathering the hashes anywhere.
+"""Two Bloom filters of bounded size, for hashes seen once and seen twice, built without gathering the hashes anywhere.
 
 The filters are cut into shards by a hash's top bits. Tasks send each hash to its shard, at
 most twice per task; a shard notes it in its first filter and, if all its bits were set
-there, in its second. Only the second filters are returned: a fixed number of bits.
+there, in its second. Only the second filters are returned: a bounded number of bits.
 """
 
 from __future__ import annotations
@@ -15,12 +15,23 @@ from pyspark.sql import DataFrame
 
 from townwire.llm.common import map_slices
 
-#: Bits of each of the two filters (2^26: 8 MB), the shards they are built in, and probes per hash.
-FILTER_BITS, SHARDS, PROBES = 1 << 26, 64, 2
+#: Least and most bits of each of the two filters (2^30: 128 MB), bits for each hash between them, and probes per hash.
+LEAST_BITS, MOST_BITS, BITS_PER_HASH, PROBES = 1 << 23, 1 << 30, 12, 2
+#: Bits of one shard, so that there are more shards, and tasks that build them, for more hashes.
+SHARD_BITS = 1 << 20
 #: Hashes that a task gathers before it sends them on.
 FLUSH = 500_000
 
 
+def bits_for(n_hashes: int) -> int:
+    """A power of two. Beyond MOST_BITS the filters fill up, which lets more hashes through but never fewer."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (max(1, BITS_PER_HASH * n_hashes) - 1).bit_length()))
+
+
+def shards_for(bits: int) -> int:
+    return max(1, bits // SHARD_BITS)
+
+
 def probes(hashes: np.ndarray, bits: int) -> np.ndarray:
     """Places of each hash in a shard of so many bits."""
     low, high = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(26)) & np.uint64(0xFFFFFFFF) | np.uint64(1)
@@ -28,11 +39,12 @@ def probes(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return (hashes >> np.uint64(58)).astype(np.int64) % shards
+    return (hashes >> np.uint64(44)).astype(np.int64) % shards
 
 
-def twice_filters(rows: DataFrame, hashes_of: Callable[[dict], Iterable[np.ndarray]], bits: int = FILTER_BITS, shards: int = SHARDS) -> list[bytes | None]:
+def twice_filters(rows: DataFrame, hashes_of: Callable[[dict], Iterable[np.ndarray]], bits: int = LEAST_BITS) -> list[bytes | None]:
     """The second filter by shard, as packed bits. hashes_of gives arrays of hashes for a slice of rows."""
+    shards = shards_for(bits)
 
     def send(slices) -> Iterator[dict]:
         def flush(found: list[np.ndarray]) -> Iterator[dict]:
@@ -78,7 +90,7 @@ def twice_filters(rows: DataFrame, hashes_of: Callable[[dict], Iterable[np.ndarr
 class Twice:
     """Tests hashes against the second filters."""
 
-    def __init__(self, filters: list[bytes | None], bits: int = FILTER_BITS):
+    def __init__(self, filters: list[bytes | None], bits: int = LEAST_BITS):
         self.filters = [None if f is None else np.frombuffer(f, np.uint8) for f in filters]
         self.size = bits // len(filters)
 

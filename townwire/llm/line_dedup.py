@@ -3,7 +3,7 @@
 1. Every document sends the 64-bit hashes of its distinct line keys, each at most twice per
    task, to the shard of the filters that the hash falls into. A shard's first filter notes
    hashes seen once, its second those that met a set bit in the first: seen twice.
-2. The second filters (a fixed number of bits, whatever the input) go to all tasks. Only
+2. The second filters (sized by the number of lines, up to a bound) go to all tasks. Only
    lines whose key tests positive there, suspected repeats, leave the documents, as
    (digest, doc_id). Their exact counts confirm them and pick the occurrence to keep; a
    false positive of the filters is counted once and stays. Fuller filters only let more
@@ -27,11 +27,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townwire.llm.bloom import FILTER_BITS, Twice, twice_filters
+from townwire.llm.bloom import Twice, bits_for, twice_filters
 from townwire.llm.common import append_columns, join_counted, map_slices, stored, texts, with_text
 
 SPACE = b" \t\n\x0b\x0c\r"
 
+
 def keys_of(text: str, min_chars: int) -> list[bytes | None]:
     """Per line its key, None where that is too short."""
     out = []
@@ -59,7 +60,7 @@ def distinct_keys(doc_id: int | None, text: str, min_chars: int) -> list[bytes]:
 def suspects(docs: DataFrame, min_chars: int, bits: int) -> DataFrame:
     """(key, doc_id) of the distinct keys of each document that may be repeated."""
     filters = twice_filters(texts(docs), lambda x: [hashes(distinct_keys(d, t, min_chars)) for d, t in zip(x["doc_id"], x["text"])], bits)
-    sent = docs.sparkSession.sparkContext.broadcast(filters)  # a fixed number of bits
+    sent = docs.sparkSession.sparkContext.broadcast(filters)  # a bounded number of bits
 
     def run(slices):
         twice = Twice(sent.value, bits)
@@ -76,8 +77,11 @@ def suspects(docs: DataFrame, min_chars: int, bits: int) -> DataFrame:
     return map_slices(texts(docs), run, "key binary, doc_id long")
 
 
-def lost_keys(docs: DataFrame, min_chars: int, min_docs: int, bits: int = FILTER_BITS) -> DataFrame:
+def lost_keys(docs: DataFrame, min_chars: int, min_docs: int, bits: int | None = None) -> DataFrame:
     """(doc_id, keys) of the documents that lose lines."""
+    if bits is None:
+        ends = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n")))
+        bits = bits_for(texts(docs).agg(F.coalesce(F.sum(ends + 1), F.lit(0))).first()[0])
     found = stored(suspects(docs, min_chars, bits), "suspects")
     # in two steps, as a document may come in several rows: pairs first, then documents per key
     repeated = found.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("kept")).filter(F.col("n") >= min_docs)

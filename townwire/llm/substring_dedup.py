@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townwire.llm.bloom import Twice, twice_filters
+from townwire.llm.bloom import Twice, bits_for, twice_filters
 from townwire.llm.common import append_columns, join_counted, map_slices, stored, texts, with_text
 
 WINDOW, GRAM = 35, 8
@@ -190,10 +190,11 @@ def trimmed(crowded: DataFrame, window: int) -> DataFrame:
     def all_hashes(x: dict) -> list[np.ndarray]:
         return [np.repeat(window_hashes(w.split(), powers, window), min(t, 2)) for w, t in zip(x["words"], x["times"])]
 
-    sent = crowded.sparkSession.sparkContext.broadcast(twice_filters(crowded.select("words", "times"), all_hashes))  # a fixed number of bits
+    bits = bits_for(crowded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    sent = crowded.sparkSession.sparkContext.broadcast(twice_filters(crowded.select("words", "times"), all_hashes, bits))  # a bounded number of bits
 
     def run(slices):
-        twice = Twice(sent.value)
+        twice = Twice(sent.value, bits)
         for x in slices:
             out = {k: [] for k in ("mini", "run", "check", "times", "offset", "n", "words")}
             for mini, own, check, times, text in zip(x["mini"], x["run"], x["check"], x["times"], x["words"]):
