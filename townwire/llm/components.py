@@ -16,15 +16,15 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds grow with the logarithm of a component's size.
     """
     e = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
-    before = None
+    n = e.count()
     while True:
-        state = e.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
-        if state == before:
-            return e.select(F.col("b").alias("node"), F.col("a").alias("component")).union(e.select("a", F.col("a"))).distinct()
-        before = state
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.filter("v > u").join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("u").alias("b")), F.struct(F.least("v", "m").alias("a"), F.greatest("v", "m").alias("b")))).alias("x"))
-        e = stored(small.select("x.*").filter("a < b").distinct(), "edges")
+        new = stored(small.select("x.*").filter("a < b").distinct(), "edges")
+        n_before, n = n, new.count()
+        if n == n_before and new.join(e, ["a", "b"], "left_anti").isEmpty():  # no row is new
+            return e.select(F.col("b").alias("node"), F.col("a").alias("component")).union(e.select("a", F.col("a"))).distinct()
+        e = new

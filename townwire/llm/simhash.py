@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townwire.llm.common import map_slices, stored, texts
+from townwire.llm.common import join_counted, map_slices, stored, texts
 from townwire.llm.components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -105,16 +105,16 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def links(classes: DataFrame) -> DataFrame:
+def links(classes: DataFrame, n_classes: int) -> DataFrame:
     """Edges (a, b) between classes (fp, rep), enough to connect all that are linked."""
     field = lambda k: F.shiftrightunsigned("fp", BLOCKS[k][0]).bitwiseAND(F.lit((1 << BLOCKS[k][1]) - 1))
     buckets = [(F.lit(t << 26).cast("long") + field(i) * F.lit(1 << 13) + field(j)) for t, (i, j) in enumerate(combinations(range(5), 2))]
     dealt = classes.select("fp", "rep", F.explode(F.array(*buckets)).alias("bucket"))
-    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = stored(dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     chunks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     placed = (
-        dealt.join(sizes, "bucket").withColumn("chunks", chunks).withColumn("own", own)
+        join_counted(dealt, sizes, "bucket", "n", len(buckets) * n_classes).withColumn("chunks", chunks).withColumn("own", own)
         .select("fp", "rep", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
         .select("fp", "rep", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("block"))
     )
@@ -144,22 +144,21 @@ def links(classes: DataFrame) -> DataFrame:
         if held:
             yield found(held[0][0], held[0][1])
 
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(compare, "a long, b long")
+    return placed.repartition("block").sortWithinPartitions("block").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, fp (64 bits as a long), component_id (the smallest doc_id reachable)."""
     found = stored(fingerprints(docs), "fingerprints")
-    classes = found.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    classes = stored(found.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes")
     # a doc_id that comes with several texts ties their classes together
     pairs = found.filter("doc_id is not null").distinct()
     several = pairs.join(pairs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1"), "doc_id", "left_semi")
     shared = several.join(classes, "fp").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    edges = links(classes.filter("rep is not null")).unionByName(shared)
+    edges = links(classes.filter("rep is not null").select("fp", "rep"), classes.count()).unionByName(shared)
     of = components(edges)
-    named = classes.join(of, classes["rep"] == of["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = classes.join(of, classes["rep"] == of["node"], "left").select("fp", "rows", F.coalesce("component", "rep").alias("component_id"))
+    return join_counted(found, stored(named, "named"), "fp", "rows", found.count()).select("doc_id", "fp", "component_id")
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
