@@ -5,7 +5,8 @@
 2. Only the histogram of piece lengths (at most as many rows as a sequence has tokens)
    reaches the driver. There, patterns of one to three lengths that fill a sequence are
    enumerated, their repeat counts fitted to the histogram by non-negative least squares
-   and rounded down, and what is left is packed best-fit by decreasing length. Exchanges
+   and rounded down (all or a large share of them, whichever packs better), and what is left
+   is packed best-fit by decreasing length. Exchanges
    mend the rounding: the emptiest sequences and some others are emptied and packed anew as
    long as that saves one or gathers the room. The result is a list of runs: "these ranks of
    this length go to these sequences at this offset".
@@ -40,6 +41,8 @@ PACKED = PIECES + ", sequence_id long, offset long"
 BUCKET_ROWS = 50_000
 #: Buckets of one group.
 GROUP = 1_000
+#: Shares of the fitted repeats that are tried, as few lengths of many pieces each leave odd remainders; the fewest sequences win.
+SHARES = (1.0, 0.8, 0.6, 0.4)
 #: Rounds of exchanges, sequences that one empties, and the noises that the order of their pieces is tried with.
 EXCHANGES, EXCHANGED, NOISES = 200, 40, (0, 30, 100, 300)
 #: Patterns of three lengths that the fit may use besides all pairs.
@@ -170,11 +173,9 @@ def exchanged(chosen: Counter, capacity: int) -> Counter:
     return chosen
 
 
-def plan(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
-    """Runs of ranks: length, first rank, first sequence, offset. Their number depends on the lengths, not on the pieces."""
-    left, chosen = counts.astype(np.int64).copy(), Counter()
-    pats = patterns(left, capacity)
-    x = fit(pats, left.astype(float))
+def rounded(pats: list[tuple[int, ...]], x: np.ndarray, counts: np.ndarray, capacity: int) -> Counter:
+    """The fitted repeats rounded down, as far as the stock goes, and the rest best-fit."""
+    left, chosen = counts.copy(), Counter()
     for i in np.argsort(-x, kind="stable"):
         need = Counter(pats[i])
         n = min([int(x[i] + 1e-6), *(int(left[a]) // k for a, k in need.items())])
@@ -183,7 +184,22 @@ def plan(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
             for a, k in need.items():
                 left[a] -= n * k
     chosen.update(best_fit(left, capacity))
-    chosen = exchanged(chosen, capacity)
+    return chosen
+
+
+def plan(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
+    """Runs of ranks: length, first rank, first sequence, offset. Their number depends on the lengths, not on the pieces."""
+    counts = counts.astype(np.int64)
+    pats = patterns(counts, capacity)
+    x = fit(pats, counts.astype(float))
+    bound = -(-int(counts @ np.arange(len(counts))) // capacity)
+    chosen: Counter | None = None
+    for share in SHARES:
+        tried = exchanged(rounded(pats, share * x, counts, capacity), capacity)
+        if chosen is None or tried.total() < chosen.total():
+            chosen = tried
+        if chosen.total() <= bound:
+            break
     runs, rank, sequence = [], Counter(), 0
     for pattern, n in sorted(chosen.items(), reverse=True):
         offset = 0
