@@ -67,10 +67,10 @@ class PieceTransducer:
         self._compile_spines()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.arcs = {p: self.id_of[p] for p in self.right_spine}
-        self.reach: dict[str, int] = {}  # the longest arc that ends with these two characters
+        self.reach: dict[str, int] = {}  # the longest arc that ends with these three characters
         for p in self.arcs:
-            if len(p) > 1:
-                self.reach[p[-2:]] = max(self.reach.get(p[-2:], 1), len(p))
+            if len(p) > 2:
+                self.reach[p[-3:]] = max(self.reach.get(p[-3:], 2), len(p))
         self.starts: dict[str, str] = {}  # the last arc of starts of words
         self.memo: dict[str, tuple[int, ...]] = {}
 
@@ -136,17 +136,17 @@ class PieceTransducer:
 
     def shortest(self, part: str) -> tuple[int, ...]:
         """Ids on the path of weight 0 through the lattice of one part."""
-        arcs, pairs, starts = self.arcs, self.pairs, self.starts
+        arcs, starts, reach, known = self.arcs, self.starts, self.reach.get, self.pairs.get
         last = [""]  # the one arc of finite weight into each position
         for end in range(1, len(part) + 1):
             prefix = part[:end] if end <= PREFIX else None
             arc = starts.get(prefix)
             if arc is None:
-                for begin in range(max(0, end - self.reach.get(part[end - 2 : end], 1)), end):
+                for begin in range(max(0, end - reach(part[end - 3 : end], 2)) if end > 2 else 0, end):
                     arc = part[begin:end]
                     if arc in arcs:
                         before = last[begin]
-                        follow = pairs.get((before, arc))
+                        follow = known((before, arc))
                         if follow or follow is None and self._follows(before, arc):
                             break
                 else:
@@ -156,9 +156,14 @@ class PieceTransducer:
             last.append(arc)
         path, at = [], len(part)
         while at:
-            path.append(last[at])
-            at -= len(last[at])
-        return tuple(i for arc in reversed(path) for i in ((arcs[arc],) if arc in arcs else map(self.byte_id.__getitem__, arc.encode())))
+            arc = last[at]
+            own = arcs.get(arc)
+            if own is None:
+                path.extend(map(self.byte_id.__getitem__, reversed(arc.encode())))
+            else:
+                path.append(own)
+            at -= len(arc)
+        return tuple(reversed(path))
 
     def _run(self, n: int) -> list[int]:
         """Ids of n meta symbols in a row, merged leftmost first."""
@@ -217,18 +222,23 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
     """One row per row of docs: ids, their number and crc32 (little-endian unsigned 32-bit), and what they decode to. A map without shuffle."""
 
     def run(slices):
+        import pyarrow as pa
+
         t = transducer(model)
         for x in slices:
             ids = t.encode(x["text"])
             back = [t.decode(i) for i in ids]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            ends = np.cumsum(n)
+            flat = np.fromiter(chain.from_iterable(ids), "<i4", int(n.sum()))
             yield {
                 "doc_id": x["doc_id"],
                 "n_chars": [len(text) for text in x["text"]],
-                "n_pieces": [len(i) for i in ids],
-                "ids_crc32": [zlib.crc32(np.asarray(i, "<u4").tobytes()) for i in ids],
+                "n_pieces": n,
+                "ids_crc32": [zlib.crc32(flat[b - k : b].tobytes()) for b, k in zip(ends, n)],
                 "decoded_sha256": [hashlib.sha256(text.encode()).hexdigest() for text in back],
                 "round_trip": [text.replace(META, " ") == y for text, y in zip(x["text"], back)],
-                "ids": ids,
+                "ids": pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat)),
             }
 
     return map_slices(texts(docs), run, SCHEMA)
