@@ -127,6 +127,15 @@ def test_each_class_is_matched_once_in_the_plan(spark):
     assert plan.count("horoscope") == 1 and plan.count("split(") == 1 and "Exchange" not in cascade.decide(df, PACK, LEXICON)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_words_need_no_regular_expression(spark):
+    """Single words have none; there is one for each surface of several words, and one for texts that mention a handle."""
+    from townwire.plans import registry
+
+    df = spark.createDataFrame([("a",)], "text string")
+    plan = registry.decided(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 3
+
+
 def narrow_hits(df, lex):
     d, read = reading(df, F.col("t"))
     return {r["k"]: (r["h"]["entity_id"], r["h"]["surface"]) for r in d.select("k", lex.hit(read).alias("h")).collect() if r["h"]}

@@ -69,7 +69,7 @@ class Lexicon:
             hits = F.regexp_extract_all(text.text, F.lit(f"(?iu)(?={body})"), F.lit(1))
             parts.append(F.when(may_hold(others, text), F.array_min(F.transform(hits, lambda h: F.element_at(ranks, F.lower(h))))))
         best = F.least(*parts) if len(parts) > 1 else parts[0]
-        return F.when(best.isNotNull(), F.get(table, best))
+        return F.get(table, best)
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(s.surface, s.entity_id, s.region, i) for i, s in enumerate(self.surfaces)], "surface string, entity_id string, region string, ord int")
