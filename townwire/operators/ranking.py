@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from townwire.operators.gates import FeedConfig
+
 MIN_PAGE, MAX_PAGE, DEFAULT_PAGE = 1, 100, 20
 END = "eof"
 
@@ -80,11 +82,21 @@ def rankings() -> dict[str, Ranking]:
     }
 
 
+def page_of(index: DataFrame, config: FeedConfig, cursor: str | None = None, limit: int | None = None) -> DataFrame:
+    """A page of the ranking that the settings name."""
+    modes = rankings()
+    if config.ranking not in modes:
+        raise ValueError(f"unknown ranking {config.ranking!r}, not one of {sorted(modes)}")
+    return modes[config.ranking].page(index, cursor, limit)
+
+
 def page_numbers(index: DataFrame, ranking: Ranking, per_page: int) -> DataFrame:
-    """Every row's page, from 0: counted in two steps over ranges of the leading key, so no task sorts the whole index."""
+    """Every row's page, from 0: counted in two steps over ranges of all sort keys, so no task sorts the whole index, nor all rows of one leading key.
+
+    The ranges are made once: both steps read one shuffle.
+    """
     df = ranking.keyed(index)
-    lead = ranking.keys[0][0]
-    parts = df.repartitionByRange(F.desc(lead)).withColumn("_townwire_part", F.spark_partition_id())
+    parts = df.repartitionByRange(*ranking.order()).withColumn("_townwire_part", F.spark_partition_id())
     sizes = parts.groupBy("_townwire_part").agg(F.count("*").alias("_townwire_n"))
     before = F.coalesce(F.sum("_townwire_n").over(W.orderBy("_townwire_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_townwire_part", before.alias("_townwire_before"))  # one row per partition

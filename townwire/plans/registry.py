@@ -285,17 +285,17 @@ def _page(df: DataFrame) -> DataFrame:
 
 @query(_rank_sql("indexed_at desc"))
 def rank_indexed(spark, sf_dir):
-    return _page(ranking.rankings()["indexed"].page(index(spark, sf_dir), limit=100))
+    return _page(ranking.page_of(index(spark, sf_dir), gates.FeedConfig(), limit=100))
 
 
 @query(_rank_sql("created_at desc nulls last, indexed_at desc"))
 def rank_created(spark, sf_dir):
-    return _page(ranking.rankings()["created"].page(index(spark, sf_dir), limit=100))
+    return _page(ranking.page_of(index(spark, sf_dir), gates.FeedConfig(ranking="created"), limit=100))
 
 
 @query(_rank_sql(BY_SCORE))
 def rank_engagement(spark, sf_dir):
-    return _page(ranking.rankings()["engagement"].page(index(spark, sf_dir), limit=100))
+    return _page(ranking.page_of(index(spark, sf_dir), gates.FeedConfig(ranking="engagement"), limit=100))
 
 
 @query(f"with {INDEX_SQL}, r as (select *, row_number() over (order by {BY_SCORE}, cid desc, uri desc) as rn from idx) select uri, cid, indexed_at, created_at, like_count, repost_count from r where rn between 41 and 60")
