@@ -135,7 +135,7 @@ LIVE_SQL = f"""{LINES_SQL.replace("src as (", "base as (")},
     opened as (select * from sig where not reply and not (ts - created_at > interval 1 day) and not contains(lower(text || ' ' || alt_text), 'inger')),
     {_history_sql('opened')},
     gone as (select uri, ts + interval 2 hour as gone_at from src where doc_id % 9 = 4),
-    kept as (select h.* from h left join gone using (uri) where matched and gone.uri is null and ts >= (select max(ts) + interval 2 hour from src) - interval 20 day),
+    kept as (select h.* from h left join gone using (uri) where matched and gone.uri is null and ts >= (select max(case when doc_id % 9 = 4 then ts + interval 2 hour else ts end) from src) - interval 20 day),
     liked as (select 'at://did:' || author_did || '/app.bsky.feed.post/' || uri as uri, k, ts + to_minutes((k * 7 - 30)::bigint) as liked_at from base, (select unnest(range(12)) as k) where k <= pos % 12)
     """
 
