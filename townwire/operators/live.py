@@ -45,16 +45,20 @@ def index_rows(posts: DataFrame, pack: RulePack, config: FeedConfig | None = Non
     return kept.select("uri", "cid", "author_did", "reply_parent", "reply_root", F.col("reason").alias("match_reason"), "created_at", F.col("ts").alias("indexed_at"))
 
 
-def live_index(posts: DataFrame, engagement: DataFrame, pack: RulePack, config: FeedConfig | None = None, now: Column | None = None, **more) -> DataFrame:
+def live_index(posts: DataFrame, engagement: DataFrame, pack: RulePack, config: FeedConfig | None = None, now: Column | None = None, path: str | None = None, **more) -> DataFrame:
     """The whole index after a stretch of the stream: kept posts that no later delete removes, with their engagement, within the retention time.
 
     posts and engagement are what sources.commits gives. Engagement counts from a post's
-    indexing on, also where the post came in the same stretch.
+    indexing on, also where the post came in the same stretch. path: a new folder that the index
+    rows are written to before engagement is joined, so that the cascade runs once.
     """
     config = config or FeedConfig()
     rows = index_rows(posts, pack, config, **more).withColumn("operation", F.lit("create"))
     deletes = posts.filter("operation = 'delete'").select("uri", "operation", F.col("ts").alias("indexed_at"))
     folded = index.fold(rows.unionByName(deletes, allowMissingColumns=True), "indexed_at").drop("operation")
+    if path is not None:
+        folded.write.parquet(path)
+        folded = folded.sparkSession.read.schema(folded.schema).parquet(path)
     counted = index.engagement_counts(folded, engagement)
     return index.retained(counted, now, config.retention_days) if now is not None else counted
 

@@ -13,7 +13,7 @@ from townwire.operators.lexicon import Lexicon
 from townwire.operators.linear import LinearModel, features
 from townwire.packs import HERE
 from townwire.plans import rule_sql as rs
-from townwire.plans.registry import query
+from townwire.plans.registry import query, scratch
 from townwire.plans.tables import table
 
 
@@ -174,7 +174,7 @@ def live_index(spark, sf_dir):
     events = cm.decode(cm.parsed(commit_lines(spark, sf_dir)))
     posts = cm.posts(events)
     now = posts.agg(F.max("ts").alias("now"))
-    out = live.live_index(posts, cm.engagement(events), pack(), CONFIG, lexicon=lexicon(), model=model())
+    out = live.live_index(posts, cm.engagement(events), pack(), CONFIG, path=f"{scratch(spark)}/index", lexicon=lexicon(), model=model())
     recent = live.index.retained(out.crossJoin(F.broadcast(now)), F.col("now"), CONFIG.retention_days)  # one row
     return recent.select("uri", "author_did", "match_reason", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "indexed_at")), "like_count", "repost_count")
 
