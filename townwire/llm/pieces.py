@@ -10,8 +10,10 @@ at infinity. Every prefix of a text then has one finite path, which is its encod
 forward pass keeps a single best arc for each position.
 
 Pieces never hold the meta symbol behind another character, and characters outside the
-alphabet join no piece; both are checked when the model is compiled. Inputs are therefore
-cut there, and a worker keeps a bounded memo of parts that it has already composed.
+alphabet join no piece; both are checked when the model is compiled. Inputs are cut before
+meta symbols, and words between letters or digits and other characters, unless they hold one
+of the few pairs of characters that a piece has across such a border. A worker keeps bounded
+memos of words and of parts that it has already composed.
 
 Defined cases: a null or empty text has no ids and decodes to ''; null and repeated doc_ids
 are encoded like others; no text is cut off.
@@ -20,6 +22,7 @@ are encoded like others; no text is cut off.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from functools import lru_cache
 from itertools import chain
@@ -30,8 +33,8 @@ from pyspark.sql import DataFrame
 from townwire.llm.common import map_slices, texts
 
 META = "▁"
-#: Words, and pairs of pieces, that a worker keeps.
-MEMO_WORDS, MEMO_PAIRS = 350_000, 400_000
+#: Words, their parts, and pairs of pieces, that a worker keeps.
+MEMO_WORDS, MEMO_PARTS, MEMO_PAIRS = 250_000, 350_000, 400_000
 #: Starts of words up to this length are composed once and shared; so many are kept.
 PREFIX, MEMO_STARTS = 9, 400_000
 SCHEMA = "doc_id long, n_chars long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean, ids array<int>"
@@ -73,6 +76,15 @@ class PieceTransducer:
                 self.reach[p[-3:]] = max(self.reach.get(p[-3:], 2), len(p))
         self.starts: dict[str, str] = {}  # the last arc of starts of words
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
+        self._compile_cuts()
+
+    def _compile_cuts(self) -> None:
+        """Parts of words: letters and digits in a row, or other characters in a row, with a meta symbol before them. crossing: the pairs of characters that stand in a piece and cross such a border."""
+        inner = {c for c in self.alphabet if c.isalnum()}
+        own = "".join(map(re.escape, sorted(inner)))
+        self.cut = re.compile(f"{META}?[{own}]+|{META}?[^{own}{META}]+|{META}").findall
+        self.crossing = sorted({a + b for p in self.arcs for a, b in zip(p, p[1:]) if (a in inner) != (b in inner) and META not in (a, b)})
 
     def _compile_spines(self) -> None:
         """For each piece that its own characters merge to: the runs at its right and left edge, each with the rank that ends it."""
@@ -180,9 +192,17 @@ class PieceTransducer:
             self.memo.clear()
         if len(self.starts) > MEMO_STARTS:
             self.starts.clear()
+        if len(self.parts) > MEMO_PARTS:
+            self.parts.clear()
+        memo, parts = self.memo, self.parts
         for word in words:
-            if word not in self.memo:
-                self.memo[word] = self.shortest(META + word)
+            if word not in memo:
+                whole = any(pair in word for pair in self.crossing)
+                found = [META + word] if whole else self.cut(META + word)
+                for part in found:
+                    if part not in parts:
+                        parts[part] = self.shortest(part)
+                memo[word] = parts[found[0]] if len(found) == 1 else tuple(chain.from_iterable(map(parts.__getitem__, found)))
 
     def encode(self, batch: list[str]) -> list[list[int]]:
         out, meta = [], self.id_of[META]
