@@ -13,6 +13,3 @@ def test_join_counted(spark, monkeypatch, share):
     both = rows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("a <> 9")
     got = sorted(map(tuple, common.join_counted(rows, both, ["a", "b"], "n", 70).select("a", "b", "v", "n").collect()))
     assert got == sorted(map(tuple, rows.join(both, ["a", "b"]).select("a", "b", "v", "n").collect())) and len(got) == 70
-    one = rows.groupBy("a").agg(F.count("*").alias("n")).filter("n > 5")
-    left = sorted(map(str, common.left_join_counted(rows, one, "a", "n", 70).select("a", "b", "v", "n").collect()))
-    assert left == sorted(map(str, rows.join(one, "a", "left").select("a", "b", "v", "n").collect())) and len(left) == 71
