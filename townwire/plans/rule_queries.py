@@ -15,6 +15,7 @@ from townwire.packs import HERE
 from townwire.plans import rule_sql as rs
 from townwire.plans.registry import query, scratch
 from townwire.plans.tables import table
+from townwire.sources.commits import POST
 
 
 @cache
@@ -129,14 +130,14 @@ def prior_cascade(spark, sf_dir):
 # --- the live path over commits made of all lines -------------------------------------------
 
 LIVE_SQL = f"""{LINES_SQL.replace("src as (", "base as (")},
-    src as (select 'at://did:' || author_did || '/app.bsky.feed.post/' || uri as uri, coalesce(text, '') as text, coalesce(alt_text, '') as alt_text, langs, 'did:' || author_did as author_did, null::varchar as author_handle,
+    src as (select 'at://did:' || author_did || '/{POST}/' || uri as uri, coalesce(text, '') as text, coalesce(alt_text, '') as alt_text, langs, 'did:' || author_did as author_did, null::varchar as author_handle,
       pos % 7 = 3 as reply, case when doc_id % 13 = 0 then ts - interval 3 day else ts - interval 1 hour end as created_at, ts, doc_id, pos from base),
     {rs.signals(pack(), lexicon(), 'src')},
     opened as (select * from sig where not reply and not (ts - created_at > interval 1 day) and not contains(lower(text || ' ' || alt_text), 'inger')),
     {_history_sql('opened')},
     gone as (select uri, ts + interval 2 hour as gone_at from src where doc_id % 9 = 4),
     kept as (select h.* from h left join gone using (uri) where matched and gone.uri is null and ts >= (select max(case when doc_id % 9 = 4 then ts + interval 2 hour else ts end) from src) - interval 20 day),
-    liked as (select 'at://did:' || author_did || '/app.bsky.feed.post/' || uri as uri, k, ts + to_minutes((k * 7 - 30)::bigint) as liked_at from base, (select unnest(range(12)) as k) where k <= pos % 12)
+    liked as (select 'at://did:' || author_did || '/{POST}/' || uri as uri, k, ts + to_minutes((k * 7 - 30)::bigint) as liked_at from base, (select unnest(range(12)) as k) where k <= pos % 12)
     """
 
 

@@ -101,7 +101,7 @@ def times_parsed(spark, sf_dir):
 def handles_stripped(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter(~F.contains(F.coalesce("text", F.lit("")), F.lit("@")))
     start = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 10)))).otherwise("")
-    text = F.concat(F.lit("see @"), "source", F.lit(".bsky-x and me@"), "source", F.lit(".example "), "lang", start)
+    text = F.concat(F.lit("see @"), "source", F.lit(".example-x and me@"), "source", F.lit(".example "), "lang", start)
     return d.select("doc_id", tx.without_handles(text).alias("bare"))
 
 
