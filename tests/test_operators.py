@@ -139,7 +139,7 @@ def test_curation(spark):
     p = curate.parse_proposals(answers)
     assert rows(p, "id", "proposed_confidence", "error") == [("1", "high", None), ("2", "medium", "no object"), ("3", "medium", "expected is not a boolean")]
     attached = curate.attach_proposals(raw.select("id", "note"), p)
-    assert [(r["id"], r["note"], r["needs_human_confirm"]) for r in attached.orderBy("id").collect()] == [("1", "low note | r", False), ("2", "", True), ("3", "", True)]
+    assert [(r["id"], r["note"], r["needs_human_confirm"]) for r in attached.orderBy("id").collect()] == [("1", "low note | llm propose expected=True (high): r", True), ("2", "llm error: no object", True), ("3", "llm error: expected is not a boolean", True)]
 
 
 def test_sets_of_keys(spark):
@@ -159,3 +159,32 @@ def test_screening(spark):
     act = screening.activity(df, "author", "ts", "text", F.lit(at(days=5)))
     got = screening.with_recommendation(screening.with_flags(screening.pattern_hits(act, {"promo": ("buy now",)})))
     assert {r["author"]: (r["flags"], r["recommendation"]) for r in got.collect()} == {"busy": (["high_volume"], "reject"), "same": (["low_diversity"], "review"), "fine": ([], "likely_ok"), "promo": (["slop:promo"], "review")}
+
+
+def test_cases_need_booleans(spark):
+    raw = spark.createDataFrame([("a", "t", "yes", None), ("\t ", "t", "true", None), ("b", "t", None, "no")], "id string, text string, expected string, regression string")
+    got = {r["id"]: (r["expected"], r["error"]) for r in curate.normalize_cases(raw).collect()}
+    assert got == {"a": (None, "expected must be a boolean"), "": (None, "expected must be a boolean"), "b": (None, None)}
+    odd = spark.createDataFrame([("a", "t", True, "no")], "id string, text string, expected boolean, regression string")
+    assert curate.normalize_cases(odd).first()["error"] == "regression must be a boolean"
+    assert tuple(curate.merge_cases(raw.limit(0).withColumn("expected", F.lit(True)), raw)[1].first()) == (0, 1, 0, 2)
+
+
+def test_proposals_wait_for_a_person(spark):
+    rows = spark.createDataFrame([(1, " n "), (2, None), (3, "n"), (4, "n")], "id int, note string")
+    answers = spark.createDataFrame([(1, '{"expected": true, "confidence": "high", "rationale": " r "}'), (2, '{"expected": false}'), (3, "none")], "id int, response string")
+    got = {r["id"]: (r["expected"], r["proposed_by"], r["note"], r["needs_human_confirm"]) for r in curate.attach_proposals(rows, curate.parse_proposals(answers)).collect()}
+    assert got == {
+        1: (True, "llm", "n | llm propose expected=True (high): r", True), 2: (False, "llm", "llm propose expected=False (medium): ", True),
+        3: (None, "llm", "n | llm error: no object", True), 4: (None, None, "n", False),
+    }
+
+
+def test_screening_strips_texts_and_rejects_failed_fetches(spark):
+    rows = [(1, "hello", 1), (1, "hello ", 2), (1, "\thello\n", 3), (1, "\n", 4), (2, "x", 1)]
+    posts = spark.createDataFrame(rows, "a int, t string, s int").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    out = screening.activity(posts, "a", "ts", "t", F.lit("2024-01-02").cast("timestamp"), key="s")
+    one = {r["a"]: r for r in out.collect()}
+    assert one[1]["unique_prefix_ratio"] == 0.33 and one[1]["sample_texts"] == ["\thello\n", "hello ", "hello"]
+    flagged = screening.with_recommendation(screening.with_flags(out, failed=F.col("a") == 2))
+    assert {r["a"]: (r["flags"], r["recommendation"]) for r in flagged.collect()} == {1: ([], "likely_ok"), 2: (["fetch_error"], "reject")}

@@ -69,3 +69,13 @@ def test_times(spark):
     assert one(spark, times.in_window(at, at, at)) and not one(spark, times.in_window(F.lit(None).cast("timestamp"), at, at))
     assert one(spark, times.lag_seconds(F.lit(3_000_000), F.lit(1_000_000))) == 0.0 and one(spark, times.lag_seconds(F.lit(None).cast("long"), F.lit(1))) is None
     assert times.resume_from(5, 5) == 5 and times.resume_from(0, 901 * 1_000_000) is None and times.resume_from(None, 1) is None
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    ends = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2003\u2028\u2029\u202f\u205f\u3000"
+    assert all(c.isspace() for c in text.WHITE) and set(ends) <= set(text.WHITE) and {chr(c) for c in range(0x110000) if chr(c).isspace()} == set(text.WHITE)
+    df = spark.createDataFrame([(ends + "a b" + ends, [ends + "EN_us" + ends, ends])], "t string, l array<string>")
+    row = df.select(text.strip(F.col("t")).alias("t"), text.clip(F.concat("t", F.lit("c" * 400))).alias("c"), text.language_tags(F.col("l")).alias("l")).first()
+    assert row["t"] == "a b" and row["l"] == ["en-us"] and row["c"] == ("a b" + ends + "c" * 400)[:320]
+    cut = spark.createDataFrame([("x" * 319 + "\u2003y",)], "t string").select(text.clip(F.col("t")).alias("c")).first()["c"]
+    assert cut == "x" * 319

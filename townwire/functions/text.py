@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 #: Edges of a word: no letter, digit or underscore. `\\b` counts combining marks as word characters, these don't.
 LEFT_EDGE, RIGHT_EDGE = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 EMBED_CHARS, PREVIEW_CHARS = 320, 160
+#: All that counts as white space at the ends of a text: Unicode's white space and the four separators of ASCII.
+WHITE = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def strip(c: Column) -> Column:
+    """White space of any kind removed at both ends."""
+    return F.trim(c, F.lit(WHITE))
 
 
 def normalize(c: Column) -> Column:
@@ -18,8 +25,8 @@ def normalize(c: Column) -> Column:
 
 
 def clip(c: Column, chars: int = EMBED_CHARS) -> Column:
-    """Trimmed, cut to so many characters, trimmed again at the end; null is ''."""
-    return F.rtrim(F.substring(F.trim(F.coalesce(c, F.lit(""))), 1, chars))
+    """Stripped, cut to so many characters, stripped again at the end; null is ''."""
+    return F.rtrim(F.substring(strip(F.coalesce(c, F.lit(""))), 1, chars), F.lit(WHITE))
 
 
 def join_present(parts: Column) -> Column:
@@ -33,8 +40,8 @@ def combine(text: Column, alt: Column) -> Column:
 
 
 def language_tags(langs: Column) -> Column:
-    """Trimmed, lower-cased, underscores to hyphens, empty ones dropped; null is []."""
-    cleaned = F.transform(langs, lambda x: F.replace(F.lower(F.trim(x)), F.lit("_"), F.lit("-")))
+    """Stripped, lower-cased, underscores to hyphens, empty ones dropped; null is []."""
+    cleaned = F.transform(langs, lambda x: F.replace(F.lower(strip(x)), F.lit("_"), F.lit("-")))
     return F.coalesce(F.filter(cleaned, lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
 
 

@@ -9,13 +9,15 @@ decides aren't read. No shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from townwire.functions.text import combine, has_language, language_tags, pattern, without_handles
 from townwire.operators.lexicon import Lexicon
 from townwire.operators.linear import LinearModel, features
-from townwire.operators.rules import Reading, RulePack, once, reading
+from townwire.operators.rules import Reading, RulePack, inline_reading, once, reading
 
 #: Reason codes and prefixes that mark a strong match; an author's history counts these alone.
 STRONG_REASONS = ("strong_positive", "strong_positive_over_negative", "town_local", "multi_local_places", "own_term_with_context")
@@ -94,8 +96,9 @@ def decide(
     signals = {
         "strong": pack.has("strong", read),
         "hard": pack.has("hard_negative", read),
-        "context": _without_mentions(pack, read),
-        "places": pack.all_of("ambiguous", read),
+        "context": in_bare_text(read, lambda r: pack.has("context", r)),
+        "anchored": pack.anchored(read),
+        "places": in_bare_text(read, lambda r: pack.all_of("ambiguous", r)),
         "event": pack.has("event_cue", read),
         "venue": pack.first_of("venue", read),
     }
@@ -105,8 +108,8 @@ def decide(
         signals["micro"] = _micro(pack, read)
     df = once(df, **{s + k: v for k, v in signals.items()})
     sig = lambda name: F.col(s + name)
-    strong, hard, context, places, event, venue = (sig(n) for n in ("strong", "hard", "context", "places", "event", "venue"))
-    conflict = lambda name: pack.conflicts[name].condition(read, handle, context)
+    strong, hard, context, anchored, places, event, venue = (sig(n) for n in ("strong", "hard", "context", "anchored", "places", "event", "venue"))
+    conflict = lambda name: pack.conflicts[name].condition(read, handle, anchored)
     n_places, term = F.size(places), chosen_term(places, pack.excluded)
     several = distinct_places(places, pack.excluded)
     as_array = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
@@ -121,7 +124,7 @@ def decide(
         add(text == "", "empty")
         if pack.language_gate:
             gated, lifted, word = pack.language_gate
-            add(has_language(langs, gated) & ~has_language(langs, lifted) & F.contains(read.low, F.lit(word)) & ~pack.has("town_local", read) & ~context & ~strong, f"lang_non_local:{gated}")
+            add(has_language(langs, gated) & ~has_language(langs, lifted) & F.contains(read.low, F.lit(word)) & ~pack.has("town_local", read) & ~pack.has("context", read) & ~strong, f"lang_non_local:{gated}")
         if lexicon is not None:
             entity = sig("entity")
             add(entity["region"] == "other", F.concat(F.lit("entity_other:"), entity["entity_id"]))
@@ -142,7 +145,7 @@ def decide(
         for c in pack.only_conflicts:
             add((n_places > 0) & (F.size(F.array_except(places, as_array(c.places))) == 0) & conflict(c.conflict), f"hard_negative:{c.conflict}")
         for c in pack.multi_conflicts:
-            add((F.size(several) >= 2) & F.arrays_overlap(places, as_array(c.places)) & conflict(c.conflict), f"hard_negative:{c.conflict}")
+            add((F.size(several) >= 2) & F.arrays_overlap(several, as_array(c.places)) & conflict(c.conflict), f"hard_negative:{c.conflict}")
         add(F.size(several) >= 2, "multi_local_places")
         for c in pack.term_conflicts:
             add((n_places > 0) & term.isin(*c.places) & conflict(c.conflict), f"hard_negative:{c.conflict}")
@@ -168,11 +171,9 @@ def decide(
     return made.withColumn("matched", is_keep_reason(F.col("reason"), pack)).select(*posts.columns, "matched", *reasons)
 
 
-def _without_mentions(pack: RulePack, read: Reading) -> Column:
-    """The context class on the text without mentions of handles."""
-    terms = pack.classes.get("context")
-    bare = without_handles(read.text).rlike(pattern(terms)) if terms else F.lit(False)
-    return F.when(F.contains(read.text, F.lit("@")), pack.has("context", read) & bare).otherwise(pack.has("context", read))
+def in_bare_text(read: Reading, look: Callable[[Reading], Column]) -> Column:
+    """What look finds in the text without mentions of handles: places and their context aren't read from these."""
+    return F.when(F.contains(read.text, F.lit("@")), look(inline_reading(without_handles(read.text)))).otherwise(look(read))
 
 
 def _micro(pack: RulePack, read: Reading) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from townwire.functions.text import strip
 from townwire.operators.index import first_wins
 
 CONFIDENCES = ("high", "medium", "low")
@@ -32,7 +33,7 @@ def ordered_distinct(rows: DataFrame, value: str, position: str, ignore_case: bo
 
 def candidates(posts: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
     """Posts with an id and a text that isn't blank, minus known ids; the first of each id."""
-    usable = posts.filter((F.coalesce(F.col(key).cast("string"), F.lit("")) != "") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    usable = posts.filter((F.coalesce(F.col(key).cast("string"), F.lit("")) != "") & (strip(F.coalesce("text", F.lit(""))) != ""))
     return first_wins(usable.join(existing.select(key).distinct(), key, "left_anti"), key, "text")
 
 
@@ -51,18 +52,24 @@ def normalize_cases(raw: DataFrame, strict: bool = False, defaults: dict | None
     col = lambda c, kind: (F.col(c) if c in have else F.lit(None)).cast(kind)
     present = lambda c: F.when(c != "", c)
     named = lambda c: F.coalesce(present(col(c, "string")), F.lit(given[c]))
-    split, signal, key = named("split"), named("signal"), F.trim(F.coalesce(col("id", "string"), F.lit("")))
-    error = F.when(col("expected", "boolean").isNotNull(), F.coalesce(
+    split, signal, key = named("split"), named("signal"), strip(F.coalesce(col("id", "string"), F.lit("")))
+    # a value of another type than boolean is no flag, whatever a cast would make of it
+    kinds = dict(raw.dtypes)
+    flag = lambda c: col(c, "boolean") if kinds.get(c) in (None, "boolean", "void") else F.lit(None).cast("boolean")
+    odd = lambda c: F.col(c).isNotNull() if kinds.get(c) not in (None, "boolean", "void") else F.lit(False)
+    error = F.when(flag("expected").isNotNull() | odd("expected"), F.coalesce(
+        F.when(odd("expected"), "expected must be a boolean"),
         F.when(key == "", "labeled row is missing id"),
         F.when(col("text", "string").isNull(), "text is missing"),
         F.when(~signal.isin(*SIGNALS), F.concat(F.lit("unknown signal "), signal)),
         F.when(~split.isin(*SPLITS), F.concat(F.lit("unknown split "), split)),
+        F.when(odd("regression"), "regression must be a boolean"),
     ))
     langs = F.filter(col("langs", "array<string>"), lambda x: x.isNotNull() & (x != ""))
     out = raw.select(
-        key.alias("id"), col("text", "string").alias("text"), col("expected", "boolean").alias("expected"), signal.alias("signal"),
-        F.coalesce(present(F.trim(named("bucket"))), F.lit(given["bucket"])).alias("bucket"), split.alias("split"),
-        F.coalesce(col("regression", "boolean"), F.lit(given["regression"])).alias("regression"), F.coalesce(col("soft_prior", "boolean"), F.lit(False)).alias("soft_prior"),
+        key.alias("id"), col("text", "string").alias("text"), flag("expected").alias("expected"), signal.alias("signal"),
+        F.coalesce(present(strip(named("bucket"))), F.lit(given["bucket"])).alias("bucket"), split.alias("split"),
+        F.coalesce(flag("regression"), F.lit(given["regression"])).alias("regression"), F.coalesce(flag("soft_prior"), F.lit(False)).alias("soft_prior"),
         *(present(col(c, "string")).alias(c) for c in ("author_did", "author_handle", "alt_text", "note")), F.when(F.size(col("langs", "array<string>")) > 0, langs).alias("langs"), error.alias("error"),
     )
     return out.filter(F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).isNull()).otherwise(True)) if strict else out
@@ -78,7 +85,7 @@ def merge_cases(existing: DataFrame, incoming: DataFrame, strict: bool = False,
     known = existing.select(F.col("id").cast("string").alias("id")).distinct()
     fresh = first_wins(rows.filter(good).drop("error").join(known, "id", "left_anti"), "id", "text")
     counted = rows.join(known.withColumn("_townwire_known", F.lit(True)), "id", "left").agg(
-        F.count_if(F.col("expected").isNull()).alias("skipped_unlabeled"), F.count_if(F.col("error").isNotNull()).alias("rejected"),
+        F.count_if(F.col("expected").isNull() & F.col("error").isNull()).alias("skipped_unlabeled"), F.count_if(F.col("error").isNotNull()).alias("rejected"),
         F.count_distinct(F.when(good & F.col("_townwire_known").isNull(), F.col("id"))).alias("added"), F.count_if(good).alias("labelled"),
     )
     counters = counted.select("added", "skipped_unlabeled", (F.col("labelled") - F.col("added")).alias("skipped_existing"), "rejected")
@@ -94,20 +101,33 @@ def parse_proposals(responses: DataFrame, column: str = "response") -> DataFrame
     body = F.regexp_extract(F.coalesce(F.col(column), F.lit("")), r"(\{[\s\S]*\})", 1)
     parsed = F.from_json(body, PROPOSAL)
     df = responses.withColumn("p", parsed)
-    confidence = F.lower(F.trim(F.coalesce(F.col("p.confidence"), F.lit("medium"))))
+    confidence = F.lower(strip(F.coalesce(F.col("p.confidence"), F.lit("medium"))))
     return df.select(
-        *[c for c in responses.columns if c != column], F.col("p.expected").alias("proposed_expected"), F.trim(F.coalesce("p.rationale", F.lit(""))).alias("proposed_rationale"),
+        *[c for c in responses.columns if c != column], F.col("p.expected").alias("proposed_expected"), strip(F.coalesce("p.rationale", F.lit(""))).alias("proposed_rationale"),
         F.when(confidence.isin(*CONFIDENCES), confidence).otherwise("medium").alias("proposed_confidence"),
         F.when(body == "", "no object").when(F.col("p.expected").isNull(), "expected is not a boolean").alias("error"),
     )
 
 
 def attach_proposals(rows: DataFrame, proposals: DataFrame, key: str = "id") -> DataFrame:
-    """Candidates with their proposals; low confidence or an error needs a person."""
-    joined = rows.join(proposals, key, "left")
-    note = F.concat_ws(" | ", *([F.col("note")] if "note" in rows.columns else []), F.when(F.col("proposed_rationale") != "", F.col("proposed_rationale")))
-    needs = F.col("proposed_expected").isNull() | (F.col("proposed_confidence") != "high")
-    return joined.withColumn("note", note).withColumn("needs_human_confirm", needs)
+    """Candidates with their proposals: expected, proposed_by, note; every row with a proposal, or with an answer that was none, waits for a person.
+
+    A proposal with an error leaves expected as it was and says so in the note. Rows without a
+    proposal stay as they are.
+    """
+    joined = rows.join(proposals.withColumn("_townwire_proposed", F.lit(True)), key, "left")
+    had = F.coalesce(F.col("note").cast("string"), F.lit("")) if "note" in rows.columns else F.lit("")
+    failed, proposed = F.col("error").isNotNull(), F.col("_townwire_proposed").isNotNull()
+    said = F.concat(F.lit("llm propose expected="), F.when(F.col("proposed_expected"), "True").otherwise("False"), F.lit(" ("), "proposed_confidence", F.lit("): "), F.coalesce("proposed_rationale", F.lit("")))
+    ends = lambda c: F.trim(c, F.lit(" |"))
+    both = F.when(strip(had) != "", ends(F.concat(strip(had), F.lit(" | "), said))).otherwise(said)
+    note = F.when(~proposed, F.when(had != "", had)).when(failed, ends(F.concat(had, F.lit(" | llm error: "), "error"))).otherwise(both)
+    before = F.col("expected") if "expected" in rows.columns else F.lit(None).cast("boolean")
+    made = {
+        "expected": F.when(proposed & ~failed, F.col("proposed_expected")).otherwise(before), "note": note,
+        "proposed_by": F.when(proposed, "llm"), "needs_human_confirm": proposed,
+    }
+    return joined.withColumns(made).drop("_townwire_proposed")
 
 
 def key_diff(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:

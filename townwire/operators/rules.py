@@ -50,6 +50,12 @@ def split_terms(terms: Iterable[str]) -> tuple[list[str], list[str]]:
     return [t.lower() for t in terms if one(t)], [t for t in terms if not one(t)]
 
 
+def inline_reading(text: Column) -> Reading:
+    """A reading without a barrier, for expressions that few rows reach."""
+    low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+    return Reading(text, low, F.array_distinct(F.split(low, NOT_WORD)))
+
+
 def literals(values: Iterable[str]) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
@@ -88,6 +94,7 @@ class Conflict:
     escape_context: bool = False
 
     def condition(self, read: Reading, handle: Column, context: Column) -> Column:
+        """context: does the text hold what RulePack.anchored looks for?"""
         hits = []
         if self.cues:
             hits.append(has_terms(self.trigger, read) & has_terms(self.cues, read) & read.text.rlike(near(pattern(self.trigger), pattern(self.cues), self.window)))
@@ -113,7 +120,7 @@ class SetConflict:
 
 @dataclass(frozen=True)
 class RulePack:
-    """Classes: strong, ambiguous, context, hard_negative, blocks_strong, town_local, event_cue, venue, micro, micro_collision, region_hint, byline, other_place."""
+    """Classes: strong, ambiguous, context, anchored_context, hard_negative, blocks_strong, town_local, event_cue, venue, micro, micro_collision, region_hint, byline, other_place."""
 
     classes: dict[str, tuple[str, ...]]
     conflicts: dict[str, Conflict] = field(default_factory=dict)
@@ -134,6 +141,10 @@ class RulePack:
     def has(self, name: str, read: Reading) -> Column:
         return has_terms(self.classes.get(name, ()), read)
 
+    def anchored(self, read: Reading) -> Column:
+        """The context that lifts a conflict: a class of its own, or the context class where a pack has none."""
+        return self.has("anchored_context" if "anchored_context" in self.classes else "context", read)
+
     def all_of(self, name: str, read: Reading) -> Column:
         """All matches of a class, lower-cased and distinct, in order of appearance; of terms that overlap the longest first."""
         terms = self.classes.get(name, ())

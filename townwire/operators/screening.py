@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from townwire.functions.text import pattern
+from townwire.functions.text import pattern, strip
 
 HIGH_PER_DAY, ELEVATED_PER_DAY, LEAST_DIVERSITY, LEAST_SAMPLE, PREFIX = 20.0, 8.0, 0.45, 8, 40
 
@@ -18,11 +18,11 @@ def activity(posts: DataFrame, author: str, ts: str, text: str, as_of: Column, i
     blank. key breaks ties between posts of one time. The texts are picked by a window that
     Spark limits before the shuffle, so no author's posts are gathered.
     """
-    blank, space = F.trim(F.coalesce(F.col(text), F.lit(""))) == "", r"^\s+"
-    original = ~blank & ~(F.coalesce(is_reply, F.lit(False)) if is_reply is not None else F.lit(False))
+    bare = strip(F.coalesce(F.col(text), F.lit("")))
+    original = (bare != "") & ~(F.coalesce(is_reply, F.lit(False)) if is_reply is not None else F.lit(False))
     age = as_of - F.col(ts)
     recent = lambda d: F.count_if(age <= F.expr(f"INTERVAL {d} DAY"))
-    prefix = F.when(original, F.lower(F.substring(F.regexp_replace(F.col(text), space, ""), 1, PREFIX)))
+    prefix = F.when(original, F.lower(F.substring(bare, 1, PREFIX)))
     out = posts.groupBy(author).agg(F.count("*").alias("sample_n"), recent(7).alias("recent_7d"), recent(30).alias("recent_30d"), F.count_if(original).alias("originals"), F.count_distinct(prefix).alias("prefixes"))
     out = out.withColumns({"ppd_7d": F.round(F.col("recent_7d") / 7, 2), "ppd_30d": F.round(F.col("recent_30d") / 30, 2), "unique_prefix_ratio": F.round(F.col("prefixes") / F.greatest("originals", F.lit(1)), 2)})
     order = W.partitionBy(author).orderBy(F.desc(ts), *([F.desc(key)] if key else []), text)
@@ -43,8 +43,8 @@ def is_bot(terms: tuple[str, ...], *profile: str) -> Column:
     return F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in profile)).rlike(pattern(terms))
 
 
-def with_flags(screened: DataFrame, bot: Column | None = None) -> DataFrame:
-    """flags from activity and hits, worst first. The rate that counts is the higher of 7 and 30 days."""
+def with_flags(screened: DataFrame, bot: Column | None = None, failed: Column | None = None) -> DataFrame:
+    """flags from activity and hits, worst first. The rate that counts is the higher of 7 and 30 days. An author whose profile or feed couldn't be fetched (failed) has fetch_error alone."""
     slop = F.transform(F.coalesce("slop_hits", F.array().cast("array<string>")), lambda x: F.concat(F.lit("slop:"), x)) if "slop_hits" in screened.columns else F.array().cast("array<string>")
     rate = F.greatest("ppd_7d", "ppd_30d")
     own = F.array_compact(F.array(
@@ -53,11 +53,14 @@ def with_flags(screened: DataFrame, bot: Column | None = None) -> DataFrame:
         F.when((F.col("unique_prefix_ratio") < LEAST_DIVERSITY) & (F.col("sample_n") >= LEAST_SAMPLE), "low_diversity"),
         F.when(F.col("sample_n") == 0, "empty"),
     ))
-    return screened.withColumn("flags", F.concat(own, slop))
+    flags = F.concat(own, slop)
+    if failed is not None:
+        flags = F.when(failed, F.array(F.lit("fetch_error"))).otherwise(flags)
+    return screened.withColumn("flags", flags)
 
 
 def with_recommendation(flagged: DataFrame) -> DataFrame:
     """reject, review, skip_empty or likely_ok, by the worst flag."""
     has = lambda *names: F.exists("flags", lambda f: f.isin(*names))
     slop = F.exists("flags", lambda f: f.startswith("slop:"))
-    return flagged.withColumn("recommendation", F.when(has("bot", "high_volume"), "reject").when(slop | has("low_diversity", "elevated_volume"), "review").when(has("empty"), "skip_empty").otherwise("likely_ok"))
+    return flagged.withColumn("recommendation", F.when(has("bot", "high_volume", "fetch_error"), "reject").when(slop | has("low_diversity", "elevated_volume"), "review").when(has("empty"), "skip_empty").otherwise("likely_ok"))

@@ -14,6 +14,7 @@ from townwire.operators import cascade, curate, evaluate, gates, lexicon, priors
 from townwire.operators import index as ix
 from townwire.operators.linear import LinearModel, score_rows
 from townwire.packs import HERE
+from townwire.plans.rule_sql import WHITE_SQL
 from townwire.plans.tables import cases, commits, events, index, posts, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,10 +106,10 @@ def text_normalize_preview(spark, sf_dir):
     return d.select("doc_id", F.char_length(tx.normalize(F.col("text"))).cast("long").alias("n"), tx.preview(F.col("text")).alias("preview"))
 
 
-@query(r"select page_id, rtrim(substr(trim(regexp_extract(html, '<title>(.*?)</title>', 1)), 1, 320)) as title, rtrim(substr(trim(html), 1, 320)) as description from pages")
+@query(f"select page_id, rtrim(substr(trim(chr(10) || regexp_extract(html, '<title>(.*?)</title>', 1), {WHITE_SQL}), 1, 320), {WHITE_SQL}) as title, rtrim(substr(trim(chr(9) || html, {WHITE_SQL}), 1, 320), {WHITE_SQL}) as description from pages")
 def embed_clip(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", tx.clip(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"), tx.clip(F.col("html")).alias("description"))
+    return p.select("page_id", tx.clip(F.concat(F.lit("\n"), F.regexp_extract("html", "<title>(.*?)</title>", 1))).alias("title"), tx.clip(F.concat(F.lit("\t"), "html")).alias("description"))
 
 
 @query("select doc_id, lang = 'fr' as gated, 'x-' || lang as tag from documents")
@@ -366,10 +367,10 @@ def audit_outcomes(spark, sf_dir):
     return au.outcome_counts(_audited(spark, sf_dir)[1])
 
 
-ACTIVITY_SQL = """sample as (select *, k % 5 = 0 as reply, case when event_id % 11 = 0 then '  ' else '  ' || event_type || ' ' || (k % 7)::varchar end as body from (select *, (props->>'$.k')::bigint as k from events)),
+ACTIVITY_SQL = f"""sample as (select *, k % 5 = 0 as reply, case when event_id % 11 = 0 then chr(10) else case when event_id % 2 = 0 then chr(9) else '  ' end || event_type || ' ' || (k % 7)::varchar || case when event_id % 3 = 0 then chr(160) else '' end end as body from (select *, (props->>'$.k')::bigint as k from events)),
     act as (select user_id, count(*) as sample_n, count(*) filter (where timestamp '2024-01-30' - ts <= interval 7 day) as recent_7d, count(*) filter (where timestamp '2024-01-30' - ts <= interval 30 day) as recent_30d,
-      count(*) filter (where not reply and trim(body) <> '') as originals, count(distinct case when not reply and trim(body) <> '' then lower(substr(ltrim(body), 1, 40)) end) as prefixes from sample group by user_id),
-    newest as (select user_id, body, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from sample where not reply and trim(body) <> ''),
+      count(*) filter (where not reply and trim(body, {WHITE_SQL}) <> '') as originals, count(distinct case when not reply and trim(body, {WHITE_SQL}) <> '' then lower(substr(trim(body, {WHITE_SQL}), 1, 40)) end) as prefixes from sample group by user_id),
+    newest as (select user_id, body, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from sample where not reply and trim(body, {WHITE_SQL}) <> ''),
     texts as (select user_id, string_agg(body, '|' order by rn) as sample_texts from newest where rn <= 5 group by user_id),
     rated as (select act.*, coalesce(sample_texts, '') as sample_texts, round(recent_7d / 7, 2)::double as ppd_7d, round(recent_30d / 30, 2)::double as ppd_30d, round(prefixes / greatest(originals, 1), 2)::double as unique_prefix_ratio from act left join texts using (user_id)),
     flagged as (select *, list_filter([case when user_id % 10 = 3 then 'bot' end, case when greatest(ppd_7d, ppd_30d) >= 20 then 'high_volume' when greatest(ppd_7d, ppd_30d) >= 8 then 'elevated_volume' end,
@@ -378,7 +379,9 @@ ACTIVITY_SQL = """sample as (select *, k % 5 = 0 as reply, case when event_id %
 
 def _screened(spark, sf_dir):
     e = events(spark, sf_dir)
-    body = F.when(F.col("event_id") % 11 == 0, "  ").otherwise(F.concat(F.lit("  "), "event_type", F.lit(" "), (F.col("k") % 7).cast("string")))
+    i = F.col("event_id")
+    body = F.concat(F.when(i % 2 == 0, "\t").otherwise("  "), "event_type", F.lit(" "), (F.col("k") % 7).cast("string"), F.when(i % 3 == 0, "\u00a0").otherwise(""))
+    body = F.when(i % 11 == 0, "\n").otherwise(body)
     a = screening.activity(e.withColumn("body", body), "user_id", "ts", "body", F.lit("2024-01-30").cast("timestamp_ntz"), F.col("k") % 5 == 0, "event_id")
     profile = {"handle": F.when(F.col("user_id") % 10 == 3, "news.bot.example").otherwise("robot.example"), "description": F.when(F.col("user_id") % 8 == 1, "Link in bio, Shop now!").otherwise("")}
     return screening.pattern_hits(a.withColumns(profile), {"fault": ("error",), "promo": ("click 3", "shop now")}, "description")
@@ -396,10 +399,10 @@ def author_originals(spark, sf_dir):
     return _screened(spark, sf_dir).join(n, "user_id").select("user_id", F.array_join("sample_texts", "|").alias("sample_texts"), "unique_prefix_ratio", "originals")
 
 
-@query(f"""with {ACTIVITY_SQL} select user_id, array_to_string(flags, ',') as flags, case when list_contains(flags, 'high_volume') or list_contains(flags, 'bot') then 'reject'
+@query(f"""with {ACTIVITY_SQL} select user_id, case when user_id % 17 = 5 then 'fetch_error' else array_to_string(flags, ',') end as flags, case when user_id % 17 = 5 or list_contains(flags, 'high_volume') or list_contains(flags, 'bot') then 'reject'
     when len(flags) > 0 then 'review' else 'likely_ok' end as recommendation from flagged""")
 def author_screening(spark, sf_dir):
-    out = screening.with_recommendation(screening.with_flags(_screened(spark, sf_dir), screening.is_bot(("bot",), "handle", "description")))
+    out = screening.with_recommendation(screening.with_flags(_screened(spark, sf_dir), screening.is_bot(("bot",), "handle", "description"), F.col("user_id") % 17 == 5))
     return out.select("user_id", F.array_join("flags", ",").alias("flags"), "recommendation")
 
 
@@ -410,9 +413,9 @@ def source_union_priority(spark, sf_dir):
     return curate.union_by_priority([e.filter(f"event_type = '{t}'").select("k", "event_id") for t in ("click", "view")], "k", "event_id")
 
 
-@query("""with r as (select conv_id as id, text, row_number() over (partition by conv_id order by text) as rn from conversations where trim(coalesce(text, '')) <> '' and conv_id % 4 <> 0) select id, text from r where rn = 1""")
+@query(f"""with c as (select *, case when turn % 2 = 0 then chr(10) || chr(9) else text end as body from conversations), r as (select conv_id as id, body as text, row_number() over (partition by conv_id order by body) as rn from c where trim(body, {WHITE_SQL}) <> '' and conv_id % 4 <> 0) select id, text from r where rn = 1""")
 def candidate_dedupe(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "text")
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.when(F.col("turn") % 2 == 0, "\n\t").otherwise(F.col("text")).alias("text"))
     return curate.candidates(c, c.filter("id % 4 = 0"))
 
 
@@ -438,13 +441,26 @@ def merge_counters(spark, sf_dir):
     return curate.merge_cases(old, rows)[1]
 
 
+@query("""with old as (select doc_id::varchar as id, 'old' as text, doc_id % 2 = 0 as expected, null as bucket, 'text' as signal from labels where doc_id % 7 = 0 and quality = 1),
+    new as (select doc_id::varchar as id, 'new' as text, true as expected, 'uncategorized' as bucket, case when doc_id % 4 = 0 then 'author' else 'text' end as signal from labels where quality = 1 and doc_id % 7 <> 0 and doc_id % 5 <> 1)
+    select id, text, expected, bucket, signal from old union all select id, text, expected, bucket, signal from new""")
+def merged_cases(spark, sf_dir):
+    """Existing cases as they are, and new ones with labels: without those that exist, repeat or hold an error."""
+    k = F.col("doc_id")
+    labels = table(spark, sf_dir, "labels")
+    old = labels.filter("doc_id % 7 = 0 and quality = 1").select(k.cast("string").alias("id"), F.lit("old").alias("text"), (k % 2 == 0).alias("expected"), F.lit(None).cast("string").alias("bucket"), F.lit("text").alias("signal"))
+    twice = labels.withColumn("copy", F.explode(F.when(k % 3 == 0, F.array(F.lit("new"), F.lit("zzz late"))).otherwise(F.array(F.lit("new")))))
+    new = twice.select(F.concat(F.lit("\t"), k.cast("string")).alias("id"), F.col("copy").alias("text"), F.when(F.col("quality") == 1, F.lit(True)).alias("expected"), F.when(k % 5 == 1, "odd").alias("split"), F.when(k % 4 == 0, "author").alias("signal"))
+    return curate.merge_cases(old, new)[0].select("id", "text", "expected", "bucket", "signal")
+
+
 @query("""select l.doc_id::varchar as id, coalesce(d.text, '') as text, quality = 1 as expected, case when l.doc_id % 4 = 0 then 'author' else 'text' end as signal, case when l.doc_id % 3 = 0 then source else 'uncategorized' end as bucket,
     case when l.doc_id % 6 = 0 then 'odd' when l.doc_id % 6 = 1 then 'holdout' else 'dev' end as split, l.doc_id % 5 <> 0 as regression, l.doc_id % 8 = 0 as soft_prior, case when l.doc_id % 9 = 0 then 'n' end as note,
     case when l.doc_id % 10 = 0 then lang when l.doc_id % 10 = 1 then '' end as langs, case when l.doc_id % 6 = 0 then 'unknown split odd' end as error from labels l join documents d using (doc_id)""")
 def cases_normalized(spark, sf_dir):
     k = F.col("doc_id")
     raw = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id").select(
-        F.concat(k.cast("string"), F.lit(" ")).alias("id"), F.coalesce("text", F.lit("")).alias("text"), (F.col("quality") == 1).alias("expected"), F.when(k % 4 == 0, "author").otherwise("").alias("signal"),
+        F.concat(F.lit("\t"), k.cast("string"), F.lit("\u00a0")).alias("id"), F.coalesce("text", F.lit("")).alias("text"), (F.col("quality") == 1).alias("expected"), F.when(k % 4 == 0, "author").otherwise("").alias("signal"),
         F.when(k % 3 == 0, F.col("source")).otherwise(F.lit(" ")).alias("bucket"), F.when(k % 6 == 0, "odd").when(k % 6 == 1, "holdout").alias("split"), F.when(k % 5 == 0, False).alias("regression"),
         F.when(k % 8 == 0, True).alias("soft_prior"), F.when(k % 9 == 0, "n").otherwise("").alias("note"), F.when(k % 10 == 0, F.array(F.col("lang"), F.lit(""), F.lit(None))).when(k % 10 == 1, F.array(F.lit(""))).alias("langs"),
     )

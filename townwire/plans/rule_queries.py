@@ -36,7 +36,7 @@ def model() -> LinearModel:
 DIDS, HANDLES = ("src1",), ("src2.x.example",)
 CONFIG = FeedConfig(prior_min_strong=2, prior_days=1, muted=("inger",), retention_days=20)
 
-LINES_SQL = """lines as (select doc_id * 100000 + pos as uri, nullif(line, '') as text, lang, source, doc_id, pos from
+LINES_SQL = """lines as (select doc_id * 100000 + pos as uri, nullif(case when (doc_id + pos) % 17 = 0 then '@ha.example is ' || line when (doc_id + pos) % 17 = 1 then 'to me@st.example ' || line when (doc_id + pos) % 17 = 2 then line || ' @nd' else line end, '') as text, lang, source, doc_id, pos from
       (select doc_id, lang, source, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as pos from documents)),
     src as (select uri, case when uri % 53 = 0 then null else text end as text, case when doc_id % 11 = 0 then 'Photo of nd' end as alt_text, case when doc_id % 5 = 0 then [lang, 'en'] else [lang] end as langs,
       source as author_did, source || '.x.example' as author_handle, doc_id % 4 = 0 as soft_prior, doc_id, pos,
@@ -46,11 +46,14 @@ LINES_SQL = """lines as (select doc_id * 100000 + pos as uri, nullif(line, '') a
 def lines(spark, sf_dir):
     """Every line of every document as a post of its source."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    # some lines mention a handle, or hold an address, whose words are places
+    k = (F.col("doc_id") + F.col("pos")) % 17
+    d = d.withColumn("line", F.when(k == 0, F.concat(F.lit("@ha.example is "), "line")).when(k == 1, F.concat(F.lit("to me@st.example "), "line")).when(k == 2, F.concat("line", F.lit(" @nd"))).otherwise(F.col("line")))
     uri = F.col("doc_id") * 100_000 + F.col("pos")
     minutes = (F.col("doc_id") * 37 + F.col("pos") * 11) % 40_000
     return d.select(
         uri.alias("uri"), F.when((uri % 53 != 0) & (F.col("line") != ""), F.col("line")).alias("text"), F.when(F.col("doc_id") % 11 == 0, "Photo of nd").alias("alt_text"),
-        F.when(F.col("doc_id") % 5 == 0, F.array("lang", F.lit("EN "))).otherwise(F.array("lang")).alias("langs"), F.col("source").alias("author_did"),
+        F.when(F.col("doc_id") % 5 == 0, F.array("lang", F.lit("\tEN\u00a0"))).otherwise(F.array("lang")).alias("langs"), F.col("source").alias("author_did"),
         F.concat(F.col("source"), F.lit(".X.example")).alias("author_handle"), (F.col("doc_id") % 4 == 0).alias("soft_prior"), "doc_id", "pos",
         (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"))).alias("ts"),
     )
@@ -76,10 +79,10 @@ def cascade_full_classes(spark, sf_dir):
 FLAGS = ("strong", "hard_negative", "context", "blocks_strong", "town_local", "event_cue", "venue", "region_hint", "byline", "other_place")
 
 
-@query(f"with {SIG_SQL} select uri, {', '.join(f'{rs.has(pack().classes[k])} as {k}' for k in FLAGS)}, array_to_string(places, ' ') as places, array_to_string(list_sort(micro), ' ') as micro, array_to_string(list_sort(several), ' ') as several, term from sig")
+@query(f"with {SIG_SQL} select uri, {', '.join('context' if k == 'context' else f'{rs.has(pack().classes[k])} as {k}' for k in FLAGS)}, array_to_string(places, ' ') as places, array_to_string(list_sort(micro), ' ') as micro, array_to_string(list_sort(several), ' ') as several, term from sig")
 def rule_class_hits(spark, sf_dir):
     d, read = rules.reading(lines(spark, sf_dir), tx.combine(F.col("text"), F.col("alt_text")))
-    d = rules.once(d, **{k: pack().has(k, read) for k in FLAGS}, found=F.array_sort(pack().all_of("ambiguous", read)), near=F.array_sort(cascade._micro(pack(), read)))
+    d = rules.once(d, **{k: cascade.in_bare_text(read, lambda r: pack().has("context", r)) if k == "context" else pack().has(k, read) for k in FLAGS}, found=F.array_sort(cascade.in_bare_text(read, lambda r: pack().all_of("ambiguous", r))), near=F.array_sort(cascade._micro(pack(), read)))
     several, term = F.array_sort(cascade.distinct_places(F.col("found"), pack().excluded)), cascade.chosen_term(F.col("found"), pack().excluded)
     texts = {k: F.array_join(c, " ") for k, c in (("places", F.col("found")), ("micro", F.col("near")), ("several", several))}
     return d.select("uri", *FLAGS, *(c.alias(k) for k, c in texts.items()), term.alias("term"))
@@ -88,15 +91,16 @@ def rule_class_hits(spark, sf_dir):
 @query(f"with {SIG_SQL} select uri, {', '.join(f'{rs.conflict(c)} as {k}' for k, c in pack().conflicts.items())} from sig")
 def conflict_hits(spark, sf_dir):
     d, read = rules.reading(lines(spark, sf_dir), tx.combine(F.col("text"), F.col("alt_text")))
-    d = rules.once(d, context=pack().has("context", read))
+    d = rules.once(d, context=pack().anchored(read))
     return d.select("uri", *(c.condition(read, F.col("author_handle"), F.col("context")).alias(k) for k, c in pack().conflicts.items()))
 
 
 @query(f"with {SIG_SQL} select uri, {', '.join(f'({x})::double as {k}' for k, x in rs.features(pack(), 'soft_prior').items())}, {rs.score(pack(), model(), 'soft_prior')} as score from sig")
 def model_features(spark, sf_dir):
     d, read = rules.reading(lines(spark, sf_dir), tx.combine(F.col("text"), F.col("alt_text")))
-    names = ("place", "event", "context")
-    d = rules.once(d, places=pack().all_of("ambiguous", read), micro=cascade._micro(pack(), read), **{f"_{k}": pack().has(c, read) for k, c in zip(names, ("ambiguous", "event_cue", "context"))}, _venue=pack().first_of("venue", read) != "")
+    bare = lambda look: cascade.in_bare_text(read, look)
+    has = {"_place": bare(lambda r: pack().has("ambiguous", r)), "_event": pack().has("event_cue", read), "_context": bare(lambda r: pack().has("context", r))}
+    d = rules.once(d, places=bare(lambda r: pack().all_of("ambiguous", r)), micro=cascade._micro(pack(), read), **has, _venue=pack().first_of("venue", read) != "")
     own = F.coalesce(cascade.chosen_term(F.col("places"), pack().excluded).isin(*pack().own_reasons), F.lit(False))
     f = features(micro=F.col("micro"), place=F.col("_place"), event=F.col("_event"), venue=F.col("_venue"), context=F.col("_context"), own_term=own, prior=F.col("soft_prior"))
     return d.select("uri", *(c.alias(k) for k, c in f.items()), model().score(f).alias("score"))

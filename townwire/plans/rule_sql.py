@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from townwire.functions.text import WHITE
 from townwire.operators.lexicon import Lexicon
 from townwire.operators.linear import LinearModel
 from townwire.operators.rules import Conflict, RulePack
 
 EDGE = r"[^\p{L}\p{N}_]"
+#: Characters that strip() takes off the ends of texts.
+WHITE_SQL = "(" + " || ".join(f"chr({ord(c)})" for c in WHITE) + ")"
 
 
 def alternatives(terms: Iterable[str]) -> str:
@@ -39,7 +42,12 @@ def conflict(c: Conflict) -> str:
     hits = [near(c.trigger, c.cues, c.window)] if c.cues else []
     hits += [has(c.phrases)] if c.phrases else []
     hits += [f"({has(c.handles, 'hq')} and {has(c.trigger)})"] if c.handles else []
-    return f"(({' or '.join(hits)})" + (f" and not {has(c.escape)}" if c.escape else "") + (" and not context" if c.escape_context else "") + ")"
+    return f"(({' or '.join(hits)})" + (f" and not {has(c.escape)}" if c.escape else "") + (" and not anchored" if c.escape_context else "") + ")"
+
+
+def without_handles(of: str) -> str:
+    """Mentions as one space; the character before one, which must not be part of an address, stays."""
+    return rf"regexp_replace({of}, '(^|[^\p{{L}}\p{{N}}_.+-])@[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_.-]*', '\1 ', 'g')"
 
 
 def quoted(values: Iterable[str]) -> str:
@@ -55,11 +63,11 @@ def signals(pack: RulePack, lexicon: Lexicon, src: str) -> str:
     return rf"""
     lex(ord, surface, entity_id, region) as (values {surfaces}),
     norm as (select *, trim(regexp_replace(coalesce(text, '') || case when coalesce(alt_text, '') <> '' then ' ' || alt_text else '' end, '\s+', ' ', 'g')) as t from {src}),
-    padded as (select *, ' ' || lower(t) || ' ' as q, ' ' || replace(lower(t), ' ', '  ') || ' ' as p, ' ' || lower(coalesce(author_handle, '')) || ' ' as hq from norm),
+    padded as (select *, ' ' || lower(t) || ' ' as q, ' ' || replace(lower(t), ' ', '  ') || ' ' as p, ' ' || lower(coalesce(author_handle, '')) || ' ' as hq, ' ' || lower({without_handles('t')}) || ' ' as bq from norm),
     hit as (select *, {scrubbed} as scr, {best} as best from padded),
     read as materialized (select hit.*, entity_id, region from hit left join lex on lex.ord = best),
-    sig0 as materialized (select *, {has(c["strong"])} as strong, {has(c["hard_negative"])} as hard, {has(c["context"])} as context, {has(c["blocks_strong"])} as blocks, {has(c["town_local"])} as town,
-      {has(c["event_cue"])} as ev, coalesce({_first_venue(c["venue"])}, '') as venue, {found(c["ambiguous"])} as places,
+    sig0 as materialized (select *, {has(c["strong"])} as strong, {has(c["hard_negative"])} as hard, {has(c["context"], "bq")} as context, {has(c["context"])} as anywhere, {has(c.get("anchored_context", c["context"]))} as anchored, {has(c["blocks_strong"])} as blocks, {has(c["town_local"])} as town,
+      {has(c["event_cue"])} as ev, coalesce({_first_venue(c["venue"])}, '') as venue, {found(c["ambiguous"], "bq")} as places,
       list_distinct({found(c["micro"], "scr")} || case when {has(c["region_hint"])} and not {has(c["other_place"])} then {found(c["micro_collision"], "scr")} else []::varchar[] end) as micro,
       list_contains(langs, 'fr') as fr, list_contains(langs, 'en') as en from read),
     sig as materialized (select *, list_filter(list_filter(places, lambda x: x not in ({quoted(pack.excluded)})), lambda x: len(list_filter(places, lambda y: y <> x and contains(y, x) and y not in ({quoted(pack.excluded)}))) = 0) as several,
@@ -95,7 +103,7 @@ def reason(pack: RulePack, model: LinearModel, prior: str, dids: Iterable[str] =
     if handles:
         add(f"lower(author_handle) in ({quoted(handles)})", "'allowlist_handle'")
     add("t = ''", "'empty'")
-    add(f"{gated} and not {lifted} and contains(q, '{word}') and not town and not context and not strong", f"'lang_non_local:{gated}'")
+    add(f"{gated} and not {lifted} and contains(q, '{word}') and not town and not anywhere and not strong", f"'lang_non_local:{gated}'")
     add("region = 'other'", "'entity_other:' || entity_id")
     add("hard and strong and not blocks", "'strong_positive_over_negative'")
     add("hard", "'hard_negative'")
@@ -112,7 +120,7 @@ def reason(pack: RulePack, model: LinearModel, prior: str, dids: Iterable[str] =
     for x in pack.only_conflicts:
         add(f"len(places) > 0 and len(list_filter(places, lambda x: x not in ({quoted(x.places)}))) = 0 and {conflict(pack.conflicts[x.conflict])}", f"'hard_negative:{x.conflict}'")
     for x in pack.multi_conflicts:
-        add(f"len(several) >= 2 and list_has_any(places, [{quoted(x.places)}]) and {conflict(pack.conflicts[x.conflict])}", f"'hard_negative:{x.conflict}'")
+        add(f"len(several) >= 2 and list_has_any(several, [{quoted(x.places)}]) and {conflict(pack.conflicts[x.conflict])}", f"'hard_negative:{x.conflict}'")
     add("len(several) >= 2", "'multi_local_places'")
     for x in pack.term_conflicts:
         add(f"term in ({quoted(x.places)}) and {conflict(pack.conflicts[x.conflict])}", f"'hard_negative:{x.conflict}'")

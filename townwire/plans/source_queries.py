@@ -11,6 +11,7 @@ from townwire.operators import curate, evaluate, ranking
 from townwire.operators import index as ix
 from townwire.operators.linear import LinearModel
 from townwire.plans.registry import INDEX_SQL, query, scratch
+from townwire.plans.rule_sql import WHITE_SQL, without_handles
 from townwire.plans.tables import events, index, table
 from townwire.sources import commits as cm
 from townwire.sources import files
@@ -34,7 +35,7 @@ def _lines(spark, sf_dir):
     key = F.col("doc_id").cast("string")
     k = F.col("doc_id") % 7
     good = F.to_json(F.struct(key.alias("id"), (F.col("quality") == 1).alias("expected"), F.lit('a "quoted" text').alias("text")))
-    line = F.when(k == 0, F.concat(F.lit("["), key, F.lit("]"))).when(k == 1, F.concat(F.lit(" # "), key)).when(k == 2, F.lit("   ")).when(k == 3, F.concat(F.lit("{broken "), key)).otherwise(good)
+    line = F.when(k == 0, F.concat(F.lit("["), key, F.lit("]"))).when(k == 1, F.concat(F.lit("\t\u2003# "), key)).when(k == 2, F.lit(" \t\u00a0 ")).when(k == 3, F.concat(F.lit("{broken "), key)).when(k == 4, F.concat(F.lit("\t\u00a0"), good, F.lit("\x1c"))).otherwise(good)
     return landed(spark, table(spark, sf_dir, "labels").select(line.alias("value")))
 
 
@@ -50,10 +51,11 @@ def labelled_lines(spark, sf_dir):
     return files.read_labelled(spark, _lines(spark, sf_dir), strict=False).select("id", "expected", "text", F.col("error").isNotNull().alias("failed"))
 
 
-@query("""with l as (select trim(case when c_custkey % 5 = 0 then '# ' || c_name when c_custkey % 5 = 1 then '' when c_custkey % 5 = 2 then '  ' || c_mktsegment || ' # kept' else upper(c_mktsegment) end) as v from customer) select distinct lower(v) as key from l where v <> '' and not starts_with(v, '#')""")
+@query(f"""with l as (select trim(case when c_custkey % 5 = 0 then chr(9) || '# ' || c_name when c_custkey % 5 = 1 then chr(9) when c_custkey % 5 = 2 then chr(160) || c_mktsegment || ' # kept' || chr(11) else upper(c_mktsegment) || chr(9) end, {WHITE_SQL}) as v from customer)
+    select distinct lower(v) as key from l where v <> '' and not starts_with(v, '#')""")
 def list_file_keys(spark, sf_dir):
     k = F.col("c_custkey") % 5
-    line = F.when(k == 0, F.concat(F.lit(" # "), "c_name")).when(k == 1, F.lit(" ")).when(k == 2, F.concat(F.lit("  "), "c_mktsegment", F.lit(" # kept"))).otherwise(F.upper("c_mktsegment"))
+    line = F.when(k == 0, F.concat(F.lit("\t# "), "c_name")).when(k == 1, F.lit("\t")).when(k == 2, F.concat(F.lit("\u00a0"), "c_mktsegment", F.lit(" # kept\x0b"))).otherwise(F.concat(F.upper("c_mktsegment"), F.lit("\t")))
     return files.read_list(spark, landed(spark, table(spark, sf_dir, "customer").select(line.alias("value"))), lower=True)
 
 
@@ -67,13 +69,16 @@ def jsonl_round_trip(spark, sf_dir):
     return files.read_cases(spark, f"{own}/array").select("id", "note", "expected")
 
 
-@query("""select page_id, array_to_string(list_filter([rtrim(substr(trim(title), 1, 320)), rtrim(substr(trim(url), 1, 320)), rtrim(substr(trim(html), 1, 320)), rtrim(substr(trim(m), 1, 320)), rtrim(substr(trim(q), 1, 320)), rtrim(substr(trim(qi), 1, 320))], lambda x: coalesce(x, '') <> ''), ' ') as alt,
-      rtrim(substr(trim(title), 1, 320)) || case when trim(title) <> '' and rtrim(substr(trim(title), 1, 320)) <> trim(url) then ' ' || trim(url) else '' end as merged
-    from (select *, regexp_extract(html, '<title>(.*?)</title>', 1) as title, case when page_id % 2 = 0 then substr(html, 200, 700) end as m, case when page_id % 3 = 0 then '  ' || substr(html, 300, 900) when page_id % 3 = 1 then url end as q, case when page_id % 3 = 0 then substr(html, 100, 400) end as qi from pages where html is not null)""")
+CLIP = lambda c: f"rtrim(substr(trim({c}, {WHITE_SQL}), 1, 320), {WHITE_SQL})"
+
+
+@query(f"""select page_id, array_to_string(list_filter([{CLIP('title')}, {CLIP('url')}, {CLIP('html')}, {CLIP('m')}, {CLIP('q')}, {CLIP('qi')}], lambda x: coalesce(x, '') <> ''), ' ') as alt,
+      {CLIP('title')} || case when trim(title) <> '' and {CLIP('title')} <> trim(url) then ' ' || trim(url) else '' end as merged
+    from (select *, regexp_extract(html, '<title>(.*?)</title>', 1) as title, case when page_id % 2 = 0 then substr(html, 200, 700) end as m, case when page_id % 3 = 0 then chr(10) || chr(9) || chr(8195) || substr(html, 300, 900) when page_id % 3 = 1 then url end as q, case when page_id % 3 = 0 then substr(html, 100, 400) end as qi from pages where html is not null)""")
 def alt_text_cases(spark, sf_dir):
     p = table(spark, sf_dir, "pages").filter("html is not null").withColumn("title", F.regexp_extract("html", "<title>(.*?)</title>", 1))
     k = F.col("page_id")
-    text = F.struct(F.concat(F.lit("  "), F.substring("html", 300, 900)).alias("text"), F.struct(F.array(F.struct(F.substring("html", 100, 400).alias("alt"))).alias("images")).alias("embed"))
+    text = F.struct(F.concat(F.lit("\n\t\u2003"), F.substring("html", 300, 900)).alias("text"), F.struct(F.array(F.struct(F.substring("html", 100, 400).alias("alt"))).alias("images")).alias("embed"))
     value = F.struct(F.col("url").alias("text"))
     embed = F.struct(
         F.array(F.struct(F.col("title").alias("alt"))).alias("images"), F.struct(F.col("url").alias("title"), F.col("html").alias("description")).alias("external"),
@@ -97,12 +102,10 @@ def times_parsed(spark, sf_dir):
     return d.select("event_id", F.col("p").cast("timestamp_ntz").alias("parsed"), F.col("a").cast("timestamp_ntz").alias("at"), in_window(F.col("p"), bound("2024-01-10"), bound("2024-01-20")).alias("inside"))
 
 
-@query(r"""select doc_id, 'see   and me@' || source || '.example ' || lang || case when doc_id % 2 = 0 then ' ' || lower(substr(coalesce(text, ''), 1, 10)) else '' end as bare from documents where coalesce(text, '') not like '%@%'""")
+@query(rf"""select doc_id, {without_handles("'see @' || source || '.example-x and me@' || source || '.example ' || lang || ' ' || coalesce(text, '') || ' @' || lang")} as bare from documents""")
 def handles_stripped(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(~F.contains(F.coalesce("text", F.lit("")), F.lit("@")))
-    start = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 10)))).otherwise("")
-    text = F.concat(F.lit("see @"), "source", F.lit(".example-x and me@"), "source", F.lit(".example "), "lang", start)
-    return d.select("doc_id", tx.without_handles(text).alias("bare"))
+    text = F.concat(F.lit("see @"), "source", F.lit(".example-x and me@"), "source", F.lit(".example "), "lang", F.lit(" "), F.coalesce("text", F.lit("")), F.lit(" @"), "lang")
+    return table(spark, sf_dir, "documents").select("doc_id", tx.without_handles(text).alias("bare"))
 
 
 def _view(d):
@@ -166,14 +169,18 @@ def malformed_lines(spark, sf_dir):
     return cm.malformed(lines).agg(F.count("*").alias("malformed"))
 
 
-@query("""select doc_id as id, concat_ws(' | ', 'from ' || case when toxic = 1 then 'x' else 'y' end, case when doc_id % 3 <> 0 and quality = 1 then 'because' end) as note, case when doc_id % 3 <> 0 then quality = 1 end as proposed_expected,
-    not coalesce(doc_id % 3 <> 0 and doc_id % 2 = 0, false) as needs_human_confirm from labels""")
+@query("""with p as (select doc_id as id, doc_id % 3 <> 0 as asked, doc_id % 5 = 0 as bad, quality = 1 as said, case when toxic = 1 then 'x' when doc_id % 4 = 0 then '' else chr(9) end as had, case when doc_id % 2 = 0 then 'high' else 'low' end as conf, case when quality = 1 then 'because' else '' end as why, doc_id % 7 = 0 as before from labels)
+    select id, case when asked and not bad then said else before end as expected, case when asked and not bad then said end as proposed_expected, case when asked then 'llm' end as proposed_by, asked as needs_human_confirm,
+      case when not asked then nullif(had, '') when bad then trim(had || ' | llm error: expected is not a boolean', ' |') when trim(had, chr(9)) <> '' then trim(had || ' | llm propose expected=' || case when said then 'True' else 'False' end || ' (' || conf || '): ' || why, ' |')
+        else 'llm propose expected=' || case when said then 'True' else 'False' end || ' (' || conf || '): ' || why end as note from p""")
 def proposals_attached(spark, sf_dir):
     k = _labels(spark, sf_dir)
-    rows = k.select(F.col("doc_id").alias("id"), F.concat(F.lit("from "), F.when(F.col("toxic") == 1, "x").otherwise("y")).alias("note"))
-    answer = F.to_json(F.struct((F.col("quality") == 1).alias("expected"), F.when(F.col("quality") == 1, " because ").otherwise("").alias("rationale"), F.when(F.col("doc_id") % 2 == 0, "HIGH").otherwise("low").alias("confidence")))
+    note = F.when(F.col("toxic") == 1, "x").when(F.col("doc_id") % 4 == 0, "").otherwise("\t")
+    rows = k.select(F.col("doc_id").alias("id"), note.alias("note"), (F.col("doc_id") % 7 == 0).alias("expected"))
+    said = F.when(F.col("doc_id") % 5 != 0, F.col("quality") == 1)
+    answer = F.to_json(F.struct(said.alias("expected"), F.when(F.col("quality") == 1, "\t because ").otherwise("").alias("rationale"), F.when(F.col("doc_id") % 2 == 0, "HIGH").otherwise("low").alias("confidence")))
     proposals = curate.parse_proposals(k.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), answer.alias("response")))
-    return curate.attach_proposals(rows, proposals).select("id", "note", "proposed_expected", "needs_human_confirm")
+    return curate.attach_proposals(rows, proposals).select("id", "note", "expected", "proposed_expected", "proposed_by", "needs_human_confirm")
 
 
 @query(f"with {INDEX_SQL} select uri, indexed_at from idx order by indexed_at desc, uri desc limit 50")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from townwire.functions.embeds import embed_type
+from townwire.functions.text import strip
 from townwire.functions.times import parse_iso
 from townwire.sources.commits import RECORD
 
@@ -27,14 +28,15 @@ CASE = T.StructType([
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True) -> DataFrame:
     """JSON lines in files of any size, with error: null for good lines, else the file, the line's start and what is wrong. Blank lines are skipped. strict fails on a bad line."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")).filter(F.trim("value") != "")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")).filter(strip(F.col("value")) != "")
     return _objects(lines, schema, strict)
 
 
 def _objects(lines: DataFrame, schema: T.StructType, strict: bool) -> DataFrame:
-    is_object = F.trim("value").startswith("{") & F.try_parse_json("value").isNotNull()
+    value = strip(F.col("value"))
+    is_object = value.startswith("{") & F.try_parse_json(value).isNotNull()
     error = F.when(~is_object, F.concat(F.lit("not a JSON object in "), "file", F.lit(": "), F.substring("value", 1, 80)))
-    df = lines.select(F.from_json("value", schema).alias("c"), error.alias("error"))
+    df = lines.select(F.from_json(value, schema).alias("c"), error.alias("error"))
     if strict:
         df = df.filter(F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).isNull()).otherwise(True))
     return df.select("c.*", "error")
@@ -43,13 +45,14 @@ def _objects(lines: DataFrame, schema: T.StructType, strict: bool) -> DataFrame:
 def numbered_errors(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value) of the lines in small files that are no JSON objects, numbered from 1, for messages to people: each file is one row here."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "value"))
-    bad = (F.trim("value") != "") & ~(F.trim("value").startswith("{") & F.coalesce(F.try_parse_json("value").isNotNull(), F.lit(False)))
+    value = strip(F.col("value"))
+    bad = (value != "") & ~(value.startswith("{") & F.coalesce(F.try_parse_json(value).isNotNull(), F.lit(False)))
     return files.filter(bad).select("file", (F.col("at") + 1).alias("line"), "value")
 
 
 def read_labelled(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Labelled JSON lines; blank lines and lines from # on are skipped. A line that isn't an object fails, or has error set."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")).filter(~F.trim("value").rlike(r"^(#|$)"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")).filter(~strip(F.col("value")).rlike(r"^(#|$)"))
     return _objects(lines, CASE, strict)
 
 
@@ -59,8 +62,8 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_list(spark: SparkSession, path: str, lower: bool = False) -> DataFrame:
-    """A list file's keys: trimmed lines, each once, without blank ones and those that begin with #."""
-    key = F.trim(F.col("value"))
+    """A list file's keys: stripped lines, each once, without blank ones and those that begin with #."""
+    key = strip(F.col("value"))
     return spark.read.text(path).filter(~key.rlike(r"^(#|$)")).select((F.lower(key) if lower else key).alias("key")).distinct()
 
 
