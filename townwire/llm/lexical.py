@@ -48,6 +48,8 @@ BLOCK_CHARS = 1 << 24
 BUCKET, SEEDS, SEED_NUMBERS = 8_192, 2_048, 1 << 21
 #: Coordinates that are taken up before candidates are compacted.
 STEP = 4
+#: Numbers in vectors that a task gathers at most, about: a bucket with more is searched in parts.
+NUMBERS = 1 << 22
 #: Enlarges bounds in floating point against rounding.
 SLACK = 1 + 1e-9
 
@@ -180,10 +182,18 @@ def block_hits(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     dealt = vectors.repartitionByRange(max(1, -(-total["hits"] // BUCKET)), F.desc("norm"), F.xxhash64("doc_id", "at", "x"))
 
     def search_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        whole = pa.Table.from_batches(rows) if rows else None
-        for start in range(0, whole.num_rows if rows else 0, 2 * BUCKET):
-            bucket = Bucket(whole.slice(start, 2 * BUCKET))
+        def buckets() -> Iterator[Bucket]:
+            held, numbers = [], 0
+            for b in batches:
+                held += [b] * (b.num_rows > 0)
+                numbers += len(b.column("at").flatten())
+                if numbers >= NUMBERS:
+                    yield Bucket(pa.Table.from_batches(held))
+                    held, numbers = [], 0
+            if held:
+                yield Bucket(pa.Table.from_batches(held))
+
+        for bucket in buckets():
             item, item_id, doc_id, score = [], [], [], []
             for row, name, own, least in asked:
                 found, scores = bucket.best(own, least, k)
