@@ -40,6 +40,30 @@ def test_priors_against_a_sequential_run(spark):
     assert stats == {a: s for a, s in state.items() if a}
 
 
+@pytest.mark.parametrize("slot", ["minute", "hour", "day", "year"])
+def test_priors_do_not_depend_on_slots(spark, slot):
+    rng = random.Random(slot)
+    posts = [(i, rng.choice(["a", "a", "b"]), at(minutes=rng.randrange(0, 20_000)), rng.random() < 0.3) for i in range(300)]
+    df = spark.createDataFrame(posts, "k int, author string, ts timestamp, strong boolean")
+    want, state = sequential_priors(posts, 3, 0.2)
+    assert {r["k"]: r["soft_prior"] for r in priors.with_prior(df, "author", "ts", "k", "strong", 3, 0.2, slot).collect()} == want and sum(want.values()) > 10
+    stats = {r["author"]: (r["strong_match_count"], r["last_strong_at"]) for r in priors.author_stats(df, "author", "ts", "k", "strong", 0.2, slot).collect()}
+    assert stats == state
+
+
+def test_a_hot_author_is_spread_over_slots(spark):
+    """One author has a third of all rows: no window takes them together, and the rows are shuffled once."""
+    posts = [(i, "hot" if i % 3 == 0 else f"a{i % 50}", at(minutes=7 * i), i % 2 == 0) for i in range(3_000)]
+    df = spark.createDataFrame(posts, "k int, author string, ts timestamp, strong boolean")
+    out = priors.with_prior(df, "author", "ts", "k", "strong", 3, 2)
+    assert {r["k"]: r["soft_prior"] for r in out.collect()} == sequential_priors(posts, 3, 2)[0]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "k#" in line]
+    assert windows and all("[author#" in line and "_townwire_slot#" in line.split("], [")[-2] for line in windows), windows
+    within = priors._within_slots(df, "author", "ts", "k", "strong", 2, priors.SLOT)
+    assert within.groupBy("author", "_townwire_slot").count().agg(F.max("count")).first()[0] <= 9
+
+
 def test_prior_bounds(spark):
     stats = spark.createDataFrame([("a", 3, at(days=0)), ("b", 2, at(days=0)), ("c", 9, at(seconds=-1))], "author string, strong_match_count int, last_strong_at timestamp")
     assert rows(priors.eligible(stats, F.lit(at(days=30))), "author") == [("a",)]

@@ -127,7 +127,7 @@ def _history_sql(src: str, where: str = "true") -> str:
 
 @query(f"with {SIG_SQL}, {_history_sql('sig')} select uri, reason, matched, strong_before, soft as soft_prior from h")
 def prior_cascade(spark, sf_dir):
-    out = live.decide_with_history(lines(spark, sf_dir), pack(), CONFIG, lexicon=lexicon(), model=model())
+    out = live.decide_with_history(lines(spark, sf_dir), pack(), CONFIG, path=f"{scratch(spark)}/verdicts", lexicon=lexicon(), model=model())
     return out.select("uri", "reason", "matched", "strong_before", "soft_prior")
 
 
@@ -176,10 +176,11 @@ def commit_lines(spark, sf_dir):
 def live_index(spark, sf_dir):
     from townwire.sources import commits as cm
 
-    events = cm.decode(cm.parsed(commit_lines(spark, sf_dir)))
+    own = scratch(spark)
+    events = cm.landed(cm.decode(cm.parsed(commit_lines(spark, sf_dir))), f"{own}/events")
     posts = cm.posts(events)
-    now = posts.agg(F.max("ts").alias("now"))
-    out = live.live_index(posts, cm.engagement(events), pack(), CONFIG, path=f"{scratch(spark)}/index", lexicon=lexicon(), model=model())
+    now = events.filter("kind = 'post'").agg(F.timestamp_micros(F.max("time_us")).alias("now"))
+    out = live.live_index(posts, cm.engagement(events), pack(), CONFIG, path=own, lexicon=lexicon(), model=model())
     recent = live.index.retained(out.crossJoin(F.broadcast(now)), F.col("now"), CONFIG.retention_days)  # one row
     return recent.select("uri", "author_did", "match_reason", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "indexed_at")), "like_count", "repost_count")
 
@@ -207,7 +208,7 @@ def _backfill(spark, sf_dir):
     posts = cm.posts(events).join(events.select("uri", "status"), "uri")
     existing = p.filter("doc_id % 6 = 0").select(F.concat(F.lit("at://"), F.col("uri").cast("string")).alias("uri"))
     bound = lambda day: F.lit(day).cast("timestamp")
-    return live.backfill(posts, existing, pack(), CONFIG, bound("2024-01-03"), bound("2024-01-25"), lexicon=lexicon(), model=model())
+    return live.backfill(posts, existing, pack(), CONFIG, bound("2024-01-03"), bound("2024-01-25"), path=f"{scratch(spark)}/verdicts", lexicon=lexicon(), model=model())
 
 
 @query(f"with {BACKFILL_SQL} select uri, reason as match_reason, ts as created_at, ts as indexed_at from h where matched")

@@ -44,6 +44,12 @@ def decode(messages: DataFrame) -> DataFrame:
     )
 
 
+def landed(events: DataFrame, path: str) -> DataFrame:
+    """Decoded events written once into a new folder, by kind: posts and engagement then read their own files and columns, and no line is parsed again."""
+    events.write.partitionBy("kind").parquet(path)
+    return events.sparkSession.read.schema(events.schema).parquet(path)
+
+
 def posts(events: DataFrame) -> DataFrame:
     """Post events with the columns that gates and cascade read."""
     r = F.col("record")
