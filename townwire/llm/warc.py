@@ -41,7 +41,7 @@ from townwire.llm.common import SLICE_ROWS, join_counted, scratch_root, stored
 
 #: Skippable frame that holds the dictionary, and its header: magic number and length.
 DICTIONARY_FRAME, FRAME_HEADER = 0x184D2A5D, struct.Struct("<II")
-#: Bytes of the dictionary; rows and characters of each that it is built from; bytes of an archive, about; compression level.
+#: Bytes of the dictionary; rows (up to twice as many) and characters of each that it is built from; bytes of an archive, about; compression level.
 DICTIONARY, SAMPLE_ROWS, SAMPLE_CHARS, ARCHIVE, LEVEL = 112 << 10, 1_000, 8_192, 64 << 20, 3
 #: Bytes that the reader takes at once.
 CHUNK = 1 << 16
@@ -120,7 +120,8 @@ def dictionary(rows: DataFrame, size: int = DICTIONARY) -> bytes | None:
     import zstandard
 
     sample = rows.select("page_id", "row", "url", F.left(F.coalesce("html", F.lit("")), F.lit(SAMPLE_CHARS)).alias("html"))
-    sample = sample.orderBy(F.xxhash64("page_id", "url", "row"), "row").limit(SAMPLE_ROWS).collect()  # at most SAMPLE_ROWS of SAMPLE_CHARS
+    share = max(1, rows.count() // SAMPLE_ROWS)  # one row in so many, so that tasks send no more than is taken
+    sample = sample.filter(F.pmod(F.xxhash64("page_id", "url", "row"), F.lit(share)) == 0).limit(2 * SAMPLE_ROWS).collect()  # at most so many rows of SAMPLE_CHARS
     records = [record(r["page_id"], r["row"], r["url"], r["html"].encode(), None) for r in sample]
     try:
         return zstandard.train_dictionary(min(size, max(1 << 10, sum(map(len, records)) // 8)), records).as_bytes()
