@@ -575,6 +575,55 @@ def stream_index(spark, sf_dir):
     return compact(spark, f"{own}/log").select("uri", "event_id", "ts")
 
 
+def _table(spark, path, **columns):
+    from pyspark.sql import types as T
+
+    from townwire.operators.index_table import IndexTable
+
+    return IndexTable(spark, path, columns, time=T.TimestampType())
+
+
+@query(f"""with {EVENTS_SQL}, e as (select event_id, event_id::varchar as uri, ts, event_type, k from ev where event_id % 5 <> 3), old as (select *, event_id % 2 = 0 as early from e),
+    r as (select uri, ts as indexed_at, case when early then null else event_type end as match_reason, 0 as like_count, k from old where not (event_id % 10 = 1 and event_id % 3 = 0))
+    select uri, indexed_at, match_reason, like_count, k from r where indexed_at >= (select max(ts) from ev) - interval 7 day""")
+def index_table(spark, sf_dir):
+    """The index as files by day: rows without later columns, then rows with them and repeats, then deletes, then retention."""
+    from pyspark.sql import types as T
+
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long")).filter("event_id % 5 <> 3")
+    rows = e.select(F.col("event_id").cast("string").alias("uri"), F.col("ts").cast("timestamp").alias("indexed_at"), "k", F.col("event_type").alias("match_reason"), "event_id")
+    own = f"{scratch(spark)}/index"
+    early = _table(spark, own, k=T.LongType())
+    first = rows.filter("event_id % 2 = 0")
+    # a table of an older kind, without the columns that came later
+    first.select("uri", "indexed_at", "k", F.to_date("indexed_at").alias("indexed_on")).write.partitionBy("indexed_on").parquet(own)
+    early.insert(rows)  # half of them are there
+    early.remove(rows.filter("event_id % 10 = 1 and event_id % 3 = 0"))
+    early.retain(e.agg(F.max("ts")).first()[0])
+    return early.read().select("uri", F.col("indexed_at").cast("timestamp_ntz").alias("indexed_at"), "match_reason", "like_count", "k")
+
+
+@query(ORACLES["engagement_counts_asof"])
+def stream_engagement(spark, sf_dir):
+    """Engagement as deltas of micro-batches, merged into the index in two goes, one of them run twice."""
+    from townwire.operators import index_table as it
+
+    own = scratch(spark)
+    index = _table(spark, f"{own}/index")
+    index.insert(index_first_wins(spark, sf_dir).select("uri", F.col("ts").cast("timestamp").alias("indexed_at")))
+    kind = F.when(F.col("event_type") == "view", "like").when(F.col("event_type") == "click", "repost")
+    e = _stream(spark, sf_dir).select(kind.alias("kind"), F.get_json_object("props", "$.k").alias("subject_uri"), F.col("t").alias("ts")).filter("kind is not null")
+    halves = [e.filter(half) for half in (F.dayofmonth("ts") % 2 == 0, F.dayofmonth("ts") % 2 == 1)]
+    for k, half in enumerate(halves):  # two streams, as the table may be one file and so one batch
+        it.engagement_deltas(half, f"{own}/deltas{k}", f"{own}/checkpoint{k}").trigger(availableNow=True).start().awaitTermination()
+    deltas = [it.read_deltas(spark, f"{own}/deltas{k}").withColumn("batch", F.col("batch") * 2 + k) for k in (0, 1)]
+    last = [d.agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0] for d in deltas]
+    index.merge_counts(deltas[0], last[0])
+    index.merge_counts(deltas[0].unionByName(deltas[1]), max(last))
+    index.merge_counts(deltas[0].unionByName(deltas[1]), max(last))
+    return index.read().select("uri", F.col("indexed_at").cast("timestamp_ntz").alias("indexed_at"), "like_count", "repost_count")
+
+
 @query("""with n as (select max(ts) + interval 200 second as now from events) select event_type, epoch(now - max(ts))::double as lag_s, epoch(now - max(ts)) < 300 as healthy from events, n group by event_type, now""")
 def lag_health(spark, sf_dir):
     from townwire.streaming import jobs
