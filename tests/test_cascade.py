@@ -141,9 +141,11 @@ def test_against_sequential_reading(spark):
 
 def test_each_class_is_matched_once_in_the_plan(spark):
     """Words are split once, and for texts with mentions once more for places and for their context."""
+    from townwire.operators import rules
+
     df = spark.createDataFrame([("a",)], "text string")
     plan = cascade.decide(df, PACK, LEXICON)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("horoscope") == 1 and plan.count("split(") == 3 and "Exchange" not in cascade.decide(df, PACK, LEXICON)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("horoscope") == 1 and plan.count(rules.NOT_WORD) == 3 and "Exchange" not in cascade.decide(df, PACK, LEXICON)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_words_need_no_regular_expression(spark):
@@ -155,6 +157,40 @@ def test_words_need_no_regular_expression(spark):
     assert plan.count("RLIKE") == 2
 
 
+def windows_by_force(text, triggers, cues, window):
+    low = " ".join(text.split()).lower()
+    found = lambda terms: [(m.start(1), m.end(1)) for t in terms for m in re.finditer(rf"(?=(?<!\w)({re.escape(t)})(?!\w))", low)]
+    apart = lambda x, y: 0 <= y[0] - x[1] <= window
+    return any(apart(x, y) or apart(y, x) for x in found(triggers) for y in found(cues))
+
+
+@pytest.mark.parametrize(("triggers", "cues", "window"), [
+    (("aa", "b"), ("c", "é"), 5), (("aa", "b"), ("c", "b"), 2), (("a b", "b"), ("b c", "é"), 4), (("aa",), ("aa",), 3), (("c.", "b"), ("é b", "aa"), 6), (("b",), ("c",), 0), (("b",), ("c",), 1),
+])
+def test_windows_against_force(spark, triggers, cues, window):
+    from townwire.operators import rules
+
+    rng = random.Random(str(triggers))
+    words = ["aa", "b", "c", "é", "É", "aab", "c.", "xxxx", "b,c", "yyyyyyy", rules.MARK]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(300)] + ["aa 123 c", "c b", "aa 12345 c", "b" * 3 + " " + "b " * 400 + "c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    c = Conflict("x", triggers, cues=cues, window=window)
+    d, read = reading(df, F.col("t"))
+    d, cut = rules.with_pieces(d, read, [c, Conflict("y", ("xxxx",), cues=("yyyyyyy",))])
+    flags = {r["i"]: (r["alone"], r["shared"]) for r in d.select("i", c.condition(read, F.lit(None), F.lit(False)).alias("alone"), c.condition(cut, F.lit(None), F.lit(False)).alias("shared")).collect()}
+    want = {i: windows_by_force(t, triggers, cues, window) for i, t in enumerate(texts)}
+    keep = {i for i, t in enumerate(texts) if rules.MARK not in t}
+    assert {i: (texts[i], *flags[i]) for i in keep} == {i: (texts[i], want[i], want[i]) for i in keep} and 20 < sum(want.values()) < 304
+
+
+def test_windows_take_no_regular_expression_test(spark):
+    from townwire.plans import rule_queries
+
+    df = spark.createDataFrame([("a", "h")], "text string, author_handle string")
+    plan = cascade.decide(df, rule_queries.pack(), rule_queries.lexicon(), rule_queries.model())._jdf.queryExecution().optimizedPlan().toString()
+    assert "{0," not in plan and plan.count("\ue000$1") == 1
+
+
 def narrow_hits(df, lex):
     d, read = reading(df, F.col("t"))
     return {r["k"]: (r["h"]["entity_id"], r["h"]["surface"]) for r in d.select("k", lex.hit(read).alias("h")).collect() if r["h"]}

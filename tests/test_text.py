@@ -41,11 +41,6 @@ def test_pattern_has_word_edges(spark, raw, hit):
     assert one(spark, F.lit(raw).rlike(text.pattern(["foo", "new town", "föhr"]))) is hit
 
 
-def test_near_window(spark):
-    p = text.near(text.pattern(["aa"]), text.pattern(["bb"]), 5)
-    assert one(spark, F.lit("aa 123 bb").rlike(p)) and one(spark, F.lit("bb aa").rlike(p)) and not one(spark, F.lit("aa 12345 bb").rlike(p))
-
-
 def test_alt_text_order_and_depth(spark):
     schema = F.schema_of_json  # noqa: F841
     row = '{"images":[{"alt":" one "},{"alt":null}],"external":{"title":"two","description":"' + "d" * 400 + '"},"record":{"record":{"text":"three","embed":{"images":[{"alt":"four"}]}}}}'

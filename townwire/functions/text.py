@@ -72,8 +72,3 @@ def pattern(terms: Iterable[str], capture: bool = False) -> str:
     guarded = [edge(t, 0, LEFT_EDGE) + q + edge(t, -1, RIGHT_EDGE) for t, q in zip(ordered, quoted)]
     return "(?iu)" + ("(" if capture else "(?:") + "|".join(guarded) + ")"
 
-
-def near(a: str, b: str, window: int) -> str:
-    """Either pattern within so many characters of the other."""
-    a, b = a.removeprefix("(?iu)"), b.removeprefix("(?iu)")
-    return rf"(?iu)(?:{a}[\s\S]{{0,{window}}}?{b}|{b}[\s\S]{{0,{window}}}?{a})"

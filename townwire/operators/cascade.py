@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from townwire.functions.text import combine, has_language, language_tags, pattern, without_handles
 from townwire.operators.lexicon import Lexicon
 from townwire.operators.linear import LinearModel, features
-from townwire.operators.rules import Reading, RulePack, inline_reading, once, reading
+from townwire.operators.rules import Reading, RulePack, inline_reading, once, reading, with_pieces
 
 #: Reason codes and prefixes that mark a strong match; an author's history counts these alone.
 STRONG_REASONS = ("strong_positive", "strong_positive_over_negative", "town_local", "multi_local_places", "own_term_with_context")
@@ -90,6 +90,7 @@ def decide(
         early = early | F.col(s + "allow_handle").isNotNull()
     df = df.withColumn(s + "langs", language_tags(col("langs", F.lit(None).cast("array<string>"))))
     df, read = reading(df, combine(col("text", null), col("alt_text", null)), s + "read", early)
+    df, read = with_pieces(df, read, pack.conflicts.values(), s + "pieces")
     text, langs = read.text, F.col(s + "langs")
     handle = col("author_handle", null)
     own_prior = F.coalesce(col("soft_prior", F.lit(False)), F.lit(False))

@@ -10,23 +10,24 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from townwire.functions.text import near, pattern
+from townwire.functions.text import LEFT_EDGE, RIGHT_EDGE, pattern
 
 
 @dataclass(frozen=True)
 class Reading:
-    """A normalised text, its lower-case form between two spaces, and its distinct words in order of appearance."""
+    """A normalised text, its lower-case form between two spaces, its distinct words in order of appearance, and, where windows are looked at, its pieces around their words."""
 
     text: Column
     low: Column
     words: Column
+    pieces: Column | None = None
 
 
 def reading(df: DataFrame, text: Column, name: str = "_townwire_read", skip: Column | None = None) -> tuple[DataFrame, Reading]:
@@ -80,6 +81,65 @@ def has_terms(terms: Iterable[str], read: Reading) -> Column:
     return either(parts)
 
 
+#: Parts the pieces of a text. A text that holds this character reads as if it held a space.
+MARK = "\ue000"
+
+
+def pieces(words: Iterable[str], read: Reading) -> Column:
+    """The lower-case text cut at these words, in one pass: text, word, text, word, ... text."""
+    found = f"{LEFT_EDGE}({'|'.join(sorted(set(words), key=lambda w: (-len(w), w)))}){RIGHT_EDGE}"
+    return F.split(F.regexp_replace(F.translate(read.low, MARK, " "), found, f"{MARK}$1{MARK}"), MARK)
+
+
+def close(cut: Column, a: Iterable[str], b: Iterable[str], window: int) -> Column:
+    """Do words of a and of b stand within so many characters? One walk over pieces, which keeps how far back the last of each kind ended."""
+    far, one = F.lit(1 << 40), [sorted(set(a)), sorted(set(b))]
+
+    def step(at: Column, piece: Column) -> Column:
+        is_a, is_b = (at["word"] & piece.isin(*own) for own in one)
+        hit = at["hit"] | (is_b & (at["a"] <= window)) | (is_a & (at["b"] <= window))
+        back = lambda is_, gap: F.when(is_, F.lit(0).cast("long")).otherwise(gap + F.char_length(piece))
+        return F.struct(back(is_a, at["a"]).alias("a"), back(is_b, at["b"]).alias("b"), hit.alias("hit"), (~at["word"]).alias("word"))
+
+    start = F.struct(far.alias("a"), far.alias("b"), F.lit(False).alias("hit"), F.lit(False).alias("word"))
+    return F.aggregate(cut, start, step, lambda at: at["hit"])
+
+
+def spans(terms: Iterable[str], read: Reading) -> Column:
+    """Where these terms stand in the lower-case text, as array of (first, end); each is looked for alone, so that terms that overlap don't hide each other."""
+    out = []
+    for t in sorted(set(terms)):
+        body = pattern([t.lower()], capture=True).removeprefix("(?iu)")
+        cut = F.split(F.regexp_replace(F.translate(read.low, MARK, " "), body, f"{MARK}$1{MARK}"), MARK)
+        none = F.array().cast("array<struct<first:long,end:long>>")
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("word"), none.alias("found"))
+
+        def step(acc: Column, piece: Column) -> Column:
+            end = acc["at"] + F.char_length(piece)
+            found = F.when(acc["word"], F.array_append(acc["found"], F.struct(acc["at"].alias("first"), end.alias("end")))).otherwise(acc["found"])
+            return F.struct(end.alias("at"), (~acc["word"]).alias("word"), found.alias("found"))
+
+        out.append(F.aggregate(cut, start, step, lambda acc: acc["found"]))
+    return F.concat(*out)
+
+
+def window_words(conflicts: Iterable[Conflict]) -> list[str]:
+    """The words of all windows that only have terms of one word."""
+    own = [(*c.trigger, *c.cues) for c in conflicts if c.cues]
+    return sorted({w for terms in own if not split_terms(terms)[1] for w in split_terms(terms)[0]})
+
+
+def with_pieces(df: DataFrame, read: Reading, conflicts: Iterable[Conflict], name: str = "_townwire_pieces") -> tuple[DataFrame, Reading]:
+    """df with a text's pieces around the words of all windows, cut once and only where a window may hold its trigger and its cue."""
+    conflicts = [c for c in conflicts if c.cues]
+    words = window_words(conflicts)
+    if not words:
+        return df, read
+    some = either(may_hold(c.trigger, read) & may_hold(c.cues, read) for c in conflicts)
+    df = once(df, **{name: F.when(some, pieces(words, read)).otherwise(F.array().cast("array<string>"))})
+    return df, replace(read, pieces=F.col(name))
+
+
 @dataclass(frozen=True)
 class Conflict:
     """A place name meant elsewhere: a trigger with a cue within a window, a fixed phrase, or a telling handle; unless an escape matches."""
@@ -97,7 +157,7 @@ class Conflict:
         """context: does the text hold what RulePack.anchored looks for?"""
         hits = []
         if self.cues:
-            hits.append(has_terms(self.trigger, read) & has_terms(self.cues, read) & read.text.rlike(near(pattern(self.trigger), pattern(self.cues), self.window)))
+            hits.append(has_terms(self.trigger, read) & has_terms(self.cues, read) & self.in_window(read))
         if self.phrases:
             hits.append(has_terms(self.phrases, read))
         if self.handles:
@@ -110,6 +170,16 @@ class Conflict:
         return out & ~context if self.escape_context else out
 
 
+    def in_window(self, read: Reading) -> Column:
+        """Do a trigger and a cue stand within the window, in either order?"""
+        (a, a_more), (b, b_more) = split_terms(self.trigger), split_terms(self.cues)
+        if not a_more and not b_more:
+            return close(pieces([*a, *b], read) if read.pieces is None else read.pieces, a, b, self.window)
+        one, other = spans(self.trigger, read), spans(self.cues, read)
+        apart = lambda x, y: (y["first"] >= x["end"]) & (y["first"] - x["end"] <= self.window)
+        return F.exists(one, lambda x: F.exists(other, lambda y: apart(x, y) | apart(y, x)))
+
+
 @dataclass(frozen=True)
 class SetConflict:
     """A conflict that decides when the distinct places are among, or meet, a set."""

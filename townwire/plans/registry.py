@@ -15,7 +15,7 @@ from townwire.operators import index as ix
 from townwire.operators.linear import LinearModel, score_rows
 from townwire.packs import HERE
 from townwire.plans.rule_sql import WHITE_SQL
-from townwire.plans.tables import cases, commits, events, index, posts, table
+from townwire.plans.tables import cases, commits, documents, events, index, posts, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,7 +102,7 @@ def allowlisted_verdicts(spark, sf_dir):
 
 @query(rf"select doc_id, length({NORM}) as n, substr(translate(coalesce(text, ''), chr(10) || chr(13), '  '), 1, 160) as preview from documents")
 def text_normalize_preview(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     return d.select("doc_id", F.char_length(tx.normalize(F.col("text"))).cast("long").alias("n"), tx.preview(F.col("text")).alias("preview"))
 
 
@@ -115,7 +115,7 @@ def embed_clip(spark, sf_dir):
 @query("select doc_id, lang = 'fr' as gated, 'x-' || lang as tag from documents")
 def lang_prefix_gate(spark, sf_dir):
     tags = tx.language_tags(F.array(F.concat(F.lit(" "), F.upper("lang"), F.lit("_XX")), F.lit("")))
-    d = table(spark, sf_dir, "documents").withColumn("tags", tags)
+    d = documents(spark, sf_dir).withColumn("tags", tags)
     return d.select("doc_id", (tx.has_language(F.col("tags"), "fr") & ~tx.has_language(F.col("tags"), "en")).alias("gated"), F.concat(F.lit("x-"), F.split(F.get("tags", F.lit(0)), "-")[0]).alias("tag"))
 
 
@@ -161,7 +161,7 @@ HIT_SQL = f"""lex(surface, entity_id, region, ord) as (values ('the the', 'a', '
 @query(rf"with t as (select doc_id as key, ' ' || lower({NORM}) || ' ' as p from documents), {HIT_SQL} select key as doc_id, entity_id, region, surface from ranked where rn = 1")
 def lexicon_longest_match(spark, sf_dir):
     lex = lexicon.Lexicon.of(COMMON_LEXICON)
-    d, read = rules.reading(table(spark, sf_dir, "documents"), tx.normalize(F.col("text")))
+    d, read = rules.reading(documents(spark, sf_dir), tx.normalize(F.col("text")))
     return rules.once(d.select("doc_id", lex.hit(read).alias("h")), hit=F.col("h")).filter("hit is not null").select("doc_id", "hit.*")
 
 
@@ -182,7 +182,7 @@ def ambiguous_places_set(spark, sf_dir):
 @query(rf"""with t as (select doc_id, ' ' || lower({NORM}) || ' ' as p from documents)
     select doc_id from t where regexp_matches(p, '{EDGE}(?:thble|thing)(?:{EDGE}|{EDGE}[\s\S]{{0,158}}{EDGE})(?:that|this){EDGE}') or regexp_matches(p, '{EDGE}(?:that|this)(?:{EDGE}|{EDGE}[\s\S]{{0,158}}{EDGE})(?:thble|thing){EDGE}')""")
 def cooccurrence_conflict(spark, sf_dir):
-    d, read = rules.reading(table(spark, sf_dir, "documents"), tx.normalize(F.col("text")))
+    d, read = rules.reading(documents(spark, sf_dir), tx.normalize(F.col("text")))
     rule = pack().conflicts["far_prose"]
     return d.filter(rule.condition(read, F.lit(None).cast("string"), F.lit(False))).select("doc_id")
 
@@ -194,7 +194,7 @@ MODEL = LinearModel({"bias": -1.0, "micro": 0.75, "place": 0.5, "event": 1.25},
     f as (select doc_id, (regexp_matches(p, '{EDGE}ontion{EDGE}')::int + regexp_matches(p, '{EDGE}oning{EDGE}')::int) as micro, {has_sql("thble", "thtion", "thing", "erble")}::int as place, {has_sql("ering")}::int as event from t)
     select doc_id, (-1.0 + 0.75 * micro + 0.5 * place + 1.25 * event)::double as score, (-1.0 + 0.75 * micro + 0.5 * place + 1.25 * event) >= 0.5 as kept from f""")
 def linear_score(spark, sf_dir):
-    d, read = rules.reading(table(spark, sf_dir, "documents"), tx.normalize(F.col("text")))
+    d, read = rules.reading(documents(spark, sf_dir), tx.normalize(F.col("text")))
     features = {"micro": F.size(pack().all_of("micro", read)).cast("double"), "place": pack().has("ambiguous", read).cast("double"), "event": pack().has("event_cue", read).cast("double")}
     return rules.once(d, score=MODEL.score(features)).select("doc_id", "score", (F.col("score") >= MODEL.threshold).alias("kept"))
 
@@ -459,7 +459,7 @@ def merged_cases(spark, sf_dir):
     case when l.doc_id % 10 = 0 then lang when l.doc_id % 10 = 1 then '' end as langs, case when l.doc_id % 6 = 0 then 'unknown split odd' end as error from labels l join documents d using (doc_id)""")
 def cases_normalized(spark, sf_dir):
     k = F.col("doc_id")
-    raw = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id").select(
+    raw = table(spark, sf_dir, "labels").join(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"), "doc_id").select(
         F.concat(F.lit("\t"), k.cast("string"), F.lit("\u00a0")).alias("id"), F.coalesce("text", F.lit("")).alias("text"), (F.col("quality") == 1).alias("expected"), F.when(k % 4 == 0, "author").otherwise("").alias("signal"),
         F.when(k % 3 == 0, F.col("source")).otherwise(F.lit(" ")).alias("bucket"), F.when(k % 6 == 0, "odd").when(k % 6 == 1, "holdout").alias("split"), F.when(k % 5 == 0, False).alias("regression"),
         F.when(k % 8 == 0, True).alias("soft_prior"), F.when(k % 9 == 0, "n").otherwise("").alias("note"), F.when(k % 10 == 0, F.array(F.col("lang"), F.lit(""), F.lit(None))).when(k % 10 == 1, F.array(F.lit(""))).alias("langs"),

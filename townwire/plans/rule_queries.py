@@ -14,7 +14,7 @@ from townwire.operators.linear import LinearModel, features
 from townwire.packs import HERE
 from townwire.plans import rule_sql as rs
 from townwire.plans.registry import query, scratch
-from townwire.plans.tables import table
+from townwire.plans.tables import documents
 from townwire.sources.commits import POST
 
 
@@ -45,7 +45,7 @@ LINES_SQL = """lines as (select doc_id * 100000 + pos as uri, nullif(case when (
 
 def lines(spark, sf_dir):
     """Every line of every document as a post of its source."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    d = documents(spark, sf_dir).select("doc_id", "lang", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     # some lines mention a handle, or hold an address, whose words are places
     k = (F.col("doc_id") + F.col("pos")) % 17
     d = d.withColumn("line", F.when(k == 0, F.concat(F.lit("@ha.example is "), "line")).when(k == 1, F.concat(F.lit("to me@st.example "), "line")).when(k == 2, F.concat("line", F.lit(" @nd"))).otherwise(F.col("line")))
@@ -91,6 +91,7 @@ def rule_class_hits(spark, sf_dir):
 @query(f"with {SIG_SQL} select uri, {', '.join(f'{rs.conflict(c)} as {k}' for k, c in pack().conflicts.items())} from sig")
 def conflict_hits(spark, sf_dir):
     d, read = rules.reading(lines(spark, sf_dir), tx.combine(F.col("text"), F.col("alt_text")))
+    d, read = rules.with_pieces(d, read, pack().conflicts.values())
     d = rules.once(d, context=pack().anchored(read))
     return d.select("uri", *(c.condition(read, F.col("author_handle"), F.col("context")).alias(k) for k, c in pack().conflicts.items()))
 

@@ -10,9 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for rules that take far longer than reading: a table with fewer splits than the session has tasks at once (one file of one row group, say) is dealt out by id; a larger one is left where it is."""
+    d = table(spark, sf_dir, "documents")
+    n = spark.sparkContext.defaultParallelism
+    return d.repartition(n, "doc_id") if d.rdd.getNumPartitions() < 2 * n else d
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as posts."""
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     return d.select(F.col("doc_id").alias("uri"), "text", F.array("lang").alias("langs"), F.col("source").alias("author_did"))
 
 
@@ -45,7 +52,7 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as evaluation cases."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    d = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     own = table(spark, sf_dir, "labels").join(d, "doc_id")
     split = F.when(F.col("doc_id") % 5 == 0, "holdout").otherwise("dev")
     return own.select(
