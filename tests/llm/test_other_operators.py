@@ -96,6 +96,36 @@ def test_html_text(spark):
     assert html_text.main_text(pages(spark, [])).count() == 0
 
 
+#: Bodies of an article, and the text that they hold.
+BROKEN = [
+    ("<p class=it's>long text {i}</p><p>Second", "long text {i}|Second"), ('<p title="x"" >one {i}</p><p>two', "one {i}|two"), ('<p title=5" >one {i}<p>two', "one {i}|two"), ("<p data-x='a' b=\"c>d\" '>one {i}<p>two", "one {i}|two"),
+    ('<p>if a <b "quoted and c" {i} in running text</p><p>next', 'if a <b "quoted and c" {i} in running text|next'), ("<p>1 < 2 and {i}</p><p>3 > 2", "1 < 2 and {i}|3 > 2"),
+    ('<header class="header"><h1>Title {i}</h1></header><h2 class="share-title">Share {i}</h2><h2 class="related-header">Related work {i}</h2><h3 id="comments">On comments {i}</h3><p>a', "Title {i}|Share {i}|Related work {i}|On comments {i}|a"),
+    ('<section id="search-methods"><p>Methods {i}</section><div class="social-history">History {i}</div><p>x <math>y{i}</math> z</p><object>fallback {i}</object>', "Methods {i}|History {i}|x y{i} z|fallback {i}"),
+    ('<p>a {i}<div class="ad-slot">Buy</div><section id="comments"><p>Reader</p></section><nav>Menu</nav><aside>Side</aside><form><p>Mail</form><footer>Foot</footer>', "a {i}"),
+]
+
+
+@pytest.mark.parametrize("pages_a_host", [5, 12])
+def test_articles_on_hosts_of_any_size(spark, pages_a_host):
+    """Broken markup loses nothing, an article's own headings stay, and text beside the article stays out, whatever the host's size."""
+    long, side = " ".join(f"word{k}" for k in range(60)), " ".join(f"side{k}" for k in range(40))
+    page = "<html><body><header><p>Site</p></header><nav><a href=/>Home</a></nav><article>{body}<p>" + long + " {i}</p></article><div>" + side + " {i}</div><footer>Foot</footer></body></html>"
+    rows, want = [], {}
+    for k, (body, text) in enumerate(BROKEN):
+        for i in range(pages_a_host):
+            rows.append((100 * k + i, f"http://h{k}.example/{i}", page.replace("{body}", body).replace("{i}", f"n{i}")))
+            tail = f"{long} n{i}"
+            want[100 * k + i] = "\n\n".join([*text.replace("{i}", f"n{i}").split("|"), tail])
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(pages(spark, rows)).collect()}
+    assert {p: (got[p], want[p]) for p in want if got[p] != want[p]} == {}
+
+
+def test_a_page_cut_off_within_a_tag():
+    read = lambda html: [b[2] for b in html_text.blocks(html)]
+    assert read("<p>a<p foo") == ["a"] and read("<p>a <") == ["a <"] and read("<p>a</") == ["a"] and read('<p>a<p title="b>c') == ["a", "c"]
+
+
 def template_of(spark, rows):
     return {r["host"]: r for r in html_text.templates(html_text.parsed(pages(spark, rows))).collect()}
 

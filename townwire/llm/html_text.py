@@ -16,8 +16,10 @@
    mostly links are menus. The main box is the innermost element that holds nearly all of the
    host's running text, without what is fixed. Slots in the main box are content, and so are
    slots of running text or titles elsewhere. Names only break ties: within the main box,
-   elements that their tag, class or id marks (adverts, forms, comments, ...) are left out,
-   and an article element there is taken whole. A fixed text inside an article element is the
+   elements that their tag, class or id marks (adverts, forms, comments, ...) are left out.
+   Where the page has an article element, that is the content, whatever the box holds
+   besides; within it headings and its own header stay, and a class or id marks a part only
+   if it is such a word itself. A fixed text inside an article element is the
    article's (headings, list items), unless it comes behind all of its own text and a marked
    part.
 5. A last map puts the content slots' blocks together.
@@ -26,7 +28,8 @@ Pages are counted once per host and own text, so copies of a page under many url
 repeated rows weigh as one page. The parsed blocks are stored, so html is read once only.
 
 Defined cases: null or empty html gives ''; a page with a null url belongs to the host '';
-rows with the same page_id are extracted each; truncated html is read to its end; pages of
+rows with the same page_id are extracted each; truncated html is read to its end, a tag that the end cuts off is dropped, and a < that no
+tag follows is text; pages of
 a host with fewer than ``LEAST_PAGES`` distinct pages, and pages without the main box of
 their host, are read by their elements alone.
 """
@@ -45,7 +48,7 @@ from pyspark.sql import functions as F
 from townwire.llm.common import join_counted, map_slices, stored
 
 #: Elements without text of their own, read as raw text up to their end tag.
-RAW = frozenset("script style noscript template iframe svg textarea select title object math canvas".split())
+RAW = frozenset("script style noscript template iframe svg textarea select title canvas".split())
 #: Elements that end a line of text.
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul video audio".split()
@@ -60,7 +63,12 @@ NOT_CONTENT_WORDS = frozenset(
     "sidebar sidenav side menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer bottombar comment comments reply replies disqus respond discussion related recommended share sharing social toolbar form search".split()
 )
 NOT_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S)
+#: Words that mark a part of an article as none of it: as a class or id of its own, or as the first word of one. Headings are never marked, and an article's own header is its title.
+PARTS_WITHIN = NOT_CONTENT_WORDS - frozenset("header masthead topbar banner search form discussion respond alert notice notices".split())
+FIRST_WITHIN = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies newsletter comment comments disqus".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: A quotation mark opens a value only behind an equals sign; any other is part of the tag, which ends at the next >. A < that no tag follows is text.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|[^<]+|<[a-zA-Z/][^<>]*\Z|<""", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 #: What such a class begins with says what its element holds or lacks, not what it is.
 HOLDS = re.compile(r"(?:with|has|have|no|without)[-_]")
@@ -80,9 +88,9 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def words_of(attributes: str) -> tuple[str, bool, bool]:
-    """What an element's path token shows of its attributes, whether they mark it as no content, and whether only a word in them does."""
-    shown, out, worded = [], False, False
+def words_of(attributes: str) -> tuple[str, bool, bool, bool]:
+    """What an element's path token shows of its attributes, whether they mark it as no content, whether only a word in them does, and whether that holds within an article too."""
+    shown, out, worded, within = [], False, False, False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden":
@@ -92,7 +100,8 @@ def words_of(attributes: str) -> tuple[str, bool, bool]:
         elif name in ("class", "id"):
             shown.append(f"{name}={re.sub(r'[0-9]+', '0', value).replace('/', '|')}")
             worded = worded or any(not HOLDS.match(x) and not NOT_CONTENT_WORDS.isdisjoint(re.split(r"[^a-z]+", x)) for x in value.split())
-    return " ".join(shown), out, worded
+            within = within or any(x in PARTS_WITHIN or re.split(r"[^a-z]+", x)[0] in FIRST_WITHIN for x in value.split())
+    return " ".join(shown), out, worded, within
 
 
 def blocks(page: str) -> Iterator[tuple[str, int, str, int, int]]:
@@ -115,20 +124,17 @@ def blocks(page: str) -> Iterator[tuple[str, int, str, int, int]]:
     while at < end:
         m = TOKEN.match(page, at)
         at = m.end()
-        tag = m[2]
+        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if tag is None:
             text = m[0]
-            if text == "<":
-                if at < end and (page[at].isalpha() or page[at] == "/"):
-                    break  # cut off within a tag
-            elif text[0] == "<":
-                continue
+            if text[0] == "<" and text != "<":
+                continue  # a comment, a declaration, or a tag that the page's end cuts off
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
             linked += len(text) * bool(in_link)
             continue
         tag = tag.lower()
-        if not m[1]:
+        if not closing:
             if tag in RAW:
                 close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
                 at = page.find(">", close.start()) + 1 if close else end
@@ -145,10 +151,12 @@ def blocks(page: str) -> Iterator[tuple[str, int, str, int, int]]:
                 if tag in CLOSES:
                     while len(stack) > 1 and stack[-1][0] in CLOSES[tag]:
                         stack.pop()
-                if tag not in VOID and not m[3].rstrip().endswith("/"):
-                    shown, out, worded = words_of(m[3]) if m[3] else ("", False, False)
+                if tag not in VOID and not attributes.rstrip().endswith("/"):
+                    shown, out, worded, within = words_of(attributes) if attributes else ("", False, False, False)
                     _, path, kind, marked, mark = stack[-1]
-                    if tag in NOT_CONTENT or out and tag not in ("html", "body"):
+                    if kind not in (OUT, OTHER):  # in an article
+                        worded = within and tag not in HEADINGS
+                    if tag in NOT_CONTENT and not (tag == "header" and kind not in (OUT, OTHER)) or out and tag not in ("html", "body"):
                         kind, marked, mark = OUT, -1, path.count("/") + 1
                     elif worded and tag not in ("html", "body"):
                         kind, marked, mark = OUT, marked + (marked >= 0), path.count("/") + 1
@@ -444,8 +452,8 @@ def content(found: list[tuple], place: list[int], words: list[int], template: di
     inside = lambda path: path.startswith(main) and path[len(main) : len(main) + 1] in ("", "/")
     depth = main.count("/")
     box = [i for i, (path, _, _, _, mark) in enumerate(found) if main and inside(path) and mark <= depth]
-    if in_article and (not box or not set(box).isdisjoint(own)):
-        return without_fixed(found, sorted({*own, *(i for i in box if found[i][1] != OUT)}), fixed)
+    if in_article and (found[own[0]][1] == ARTICLE or not box or not set(box).isdisjoint(own)):
+        return without_fixed(found, own, fixed)
     if not box:
         return [i for i in own if slots[i] not in template["menus"] and found[i][3] <= LINKED * len(found[i][2]) and not fixed[i]]
     last = lambda i: found[i][0].rsplit("/", 1)[1].split(" ", 1)[0] if found[i][0] else ""
