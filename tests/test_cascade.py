@@ -228,3 +228,23 @@ def test_join_hits_of_any_length(spark):
     joined = {r["k"]: (r["entity_id"], r["surface"]) for r in join_hits(df, lex.table(spark), "k", "t").collect()}
     assert joined == narrow == {1: ("a", "st. mary's"), 2: ("b", "one two three four five six seven"), 3: ("a", "mary")}
     assert join_hits(df, Lexicon(()).table(spark), "k", "t").count() == 0
+
+
+def test_automaton_reads_as_the_rules_do(spark):
+    """100 surfaces against the plan of regular expressions; parts of any size give the same."""
+    from townwire.operators import automaton
+
+    rng = random.Random(4)
+    names = ["".join(rng.choices("abé", k=rng.randint(1, 2))) for _ in range(50)]
+    surfaces = list(dict.fromkeys([" ".join(rng.choices(names, k=rng.randint(1, 4))) for _ in range(95)] + ["st. a", "a-b", "b's", "(a)", "é, b"]))
+    lex = Lexicon.of([{"id": str(i), "region": "local", "surfaces": [s]} for i, s in enumerate(surfaces)] + [{"id": "again", "region": "other", "surfaces": surfaces[:3]}])
+    texts = [rng.choice([" ", ", ", "-", " (", ". ", "'"]).join(rng.choices([*names, "St", "s", "A"], k=rng.randint(0, 7))) for _ in range(300)] + ["st.  a", "st.\ta", "É, B", "a -b", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", F.trim(F.regexp_replace("t", r"\s+", " ")).alias("t"))
+    narrow = narrow_hits(df, lex)
+    for part in (automaton.PART_TOKENS, 40):
+        got = {r["k"]: (r["entity_id"], r["surface"]) for r in automaton.longest_hits(df, lex.table(spark), "k", "t", part).collect()}
+        assert {k: (texts[k], got.get(k), narrow.get(k)) for k in {*got, *narrow} if got.get(k) != narrow.get(k)} == {}
+    assert len(narrow) > 50
+    assert automaton.longest_hits(df, Lexicon(()).table(spark), "k", "t").count() == 0
+    plan = automaton.longest_hits(df, lex.table(spark), "k", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan

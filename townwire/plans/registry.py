@@ -624,6 +624,26 @@ def stream_engagement(spark, sf_dir):
     return index.read().select("uri", F.col("indexed_at").cast("timestamp_ntz").alias("indexed_at"), "like_count", "repost_count")
 
 
+PAIRS_SQL = lambda src, key: rf"""select {key}, l[i] as a, l[i + 1] as b from (select {key}, l, unnest(range(1, len(l))) as i from (select {key}, regexp_extract_all(lower({NORM}), '[\p{{L}}\p{{N}}_]+|[^\s\p{{L}}\p{{N}}_]') as l from {src}))
+      where regexp_matches(l[i], '^[\p{{L}}\p{{N}}_]') and regexp_matches(l[i + 1], '^[\p{{L}}\p{{N}}_]')"""
+
+
+@query(rf"""with lex as (select distinct a || ' ' || b as surface from ({PAIRS_SQL("conversations", "conv_id")})), seen as (select distinct doc_id, a || ' ' || b as surface from ({PAIRS_SQL("documents", "doc_id")})),
+    r as (select doc_id, surface, row_number() over (partition by doc_id order by length(surface) desc, surface) as rn from seen join lex using (surface)) select doc_id, surface from r where rn = 1""")
+def lexicon_automaton(spark, sf_dir):
+    """The longest pair of neighbouring words of any conversation that a document holds: a lexicon that grows with the tables."""
+    from townwire.operators.automaton import longest_hits
+
+    tokens = F.regexp_extract_all(F.lower(tx.normalize(F.col("text"))), F.lit(lexicon.TOKEN), F.lit(0))
+    cut = table(spark, sf_dir, "conversations").select(tokens.alias("l"))
+    pairs = cut.select(F.explode(F.arrays_zip(F.slice("l", 1, F.greatest(F.size("l") - 1, F.lit(0))).alias("a"), F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))).alias("b"))).alias("p")).select("p.*")
+    word = lambda c: F.col(c).rlike(r"^[\p{L}\p{N}_]")
+    surfaces = pairs.filter(word("a") & word("b")).select(F.concat_ws(" ", "a", "b").alias("surface")).distinct()
+    lex = surfaces.select("surface", F.col("surface").alias("entity_id"), F.lit("local").alias("region"), F.lit(0).alias("ord"))
+    texts = documents(spark, sf_dir).select("doc_id", tx.normalize(F.col("text")).alias("t"))
+    return longest_hits(texts, lex, "doc_id", "t").select("doc_id", "surface")
+
+
 @query("""with n as (select max(ts) + interval 200 second as now from events) select event_type, epoch(now - max(ts))::double as lag_s, epoch(now - max(ts)) < 300 as healthy from events, n group by event_type, now""")
 def lag_health(spark, sf_dir):
     from townwire.streaming import jobs
