@@ -212,3 +212,18 @@ def test_screening_strips_texts_and_rejects_failed_fetches(spark):
     assert one[1]["unique_prefix_ratio"] == 0.33 and one[1]["sample_texts"] == ["\thello\n", "hello ", "hello"]
     flagged = screening.with_recommendation(screening.with_flags(out, failed=F.col("a") == 2))
     assert {r["a"]: (r["flags"], r["recommendation"]) for r in flagged.collect()} == {1: ([], "likely_ok"), 2: (["fetch_error"], "reject")}
+
+
+def test_sliding_activity_is_near_the_exact_one(spark):
+    """Sketches of a day merge into windows: within 2 % for many prefixes, exact for few."""
+    df = spark.range(60_000).select((F.col("id") % 2).alias("a"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("p"), F.col("id") % 40_000)).otherwise(F.concat(F.lit(" p"), F.col("id") % 9)).alias("t"), (F.lit(T0) + F.make_dt_interval((F.col("id") % 40).cast("int"))).alias("s"))
+    got = {(r["a"], (r["day"] - T0.date()).days): r for r in screening.sliding(df, "a", "s", "t").collect()}
+    for d in (0, 6, 20, 39):
+        for a in (0, 1):
+            r = got.get((a, d))
+            if r is None:
+                continue
+            for span in (7, 30):
+                own = [i for i in range(a, 60_000, 2) if d - span < i % 40 <= d]
+                exact = len({i % 40_000 if a == 0 else i % 9 for i in own})
+                assert r[f"posts_{span}d"] == len(own) and abs(r[f"prefixes_{span}d"] - exact) <= (0.02 * exact if a == 0 else 0)

@@ -1,6 +1,7 @@
 """Decoding and landed files."""
 
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -76,3 +77,23 @@ def test_payloads(spark):
     assert [(r["position"], r["uri"]) for r in files.feed_uris(skeleton).collect()] == [(0, "b"), (1, "a")]
     idx = spark.createDataFrame([("a", datetime(2024, 1, 1)), ("b", datetime(2024, 1, 2))], "uri string, indexed_at timestamp")
     assert [r["uri"] for r in files.newest(idx, 1).collect()] == ["b"]
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    """Files of many splits, with empty and long lines: the numbers are those of the whole file."""
+    rng = random.Random(6)
+    want = set()
+    for name in ("a.jsonl", "b.jsonl"):
+        lines = [rng.choice(['{"id": "1"}', "", "[1]", "x" * rng.randint(1, 300), "  \t", '{"id": "é"}']) for _ in range(400)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        want |= {(name, i, v) for i, v in enumerate(lines, 1) if v.strip() and not v.startswith("{")}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        blocks = files.numbered_lines(spark, str(tmp_path))[1]
+        assert blocks.count() > 20
+        assert {tuple(r) for r in files.numbered_errors(spark, str(tmp_path)).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])

@@ -74,3 +74,27 @@ def test_windows_and_engagement(spark, tmp_path):
     likes = read().select(F.lit("like").alias("kind"), F.concat(F.lit("u"), F.col("k") - 1).alias("subject_uri"), "ts")
     got = jobs.run_available(jobs.engagement_on_posts(posts, likes, "1 hour", "6 HOURS"), f"{tmp_path}/likes", "append", f"{tmp_path}/ck5")
     assert got.count() == 58
+
+
+def test_a_stalled_stream_becomes_unhealthy(spark, tmp_path):
+    import time
+
+    landed(spark, tmp_path)
+    listener = jobs.LagTable(spark, f"{tmp_path}/lags")
+    spark.streams.addListener(listener)
+    try:
+        stream = jobs.read_events(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, 1)
+        query = jobs.append_batches(jobs.observed(stream, "ts"), f"{tmp_path}/out", f"{tmp_path}/ck").queryName("posts").trigger(availableNow=True).start()
+        query.awaitTermination()
+        until = time.time() + 30
+        while time.time() < until and not (tmp_path / "lags").exists():
+            time.sleep(0.2)
+        while time.time() < until and spark.read.parquet(f"{tmp_path}/lags").count() < 3:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    rows = spark.read.parquet(f"{tmp_path}/lags").collect()
+    newest = T0 + timedelta(hours=5 * 59 + 200)
+    assert sorted(r["n"] for r in rows) == [20, 20, 20] and max(r["newest"] for r in rows) == newest and {r["query"] for r in rows} == {"posts"}
+    health = lambda later: [tuple(r) for r in jobs.table_health(spark, f"{tmp_path}/lags", F.lit(newest + timedelta(seconds=later))).collect()]
+    assert health(299) == [("posts", 299.0, True)] and health(300) == [("posts", 300.0, False)]

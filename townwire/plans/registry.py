@@ -377,12 +377,15 @@ ACTIVITY_SQL = f"""sample as (select *, k % 5 = 0 as reply, case when event_id %
       case when unique_prefix_ratio < 0.45 and sample_n >= 8 then 'low_diversity' end, case when contains(sample_texts, 'error') then 'slop:fault' end, case when contains(sample_texts, 'click 3') or user_id % 8 = 1 then 'slop:promo' end], lambda x: x is not null) as flags from rated)"""
 
 
-def _screened(spark, sf_dir):
-    e = events(spark, sf_dir)
+def _body():
     i = F.col("event_id")
     body = F.concat(F.when(i % 2 == 0, "\t").otherwise("  "), "event_type", F.lit(" "), (F.col("k") % 7).cast("string"), F.when(i % 3 == 0, "\u00a0").otherwise(""))
-    body = F.when(i % 11 == 0, "\n").otherwise(body)
-    a = screening.activity(e.withColumn("body", body), "user_id", "ts", "body", F.lit("2024-01-30").cast("timestamp_ntz"), F.col("k") % 5 == 0, "event_id")
+    return F.when(i % 11 == 0, "\n").otherwise(body)
+
+
+def _screened(spark, sf_dir):
+    e = events(spark, sf_dir)
+    a = screening.activity(e.withColumn("body", _body()), "user_id", "ts", "body", F.lit("2024-01-30").cast("timestamp_ntz"), F.col("k") % 5 == 0, "event_id")
     profile = {"handle": F.when(F.col("user_id") % 10 == 3, "news.bot.example").otherwise("robot.example"), "description": F.when(F.col("user_id") % 8 == 1, "Link in bio, Shop now!").otherwise("")}
     return screening.pattern_hits(a.withColumns(profile), {"fault": ("error",), "promo": ("click 3", "shop now")}, "description")
 
@@ -392,6 +395,16 @@ def author_activity(spark, sf_dir):
     return _screened(spark, sf_dir).select("user_id", "sample_n", "recent_7d", "recent_30d", "ppd_7d", "ppd_30d", "unique_prefix_ratio")
 
 
+@query(f"""with {ACTIVITY_SQL}, own as (select user_id, ts::date as day, case when not reply and trim(body, {WHITE_SQL}) <> '' then lower(substr(trim(body, {WHITE_SQL}), 1, 40)) end as prefix from sample),
+    days as (select distinct user_id, day from own),
+    spans as (select d.user_id, d.day, o.day > d.day - 7 as week, o.prefix from days d join own o on o.user_id = d.user_id and o.day <= d.day and o.day > d.day - 30)
+    select user_id, day, count(*) filter (where week) as posts_7d, count(prefix) filter (where week) as originals_7d, count(distinct case when week then prefix end) as prefixes_7d, count(*) as posts_30d, count(prefix) as originals_30d, count(distinct prefix) as prefixes_30d from spans group by user_id, day""")
+def author_sliding_activity(spark, sf_dir):
+    """Every author's activity of the last 7 and 30 days on every day, from daily sketches."""
+    e = events(spark, sf_dir)
+    return screening.sliding(e.withColumn("body", _body()), "user_id", "ts", "body", F.col("k") % 5 == 0)
+
+
 @query(f"with {ACTIVITY_SQL} select user_id, sample_texts, unique_prefix_ratio, originals from rated")
 def author_originals(spark, sf_dir):
     e = events(spark, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,12 +43,22 @@ def _objects(lines: DataFrame, schema: T.StructType, strict: bool) -> DataFrame:
     return df.select("c.*", "error")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, blocks) of files of any size: lines (file, block, at, value), where at counts within a scan split; blocks (file, block, first, before), how many lines a file has before each of its splits."""
+    name, block = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    lines = spark.read.text(path).select(name, block, F.monotonically_increasing_id().alias("at"), "value")
+    counts = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    order = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row a split
+    return lines, counts.select("file", "block", "first", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+
+
 def numbered_errors(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value) of the lines in small files that are no JSON objects, numbered from 1, for messages to people: each file is one row here."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "value"))
+    """(file, line, value) of the lines that are no JSON objects, numbered from 1 in each file. A scan counts the lines of each split, another finds the bad ones, and only these are joined with the sums."""
+    lines, blocks = numbered_lines(spark, path)
     value = strip(F.col("value"))
     bad = (value != "") & ~(value.startswith("{") & F.coalesce(F.try_parse_json(value).isNotNull(), F.lit(False)))
-    return files.filter(bad).select("file", (F.col("at") + 1).alias("line"), "value")
+    found = lines.filter(bad).join(blocks, ["file", "block"])
+    return found.select(F.element_at(F.split("file", "/"), -1).alias("file"), (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
 
 
 def read_labelled(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:

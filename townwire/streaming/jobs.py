@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from townwire.functions.times import HEALTHY_LAG_S, lag_seconds
@@ -122,6 +123,35 @@ def observed(stream: DataFrame, ts: str, name: str = "lag") -> DataFrame:
     return stream.observe(name, F.max(ts).alias("newest"), F.count(F.lit(1)).alias("n"))
 
 
+class LagTable(StreamingQueryListener):
+    """Writes what observed() gives to a table, a row per micro-batch that saw events: query, batch, newest event, rows. Added with spark.streams.addListener."""
+
+    SCHEMA = "query string, batch long, newest timestamp, n long"
+
+    def __init__(self, spark: SparkSession, path: str, name: str = "lag"):
+        self.spark, self.path, self.name = spark, path, name
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        metrics = p.observedMetrics.get(self.name)
+        if metrics is not None and metrics["newest"] is not None:
+            self.spark.createDataFrame([(p.name or str(p.id), p.batchId, metrics["newest"], metrics["n"])], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def table_health(spark: SparkSession, path: str, now: Column) -> DataFrame:
+    """Per query of a LagTable how far its newest event is behind, and whether that is healthy: a stalled stream writes no more rows, so its lag grows."""
+    return lag_health(spark.read.schema(LagTable.SCHEMA).parquet(path), "newest", now, "query")
+
+
 def run_available(df: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
     """Everything available now, batch by batch into a folder, read back: all batches, of complete mode the last."""
     spark = df.sparkSession
