@@ -13,3 +13,29 @@ def test_join_counted(spark, monkeypatch, share):
     both = rows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("a <> 9")
     got = sorted(map(tuple, common.join_counted(rows, both, ["a", "b"], "n", 70).select("a", "b", "v", "n").collect()))
     assert got == sorted(map(tuple, rows.join(both, ["a", "b"]).select("a", "b", "v", "n").collect())) and len(got) == 70
+
+
+def test_scratch_tables_are_cleared(spark):
+    from pathlib import Path
+
+    from townwire.llm import common
+
+    with common.cleared(spark):
+        t = common.stored(spark.range(3), "x")
+        folder = Path(t.inputFiles()[0].removeprefix("file://")).parent
+        assert t.count() == 3 and folder.exists()
+    assert not folder.exists()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from townwire.llm import common
+    from townwire.plans.registry import scratch
+
+    cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    for root in (common.scratch_root, scratch):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            root(cluster)

@@ -34,20 +34,28 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of this machine only where none is set, as in tests."""
+    """The shared folder of the cluster. On one machine a folder of its own does where none is set, as in tests; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="townwire-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A name for a scratch folder, which belongs to the scope of the moment."""
+    path = f"{scratch_root(spark)}/townwire/{name}-{uuid.uuid4().hex}"
+    _MADE.append((_SCOPE, path))
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a scratch table and read it again."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/townwire/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _MADE.append((_SCOPE, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -75,6 +83,19 @@ def release(spark: SparkSession, scopes: Iterable[str], still_read: DataFrame) -
             _MADE.remove((scope_, path))
 
 
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch tables that are made inside, for callers that have read or written their results by the end."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        for scope_, path in _MADE[before:]:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        del _MADE[before:]
+
+
 #: A key is hot with more than one in so many of all rows, so there are fewer hot keys than this.
 HOT_SHARE = 2_000
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townwire.llm.common import SLICE_ROWS, join_counted, scratch_root, stored
+from townwire.llm.common import SLICE_ROWS, join_counted, new_folder, stored
 
 #: Skippable frame that holds the dictionary, and its header: magic number and length.
 DICTIONARY_FRAME, FRAME_HEADER = 0x184D2A5D, struct.Struct("<II")
@@ -232,4 +232,4 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
 def archive_folder(spark: SparkSession) -> str:
     """A new folder for archives beside the scratch tables."""
-    return f"{scratch_root(spark)}/townwire/archives-{uuid.uuid4().hex}"
+    return new_folder(spark, "archives")
