@@ -398,11 +398,11 @@ def author_activity(spark, sf_dir):
 @query(f"""with {ACTIVITY_SQL}, own as (select user_id, ts::date as day, case when not reply and trim(body, {WHITE_SQL}) <> '' then lower(substr(trim(body, {WHITE_SQL}), 1, 40)) end as prefix from sample),
     days as (select distinct user_id, day from own),
     spans as (select d.user_id, d.day, o.day > d.day - 7 as week, o.prefix from days d join own o on o.user_id = d.user_id and o.day <= d.day and o.day > d.day - 30)
-    select user_id, day, count(*) filter (where week) as posts_7d, count(prefix) filter (where week) as originals_7d, count(distinct case when week then prefix end) as prefixes_7d, count(*) as posts_30d, count(prefix) as originals_30d, count(distinct prefix) as prefixes_30d from spans group by user_id, day""")
+    select user_id, day::varchar as day, count(*) filter (where week) as posts_7d, count(prefix) filter (where week) as originals_7d, count(distinct case when week then prefix end) as prefixes_7d, count(*) as posts_30d, count(prefix) as originals_30d, count(distinct prefix) as prefixes_30d from spans group by user_id, day""")
 def author_sliding_activity(spark, sf_dir):
     """Every author's activity of the last 7 and 30 days on every day, from daily sketches."""
     e = events(spark, sf_dir)
-    return screening.sliding(e.withColumn("body", _body()), "user_id", "ts", "body", F.col("k") % 5 == 0)
+    return screening.sliding(e.withColumn("body", _body()), "user_id", "ts", "body", F.col("k") % 5 == 0).withColumn("day", F.col("day").cast("string"))
 
 
 @query(f"with {ACTIVITY_SQL} select user_id, sample_texts, unique_prefix_ratio, originals from rated")
@@ -526,11 +526,15 @@ def session_activity(spark, sf_dir):
 
 
 def scratch(spark) -> str:
-    """A new folder below the shared one."""
+    """A new folder below the shared one. On one machine a folder of its own does where none is set; on a cluster that is an error."""
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="townwire-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="townwire-")
     return f"{root}/queries/{uuid.uuid4().hex}"
 
 
