@@ -1,5 +1,6 @@
 """Text, embed and time functions on literal rows."""
 
+import json
 from datetime import datetime
 
 import pytest
@@ -41,12 +42,32 @@ def test_pattern_has_word_edges(spark, raw, hit):
     assert one(spark, F.lit(raw).rlike(text.pattern(["foo", "new town", "föhr"]))) is hit
 
 
-def test_alt_text_order_and_depth(spark):
-    schema = F.schema_of_json  # noqa: F841
-    row = '{"images":[{"alt":" one "},{"alt":null}],"external":{"title":"two","description":"' + "d" * 400 + '"},"record":{"record":{"text":"three","embed":{"images":[{"alt":"four"}]}}}}'
-    df = spark.createDataFrame([(row,), ("{}",)], "j string").select(embeds.alt_text(F.from_json("j", embeds.embed_type())).alias("x"))
-    got = [r["x"] for r in df.collect()]
-    assert got == ["one two " + "d" * 320 + " three four", ""]
+def alt_texts(spark, *embed_rows):
+    df = spark.createDataFrame([(r if isinstance(r, str) else json.dumps(r),) for r in embed_rows], "j string").select("j", embeds.alt_text(F.try_parse_json("j")).alias("x"))
+    return [r["x"] for r in df.collect()]
+
+
+def test_alt_text_order(spark):
+    row = {"images": [{"alt": " one "}, {"alt": None}], "external": {"title": "two", "description": "d" * 400}, "record": {"record": {"text": "three", "embed": {"images": [{"alt": "four"}]}}}}
+    assert alt_texts(spark, row, {}) == ["one two " + "d" * 320 + " three four", ""]
+
+
+def test_alt_text_of_any_depth(spark):
+    deep = {"images": [{"alt": "end {"}]}
+    for i in range(40, 0, -1):
+        deep = {"record": {"record": {"text": f"t{i}", "embed": deep}}, "media": {"external": {"title": f"m{i}"}}}
+    assert alt_texts(spark, deep) == [" ".join(f"m{i} t{i}" for i in range(1, 41)) + " end {"]
+    spaced = json.dumps({"media": {"media": {"media": {"media": {"images": [{"alt": "far"}]}}}}}, indent=1)
+    assert alt_texts(spark, spaced) == ["far"]
+
+
+def test_alt_text_of_missing_and_unexpected_parts(spark):
+    value = {"value": {"text": "v"}}
+    rows = [{"record": {"record": {}, **value}}, {"record": {"record": None, **value}}, {"record": value}, {"record": {"record": "link", **value}}, {"record": {"record": {"uri": "u"}, **value}}]
+    assert alt_texts(spark, *rows) == ["v", "v", "v", "", ""]
+    assert alt_texts(spark, "5", '"text"', "[1]", "null", "not json", {"images": "x", "external": {"title": "ok"}}, {"images": [3, {"alt": "a"}]}) == ["", "", "", "", "", "ok", "a"]
+    nulls = spark.createDataFrame([(None,), ('{"e": null}',), ('{"e": {"media": {"images": [{"alt": "in"}]}}}',)], "j string").select(embeds.alt_text(F.from_json("j", "e variant")["e"]).alias("x"))
+    assert [r["x"] for r in nulls.collect()] == ["", "", "in"]
 
 
 def test_merged_alt_text(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from townwire.functions import text as tx
-from townwire.functions.embeds import alt_text, embed_type, merged_alt_text
+from townwire.functions.embeds import alt_text, merged_alt_text
 from townwire.functions.times import event_time, in_window, parse_iso
 from townwire.operators import curate, evaluate, ranking
 from townwire.operators import index as ix
@@ -72,20 +72,32 @@ def jsonl_round_trip(spark, sf_dir):
 CLIP = lambda c: f"rtrim(substr(trim({c}, {WHITE_SQL}), 1, 320), {WHITE_SQL})"
 
 
-@query(f"""select page_id, array_to_string(list_filter([{CLIP('title')}, {CLIP('url')}, {CLIP('html')}, {CLIP('m')}, {CLIP('q')}, {CLIP('qi')}], lambda x: coalesce(x, '') <> ''), ' ') as alt,
+#: Quotes in quotes of the rows whose page_id is divisible by 3.
+QUOTES = 5
+
+
+@query(f"""select page_id, array_to_string(list_filter([{CLIP('title')}, {CLIP('url')}, {CLIP('html')}, {CLIP('m')}, {', '.join(CLIP(f'q{i}') for i in range(QUOTES))}, {CLIP('qi')}], lambda x: coalesce(x, '') <> ''), ' ') as alt,
       {CLIP('title')} || case when trim(title) <> '' and {CLIP('title')} <> trim(url) then ' ' || trim(url) else '' end as merged
-    from (select *, regexp_extract(html, '<title>(.*?)</title>', 1) as title, case when page_id % 2 = 0 then substr(html, 200, 700) end as m, case when page_id % 3 = 0 then chr(10) || chr(9) || chr(8195) || substr(html, 300, 900) when page_id % 3 = 1 then url end as q, case when page_id % 3 = 0 then substr(html, 100, 400) end as qi from pages where html is not null)""")
+    from (select *, regexp_extract(html, '<title>(.*?)</title>', 1) as title, case when page_id % 2 = 0 then substr(html, 200, 700) end as m,
+        case when page_id % 3 = 0 then chr(10) || chr(9) || chr(8195) || substr(html, 300, 900) when page_id % 3 = 1 then url end as q0,
+        {' '.join(f"case when page_id % 3 = 0 then substr(html, {300 + 100 * i}, 350) end as q{i}," for i in range(1, QUOTES))}
+        case when page_id % 3 = 0 then substr(html, 100, 400) end as qi from pages where html is not null)""")
 def alt_text_cases(spark, sf_dir):
+    """Embeds of every kind, quotes five deep, as JSON text that is read back."""
     p = table(spark, sf_dir, "pages").filter("html is not null").withColumn("title", F.regexp_extract("html", "<title>(.*?)</title>", 1))
     k = F.col("page_id")
-    text = F.struct(F.concat(F.lit("\n\t\u2003"), F.substring("html", 300, 900)).alias("text"), F.struct(F.array(F.struct(F.substring("html", 100, 400).alias("alt"))).alias("images")).alias("embed"))
+    quoted = F.struct(F.array(F.struct(F.substring("html", 100, 400).alias("alt"))).alias("images"))
+    for i in reversed(range(QUOTES)):
+        text = F.substring("html", 300 + 100 * i, 350) if i else F.concat(F.lit("\n\t\u2003"), F.substring("html", 300, 900))
+        inner = F.struct(text.alias("text"), quoted.alias("embed"))
+        quoted = F.struct(F.struct(inner.alias("record")).alias("record"))
     value = F.struct(F.col("url").alias("text"))
     embed = F.struct(
         F.array(F.struct(F.col("title").alias("alt"))).alias("images"), F.struct(F.col("url").alias("title"), F.col("html").alias("description")).alias("external"),
         F.when(k % 2 == 0, F.struct(F.array(F.struct(F.substring("html", 200, 700).alias("alt"))).alias("images"))).alias("media"),
-        F.struct(F.when(k % 3 == 0, text).alias("record"), F.when(k % 3 != 2, value).alias("value")).alias("record"),
+        F.struct(F.when(k % 3 == 0, inner).alias("record"), F.when(k % 3 != 2, value).alias("value")).alias("record"),
     )
-    read = p.select("page_id", "title", "url", F.from_json(F.to_json(embed), embed_type()).alias("e"))
+    read = p.select("page_id", "title", "url", F.try_parse_json(F.to_json(embed)).alias("e"))
     return read.select("page_id", alt_text(F.col("e")).alias("alt"), merged_alt_text(tx.clip(F.col("title")), F.trim("url"), tx.clip(F.col("title"))).alias("merged"))
 
 
