@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from townwire.operators import priors
@@ -98,3 +99,72 @@ def test_a_stalled_stream_becomes_unhealthy(spark, tmp_path):
     assert sorted(r["n"] for r in rows) == [20, 20, 20] and max(r["newest"] for r in rows) == newest and {r["query"] for r in rows} == {"posts"}
     health = lambda later: [tuple(r) for r in jobs.table_health(spark, f"{tmp_path}/lags", F.lit(newest + timedelta(seconds=later))).collect()]
     assert health(299) == [("posts", 299.0, True)] and health(300) == [("posts", 300.0, False)]
+
+
+@pytest.fixture
+def rocksdb(spark):
+    before = spark.conf.get(jobs.ROCKSDB[0])
+    spark.conf.set(*jobs.ROCKSDB)
+    yield
+    spark.conf.set(jobs.ROCKSDB[0], before)
+
+
+def newest(df):
+    """Each author's last update: the largest time, of equal ones the largest count."""
+    out = {}
+    for r in df.collect():
+        out[r["author"]] = max(out.get(r["author"], (T0, 0)), (r["last_strong_at"], r["strong_match_count"]))
+    return {a: n for a, (_, n) in out.items()}
+
+
+def test_author_runs_with_late_rows_and_restart(spark, tmp_path, rocksdb):
+    rng = np.random.default_rng(5)
+    hours = np.sort(rng.integers(0, 400, 90))
+    rows = [(i, "abc"[int(rng.integers(3))], T0 + timedelta(hours=int(h)), True) for i, h in enumerate(hours)]
+    late = [rows[i] for i in np.argsort(hours + rng.integers(0, 30, 90))]  # up to 30 hours late
+
+    def land(part):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run():
+        stream = jobs.read_events(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, 1)
+        return jobs.run_available(jobs.author_runs(stream, "author", "ts", 1, "2 days"), f"{tmp_path}/out", "update", f"{tmp_path}/ck")
+
+    land(late[:45])
+    run()
+    land(late[45:70])
+    run()  # from the checkpoint
+    land(late[70:])
+    got = newest(run())
+    batch = priors.author_stats(spark.createDataFrame(rows, SCHEMA), "author", "ts", "k", "strong", 1)
+    want = {r["author"]: r["strong_match_count"] for r in batch.collect()}
+    assert got == want
+    state = {}
+    for r in jobs.runs_of(spark, f"{tmp_path}/ck", "author").collect():
+        state.setdefault(r["author"], []).append((r["last_at"], r["n"]))
+    assert {a: max(runs)[1] for a, runs in state.items()} == want
+    assert all(len(runs) < 8 for runs in state.values())  # runs out of reach are gone
+
+
+def test_author_runs_bridge_and_expire(spark, tmp_path, rocksdb):
+    at = lambda h: T0 + timedelta(hours=h)
+    parts = [[(1, "a", at(0), True), (2, "a", at(30), True)], [(3, "a", at(15), True), (4, "a", None, True)], [(5, "b", at(2000), True)], [(6, "b", at(2001), True)]]
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.read_events(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, 1)
+        out = jobs.run_available(jobs.author_runs(stream, "author", "ts", 1, "2 days"), f"{tmp_path}/out", "update", f"{tmp_path}/ck")
+    rows = [(r["author"], r["strong_match_count"], r["last_strong_at"]) for r in out.collect()]
+    assert ("a", 1, at(30)) in rows and ("a", 3, at(30)) in rows  # the late row joins both runs
+    assert [(r["author"], r["n"], r["first_at"]) for r in jobs.runs_of(spark, f"{tmp_path}/ck", "author").collect()] == [("b", 2, at(2000))]
+
+
+def test_author_runs_by_ttl(spark, tmp_path, rocksdb):
+    landed(spark, tmp_path)
+    stream = jobs.read_events(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, 1)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        out = jobs.run_available(jobs.author_runs(stream.filter("strong"), "author", "ts", 2, "1 day", ttl_ms=3_600_000), f"{tmp_path}/out", "update", f"{tmp_path}/ck")
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    batch = priors.author_stats(spark.read.parquet(f"{tmp_path}/in"), "author", "ts", "k", "strong", 2)
+    assert newest(out) == {r["author"]: r["strong_match_count"] for r in batch.collect()}

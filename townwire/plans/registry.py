@@ -572,6 +572,24 @@ def stream_author_counters(spark, sf_dir):
     return best.withColumn("last_strong_at", F.col("last_strong_at").cast("timestamp_ntz"))
 
 
+@query(f"with {STATS_SQL} select user_id, strong_match_count, last_strong_at from stats")
+def stream_author_runs(spark, sf_dir):
+    """The same from rows that come late: parts that each span all of the time, landed one after the other, each read by a stream that goes on from its checkpoint."""
+    from townwire.streaming.jobs import ROCKSDB, author_runs, read_events, run_available
+
+    own = scratch(spark)
+    strong = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select("user_id", F.col("ts").cast("timestamp").alias("t"), F.pmod("event_id", F.lit(3)).alias("part"))
+    provider = spark.conf.get(ROCKSDB[0])
+    spark.conf.set(*ROCKSDB)
+    try:
+        for part in range(3):
+            strong.filter(F.col("part") == part).write.mode("append").parquet(f"{own}/in")
+            out = run_available(author_runs(read_events(spark, f"{own}/in", strong.schema), "user_id", "t", 2, "60 days"), f"{own}/out", "update", f"{own}/checkpoint")
+    finally:
+        spark.conf.set(ROCKSDB[0], provider)
+    return out.groupBy("user_id").agg(F.max_by("strong_match_count", F.struct("last_strong_at", "strong_match_count")).alias("strong_match_count"), F.max("last_strong_at").cast("timestamp_ntz").alias("last_strong_at"))
+
+
 @query("select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by all")
 def stream_volume(spark, sf_dir):
     from townwire.streaming.jobs import volume

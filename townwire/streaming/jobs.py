@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from townwire.functions.times import HEALTHY_LAG_S, lag_seconds
 from townwire.operators.index import fold
@@ -80,6 +81,87 @@ def author_counters(strong: DataFrame, author: str, ts: str, days: float, delay:
     )
 
 
+#: The state store on disk that author_runs needs: state larger than memory, checkpointed by its changes.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+RUN = T.StructType([T.StructField("first_us", T.LongType()), T.StructField("last_us", T.LongType()), T.StructField("n", T.LongType())])
+
+
+class AuthorRuns(StatefulProcessor):
+    """Keeps an author's runs of strong matches that rows to come may still join, as a list.
+
+    A late row may lie before the newest run, extend an older one or bridge two; only the newest
+    counts, but it may yet grow backwards. A run that ended more than a gap before the watermark
+    is out of reach and goes by an event-time timer, or, in wall-clock time, by the list's TTL.
+    """
+
+    def __init__(self, author: str, ts: str, gap_us: int, ttl_ms: int | None = None):
+        self.author, self.ts, self.gap, self.ttl = author, ts, gap_us, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.runs = handle.getListState("runs", RUN, self.ttl) if self.ttl else handle.getListState("runs", RUN)
+
+    def _keep(self, runs: list[list[int]], now_ms: int) -> None:
+        """Stores the runs in reach of the watermark, and a timer for when the first of them leaves it."""
+        if not self.ttl:
+            runs = [r for r in runs if self._ends(r) > now_ms]
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if runs:
+                self.handle.registerTimer(self._ends(runs[0]))
+        if runs:
+            self.runs.put([tuple(int(x) for x in r) for r in runs])
+        else:
+            self.runs.clear()
+
+    def _ends(self, run: list[int]) -> int:
+        return (run[1] + self.gap) // 1000 + 1
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        runs = [list(r) for r in self.runs.get()] if self.runs.exists() else []
+        for batch in rows:
+            times = batch[self.ts].dropna()
+            runs = merged(runs + clusters(times.to_numpy("datetime64[us]").astype(np.int64), self.gap), self.gap)
+        if not runs:  # rows without a time only
+            return
+        _, last, n = runs[-1]
+        self._keep(runs, 0 if self.ttl else timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame({self.author: [key[0]], "strong_match_count": [n], "last_strong_at": [pd.Timestamp(last, unit="us")]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        if self.runs.exists():
+            self._keep([list(r) for r in self.runs.get()], expiredTimerInfo.getExpiryTimeInMs())
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def author_runs(strong: DataFrame, author: str, ts: str, days: float, delay: str, ttl_ms: int | None = None) -> DataFrame:
+    """author_counters for rows that come late, across micro-batches in any order within delay: per author with new strong matches the counter of the newest run.
+
+    State is a list of (first, last, count) per author in the RocksDB store (the session's
+    ``ROCKSDB`` setting), to be read back with ``runs_of``. ttl_ms: state goes so long after an
+    author's last write in wall-clock time, and no row is too late; else it goes by event
+    time, and rows behind the watermark are dropped, so that replays decide alike. Wall-clock
+    queries make batches without data for ever, so one that is to end with its input needs
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` off.
+    """
+    kind = strong.schema[author].dataType.simpleString()
+    processor = AuthorRuns(author, ts, int(days * 86_400_000_000), ttl_ms)
+    return (
+        strong.select(author, ts).withWatermark(ts, delay).groupBy(author)
+        .transformWithStateInPandas(processor, f"{author} {kind}, strong_match_count long, last_strong_at timestamp", "update", "ProcessingTime" if ttl_ms else "EventTime")
+    )
+
+
+def runs_of(spark: SparkSession, checkpoint: str, author: str) -> DataFrame:
+    """What author_runs keeps at its last batch: author, first_at, last_at, n of each run in reach."""
+    state = spark.read.format("statestore").option("stateVarName", "runs").load(checkpoint)
+    at = lambda name: F.timestamp_micros(F.col(f"list_element.{name}"))
+    return state.select(F.col(f"key.{author}").alias(author), at("first_us").alias("first_at"), at("last_us").alias("last_at"), F.col("list_element.n").alias("n"))
+
+
 def engagement_on_posts(posts: DataFrame, engagement: DataFrame, delay: str, horizon: str) -> DataFrame:
     """Engagement joined to posts indexed before it, within a horizon that bounds both sides' state."""
     p = posts.select(F.col("uri").alias("subject_uri"), "indexed_at").withWatermark("indexed_at", delay)
