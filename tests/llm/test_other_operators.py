@@ -467,3 +467,47 @@ def test_words_of_one_text_are_no_sum(spark):
     scorer = toxicity.Scorer({"grump ": 2.0})
     one_clause, quoted, two = "grump grump grump", "she said grump. he said grump. they said grump", "you grump. you grump"
     assert scorer.clauses(quoted) < scorer.clauses(one_clause) < scorer.clauses(two)
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("he said: I will kill you", 1.0), ("I will kill you: he said hello", 4.0), ("she wrote: he was right. I will kill you", 4.0), ("Kill, and then you die", 0.0),
+    ("you, grump", 3.0), ("no, you grump", 3.0), ("not you grump", 0.75), ("look: grump, look: grump", 4.0), ("my friend, he said, kill him", 1.0), ("grump : she said", 2.0), (":", 0.0), (",,:.", 0.0),
+])
+def test_toxicity_marks(text, want):
+    """A report reaches over a colon; a comma parts a threat from its target and a negation from what follows."""
+    assert toxicity.Scorer({"grump ": 2.0}, 4.0).clauses(text) == pytest.approx(want)
+
+
+def read_naively(words):
+    """The score of a text given as (word, mark) pairs, straight from the docstring: every pattern looked for by positions."""
+    total, begin = 0.0, 0
+    for end in [i for i, (_, m) in enumerate(words) if m == "."] + [len(words) - 1]:
+        piece, begin = words[begin : end + 1], end + 1
+        groups = {}
+        for i, (w, _) in enumerate(piece):
+            if w not in ("grump", "kill"):
+                continue
+            marks = lambda a, b: [m for _, m in piece[min(a, b) : max(a, b)]]
+            nearest = lambda ws, js: next((j for j in js if 0 <= j < len(piece) and piece[j][0] in ws), None)
+
+            def near(js, w=w, i=i, marks=marks, nearest=nearest):
+                j = nearest(("you",), js)
+                return j is not None and ":" not in marks(i, j) and (w == "grump" or "," not in marks(i, j))
+
+            targeted = near(range(i - 1, i - 5, -1)) or near(range(i + 1, i + 5))
+            j = nearest(("not",), range(i - 1, i - 5, -1))
+            negated = j is not None and not {",", ":"} & set(marks(i, j))
+            reported = any(p == "said" and (k < i or ":" not in marks(i, k)) for k, (p, _) in enumerate(piece))
+            weight = (2.0 * (1.5 if targeted else 1) if w == "grump" else 4.0 * targeted) * (0.25 if negated or reported else 1)
+            groups.setdefault(sum(m == ":" for _, m in piece[:i]), []).append(weight)
+        total += sum(x * 0.5**k for g in groups.values() for k, x in enumerate(sorted(g, reverse=True)))
+    return total
+
+
+def test_toxicity_reads_clauses_as_a_naive_reader():
+    rng = np.random.default_rng(8)
+    scorer = toxicity.Scorer({"grump ": 2.0}, 4.0)
+    for _ in range(3_000):
+        words = [(str(rng.choice(["a", "b", "grump", "kill", "you", "not", "said"])), str(rng.choice(["", "", "", "", ",", ":", "."]))) for _ in range(int(rng.integers(1, 25)))]
+        text = " ".join(w + m for w, m in words)
+        assert scorer.clauses(text) == pytest.approx(read_naively(words)), text

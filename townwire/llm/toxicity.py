@@ -1,14 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are read as symbols (insult, threat, target, negation, reported speech, end of a
-clause, other). Five small transducers are composed into one bimachine: an automaton that
+Words and marks are read as symbols (insult, threat, target, negation, reported speech, comma,
+colon, end of a clause, other). Five small transducers are composed into one bimachine: an automaton that
 reads forwards and one that reads backwards, each the composition of its patterns.
 
 * insult: words and stems of the learned lexicon are insults with their learned weight;
 * threat: words of violence are threats;
-* target: a person named near an insult or threat, before or behind it, in its clause;
-* negation: a negation shortly before it;
-* reported speech: the clause reports, before or behind, what somebody said.
+* target: a person named near an insult or threat, before or behind it, in its clause; a comma
+  between them parts a threat from its target, but not an insult ("you, ...");
+* negation: a negation shortly before it, with no comma between;
+* reported speech: the clause reports, before or behind, what somebody said; a report also
+  reaches over a colon to what it opens.
 
 What is scored is a clause, by the patterns that it matches and not word by word: the
 heaviest match counts in full, further ones half, a quarter and so on, so that a clause
@@ -20,9 +22,8 @@ brings that curve to one half, as labels show too few of them to learn it.
 
 Insults and their weights are learned from labelled rows: whole words whose documents are
 labelled toxic far more often than not, and starts of words where several such words begin
-so and none carries them alone. Two passes over a bounded, stored sample count them (first
-in toxic documents, then, for stems that are frequent there, in the others); the curve is
-fitted to the same sample. Scoring is one map over all documents.
+so and none carries them alone. One pass over a bounded, stored sample counts them, in toxic
+documents and in the others; the curve is fitted to the same sample. Scoring is one map over all documents.
 
 Defined cases: a null or empty text scores what a text without matches scores; repeated
 rows score alike; labels that are null or for unknown documents teach nothing, of several
@@ -43,8 +44,8 @@ from townwire.llm.common import append_columns, map_slices, stored, texts
 
 #: Labelled rows that the grammar is fitted to (expected number; more are thinned by a hash of doc_id).
 TRAIN_ROWS = 20_000
-#: Stems taken from the first counting pass, stems kept, least documents for one (also as a share of the toxic ones), least log odds.
-CANDIDATES, LEXICON, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 20_000, 2_000, 5, 0.01, 2.5
+#: Least toxic documents for a stem (also as a share of all toxic ones), least log odds.
+LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 5, 0.01, 2.5
 #: Lengths of word starts that are tried as stems; the words that must begin so, and the most of a stem's documents that one of them may have.
 STARTS, STEM_WORDS, STEM_SHARE = (4, 5, 6), 3, 0.6
 TARGETS = frozenset("you your yours yourself u he she him her they them these those people du dich dir euch ihr tu te toi vous ils elles eux tú ti usted ustedes ellos ellas".split())
@@ -59,7 +60,7 @@ THREATS = frozenset(
 )
 #: Spanish threats that hold their target.
 AIMED = frozenset(f"{w}{p}" for w in ("matar", "golpear") for p in ("te", "le", "la", "lo", "os", "les", "las", "los"))
-INSULT, THREAT, TARGET, NEGATION, REPORT, END, OTHER, AIMED_THREAT = range(8)
+INSULT, THREAT, TARGET, NEGATION, REPORT, END, OTHER, AIMED_THREAT, COMMA, COLON = SYMBOLS = range(10)
 #: Words that a target and a negation reach.
 NEAR_TARGET, NEAR_NEGATION = 4, 4
 #: What the patterns note about an insult or threat.
@@ -69,7 +70,7 @@ AT_TARGET, WEAKENED, FURTHER = 1.5, 0.25, 0.5
 #: A threat's weight while the curve isn't known, and as a multiple of what brings it to one half.
 THREAT_WEIGHT, OVER_HALF = 6.0, 1.25
 PATTERNS = ("insult", "threat", "target", "negation", "report")
-ENDS = frozenset(".!?;:")
+ENDS = frozenset(".!?;")
 MARKS = "¡¿\"'“”‘’«»()[]{}<>.,;:!?…-–—*_~#%&$"
 
 
@@ -90,25 +91,30 @@ class Transducer:
         return Transducer(self.n * other.n, step)
 
     def table(self) -> list[list[tuple[int, int]]]:
-        return [[self.step(s, x) for x in range(8)] for s in range(self.n)]
+        return [[self.step(s, x) for x in SYMBOLS] for s in range(self.n)]
 
 
-def within(trigger: int, reach: int, note: int) -> Transducer:
-    """Notes the symbols within reach words behind a trigger in its clause."""
+def within(trigger: int, reach: int, note: int, past_comma: frozenset[int] = frozenset()) -> Transducer:
+    """Notes the symbols within reach words behind a trigger in its clause; behind a comma only those of past_comma. States beyond reach have a comma behind them."""
 
     def step(state: int, symbol: int):
-        if symbol == END:
+        left, parted = (state - reach, True) if state > reach else (state, False)
+        if symbol in (END, COLON):
             return 0, 0
+        if symbol == COMMA:
+            return (reach + left if left and past_comma else 0), 0
         if symbol == trigger:
             return reach, 0
-        return max(0, state - 1), note if state else 0
+        after = reach + left - 1 if parted and left > 1 else 0 if parted else max(0, left - 1)
+        return after, note if left and (not parted or symbol in past_comma) else 0
 
-    return Transducer(reach + 1, step)
+    return Transducer(2 * reach + 1, step)
 
 
-def clause(trigger: int, note: int) -> Transducer:
-    """Notes all symbols from a trigger to the end of its clause."""
-    return Transducer(2, lambda state, symbol: (0 if symbol == END else 1 if symbol == trigger else state, note if state and symbol != END else 0))
+def clause(trigger: int, note: int, past_colon: bool) -> Transducer:
+    """Notes all symbols from a trigger to the end of its clause, or only to a colon."""
+    ends = (END,) if past_colon else (END, COLON)
+    return Transducer(2, lambda state, symbol: (0, 0) if symbol in ends else (1 if symbol == trigger else state, note if state else 0))
 
 
 def aimed() -> Transducer:
@@ -120,11 +126,12 @@ def grammar(patterns: tuple[str, ...] = PATTERNS) -> tuple[list, list]:
     """The composed machines that read forwards and backwards: [state][symbol] -> next state, notes."""
     forwards = backwards = Transducer(1, lambda state, symbol: (0, 0))
     if "target" in patterns:
-        forwards, backwards = forwards.compose(within(TARGET, NEAR_TARGET, TARGETED)).compose(aimed()), backwards.compose(within(TARGET, NEAR_TARGET, TARGETED))
+        near = within(TARGET, NEAR_TARGET, TARGETED, frozenset({INSULT}))
+        forwards, backwards = forwards.compose(near).compose(aimed()), backwards.compose(near)
     if "negation" in patterns:
         forwards = forwards.compose(within(NEGATION, NEAR_NEGATION, NEGATED))
     if "report" in patterns:
-        forwards, backwards = forwards.compose(clause(REPORT, REPORTED)), backwards.compose(clause(REPORT, REPORTED))
+        forwards, backwards = forwards.compose(clause(REPORT, REPORTED, True)), backwards.compose(clause(REPORT, REPORTED, False))
     return forwards.table(), backwards.table()
 
 
@@ -155,14 +162,15 @@ class Scorer:
         self.words = {w: (TARGET, 0.0) for w in TARGETS} | {w: (NEGATION, 0.0) for w in NEGATIONS} | {w: (REPORT, 0.0) for w in REPORTS}
         if "threat" in patterns:
             self.words |= {w: (THREAT, threat) for w in THREATS} | {w: (AIMED_THREAT, threat) for w in AIMED}
-        self.known: dict[str, tuple[int, float, bool]] = {}
+        self.known: dict[str, tuple[int, float, int]] = {}
 
-    def read(self, token: str) -> tuple[int, float, bool]:
-        """A token's symbol, its weight, and whether a clause ends with it."""
+    def read(self, token: str) -> tuple[int, float, int]:
+        """A token's symbol, its weight, and the mark behind it: END, COLON, COMMA or, for none, OTHER."""
         word = bare(token)
         weight = max((self.lexicon[s] for s in stems(word) if s in self.lexicon), default=0.0)
         symbol, weight = (INSULT, weight) if weight else self.words.get(word, (OTHER, 0.0))
-        return symbol, weight, not ENDS.isdisjoint(token[len(token.rstrip(MARKS)) :])
+        marks = token[len(token.rstrip(MARKS)) :]
+        return symbol, weight, OTHER if not marks else END if not ENDS.isdisjoint(marks) else COLON if ":" in marks else COMMA if "," in marks else OTHER
 
     def clauses(self, text: str) -> float:
         """The sum of the scores of matched clauses."""
@@ -175,26 +183,29 @@ class Scorer:
                 known[t] = read(t)
         symbols = [known[t] if t in known else read(t) for t in tokens]
         total, begin, live = 0.0, 0, False
-        for i, (_, weight, end) in enumerate(symbols):
+        for i, (_, weight, mark) in enumerate(symbols):
             live = live or weight > 0
-            if end or i == len(symbols) - 1:
+            if mark == END or i == len(symbols) - 1:
                 if live:
                     total += self.clause(symbols[begin : i + 1])
                 begin, live = i + 1, False
         return total
 
-    def clause(self, symbols: list[tuple[int, float, bool]]) -> float:
-        """The patterns that one clause matches, the heaviest in full and further ones less and less."""
+    def clause(self, symbols: list[tuple[int, float, int]]) -> float:
+        """The patterns that one clause matches, of each part between colons the heaviest in full and further ones less and less."""
+        read = [x for symbol, weight, mark in symbols for x in ([(symbol, weight)] if mark in (OTHER, END) else [(symbol, weight), (mark, 0.0)])]
         behind, state = [], 0
-        for symbol, _, _ in reversed(symbols):
+        for symbol, _ in reversed(read):
             state, notes = self.backwards[state][symbol]
             behind.append(notes)
-        matched, state = [], 0
-        for (symbol, weight, _), after in zip(symbols, reversed(behind)):
+        parts, state = [[]], 0
+        for (symbol, weight), after in zip(read, reversed(behind)):
             state, notes = self.forwards[state][symbol]
             if weight:
-                matched.append(pattern_weight(symbol, weight, notes | after))
-        return sum(w * FURTHER**k for k, w in enumerate(sorted(matched, reverse=True)))
+                parts[-1].append(pattern_weight(symbol, weight, notes | after))
+            elif symbol == COLON:
+                parts.append([])
+        return sum(w * FURTHER**k for matched in parts for k, w in enumerate(sorted(matched, reverse=True)))
 
 
 def held_out(doc_id):
@@ -210,29 +221,35 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return texts(docs).join(F.broadcast(chosen), "doc_id")  # bounded by `rows`
 
 
-def count_words(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
-    """(word, n): in how many of the rows' texts each word occurs; each task adds its own up first. only: stems that the word must have."""
+def count_words(rows: DataFrame) -> DataFrame:
+    """(word, n, clean): in how many of the texts of toxic and of other rows each word occurs; each task adds its own up first."""
 
     def run(slices):
         n: Counter = Counter()
+        clean: Counter = Counter()
+
+        def summed():
+            words = list(n.keys() | clean.keys())
+            return {"word": words, "n": [n[w] for w in words], "clean": [clean[w] for w in words]}
+
         for x in slices:
-            for text in x["text"]:
-                found = {w for w in {bare(t) for t in text.lower().split()} if w}
-                n.update(found if only is None else [w for w in found if not only.isdisjoint(stems(w))])
-            if len(n) > 400_000:
-                yield {"word": list(n), "n": list(n.values())}
+            for text, toxic in zip(x["text"], x["toxic"]):
+                (n if toxic == 1 else clean).update({w for w in {bare(t) for t in text.lower().split()} if w})
+            if len(n) + len(clean) > 400_000:
+                yield summed()
                 n.clear()
-        yield {"word": list(n), "n": list(n.values())}
+                clean.clear()
+        yield summed()
 
-    return map_slices(rows.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_slices(rows.select("text", "toxic"), run, "word string, n long, clean long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
 
 
 def count_stems(words: DataFrame) -> DataFrame:
-    """(stem, n, kinds, most): documents of the words that begin so (once for each such word), their number, and the documents of the commonest."""
+    """(stem, n, kinds, most, clean): toxic documents of the words that begin so (once for each such word), the number of words, the documents of the commonest, and other documents."""
     word = F.col("word")
     starts = F.array(F.concat(word, F.lit(" ")), *(F.when(F.char_length(word) > n, F.left(word, F.lit(n))) for n in STARTS))
-    each = words.select(F.explode(F.filter(starts, lambda s: s.isNotNull())).alias("stem"), "n")
-    return each.groupBy("stem").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.max("n").alias("most"))
+    each = words.select(F.explode(F.filter(starts, lambda s: s.isNotNull())).alias("stem"), "n", "clean")
+    return each.groupBy("stem").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("kinds"), F.max("n").alias("most"), F.sum("clean").alias("clean"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[dict[str, float], float, float, float]:
@@ -241,12 +258,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[dic
     toxic, clean = sample.filter("toxic = 1").dropDuplicates(["text"]), sample.filter("toxic = 0")
     n_toxic, n_clean = toxic.count(), clean.count()
     productive = F.col("stem").endswith(" ") | ((F.col("kinds") >= STEM_WORDS) & (F.col("most") <= STEM_SHARE * F.col("n")))
-    often = count_stems(count_words(toxic)).filter((F.col("n") >= max(LEAST_DOCS, LEAST_SHARE * n_toxic)) & productive).orderBy(F.desc("n"), "stem").limit(CANDIDATES)
-    in_toxic = {r["stem"]: r["n"] for r in often.collect()}
-    in_clean = {r["stem"]: r["n"] for r in count_stems(count_words(clean, frozenset(in_toxic))).filter(F.col("stem").isin(*in_toxic)).collect()} if in_toxic else {}
-    odds = {s: math.log((n + 0.5) / (n_toxic + 1)) - math.log((in_clean.get(s, 0) + 0.5) / (n_clean + 1)) for s, n in in_toxic.items()}
-    best = sorted((s for s in odds if odds[s] >= LEAST_ODDS), key=lambda s: (-odds[s] * in_toxic[s], s))[:LEXICON]
-    lexicon = {s: odds[s] for s in best}
+    counted = toxic.select("text", "toxic").union(sample.filter("toxic = 0").select("text", "toxic"))
+    odds = F.log((F.col("n") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+    often = count_stems(count_words(counted)).filter((F.col("n") >= max(LEAST_DOCS, LEAST_SHARE * n_toxic)) & productive)
+    # as many as the bounded sample gives: each stem lies in a hundredth of its toxic texts
+    lexicon = {r["stem"]: r["odds"] for r in often.select("stem", odds.alias("odds")).filter(F.col("odds") >= LEAST_ODDS).collect()}
 
     def run(slices):
         scorer = Scorer(lexicon)
