@@ -511,3 +511,30 @@ def test_toxicity_reads_clauses_as_a_naive_reader():
         words = [(str(rng.choice(["a", "b", "grump", "kill", "you", "not", "said"])), str(rng.choice(["", "", "", "", ",", ":", "."]))) for _ in range(int(rng.integers(1, 25)))]
         text = " ".join(w + m for w, m in words)
         assert scorer.clauses(text) == pytest.approx(read_naively(words)), text
+
+
+def test_rows_of_one_key_are_split_among_ranges(spark, monkeypatch):
+    """Null and repeated ids fill several ranges; each row's next is still the next by key and text."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 10)
+    rng = random.Random(3)
+    texts = ["", *("".join(rng.choices("ab é字𝄞", k=rng.randrange(1, 90))) for _ in range(120))]
+    rows = [(rng.choice([1, 7, 7, 7, 2**63 - 1, 2**63 - 1, rng.randrange(50)]), rng.choice(texts)) for _ in range(400)]
+    out = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id", ["text"])
+    order = sorted(rows, key=lambda r: (r[0], r[1].encode()))
+    want = Counter((d, t, after) for (d, t), (_, after) in zip(order, order[1:] + order[:1]))
+    assert Counter((r["doc_id"], r["text"], r["next_text"]) for r in out.collect()) == want
+    ranges = out.groupBy(F.spark_partition_id(), "doc_id").count().groupBy("doc_id").count().collect()
+    assert all(r["count"] > 1 for r in ranges if r["doc_id"] in (7, 2**63 - 1))
+
+
+def test_likeness_is_that_of_the_fingerprints(spark):
+    """What a caller computes from the returned strings is the likeness returned, with all anchors and with few."""
+    rng = random.Random(21)
+    base = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(400)) for _ in range(2)]
+    rows = [(1, base[0]), (2, base[0][600:] + base[1]), (3, base[1]), (4, "")]
+    read = lambda x: {int(x[i : i + 8], 16): int(x[i + 8 : i + 14], 16) for i in range(0, len(x), 14)}
+    for keep in (None, 16):
+        got = {r["doc_id"]: r for r in fingerprints.fingerprint_pairs(documents(spark, rows), keep=keep).collect()}
+        for d, after in ((1, 2), (2, 3), (3, 4)):
+            assert got[d]["near_edited"] == pytest.approx(likeness_by_force(read(got[d]["fingerprint"]), read(got[d]["edited_fingerprint"])))
+            assert got[d]["near_next"] == pytest.approx(likeness_by_force(read(got[d]["fingerprint"]), read(got[after]["fingerprint"])))

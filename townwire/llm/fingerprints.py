@@ -7,14 +7,15 @@ stands (each CJK character is a piece). ``K`` pieces in a row are an anchor if t
 hash of the ``S`` pieces in a row inside them stands at either edge. Whether they are depends
 on nothing outside, so equal passages have equal anchors wherever they stand.
 
-The fingerprint holds distinct anchor hashes, each with the place where it first stands: the
-``KEEP`` smallest and, so that it grows with the text, all in the lowest ``SHARE`` of the
-hashes (keep=None: all). It is what is shown and stored; likeness always matches all anchors
-of both texts by place: common hashes count where at least two have the same distance between
-their places, as a share of all hashes of both.
+The fingerprint holds all distinct anchor hashes, each with the place where it first stands
+(keep=n: the n smallest and, so that it grows with the text, all in the lowest ``SHARE`` of
+the hashes). Likeness is that of two fingerprints, matched by place: common hashes count where
+at least two have the same distance between their places, as a share of all hashes of both.
 
-The next document's text comes by one shuffle: doc_id ranges with known first ids, whose
-first rows are also sent to the range before, so no task sees more than its range.
+The next document's text comes by one shuffle: ranges with known first rows, which are also
+sent to the range before, so no task sees more than its range. A doc_id that fills several
+ranges (null is one) is split by the first ``PREFIX`` characters of the texts; rows alike in
+both stay together.
 
 Defined cases: a null or empty text has the fingerprint '' (likeness 1 to another '', else
 0); a text under ``K`` pieces, or of few more without any anchor, has one, all of it; places
@@ -24,6 +25,7 @@ other by text, and those with a null doc_id come last; of one row the next is it
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -33,11 +35,11 @@ from pyspark.sql import functions as F
 from townwire.llm.common import texts
 
 CONSONANTS = "b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ5-9"
-PIECE, K, S, KEEP, SHARE = rf"[{CONSONANTS}]+[^\s{CONSONANTS}]?|[^\s{CONSONANTS}]", 6, 2, 64, 1 / 16
+PIECE, K, S, SHARE = rf"[{CONSONANTS}]+[^\s{CONSONANTS}]?|[^\s{CONSONANTS}]", 6, 2, 1 / 16
 #: Low bits of an entry that hold its place; the hash's 32 bits stand above.
 PLACE_BITS = 24
-#: Rows of one range of doc_ids, and the most ranges.
-RANGE_ROWS, RANGES = 2_000, 160_000
+#: Rows of one range of doc_ids, the most ranges, and the characters that order rows of one doc_id among ranges.
+RANGE_ROWS, RANGES, PREFIX = 2_000, 160_000, 64
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -72,10 +74,14 @@ def anchors(text: Column) -> Column:
     return let(let(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), of_pieces), distinct)
 
 
-def as_text(entries: Column, keep: int | None = KEEP) -> Column:
-    """The fingerprint: 14 hex digits per entry, 8 of the hash, 6 of the place. keep=None keeps all."""
-    kept = entries if keep is None else F.filter(entries, lambda x, i: (i < keep) | (x < F.lit(int(SHARE * (1 << 32)) << PLACE_BITS)))
-    return F.array_join(F.transform(kept, lambda x: F.lower(F.lpad(F.hex(x), 14, "0"))), "")
+def kept(entries: Column, keep: int) -> Column:
+    """The keep smallest entries and all in the lowest SHARE of the hashes."""
+    return F.filter(entries, lambda x, i: (i < keep) | (x < F.lit(int(SHARE * (1 << 32)) << PLACE_BITS)))
+
+
+def as_text(entries: Column) -> Column:
+    """The fingerprint: 14 hex digits per entry, 8 of the hash, 6 of the place."""
+    return F.lower(F.array_join(F.transform(entries, lambda x: F.lpad(F.hex(x), 14, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -104,17 +110,21 @@ def with_next(rows: DataFrame, key: str, columns: list[str], made: dict[str, Col
     made: further columns, which are computed behind the shuffle.
     """
     n_ranges = max(1, min(RANGES, rows.count() // RANGE_ROWS))
-    firsts = rows.select(key).repartitionByRange(n_ranges, key).groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("first")).collect()
-    starts = sorted({r["first"] for r in firsts}) or [0]  # at most RANGES numbers
+    own = F.struct(F.col(key).cast("long").alias("k"), F.left("text", F.lit(PREFIX)).alias("t"))
+    firsts = rows.select(own.alias("own")).repartitionByRange(n_ranges, "own").groupBy(F.spark_partition_id().alias("p")).agg(F.min("own").alias("first")).collect()
+    filled = Counter(r["first"]["k"] for r in firsts)
+    # at most RANGES; texts only where a key begins several ranges
+    starts = sorted({(k, t if filled[k] > 1 else "") for k, t in (r["first"] for r in firsts)}, key=lambda x: (x[0], x[1].encode())) or [(0, "")]
+    start = lambda x: F.struct(F.lit(x[0]).cast("long").alias("k"), F.lit(x[1]).alias("t"))
     step = max(1, int(len(starts) ** 0.5))
     groups = [starts[i : i + step] for i in range(0, len(starts), step)]
-    # two steps of counting starts up to the key, about sqrt(ranges) comparisons each
-    up_to = lambda xs, k: F.size(F.filter(xs, lambda s: s <= k))
-    coarse = F.greatest(up_to(F.array(*(F.lit(g[0]).cast("long") for g in groups)), F.col(key)), F.lit(1))
-    fine = F.array(*(F.array(*(F.lit(s).cast("long") for s in g)) for g in groups))
+    # two steps of counting starts up to the row, about sqrt(ranges) comparisons each
+    up_to = lambda xs: F.size(F.filter(xs, lambda s: s <= own))
+    coarse = F.greatest(up_to(F.array(*(start(g[0]) for g in groups))), F.lit(1))
+    fine = F.array(*(F.array(*(start(x) for x in g)) for g in groups))
     dealt = rows.withColumn("coarse", coarse).withColumn("own", F.element_at(fine, F.col("coarse")))
-    dealt = dealt.withColumn("range", (F.col("coarse") - 1) * step + up_to(F.col("own"), F.col(key)) - 1)
-    is_first = F.array_contains("own", F.col(key))
+    dealt = dealt.withColumn("range", (F.col("coarse") - 1) * step + up_to(F.col("own")) - 1)
+    is_first = F.exists("own", lambda s: (s["k"] == own["k"]) & ((s["t"] == "") | (s["t"] == own["t"])))
     before = F.pmod(F.col("range") + F.lit(len(starts) - 1), F.lit(len(starts)))
     places = F.when(is_first, F.array(F.struct(F.lit(0).alias("extra"), F.col("range")), F.struct(F.lit(1).alias("extra"), before.alias("range")))).otherwise(F.array(F.struct(F.lit(0).alias("extra"), F.col("range"))))
     sent = dealt.withColumn("place", F.explode(places)).select(*rows.columns, "place.extra", "place.range")
@@ -125,16 +135,17 @@ def with_next(rows: DataFrame, key: str, columns: list[str], made: dict[str, Col
     return sent.filter("extra = 0").drop("extra", "range")
 
 
-def fingerprint_pairs(docs: DataFrame, keep: int | None = KEEP) -> DataFrame:
+def fingerprint_pairs(docs: DataFrame, keep: int | None = None) -> DataFrame:
     """One row per row of docs: its fingerprint, that of its edited text, and the likeness to that and to the next document's."""
+    entries_of = anchors if keep is None else lambda text: let(anchors(text), lambda x: kept(x, keep))
     rows = texts(docs).withColumn("key", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    paired = with_next(rows, "key", ["text", "entries"], {"entries": anchors(F.col("text"))})
+    paired = with_next(rows, "key", ["text", "entries"], {"entries": entries_of(F.col("text"))})
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("text", n - half), F.left("next_text", half))
-    out = paired.withColumn("edited", edited).withColumn("edited_entries", anchors(F.col("edited")))
+    out = paired.withColumn("edited", edited).withColumn("edited_entries", entries_of(F.col("edited")))
     return out.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        as_text(F.col("entries"), keep).alias("fingerprint"), as_text(F.col("edited_entries"), keep).alias("edited_fingerprint"),
+        as_text(F.col("entries")).alias("fingerprint"), as_text(F.col("edited_entries")).alias("edited_fingerprint"),
         likeness(F.col("entries"), F.col("edited_entries")).alias("near_edited"), likeness(F.col("entries"), F.col("next_entries")).alias("near_next"),
     )
