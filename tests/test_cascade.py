@@ -180,7 +180,9 @@ def test_windows_against_force(spark, triggers, cues, window):
     flags = {r["i"]: (r["alone"], r["shared"]) for r in d.select("i", c.condition(read, F.lit(None), F.lit(False)).alias("alone"), c.condition(cut, F.lit(None), F.lit(False)).alias("shared")).collect()}
     want = {i: windows_by_force(t, triggers, cues, window) for i, t in enumerate(texts)}
     keep = {i for i, t in enumerate(texts) if rules.MARK not in t}
-    assert {i: (texts[i], *flags[i]) for i in keep} == {i: (texts[i], want[i], want[i]) for i in keep} and 20 < sum(want.values()) < 304
+    assert {i: (texts[i], *flags[i]) for i in keep} == {i: (texts[i], want[i], want[i]) for i in keep}
+    # the naive reader finds 9 texts for a term near itself, and none where no words can touch
+    assert sum(want.values()) < 304 and (sum(want.values()) > 5 or window == 0)
 
 
 def test_windows_take_no_regular_expression_test(spark):
