@@ -1,6 +1,7 @@
 """Token counts, piece encoding and packing against the libraries and a round trip."""
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -68,6 +69,29 @@ def test_pieces_of_any_text(text):
     assert ids == sp.encode(text) and t.decode(ids) == sp.decode(ids)
 
 
+def test_pieces_look_up_few_arcs(processor):
+    """Arcs are followed the longest first: under four look-ups a character, in words that arcs lead astray too."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            self.asked += 1
+            return super().get(key, default)
+
+        def __contains__(self, key):
+            self.asked += 1
+            return super().__contains__(key)
+
+    t = pieces.PieceTransducer(PIECES)
+    t.pairs, t.arcs = Counted(t.pairs), Counted(t.arcs)
+    rng = random.Random(5)
+    syllables = ["tion", "er", "and", "th", "cion", "oni", "ing", "str", "ieu", "é", "q", "²."]
+    words = ["".join(rng.choices(syllables, k=rng.randint(1, 40))) for _ in range(500)]
+    assert t.encode(words) == [processor.encode(w) for w in words]
+    assert t.pairs.asked + t.arcs.asked < 4 * sum(map(len, words))
+
+
 @pytest.mark.parametrize("capacity", [1024, 64])
 def test_packing(spark, library, capacity):
     rows = awkward() + list(enumerate(ODD, 5000))

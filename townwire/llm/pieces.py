@@ -6,8 +6,8 @@ characters) and byte fallback (a character outside the alphabet to its byte piec
 Composed with an input they give a lattice over its positions. Weights live in the tropical
 semiring (min, +). For a byte-pair model the weight sits on pairs of arcs: two pieces may
 follow each other at weight 0 if merging their joined text leaves exactly that pair, else
-at infinity. Every prefix of a text then has one finite path, which is its encoding, so the
-forward pass keeps a single best arc for each position.
+at infinity. Every prefix of a text then has one finite path, which is its encoding, so
+arcs are followed the longest first, and no position is come to twice.
 
 Pieces never hold the meta symbol behind another character, and characters outside the
 alphabet join no piece; both are checked when the model is compiled. Inputs are cut before
@@ -35,8 +35,6 @@ from townwire.llm.common import map_slices, texts
 META = "▁"
 #: Words, their parts, and pairs of pieces, that a worker keeps.
 MEMO_WORDS, MEMO_PARTS, MEMO_PAIRS = 250_000, 350_000, 400_000
-#: Starts of words up to this length are composed once and shared; so many are kept.
-PREFIX, MEMO_STARTS = 9, 400_000
 SCHEMA = "doc_id long, n_chars long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean, ids array<int>"
 
 
@@ -70,11 +68,12 @@ class PieceTransducer:
         self._compile_spines()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.arcs = {p: self.id_of[p] for p in self.right_spine}
-        self.reach: dict[str, int] = {}  # the longest arc that ends with these three characters
+        self.reach: dict[str, int] = {}  # the longest arc that starts with these three characters
         for p in self.arcs:
             if len(p) > 2:
-                self.reach[p[-3:]] = max(self.reach.get(p[-3:], 2), len(p))
-        self.starts: dict[str, str] = {}  # the last arc of starts of words
+                self.reach[p[:3]] = max(self.reach.get(p[:3], 2), len(p))
+        # the next shorter arc that starts as an arc does
+        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.arcs), None) for p in self.arcs}
         self.memo: dict[str, tuple[int, ...]] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
         self._compile_cuts()
@@ -125,7 +124,7 @@ class PieceTransducer:
         if known is None:
             if len(self.pairs) > MEMO_PAIRS:
                 self.pairs.clear()
-            if a not in self.arcs:  # the start, or a character outside the alphabet
+            if a not in self.arcs or b not in self.arcs:  # the start, or a character outside the alphabet
                 self.pairs[key] = True
                 return True
             known, rank = True, self.rank
@@ -147,35 +146,46 @@ class PieceTransducer:
         return known
 
     def shortest(self, part: str) -> tuple[int, ...]:
-        """Ids on the path of weight 0 through the lattice of one part."""
-        arcs, starts, reach, known = self.arcs, self.starts, self.reach.get, self.pairs.get
-        last = [""]  # the one arc of finite weight into each position
-        for end in range(1, len(part) + 1):
-            prefix = part[:end] if end <= PREFIX else None
-            arc = starts.get(prefix)
-            if arc is None:
-                for begin in range(max(0, end - reach(part[end - 3 : end], 2)) if end > 2 else 0, end):
-                    arc = part[begin:end]
-                    if arc in arcs:
-                        before = last[begin]
-                        follow = known((before, arc))
-                        if follow or follow is None and self._follows(before, arc):
-                            break
-                else:
-                    arc = part[end - 1]  # outside the alphabet: byte fallback
-                if prefix:
-                    starts[prefix] = arc
-            last.append(arc)
-        path, at = [], len(part)
-        while at:
-            arc = last[at]
+        """Ids on the path of weight 0 through the lattice of one part.
+
+        Arcs are followed from the start, the longest first, and taken back where none goes on.
+        As each position has one finite path, none is come to twice.
+        """
+        arcs, shorter, known, end = self.arcs, self.shorter.get, self.pairs.get, len(part)
+        path: list[str] = []
+        before, at, arc = "", 0, self._longest(part, 0)
+        while True:
+            while arc is not None:
+                follow = known((before, arc))
+                if follow or follow is None and self._follows(before, arc):
+                    break
+                arc = shorter(arc)
+            else:
+                arc = path.pop()
+                at -= len(arc)
+                before, arc = path[-1] if path else "", shorter(arc)
+                continue
+            path.append(arc)
+            at += len(arc)
+            if at == end:
+                break
+            before, arc = arc, self._longest(part, at)
+        ids = []
+        for arc in path:
             own = arcs.get(arc)
-            if own is None:
-                path.extend(map(self.byte_id.__getitem__, reversed(arc.encode())))
+            if own is None:  # outside the alphabet: byte fallback
+                ids.extend(map(self.byte_id.__getitem__, arc.encode()))
             else:
-                path.append(own)
-            at -= len(arc)
-        return tuple(reversed(path))
+                ids.append(own)
+        return tuple(ids)
+
+    def _longest(self, part: str, at: int) -> str:
+        """The longest arc that starts here; a character outside the alphabet is an arc of its own."""
+        arcs = self.arcs
+        for end in range(at + self.reach.get(part[at : at + 3], 2), at + 1, -1):
+            if part[at:end] in arcs:
+                return part[at:end]
+        return part[at]
 
     def _run(self, n: int) -> list[int]:
         """Ids of n meta symbols in a row, merged leftmost first."""
@@ -190,8 +200,6 @@ class PieceTransducer:
         """Bring words into the memo."""
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        if len(self.starts) > MEMO_STARTS:
-            self.starts.clear()
         if len(self.parts) > MEMO_PARTS:
             self.parts.clear()
         memo, parts = self.memo, self.parts
