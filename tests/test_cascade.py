@@ -250,3 +250,21 @@ def test_automaton_reads_as_the_rules_do(spark):
     assert automaton.longest_hits(df, Lexicon(()).table(spark), "k", "t").count() == 0
     plan = automaton.longest_hits(df, lex.table(spark), "k", "t")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_large_lexicon_stays_off_the_driver(spark, monkeypatch):
+    """A lexicon of many parts is compiled by tasks; each text is sent in stretches that are no more for more parts."""
+    from townwire.operators import automaton
+
+    rng = random.Random(6)
+    names = ["".join(rng.choices("abé", k=rng.randint(1, 3))) for _ in range(60)]
+    surfaces = list(dict.fromkeys(" ".join(rng.choices(names, k=rng.randint(1, 5))) for _ in range(400)))
+    lex = Lexicon.of([{"id": str(i), "region": "local", "surfaces": [s]} for i, s in enumerate(surfaces)]).table(spark)
+    texts = [rng.choice([" ", ", ", " ("]).join(rng.choices(names, k=rng.randint(0, 30))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    want = {tuple(r) for r in automaton.longest_hits(df, lex, "k", "t").collect()}
+    monkeypatch.setattr(automaton, "Automaton", None)  # no part may be compiled here
+    assert {tuple(r) for r in automaton.longest_hits(df, lex, "k", "t", 30).collect()} == want and len(want) > 100
+    text = " ".join(rng.choices(names, k=500))
+    for parts in (10, 1_000):
+        assert sum(len(s) for own in automaton.stretches(text, parts, 2, 3).values() for s in own) <= 3 * len(text)

@@ -1,14 +1,18 @@
 """Lexicons of very many surfaces: an Aho-Corasick automaton over token ids finds a text's longest surface in one pass.
 
-The lexicon is read in parts of bounded size, dealt by their first token. Each part is
-compiled once on the driver and sent to the tasks; each text walks over it once, without a
-row for any n-gram. With one part, which holds some hundred thousand surfaces, there is no
-shuffle; with more, the parts' hits meet per text.
+A small lexicon is compiled once on the driver and sent to the tasks; each text walks over it
+once, without a shuffle or a row for any n-gram. A larger one is dealt into parts of bounded
+size by the first two tokens of its surfaces, and each part is compiled by the task that it is
+shuffled to. Texts are cut alike: a part gets the stretches of a text where one of its surfaces
+may begin, so that a text is sent as often as a surface has tokens at most, however many parts
+there are. Tasks stream both from one sorted partition, the surfaces first; hits meet per text.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +21,9 @@ from pyspark.sql import functions as F
 from townwire.operators.lexicon import TOKEN
 
 #: Tokens in the surfaces of one part, at most about. An automaton takes some hundred bytes a token.
-PART_TOKENS = 2_000_000
+PART_TOKENS = 300_000
+#: Texts that are cut at once.
+SLICE_ROWS = 256
 HIT = "entity_id string, region string, surface string"
 
 
@@ -41,8 +47,8 @@ class Automaton:
             self.automaton.make_automaton()
         self.empty = not best
 
-    def longest(self, text: str) -> tuple[str, str, str] | None:
-        """(entity_id, region, surface) of the longest surface between edges of words; equal lengths by ord, then by surface. A space of a surface stands for one character of white space."""
+    def longest(self, text: str) -> tuple | None:
+        """(minus its length, ord, surface, entity_id, region) of the longest surface between edges of words; equal lengths by ord, then by surface. A space of a surface stands for one character of white space."""
         import regex
 
         if self.empty or not text:
@@ -58,27 +64,108 @@ class Automaton:
                 hit = next((f for f in found if f[2] == held), None)
                 if hit is not None and (best is None or hit < best):
                     best = hit
-        return None if best is None else (best[3], best[4], best[2])
+        return best
 
 
 def longest_hits(texts: DataFrame, lexicon: DataFrame, key: str, text: str, part_tokens: int = PART_TOKENS) -> DataFrame:
     """(key, entity_id, region, surface) of texts that hold a surface. lexicon: (surface, entity_id, region, ord), of any size."""
-    tokens = F.regexp_extract_all(F.lower("surface"), F.lit(TOKEN), F.lit(0))
-    rows = lexicon.select("surface", "entity_id", "region", F.col("ord").cast("long").alias("ord"), F.size(tokens).alias("n"), F.xxhash64(F.get(tokens, F.lit(0))).alias("first")).filter("n > 0")
-    size = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(1, -(-size // part_tokens))
-    kind = texts.schema[key].dataType
-    out = None
-    for part in range(parts):
-        own = rows.filter(F.pmod("first", F.lit(parts)) == part)
-        automaton = Automaton([(r["surface"], r["entity_id"], r["region"], r["ord"]) for r in own.collect()])  # about part_tokens tokens
-        found = texts.select(key, text).mapInArrow(_walk(automaton), f"{key} {kind.simpleString()}, {HIT}")
-        out = found if out is None else out.unionByName(found)
-    if parts == 1:
-        return out
-    order = rows.groupBy(F.lower("surface").alias("surface"), "entity_id", "region").agg(F.min("ord").alias("ord"))
-    ranked = out.join(order, ["surface", "entity_id", "region"])
-    return ranked.groupBy(key).agg(F.min_by(F.struct("entity_id", "region", "surface"), F.struct(-F.length("surface"), F.col("ord"), "surface")).alias("hit")).select(key, "hit.*")
+    own = lexicon.select("surface", "entity_id", "region", F.coalesce(F.col("ord").cast("long"), F.lit(0)).alias("ord"))
+    rows = own.mapInArrow(_leads, "surface string, entity_id string, region string, ord long, n int, lead long").filter("n > 0")
+    size, least, most = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.min("n"), F.lit(1)), F.coalesce(F.max("n"), F.lit(1))).first()
+    kind = texts.schema[key].dataType.simpleString()
+    if size <= part_tokens:
+        automaton = Automaton([(r["surface"], r["entity_id"], r["region"], r["ord"]) for r in rows.collect()])  # part_tokens tokens at most
+        return texts.select(key, text).mapInArrow(_walk(automaton), f"{key} {kind}, {HIT}")
+    parts = max(-(-size // part_tokens), 2 * texts.sparkSession.sparkContext.defaultParallelism)
+    names = ["_townwire_part", "_townwire_key", "_townwire_ord", "_townwire_strings"]
+    surfaces = rows.select(F.pmod("lead", F.lit(parts)).cast("int"), F.lit(None).cast(kind), "ord", F.array("surface", "entity_id", "region")).toDF(*names)
+    cut = texts.select(key, text).mapInArrow(_cut(parts, least, most), f"_townwire_part int, _townwire_key {kind}, _townwire_ord long, _townwire_strings array<string>")
+    # a text's stretches have no ord, so they come after the surfaces
+    met = surfaces.unionByName(cut).repartition(parts, "_townwire_part").sortWithinPartitions("_townwire_part", F.col("_townwire_ord").asc_nulls_last())
+    found = met.mapInArrow(partial(_meet, key), f"{key} {kind}, {HIT}, n long, ord long")
+    return found.groupBy(key).agg(F.min_by(F.struct("entity_id", "region", "surface"), F.struct("n", "ord", "surface", "entity_id", "region")).alias("hit")).select(key, "hit.*")
+
+
+def _lead(tokens: list[str]) -> int:
+    """What surfaces and stretches are dealt by: the first two tokens, or the only one."""
+    return zlib.crc32(" ".join(tokens[:2]).encode())
+
+
+def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import regex
+
+    for batch in batches:
+        tokens = [regex.findall(TOKEN, (s or "").lower()) for s in batch.column(0).to_pylist()]
+        columns = [pa.array(map(len, tokens), pa.int32()), pa.array(map(_lead, tokens), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "n", "lead"])
+
+
+def stretches(text: str, parts: int, least: int, most: int) -> dict[int, list[str]]:
+    """By part, the stretches of a text where surfaces of least to most tokens may begin, the longest first. Such that overlap are joined."""
+    import regex
+
+    low = text.lower()
+    spots = [m.span() for m in regex.finditer(TOKEN, low)]
+    tokens = [low[a:b] for a, b in spots]
+    found: dict[int, set[str]] = {}
+    runs: dict[int, tuple[int, int]] = {}
+    for i, token in enumerate(tokens):
+        if least == 1:
+            found.setdefault(_lead([token]) % parts, set()).add(token)
+        if most > 1 and i + 1 < len(tokens):
+            part, end = zlib.crc32(f"{token} {tokens[i + 1]}".encode()) % parts, min(i + most, len(tokens))
+            run = runs.get(part)
+            if run is not None and i < run[1]:
+                runs[part] = run[0], end
+                continue
+            if run is not None:
+                found.setdefault(part, set()).add(low[spots[run[0]][0] : spots[run[1] - 1][1]])
+            runs[part] = i, end
+    for part, (a, b) in runs.items():
+        found.setdefault(part, set()).add(low[spots[a][0] : spots[b - 1][1]])
+    return {part: sorted(own, key=len, reverse=True) for part, own in found.items()}
+
+
+def _cut(parts: int, least: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                some = batch.slice(i, SLICE_ROWS)
+                at, part, strings = [], [], []
+                for k, text in enumerate(some.column(1).to_pylist()):
+                    for p, own in stretches(text, parts, least, most).items() if text else ():
+                        at.append(k), part.append(p), strings.append(own)
+                columns = [pa.array(part, pa.int32()), some.column(0).take(pa.array(at, pa.int64())), pa.nulls(len(at), pa.int64()), pa.array(strings, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["_townwire_part", "_townwire_key", "_townwire_ord", "_townwire_strings"])
+
+    return run
+
+
+def _meet(key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one part after the other: its surfaces, which are compiled, then stretches of texts, which walk over them."""
+    part, surfaces, automaton = None, [], None
+    for batch in batches:
+        own, orders = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        at, hits = [], []
+        for k, strings in enumerate(batch.column(3).to_pylist()):
+            if own[k] != part:
+                part, surfaces, automaton = own[k], [], None
+            if orders[k] is not None:
+                surfaces.append((*strings, orders[k]))
+                continue
+            if automaton is None:
+                automaton, surfaces = Automaton(surfaces), []
+            best = None
+            for s in strings:
+                if best is not None and len(s) < -best[0]:
+                    break
+                hit = automaton.longest(s)
+                if hit is not None and (best is None or hit < best):
+                    best = hit
+            if best is not None:
+                at.append(k), hits.append(best)
+        columns = [pa.array([h[k] for h in hits], t) for k, t in ((3, pa.string()), (4, pa.string()), (2, pa.string()), (0, pa.int64()), (1, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at, pa.int64())), *columns], names=[key, "entity_id", "region", "surface", "n", "ord"])
 
 
 def _walk(automaton: Automaton):
@@ -86,7 +173,7 @@ def _walk(automaton: Automaton):
         for batch in batches:
             hits = [automaton.longest(t.as_py()) for t in batch.column(1)]
             held = [i for i, h in enumerate(hits) if h is not None]
-            columns = [pa.array([hits[i][k] for i in held], pa.string()) for k in range(3)]
+            columns = [pa.array([hits[i][k] for i in held], pa.string()) for k in (3, 4, 2)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(held, pa.int64())), *columns], names=[batch.schema.names[0], "entity_id", "region", "surface"])
 
     return run
