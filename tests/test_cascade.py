@@ -232,6 +232,20 @@ def test_join_hits_of_any_length(spark):
     assert join_hits(df, Lexicon(()).table(spark), "k", "t").count() == 0
 
 
+def test_small_lexicon_is_broadcast(spark, monkeypatch):
+    """Only hits are shuffled, once; larger lexicons meet all n-grams, with the same hits."""
+    from townwire.operators import lexicon
+
+    lex = Lexicon.of([{"id": "a", "region": "local", "surfaces": ["one two", "three"]}])
+    df = spark.createDataFrame([(i, f"one two {i}") for i in range(20)], "k int, t string")
+    small = join_hits(df, lex.table(spark), "k", "t")
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(lower(t") == 1  # tokens are made once a text, not for each n-gram
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    monkeypatch.setattr(lexicon, "SENT", 0)
+    assert sorted(small.collect()) == sorted(join_hits(df, lex.table(spark), "k", "t").collect()) and small.count() == 20
+
+
 def test_automaton_reads_as_the_rules_do(spark):
     """100 surfaces against the plan of regular expressions; parts of any size give the same."""
     from townwire.operators import automaton

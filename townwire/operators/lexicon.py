@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from townwire.functions.text import pattern
-from townwire.operators.rules import Reading, has_terms, literals, may_hold, split_terms
+from townwire.operators.rules import Reading, has_terms, literals, may_hold, once, split_terms
 
 REGIONS = ("local", "other")
 #: Surfaces of several words that are tested one by one.
 ONE_BY_ONE = 100
+#: Surfaces of a lexicon that is sent to all tasks.
+SENT = 100_000
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 
 
@@ -79,15 +81,20 @@ def join_hits(texts: DataFrame, lexicon: DataFrame, key: str, text: str) -> Data
     """The same for lexicons of any size: token n-grams joined on the surface, then one row per key with its longest hit.
 
     lexicon: (surface, entity_id, region, ord). The n-grams have all numbers of tokens that its
-    surfaces have, which one aggregate finds. Spark broadcasts it where its own size check
-    allows, and shuffles otherwise. Meant for short posts; long texts go
+    surfaces have, which one aggregate finds. A lexicon of up to SENT surfaces is broadcast, so
+    that only hits are shuffled; a larger one meets the n-grams in a shuffle. Meant for short posts; long texts go
     through ``Lexicon.hit``, which makes no rows.
     """
     tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(0))
     parts = F.regexp_extract_all("surface", F.lit(TOKEN), F.lit(0))
-    lengths = sorted(r["n"] for r in lexicon.select(F.size(parts).alias("n")).filter("n > 0").distinct().collect()) or [1]  # as many as there are lengths
-    grams = texts.select(key, F.explode(F.array_distinct(F.flatten(F.transform(F.lit(lengths), lambda n: _grams(tokens, n))))).alias("gram"))
+    counts = lexicon.groupBy(F.size(parts).alias("n")).count().filter("n > 0").collect()  # as many as there are lengths
+    lengths = sorted(r["n"] for r in counts) or [1]
+    # a barrier, as the tokens would else be made again for every n-gram
+    cut = once(texts.select(key, text), _townwire_tokens=tokens)
+    grams = cut.select(key, F.explode(F.array_distinct(F.flatten(F.transform(F.lit(lengths), lambda n: _grams(F.col("_townwire_tokens"), n))))).alias("gram"))
     spaced = lexicon.withColumn("gram", F.array_join(parts, " ")).withColumn("len", F.length("surface"))
+    if sum(r["count"] for r in counts) <= SENT:
+        spaced = F.broadcast(spaced)
     best = F.max_by(F.struct("entity_id", "region", "surface"), F.struct("len", -F.col("ord")))
     return grams.join(spaced, "gram").groupBy(key).agg(best.alias("hit")).select(key, "hit.*")
 

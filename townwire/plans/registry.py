@@ -15,7 +15,7 @@ from townwire.operators import index as ix
 from townwire.operators.linear import LinearModel, score_rows
 from townwire.packs import HERE
 from townwire.plans.rule_sql import WHITE_SQL
-from townwire.plans.tables import cases, commits, documents, events, index, posts, table
+from townwire.plans.tables import cases, commits, dealt, documents, events, index, posts, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,7 +168,7 @@ def lexicon_longest_match(spark, sf_dir):
 @query(rf"with t as (select conv_id * 1000 + turn as key, ' ' || lower({NORM}) || ' ' as p from conversations), {HIT_SQL} select key as post_id, entity_id, region, surface from ranked where rn = 1")
 def lexicon_join(spark, sf_dir):
     lex = lexicon.Lexicon.of(COMMON_LEXICON)
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("post_id"), tx.normalize(F.col("text")).alias("t"))
+    c = dealt(table(spark, sf_dir, "conversations"), "conv_id", "turn").select((F.col("conv_id") * 1000 + F.col("turn")).alias("post_id"), tx.normalize(F.col("text")).alias("t"))
     return lexicon.join_hits(c, lex.table(spark), "post_id", "t")
 
 

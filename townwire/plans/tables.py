@@ -12,9 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, for rules that take far longer than reading: a table with fewer splits than the session has tasks at once (one file of one row group, say) is dealt out by id; a larger one is left where it is."""
-    d = table(spark, sf_dir, "documents")
-    n = spark.sparkContext.defaultParallelism
-    return d.repartition(n, "doc_id") if d.rdd.getNumPartitions() < 2 * n else d
+    return dealt(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def dealt(d: DataFrame, *keys: str) -> DataFrame:
+    n = d.sparkSession.sparkContext.defaultParallelism
+    return d.repartition(n, *keys) if d.rdd.getNumPartitions() < 2 * n else d
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
