@@ -34,11 +34,12 @@ class Automaton:
         import ahocorasick
         import regex
 
+        self.token, self.space = regex.compile(TOKEN), regex.compile(r"\s")
         self.ids: dict[str, int] = {}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         best: dict[tuple[int, ...], list[tuple]] = {}
         for surface, entity_id, region, order in surfaces:
-            tokens = regex.findall(TOKEN, surface.lower())
+            tokens = self.token.findall(surface.lower())
             if tokens:
                 best.setdefault(tuple(self.ids.setdefault(t, len(self.ids) + 1) for t in tokens), []).append((-len(surface), order, surface.lower(), entity_id, region))
         for key, found in best.items():
@@ -49,17 +50,15 @@ class Automaton:
 
     def longest(self, text: str) -> tuple | None:
         """(minus its length, ord, surface, entity_id, region) of the longest surface between edges of words; equal lengths by ord, then by surface. A space of a surface stands for one character of white space."""
-        import regex
-
         if self.empty or not text:
             return None
         low = text.lower()
-        spots = [(m.start(), m.end()) for m in regex.finditer(TOKEN, low)]
-        ids = tuple(self.ids.get(low[a:b], 0) for a, b in spots)
+        spots = [m.span() for m in self.token.finditer(low)]
+        ids = tuple([self.ids.get(low[a:b], 0) for a, b in spots])
         best = None
         for end, (n, found) in self.automaton.iter(ids) if ids else ():
             if best is None or found[0] < best:
-                held = regex.sub(r"\s", " ", low[spots[end - n + 1][0] : spots[end][1]])
+                held = self.space.sub(" ", low[spots[end - n + 1][0] : spots[end][1]])
                 # the same tokens may stand further apart, or closer, than in the surface
                 hit = next((f for f in found if f[2] == held), None)
                 if hit is not None and (best is None or hit < best):
