@@ -282,3 +282,15 @@ def test_large_lexicon_stays_off_the_driver(spark, monkeypatch):
     text = " ".join(rng.choices(names, k=500))
     for parts in (10, 1_000):
         assert sum(len(s) for own in automaton.stretches(text, parts, 2, 3).values() for s in own) <= 3 * len(text)
+
+
+def test_backfill_reads_its_payloads_once(spark, monkeypatch):
+    """Gated posts are stored before they are split; no plan behind them reads the payloads, and none joins them with themselves."""
+    from townwire.plans import rule_queries
+
+    read = []
+    whole = rule_queries.live.backfill
+    monkeypatch.setattr(rule_queries.live, "backfill", lambda posts, *a, **k: read.append(posts) or whole(posts, *a, **k))
+    for part in rule_queries._backfill(spark, "/root/testdata/sf0.001"):
+        assert not any("documents" in f for f in part.inputFiles())
+    assert "Join" not in read[0]._jdf.queryExecution().optimizedPlan().toString()

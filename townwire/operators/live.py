@@ -73,7 +73,8 @@ def backfill(events: DataFrame, existing: DataFrame, pack: RulePack, config: Fee
     events: what sources.files.post_views_to_events and commits.posts give, with status. An
     outcome is bad_payload, outside (of the window), exists, a gate's or the cascade's reason
     to skip, or indexed; outcomes has one row per uri. The archive gate is left out, as all
-    posts of a gap are old. path: as for decide_with_history. Rows that exist stay as they are, so a second run changes nothing.
+    posts of a gap are old. path: a new folder that the gated posts and the verdicts are written
+    to, as both parts of the outcomes read them. Rows that exist stay as they are, so a second run changes nothing.
     """
     config = config or FeedConfig()
     first = index.first_wins(events, "uri", "created_at", "cid")
@@ -84,8 +85,11 @@ def backfill(events: DataFrame, existing: DataFrame, pack: RulePack, config: Fee
         F.when(F.coalesce(F.col("status"), F.lit("")) != "ok", "bad_payload"), F.when(~inside, "outside"), F.when(F.col("_townwire_known"), "exists"), F.when(F.col("gate").isNotNull(), F.concat(F.lit("skipped:"), F.col("gate")))
     )
     marked = marked.withColumn("_townwire_early", early).drop("_townwire_known", "gate")
+    if path is not None:
+        marked.write.parquet(f"{path}/gated")
+        marked = marked.sparkSession.read.schema(marked.schema).parquet(f"{path}/gated")
     stopped = marked.filter("_townwire_early is not null").select("uri", F.col("_townwire_early").alias("outcome"))
-    decided = decide_with_history(marked.filter("_townwire_early is null").drop("_townwire_early").withColumn("ts", F.col("created_at")), pack, config, path=path, **more)
+    decided = decide_with_history(marked.filter("_townwire_early is null").drop("_townwire_early").withColumn("ts", F.col("created_at")), pack, config, path=f"{path}/verdicts" if path else None, **more)
     rows = decided.filter("matched").select("uri", "cid", "author_did", "reply_parent", "reply_root", F.col("reason").alias("match_reason"), "created_at", F.col("created_at").alias("indexed_at"))
     outcome = F.when(F.col("matched"), "indexed").otherwise(F.concat(F.lit("skipped:"), "reason"))
     return rows, stopped.unionByName(decided.select("uri", outcome.alias("outcome")))

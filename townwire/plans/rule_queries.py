@@ -205,11 +205,10 @@ def _backfill(spark, sf_dir):
     author = F.struct(F.concat(F.lit("did:"), "author_did").alias("did"), F.lit("h").alias("handle"))
     payload = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("at://"), F.col("uri").cast("string")).alias("uri"), author.alias("author"), record.alias("record"))).alias("posts")))
     views = files.search_posts(p.select(F.from_json(payload, files.SEARCH).alias("p")).select("p.*"))
-    events = files.post_views_to_events(views)
-    posts = cm.posts(events).join(events.select("uri", "status"), "uri")
+    posts = cm.posts(files.post_views_to_events(views), "status")
     existing = p.filter("doc_id % 6 = 0").select(F.concat(F.lit("at://"), F.col("uri").cast("string")).alias("uri"))
     bound = lambda day: F.lit(day).cast("timestamp")
-    return live.backfill(posts, existing, pack(), CONFIG, bound("2024-01-03"), bound("2024-01-25"), path=f"{scratch(spark)}/verdicts", lexicon=lexicon(), model=model())
+    return live.backfill(posts, existing, pack(), CONFIG, bound("2024-01-03"), bound("2024-01-25"), path=scratch(spark), lexicon=lexicon(), model=model())
 
 
 @query(f"with {BACKFILL_SQL} select uri, reason as match_reason, ts as created_at, ts as indexed_at from h where matched")

@@ -50,13 +50,13 @@ def landed(events: DataFrame, path: str) -> DataFrame:
     return events.sparkSession.read.schema(events.schema).parquet(path)
 
 
-def posts(events: DataFrame) -> DataFrame:
-    """Post events with the columns that gates and cascade read."""
+def posts(events: DataFrame, *more: str) -> DataFrame:
+    """Post events with the columns that gates and cascade read, and more of their own."""
     r = F.col("record")
     return events.filter("kind = 'post'").select(
         "uri", "cid", "author_did", "operation", event_time(F.col("time_us")).alias("ts"), F.coalesce(r["text"], F.lit("")).alias("text"), alt_text(r["embed"]).alias("alt_text"),
         F.coalesce(r["langs"], F.array().cast("array<string>")).alias("langs"), parse_iso(r["createdAt"]).alias("created_at"),
-        r["reply"]["parent"]["uri"].alias("reply_parent"), r["reply"]["root"]["uri"].alias("reply_root"),
+        r["reply"]["parent"]["uri"].alias("reply_parent"), r["reply"]["root"]["uri"].alias("reply_root"), *more,
     )
 
 
