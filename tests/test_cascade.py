@@ -148,6 +148,19 @@ def test_each_class_is_matched_once_in_the_plan(spark):
     assert plan.count("horoscope") == 1 and plan.count(rules.NOT_WORD) == 3 and "Exchange" not in cascade.decide(df, PACK, LEXICON)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rules_before_the_prior_are_tested_once(spark):
+    """Both answers to the prior share the rules that don't read it, and agree with the cascade for either."""
+    df = spark.createDataFrame([("a",)], "text string")
+    plan = cascade.decide(df, PACK, LEXICON, MODEL, both_priors=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lang_non_local:fr") == 1
+    rng = random.Random(3)
+    terms = ["Milford", "Hartley", "Dunmore", "ferry", "tonight", "The Lantern", "mill lane", "upstate", "horoscope", "Brookvale Council", "Brook County", "Wyoming", "@hartley.x", "and", "hartleys", "MILF"]
+    texts = spark.createDataFrame([(i, " ".join(rng.choices(terms, k=rng.randint(0, 5)))) for i in range(400)], "i int, text string")
+    both = {r["i"]: (r["reason"], r["reason_with_prior"]) for r in cascade.decide(texts, PACK, LEXICON, MODEL, both_priors=True).collect()}
+    alone = [{r["i"]: r["reason"] for r in cascade.decide(texts.withColumn("soft_prior", F.lit(p)), PACK, LEXICON, MODEL).collect()} for p in (False, True)]
+    assert both == {i: (alone[0][i], alone[1][i]) for i in both} and any(a != b for a, b in both.values())
+
+
 def test_words_need_no_regular_expression(spark):
     """Single words have none; there is one for each surface of several words."""
     from townwire.plans import registry

@@ -21,6 +21,14 @@ LINES = [
 ]
 
 
+def test_each_line_is_parsed_once(spark):
+    """No test of a field parses the line, or makes it, again: one parser for each of the three kinds of lines."""
+    from townwire.plans import rule_queries
+
+    events = commits.decode(commits.parsed(rule_queries.commit_lines(spark, "/root/testdata/sf0.001")))
+    assert events._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 3
+
+
 def test_decode(spark):
     lines = spark.createDataFrame([(x,) for x in LINES], "value string")
     events = commits.decode(commits.parsed(lines))

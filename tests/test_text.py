@@ -1,6 +1,8 @@
 """Text, embed and time functions on literal rows."""
 
 import json
+import random
+import re
 from datetime import datetime
 
 import pytest
@@ -21,6 +23,13 @@ def test_normalize(spark, raw, want):
     assert spark.createDataFrame([(raw,)], "t string").select(text.normalize(F.col("t"))).first()[0] == want
 
 
+def test_normalize_runs_of_all_kinds(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices([*text.WHITE, " ", " ", "a", "b"], k=rng.randint(0, 12))) for _ in range(500)]
+    got = [r["n"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.normalize(F.col("t")).alias("n")).orderBy("i").collect()]
+    assert got == [re.sub(f"[{text.WHITE}]+", " ", t).strip(" ") for t in texts]
+
+
 def test_clip_cuts_and_trims(spark):
     assert one(spark, text.clip(F.lit("  " + "x" * 319 + " yz"))) == "x" * 319
     assert one(spark, text.clip(F.lit(None).cast("string"))) == ""

@@ -21,7 +21,8 @@ def strip(c: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """Runs of white space, no-break spaces too, become one space; ends are trimmed; null is ''."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[\s\x1c-\x1f]+", " "))
+    # a lone space isn't matched: most texts stay as they are and aren't copied
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)(?:[\s\x1c-\x1f&&[^\x20]][\s\x1c-\x1f]*|\x20[\s\x1c-\x1f]+)", " "))
 
 
 def clip(c: Column, chars: int = EMBED_CHARS) -> Column:
@@ -69,6 +70,7 @@ def pattern(terms: Iterable[str], capture: bool = False) -> str:
     quoted = ["".join("\\" + ch if ch in special else r"[\s\x{A0}]" if ch == " " else ch for ch in t) for t in sorted(set(terms), key=lambda t: (-len(t), t))]
     edge = lambda t, i, e: e if (t[i].isalnum() or t[i] == "_") else ""
     ordered = sorted(set(terms), key=lambda t: (-len(t), t))
-    guarded = [edge(t, 0, LEFT_EDGE) + q + edge(t, -1, RIGHT_EDGE) for t, q in zip(ordered, quoted)]
+    # looking back is slow: only where a term's first letter stands
+    guarded = [edge(t, 0, f"(?={t[0]}){LEFT_EDGE}") + q + edge(t, -1, RIGHT_EDGE) for t, q in zip(ordered, quoted)]
     return "(?iu)" + ("(" if capture else "(?:") + "|".join(guarded) + ")"
 

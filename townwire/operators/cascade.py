@@ -89,7 +89,7 @@ def decide(
     if allow_handles is not None:
         early = early | F.col(s + "allow_handle").isNotNull()
     df = df.withColumn(s + "langs", language_tags(col("langs", F.lit(None).cast("array<string>"))))
-    df, read = reading(df, combine(col("text", null), col("alt_text", null)), s + "read", early)
+    df, read = reading(df, combine(col("text", null), col("alt_text", null)), s + "read", early, pack.words() | (lexicon.words() if lexicon else set()))
     df, read = with_pieces(df, read, pack.conflicts.values(), s + "pieces")
     text, langs = read.text, F.col(s + "langs")
     handle = col("author_handle", null)
@@ -115,41 +115,49 @@ def decide(
     several = distinct_places(places, pack.excluded)
     as_array = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
 
+    rules: list[tuple[Column, Column]] = []
+    add = lambda condition, reason: rules.append((condition, F.lit(reason) if isinstance(reason, str) else reason))
+    if allow_dids is not None:
+        add(F.col(s + "allow_did").isNotNull(), "allowlist_did")
+    if allow_handles is not None:
+        add(F.col(s + "allow_handle").isNotNull(), "allowlist_handle")
+    add(text == "", "empty")
+    if pack.language_gate:
+        gated, lifted, word = pack.language_gate
+        add(has_language(langs, gated) & ~has_language(langs, lifted) & F.contains(read.low, F.lit(word)) & ~pack.has("town_local", read) & ~pack.has("context", read) & ~strong, f"lang_non_local:{gated}")
+    if lexicon is not None:
+        entity = sig("entity")
+        add(entity["region"] == "other", F.concat(F.lit("entity_other:"), entity["entity_id"]))
+    add(hard & strong & ~pack.has("blocks_strong", read), "strong_positive_over_negative")
+    add(hard, "hard_negative")
+    if lexicon is not None:
+        for entity_id, name in pack.entity_conflicts.items():
+            add((entity["entity_id"] == entity_id) & conflict(name), f"entity_other:{name}")
+        add(entity["region"] == "local", F.concat(F.lit("entity_local:"), entity["entity_id"]))
+    for name in pack.entity_conflicts.values():
+        add(strong & conflict(name), f"entity_other:{name}")
+    for name in pack.strong_conflicts:
+        add(strong & conflict(name), f"hard_negative:{name}")
+    add(strong, "strong_positive")
+    if pack.classes.get("town_local"):
+        add(pack.has("town_local", read), "town_local")
+    add(event & (venue != ""), F.concat(F.lit("event_local_venue:"), venue))
+    for c in pack.only_conflicts:
+        add((n_places > 0) & (F.size(F.array_except(places, as_array(c.places))) == 0) & conflict(c.conflict), f"hard_negative:{c.conflict}")
+    for c in pack.multi_conflicts:
+        add((F.size(several) >= 2) & F.arrays_overlap(several, as_array(c.places)) & conflict(c.conflict), f"hard_negative:{c.conflict}")
+    add(F.size(several) >= 2, "multi_local_places")
+    for c in pack.term_conflicts:
+        add((n_places > 0) & term.isin(*c.places) & conflict(c.conflict), f"hard_negative:{c.conflict}")
+    # all rules so far hold with and without the prior: for both answers they are read once
+    settled = F.coalesce(*(F.when(c, r) for c, r in rules))
+    if both_priors:
+        df = once(df, **{s + "settled": settled})
+        settled = sig("settled")
+
     def reason(prior: Column) -> Column:
         rules: list[tuple[Column, Column]] = []
         add = lambda condition, reason: rules.append((condition, F.lit(reason) if isinstance(reason, str) else reason))
-        if allow_dids is not None:
-            add(F.col(s + "allow_did").isNotNull(), "allowlist_did")
-        if allow_handles is not None:
-            add(F.col(s + "allow_handle").isNotNull(), "allowlist_handle")
-        add(text == "", "empty")
-        if pack.language_gate:
-            gated, lifted, word = pack.language_gate
-            add(has_language(langs, gated) & ~has_language(langs, lifted) & F.contains(read.low, F.lit(word)) & ~pack.has("town_local", read) & ~pack.has("context", read) & ~strong, f"lang_non_local:{gated}")
-        if lexicon is not None:
-            entity = sig("entity")
-            add(entity["region"] == "other", F.concat(F.lit("entity_other:"), entity["entity_id"]))
-        add(hard & strong & ~pack.has("blocks_strong", read), "strong_positive_over_negative")
-        add(hard, "hard_negative")
-        if lexicon is not None:
-            for entity_id, name in pack.entity_conflicts.items():
-                add((entity["entity_id"] == entity_id) & conflict(name), f"entity_other:{name}")
-            add(entity["region"] == "local", F.concat(F.lit("entity_local:"), entity["entity_id"]))
-        for name in pack.entity_conflicts.values():
-            add(strong & conflict(name), f"entity_other:{name}")
-        for name in pack.strong_conflicts:
-            add(strong & conflict(name), f"hard_negative:{name}")
-        add(strong, "strong_positive")
-        if pack.classes.get("town_local"):
-            add(pack.has("town_local", read), "town_local")
-        add(event & (venue != ""), F.concat(F.lit("event_local_venue:"), venue))
-        for c in pack.only_conflicts:
-            add((n_places > 0) & (F.size(F.array_except(places, as_array(c.places))) == 0) & conflict(c.conflict), f"hard_negative:{c.conflict}")
-        for c in pack.multi_conflicts:
-            add((F.size(several) >= 2) & F.arrays_overlap(several, as_array(c.places)) & conflict(c.conflict), f"hard_negative:{c.conflict}")
-        add(F.size(several) >= 2, "multi_local_places")
-        for c in pack.term_conflicts:
-            add((n_places > 0) & term.isin(*c.places) & conflict(c.conflict), f"hard_negative:{c.conflict}")
         kept_by_model = F.lit(False)
         if model is not None:
             own = term.isin(*pack.own_reasons) if pack.own_reasons else F.lit(False)
@@ -165,7 +173,7 @@ def decide(
             add((n_places > 0) & (term == name), without)
         add(n_places > 0, F.concat(F.lit("ambiguous_no_context:"), term))
         add(kept_by_model, "classifier:local_micro")
-        return F.coalesce(*(F.when(c, r) for c, r in rules), F.lit("no_match"))
+        return F.coalesce(settled, *(F.when(c, r) for c, r in rules), F.lit("no_match"))
 
     reasons = {"reason": reason(F.lit(False)), "reason_with_prior": reason(F.lit(True))} if both_priors else {"reason": reason(own_prior)}
     made = once(df, **reasons)

@@ -47,6 +47,10 @@ class Lexicon:
     def load(path: str | Path) -> Lexicon:
         return Lexicon.of(json.loads(Path(path).read_text(encoding="utf-8"))["entities"])
 
+    def words(self) -> set[str]:
+        """All surfaces of one word."""
+        return set(split_terms(s.surface for s in self.surfaces)[0])
+
     def hit(self, text: Reading) -> Column:
         """struct(entity_id, region, surface) of a text's longest hit, or null. Narrow, for lexicons of some thousand surfaces.
 

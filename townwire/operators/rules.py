@@ -30,18 +30,24 @@ class Reading:
     pieces: Column | None = None
 
 
-def reading(df: DataFrame, text: Column, name: str = "_townwire_read", skip: Column | None = None) -> tuple[DataFrame, Reading]:
-    """df with a normalised text read once. Where skip holds, nothing is read."""
+def reading(df: DataFrame, text: Column, name: str = "_townwire_read", skip: Column | None = None, among: Iterable[str] | None = None) -> tuple[DataFrame, Reading]:
+    """df with a normalised text read once. Where skip holds, nothing is read. among: all words that will be looked up; those that begin otherwise are dropped at once, so that each look-up meets a few words instead of the whole text's."""
     df = once(df, **{f"{name}_text": text})
     own = F.col(f"{name}_text")
     low = F.concat(F.lit(" "), F.lower(own), F.lit(" "))
     low = low if skip is None else F.when(skip, F.lit("")).otherwise(low)
     df = once(df, **{f"{name}_low": low})
-    df = once(df, **{f"{name}_words": F.array_distinct(F.split(F.col(f"{name}_low"), NOT_WORD))})
+    words = F.split(F.col(f"{name}_low"), NOT_WORD)
+    if among is not None:
+        begins = sorted({w[:BEGINS] for w in among})
+        words = F.filter(words, lambda w: F.substring(w, 1, BEGINS).isin(*begins))
+    df = once(df, **{f"{name}_words": F.array_distinct(words)})
     return df, Reading(own, F.col(f"{name}_low"), F.col(f"{name}_words"))
 
 
 NOT_WORD = r"[^\p{L}\p{N}_]+"
+#: So many first letters tell whether a word may be one that is looked up.
+BEGINS = 4
 
 
 def split_terms(terms: Iterable[str]) -> tuple[list[str], list[str]]:
@@ -75,9 +81,9 @@ def has_terms(terms: Iterable[str], read: Reading) -> Column:
     """Does any term occur between edges of words?"""
     words, others = split_terms(terms)
     parts = [F.arrays_overlap(read.words, literals(words))] if words else []
-    parts += [F.contains(read.low, F.lit(f" {t.lower()} ")) for t in others]
     if others:
-        parts.append(may_hold(others, read) & read.text.rlike(pattern(others)))
+        spaced = either(F.contains(read.low, F.lit(f" {t.lower()} ")) for t in others)
+        parts.append(may_hold(others, read) & (spaced | read.text.rlike(pattern(others))))
     return either(parts)
 
 
@@ -87,7 +93,8 @@ MARK = "\ue000"
 
 def pieces(words: Iterable[str], read: Reading) -> Column:
     """The lower-case text cut at these words, in one pass: text, word, text, word, ... text."""
-    found = f"{LEFT_EDGE}({'|'.join(sorted(set(words), key=lambda w: (-len(w), w)))}){RIGHT_EDGE}"
+    words = set(words)
+    found = f"(?=[{''.join(sorted({w[0] for w in words}))}]){LEFT_EDGE}({'|'.join(sorted(words, key=lambda w: (-len(w), w)))}){RIGHT_EDGE}"
     return F.split(F.regexp_replace(F.translate(read.low, MARK, " "), found, f"{MARK}$1{MARK}"), MARK)
 
 
@@ -211,6 +218,11 @@ class RulePack:
     def has(self, name: str, read: Reading) -> Column:
         return has_terms(self.classes.get(name, ()), read)
 
+    def words(self) -> set[str]:
+        """All terms of one word that any class or conflict looks up."""
+        own = (c.trigger + c.cues + c.phrases + c.escape for c in self.conflicts.values())
+        return {w for terms in (*self.classes.values(), *own) for w in split_terms(terms)[0]}
+
     def anchored(self, read: Reading) -> Column:
         """The context that lifts a conflict: a class of its own, or the context class where a pack has none."""
         return self.has("anchored_context" if "anchored_context" in self.classes else "context", read)
@@ -256,7 +268,10 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns that later expressions can't be merged with, so that each is evaluated once.
 
     The one-element ``inline`` is a generator: neither project collapsing nor filter push-down
-    copies what is below it.
+    copies what is below it. It only hands on what a projection has made: higher-order functions
+    aren't generated code, and a generator that holds one interprets all its expressions, while
+    a projection interprets that one alone.
     """
-    made = F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items()))))
-    return df.select("*", made)
+    made = df.select("*", *(c.alias(f"_townwire_made_{name}") for name, c in columns.items()))
+    handed = F.inline(F.array(F.struct(*(F.col(f"_townwire_made_{name}").alias(name) for name in columns))))
+    return made.select("*", handed).drop(*(f"_townwire_made_{name}" for name in columns))

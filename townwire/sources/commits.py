@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from townwire.functions.embeds import alt_text, embed_type
 from townwire.functions.times import SHED_LAG_S, event_time, parse_iso
+from townwire.operators.rules import once
 
 S = T.StringType()
 #: Collections that are read, and the engagement kind of two of them. Fixed values of the public record schemas.
@@ -25,8 +26,8 @@ ENVELOPE = T.StructType([
 
 
 def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
-    """One column m per line; malformed lines give null fields and fall out in decode."""
-    return lines.select(F.from_json(F.col(column), ENVELOPE, {"mode": "PERMISSIVE"}).alias("m"))
+    """One column m per line; malformed lines give null fields and fall out in decode. Behind a barrier, as each test of a field would else parse the line, and make it, again."""
+    return once(lines, m=F.from_json(F.col(column), ENVELOPE, {"mode": "PERMISSIVE"})).select("m")
 
 
 def decode(messages: DataFrame) -> DataFrame:
