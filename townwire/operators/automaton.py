@@ -1,11 +1,15 @@
 """Lexicons of very many surfaces: an Aho-Corasick automaton over token ids finds a text's longest surface in one pass.
 
 A small lexicon is compiled once on the driver and sent to the tasks; each text walks over it
-once, without a shuffle or a row for any n-gram. A larger one is dealt into parts of bounded
-size by the first two tokens of its surfaces, and each part is compiled by the task that it is
-shuffled to. Texts are cut alike: a part gets the stretches of a text where one of its surfaces
-may begin, so that a text is sent as often as a surface has tokens at most, however many parts
-there are. Tasks stream both from one sorted partition, the surfaces first; hits meet per text.
+once, without a shuffle or a row for any n-gram. Of a larger one the tasks get a Bloom filter
+(``sieve``). A text sends the longest of its n-grams that pass, a handful, to be joined with the
+lexicon; if one is held, and longer than all that were kept back, it is the text's hit.
+
+Texts that this leaves open go through automata in parts: the lexicon is dealt into parts of
+bounded size by the first two tokens of its surfaces, and each part is compiled by the task that
+it is shuffled to. Texts are cut alike: a part gets the stretches of a text where one of its
+surfaces may begin, so that a text is sent as often as a surface has tokens at most, however many
+parts there are. Tasks stream both from one sorted partition, the surfaces first; hits meet per text.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from townwire.operators import sieve
 from townwire.operators.lexicon import TOKEN
 
 #: Tokens in the surfaces of one part, at most about. An automaton takes some hundred bytes a token.
@@ -66,19 +71,54 @@ class Automaton:
         return best
 
 
-def longest_hits(texts: DataFrame, lexicon: DataFrame, key: str, text: str, part_tokens: int = PART_TOKENS) -> DataFrame:
-    """(key, entity_id, region, surface) of texts that hold a surface. lexicon: (surface, entity_id, region, ord), of any size."""
+def longest_hits(texts: DataFrame, lexicon: DataFrame, key: str, text: str, part_tokens: int = PART_TOKENS, folder: str | None = None) -> DataFrame:
+    """(key, entity_id, region, surface) of texts that hold a surface. lexicon: (surface, entity_id, region, ord), of any size.
+
+    folder: a new one that all executors share, for what is read more than once; without it that is made again.
+    """
     own = lexicon.select("surface", "entity_id", "region", F.coalesce(F.col("ord").cast("long"), F.lit(0)).alias("ord"))
-    rows = own.mapInArrow(_leads, "surface string, entity_id string, region string, ord long, n int, lead long").filter("n > 0")
-    size, least, most = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.min("n"), F.lit(1)), F.coalesce(F.max("n"), F.lit(1))).first()
+    rows = _kept(own.mapInArrow(sieve.hashed, "surface string, entity_id string, region string, ord long, low string, n int, hash long").filter("n > 0"), folder, "lexicon")
+    tokens, surfaces, lengths = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.sort_array(F.collect_set("n"))).first()
     kind = texts.schema[key].dataType.simpleString()
-    if size <= part_tokens:
+    if tokens <= part_tokens:
         automaton = Automaton([(r["surface"], r["entity_id"], r["region"], r["ord"]) for r in rows.collect()])  # part_tokens tokens at most
         return texts.select(key, text).mapInArrow(_walk(automaton), f"{key} {kind}, {HIT}")
-    parts = max(-(-size // part_tokens), 2 * texts.sparkSession.sparkContext.defaultParallelism)
+    first = _kept(_first_hits(texts, rows, surfaces, lengths, key, text), folder, "first")
+    found = first.filter("not open and hit is not null").select(key, "hit.*")
+    rest = first.filter("open").select(F.col(key).alias("_townwire_key"))
+    if rest.isEmpty():
+        return found
+    left = texts.select(key, text).join(rest, F.col(key).eqNullSafe(F.col("_townwire_key")), "left_semi")
+    return found.unionByName(_in_parts(left, rows, max(-(-tokens // part_tokens), 2 * texts.sparkSession.sparkContext.defaultParallelism), lengths, key, text))
+
+
+def _kept(df: DataFrame, folder: str | None, name: str) -> DataFrame:
+    if folder is None:
+        return df
+    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def _first_hits(texts: DataFrame, rows: DataFrame, surfaces: int, lengths: list[int], key: str, text: str) -> DataFrame:
+    """(key, hit, open) of texts with n-grams that pass the filter. open: one that was kept back may be the hit."""
+    kind = texts.schema[key].dataType.simpleString()
+    passed = texts.select(key, text).mapInArrow(sieve.longest(sieve.build(rows, surfaces), lengths), f"{key} {kind}, _townwire_back int, _townwire_low array<string>")
+    sent = passed.select(key, "_townwire_back", F.explode("_townwire_low").alias("_townwire_low"))
+    rank = F.struct((-F.length("surface")).alias("n"), "ord", "low", "entity_id", "region")
+    # one row for each spelling, so that namesakes don't multiply the texts
+    names = rows.groupBy(F.col("low").alias("_townwire_low")).agg(F.min(rank).alias("_townwire_rank"))
+    best = F.min("_townwire_rank")  # nulls, of n-grams that aren't held, don't count
+    met = sent.join(names, "_townwire_low", "left").groupBy(key).agg(best.alias("_townwire_rank"), F.max("_townwire_back").alias("_townwire_back"))
+    hit = F.when(F.col("_townwire_rank").isNotNull(), F.struct("_townwire_rank.entity_id", "_townwire_rank.region", F.col("_townwire_rank.low").alias("surface")))
+    return met.select(key, hit.alias("hit"), (F.col("_townwire_back") >= F.coalesce(-F.col("_townwire_rank.n"), F.lit(1))).alias("open"))
+
+
+def _in_parts(texts: DataFrame, rows: DataFrame, parts: int, lengths: list[int], key: str, text: str) -> DataFrame:
+    kind = texts.schema[key].dataType.simpleString()
     names = ["_townwire_part", "_townwire_key", "_townwire_ord", "_townwire_strings"]
-    surfaces = rows.select(F.pmod("lead", F.lit(parts)).cast("int"), F.lit(None).cast(kind), "ord", F.array("surface", "entity_id", "region")).toDF(*names)
-    cut = texts.select(key, text).mapInArrow(_cut(parts, least, most), f"_townwire_part int, _townwire_key {kind}, _townwire_ord long, _townwire_strings array<string>")
+    led = rows.select("surface", "entity_id", "region", "ord").mapInArrow(_leads, "surface string, entity_id string, region string, ord long, lead long")
+    surfaces = led.select(F.pmod("lead", F.lit(parts)).cast("int"), F.lit(None).cast(kind), "ord", F.array("surface", "entity_id", "region")).toDF(*names)
+    cut = texts.select(key, text).mapInArrow(_cut(parts, lengths[0], lengths[-1]), f"_townwire_part int, _townwire_key {kind}, _townwire_ord long, _townwire_strings array<string>")
     # a text's stretches have no ord, so they come after the surfaces
     met = surfaces.unionByName(cut).repartition(parts, "_townwire_part").sortWithinPartitions("_townwire_part", F.col("_townwire_ord").asc_nulls_last())
     found = met.mapInArrow(partial(_meet, key), f"{key} {kind}, {HIT}, n long, ord long")
@@ -95,8 +135,7 @@ def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         tokens = [regex.findall(TOKEN, (s or "").lower()) for s in batch.column(0).to_pylist()]
-        columns = [pa.array(map(len, tokens), pa.int32()), pa.array(map(_lead, tokens), pa.int64())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "n", "lead"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(_lead, tokens), pa.int64())], names=[*batch.schema.names, "lead"])
 
 
 def stretches(text: str, parts: int, least: int, most: int) -> dict[int, list[str]]:

@@ -676,7 +676,7 @@ def lexicon_automaton(spark, sf_dir):
     surfaces = pairs.filter(word("a") & word("b")).select(F.concat_ws(" ", "a", "b").alias("surface")).distinct()
     lex = surfaces.select("surface", F.col("surface").alias("entity_id"), F.lit("local").alias("region"), F.lit(0).alias("ord"))
     texts = documents(spark, sf_dir).select("doc_id", tx.normalize(F.col("text")).alias("t"))
-    return longest_hits(texts, lex, "doc_id", "t").select("doc_id", "surface")
+    return longest_hits(texts, lex, "doc_id", "t", folder=scratch(spark)).select("doc_id", "surface")
 
 
 @query("""with n as (select max(ts) + interval 200 second as now from events) select event_type, epoch(now - max(ts))::double as lag_s, epoch(now - max(ts)) < 300 as healthy from events, n group by event_type, now""")
