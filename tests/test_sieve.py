@@ -39,7 +39,8 @@ def test_any_filter_gives_the_rows_of_one_automaton(spark, monkeypatch, filter_,
     surfaces = list({odd(rng, names, 6).strip() for _ in range(400)} | {" a", "a ", "İ", "i̇", ""})
     lexicon = [(s, f"e{i}{copy}", rng.choice(["local", "other"]), rng.choice([None, 1, 2])) for i, s in enumerate(surfaces) for copy in range(rng.randint(1, 2))]
     lex = spark.createDataFrame(lexicon, "surface string, entity_id string, region string, ord int")
-    texts = [*((i, odd(rng, names, 25)) for i in range(400)), (400, None), (401, "\x00"), (None, " ".join(surfaces[:2])), (402, odd(rng, names, 20_000))]
+    texts = [*((i, odd(rng, names, 25)) for i in range(400)), (400, None), (401, "\x00"), (None, " ".join(surfaces[:2])), (402, odd(rng, names, 20_000)), (403, " ".join(odd(rng, names, 20_000) for _ in range(20)))]
+    assert len(texts[-1][1]) > 1.5 * sieve.SLICE_CHARS  # read in pieces
     df = spark.createDataFrame(texts, "k long, t string")
     want = sorted(map(repr, automaton.longest_hits(df, lex, "k", "t").collect()))
     left = []
@@ -60,12 +61,13 @@ def test_a_text_sends_a_handful(spark):
     text = " ".join([*words, *words[:50] * 20])
     lex = spark.createDataFrame([(f"{a} {b}",) for a, b in zip(words[::40], words[1::40])], "surface string").selectExpr("surface", "'e' as entity_id", "'local' as region", "0 as ord", "lower(surface) as low", "2 as n")
     rows = lex.mapInArrow(lambda batches: sieve.hashed(b.select([0, 1, 2, 3]) for b in batches), "surface string, entity_id string, region string, ord int, low string, n int, hash long")
-    own = sieve.build(rows, 100)()
+    own = sieve.build(rows, 400_000)()
+    assert own.shards == 8
     cut = sieve.Slice([text, "", words[0]])
     at, back, a, b = sieve.chosen(cut, own, [2])
     sent = {cut.text[i:j] for i, j in zip(a.tolist(), b.tolist())}
     held = sorted({f"{a} {b}" for a, b in zip(words[::40], words[1::40])}, key=len, reverse=True)
-    least = len(held[sieve.SENT - 1])
+    least = len(held[sieve.SENT + 5_000 // sieve.MORE_TOKENS - 1])
     assert set(at.tolist()) == {0} and sent == {s for s in held if len(s) >= least} and back[0] == max(len(s) for s in held if len(s) < least)
 
 
@@ -88,3 +90,20 @@ def test_hashes_and_tokens_are_those_of_the_strings():
     one = sieve.Slice(["ab\té"])
     again = sieve.Slice(["x", "", "é ab é ab"])
     assert one.hashes(np.array([0]), np.array([4])) == again.hashes(np.array([5]), np.array([9])) != again.hashes(np.array([6]), np.array([9]))
+
+
+def test_pieces_of_a_long_text_hold_all_its_n_grams():
+    import regex
+
+    from townwire.operators.lexicon import TOKEN
+
+    def grams(text):
+        spots = [m.span() for m in regex.finditer(TOKEN, text)]
+        return {text[a : spots[i + n - 1][1]] for n in (1, 2, 5) for i, (a, _) in enumerate(spots) if i + n <= len(spots)}
+
+    rng = random.Random(11)
+    for _ in range(50):
+        text = odd(rng, ["ab", "é", "cde", "_f"], 300)
+        found = list(sieve.pieces(text, 5, 40))
+        assert set().union(*map(grams, found)) == grams(text) and (len(text) < 200 or len(found) > 2) and all(len(p) < 400 for p in found)
+    assert list(sieve.pieces("", 2)) == [""] and list(sieve.pieces("ab" * 100, 2, 10)) == ["ab" * 100]

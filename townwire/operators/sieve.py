@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 
 #: Most bits of the filter (2^30: 128 MB), bits for each surface up to there, and probes at most.
 MOST_BITS, SURFACE_BITS, PROBES = 1 << 30, 16, 8
-#: Bits of one shard, which one task builds.
-SHARD_BITS = 1 << 23
-#: Different n-grams that a text sends on, and all others of the last one's length.
-SENT = 8
-#: Characters of texts that are read at once; a longer text is read alone.
+#: Bits of one shard, so that more surfaces have more shards, and tasks that build them.
+SHARD_BITS = 1 << 20
+#: Different n-grams that a text sends on, and all others of the last one's length; one more for so many tokens, as more may pass by chance.
+SENT, MORE_TOKENS = 8, 256
+#: Characters of texts that are read at once; a longer text is read in pieces.
 SLICE_CHARS = 1 << 18
 WORD, OTHER = 1, 2
 BASE = 0x9E3779B97F4A7C15
@@ -95,7 +95,7 @@ class Sieve:
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return (hashes >> np.uint64(55)).astype(np.int64) % shards
+    return (hashes >> np.uint64(54)).astype(np.int64) % shards
 
 
 def probe(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -132,7 +132,7 @@ def build(rows: DataFrame, surfaces: int) -> Callable[[], Sieve]:
         if filled:
             yield pa.RecordBatch.from_arrays([pa.array(list(filled), pa.int32()), pa.array([np.packbits(x).tobytes() for x in filled.values()], pa.binary())], names=["shard", "packed"])
 
-    shard = F.pmod(F.shiftrightunsigned("hash", 55), F.lit(shards)).cast("int").alias("shard")
+    shard = F.pmod(F.shiftrightunsigned("hash", 54), F.lit(shards)).cast("int").alias("shard")
     packed = np.zeros((shards, SHARD_BITS // 8), np.uint8)
     for r in rows.select(shard, "hash").repartition(shards, "shard").mapInArrow(fill, "shard int, packed binary").collect():
         packed[r["shard"]] = np.frombuffer(r["packed"], np.uint8)
@@ -141,7 +141,7 @@ def build(rows: DataFrame, surfaces: int) -> Callable[[], Sieve]:
 
 
 def longest(sieve: Callable[[], Sieve], lengths: list[int]):
-    """For mapInArrow over (key, text): of texts with n-grams that pass, the SENT longest and those as long as the last of these; and the length of the longest that was kept back, or 0."""
+    """For mapInArrow over (key, text): of texts with n-grams that pass, the longest (SENT) and those as long as the last of these; and the length of the longest that was kept back, or 0. A text of several pieces has several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -149,17 +149,34 @@ def longest(sieve: Callable[[], Sieve], lengths: list[int]):
         space, own = regex.compile(r"\s"), sieve()
         for batch in batches:
             for some in _slices(batch, 1):
-                cut = Slice([(t or "").lower() for t in some.column(1).to_pylist()])
-                at, back, a, b = chosen(cut, own, lengths)
-                texts, first = np.unique(at, return_index=True)
-                strings = [space.sub(" ", cut.text[i:j]) for i, j in zip(a.tolist(), b.tolist())]
-                sent = [list(set(strings[i:j])) for i, j in zip(first.tolist(), [*first[1:].tolist(), len(strings)])]
-                columns = [some.column(0).take(pa.array(texts)), pa.array(back[texts], pa.int32()), pa.array(sent, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[0], "_townwire_back", "_townwire_low"])
+                lows = [(t or "").lower() for t in some.column(1).to_pylist()]
+                for part in [lows] if len(lows) > 1 else ([p] for p in pieces(lows[0], lengths[-1])):
+                    cut = Slice(part)
+                    at, back, a, b = chosen(cut, own, lengths)
+                    texts, first = np.unique(at, return_index=True)
+                    strings = [space.sub(" ", cut.text[i:j]) for i, j in zip(a.tolist(), b.tolist())]
+                    sent = [list(set(strings[i:j])) for i, j in zip(first.tolist(), [*first[1:].tolist(), len(strings)])]
+                    columns = [some.column(0).take(pa.array(texts)), pa.array(back[texts], pa.int32()), pa.array(sent, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[0], "_townwire_back", "_townwire_low"])
 
     return run
 
 
+def pieces(low: str, most: int, chars: int = SLICE_CHARS) -> Iterator[str]:
+    """A text in pieces that end at white space, such that each n-gram of up to most tokens is whole in one of them."""
+    import regex
+
+    space, block = regex.compile(r"\s"), regex.compile(r"\S+")
+    start = 0
+    while len(low) - start > chars and (gap := space.search(low, start + chars)):
+        end = gap.end()
+        for _ in range(most):  # a block has one token at least
+            end = m.end() if (m := block.search(low, end)) else len(low)
+        yield low[start:end]
+        start = gap.end()
+    yield low[start:]
+
+
 def chosen(cut: Slice, sieve: Sieve, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of n-grams to send the text, where they start and where they end, text by text; and the longest length kept back, of each text."""
     counts = np.diff(cut.first)
@@ -181,7 +198,8 @@ def chosen(cut: Slice, sieve: Sieve, lengths: list[int]) -> tuple[np.ndarray, np
     rank = np.cumsum(new)
     rank -= np.concatenate([[0], rank])[np.searchsorted(at, at)]
     least, back = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
-    least[at[rank == SENT]] = size[rank == SENT]
+    limit = rank == (SENT + counts // MORE_TOKENS)[at]
+    least[at[limit]] = size[limit]
     kept = size >= least[at]
     np.maximum.at(back, at[~kept], size[~kept])
     return at[kept], back, a[kept], b[kept]
